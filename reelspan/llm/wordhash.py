@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xC2B2AE3D27D4EB4F | 1
@@ -43,7 +44,7 @@ class Powers:
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and the offsets of each; null texts are empty."""
-    texts = pa.compute.fill_null(texts, "")
+    texts = pc.fill_null(texts, "")
     if pa.types.is_large_string(texts.type):
         kind, wide = np.int64, 8
     else:
