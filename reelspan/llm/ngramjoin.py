@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +19,17 @@ MOST_FREQUENT = 1 << 16
 #: An n-gram is counted as frequent where it has this many different documents in a run of _RUN n-grams.
 _LOCAL = 8
 _RUN = 1 << 22
+#: The reach of a prefix that holds all of a set's infrequent n-grams.
+_EVERYTHING = (1 << 63) - 1
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+    """The same order in signed integers."""
+    return (x ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _unsigned(x: np.ndarray) -> np.ndarray:
+    return x.view(np.uint64) ^ np.uint64(1 << 63)
 
 
 def _signature(u: np.ndarray) -> tuple[int, int]:
@@ -65,13 +72,13 @@ def _signatures(size: int):
 
 def _prefixes(size: int, percent: int, frequent: pa.Array):
     """Per document its signature, its share of frequent n-grams, and the prefix of its n-grams in the global order."""
-    schema = pa.schema([("sig1", pa.int64()), ("sig2", pa.int64()), ("n", pa.int64()), ("score", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("sig1", pa.int64()), ("sig2", pa.int64()), ("n", pa.int64()), ("score", pa.int64()), ("light", pa.int64()), ("reach", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         grams, ranks = frequent
         for batch in batches:
-            one, two, sizes, scores, prefixes = [], [], [], [], []
+            one, two, sizes, scores, lights, reaches, prefixes = [], [], [], [], [], [], []
             known = set()
             for u in shingles(Words(batch.column("text"), powers), size):
                 if not len(u):
@@ -90,10 +97,13 @@ def _prefixes(size: int, percent: int, frequent: pa.Array):
                 two.append(b)
                 sizes.append(len(u))
                 scores.append(1000 * len(often) // len(u))
+                light = min(keep, len(rare))
+                lights.append(light)
+                reaches.append(int(_signed(rare[light - 1 : light])[0]) if light < len(rare) else _EVERYTHING)
                 prefixes.append(_signed(np.concatenate([rare, often])[:keep]))
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            yield pa.record_batch([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sizes, pa.int64()), pa.array(scores, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=schema)
+            yield pa.record_batch([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sizes, pa.int64()), pa.array(scores, pa.int64()), pa.array(lights, pa.int64()), pa.array(reaches, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=schema)
 
     return run
 
@@ -105,65 +115,140 @@ def _bits(nodes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _fragments(size: int, fragments: int, filter_words: np.ndarray):
     """The n-grams of documents whose node may be wanted, cut into fragments of the hash order."""
-    schema = pa.schema([("node", pa.int64()), ("sig2", pa.int64()), ("n", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
     bits = len(filter_words) * 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         cuts = np.array([(k << 64) // fragments for k in range(1, fragments)], dtype=np.uint64)
         for batch in batches:
-            sets, sigs, known = [], [], set()
+            sets, nodes, known = [], [], set()
             for u in shingles(Words(batch.column("text"), powers), size):
-                if len(u):
-                    sig = _signature(u)
-                    if sig[0] not in known:
-                        known.add(sig[0])
-                        sets.append(u)
-                        sigs.append(sig)
-            rows: list[list] = [[], [], [], [], []]
+                node = _signature(u)[0] if len(u) else None
+                if node is not None and node not in known:
+                    known.add(node)
+                    sets.append(u)
+                    nodes.append(node)
+            rows: list[list] = [[], [], []]
             if sets:
-                x, y = _bits(np.array([s[0] for s in sigs], dtype=np.int64), bits)
+                x, y = _bits(np.array(nodes, dtype=np.int64), bits)
                 wanted = ((filter_words[x >> 6] >> (x & 63).astype(np.uint64)) & (filter_words[y >> 6] >> (y & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
                 for k in np.flatnonzero(wanted):
                     u = sets[k]
                     edges = [0, *np.searchsorted(u, cuts).tolist(), len(u)]
                     for f in range(fragments):
-                        for column, value in zip(rows, (sigs[k][0], sigs[k][1], len(u), f, _signed(u[edges[f] : edges[f + 1]])), strict=True):
-                            column.append(value)
-            flat = np.concatenate(rows[4]) if rows[4] else np.zeros(0, dtype=np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in rows[4]])]).astype(np.int32)
-            yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=schema)
+                        rows[0].append(nodes[k])
+                        rows[1].append(f)
+                        rows[2].append(_signed(u[edges[f] : edges[f + 1]]))
+            flat = np.concatenate(rows[2]) if rows[2] else np.zeros(0, dtype=np.int64)
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in rows[2]])]).astype(np.int32)
+            yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=schema)
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows with equal keys, from batches in which they stand together."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, dtype=bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        head = tuple(c[0] for c in columns)
+        starts = np.concatenate([[0], np.flatnonzero(change), [batch.num_rows]])
+        if held and head != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(starts[:-2].tolist(), starts[1:-1].tolist(), strict=True):
+            yield pa.Table.from_batches([*held, batch.slice(a, b - a)])
+            held = []
+        held.append(batch.slice(int(starts[-2]), int(starts[-1] - starts[-2])))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _lists(table: pa.Table, name: str) -> list[np.ndarray]:
+    return [x for chunk in table.column(name).chunks for x in np.split(chunk.flatten().to_numpy(), np.cumsum(pc.list_value_length(chunk).to_numpy())[:-1])]
+
+
+def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many n-grams the sets a and the sets b share, for every pair; a few thousand n-grams at once."""
+    if len(sets) == 2:
+        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        full = np.array([[len(sets[0]), common], [common, len(sets[1])]], dtype=np.float64)
+        return full[np.ix_(a, b)]
+    out = np.zeros((len(a), len(b)))
+    grams = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, gram, count = np.unique(grams, return_inverse=True, return_counts=True)
+    shared = count[gram] > 1
+    if shared.any():
+        owner, (_, gram) = owner[shared], np.unique(gram[shared], return_inverse=True)
+        for at in range(0, int(gram.max()) + 1, 4096):
+            now = (gram >= at) & (gram < at + 4096)
+            m = np.zeros((len(sets), min(4096, int(gram.max()) + 1 - at)), dtype=np.float32)
+            m[owner[now], gram[now] - at] = 1
+            out += m[a] @ m[b].T
+    return out
+
+
+def _may_link(percent: int):
+    """Nodes of a tile that may be linked with another one, as far as their prefixes tell.
+
+    Two prefixes show all infrequent n-grams of both sets up to the shorter reach. Linked sets differ in
+    at most (100 - percent) / (100 + percent) of their sizes' sum, so also there.
+    """
+    schema = pa.schema([("lead", pa.int64()), ("node", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leads, nodes = [], []
+        for g in _groups(batches, ["lead", "i", "j"]):
+            side, n, reach = (g.column(c).to_numpy() for c in ("side", "n", "reach"))
+            light = g.column("light").to_numpy()
+            sets = [np.sort(x[:k]) for x, k in zip(_lists(g, "prefix"), light.tolist(), strict=True)]
+            a, b = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+            if len(sets) < 2 or not len(a) or not len(b):
+                continue
+            upto = np.stack([np.searchsorted(x, reach, side="right") for x in sets])
+            total = n[a][:, None] + n[b][None, :]
+            differ = upto[np.ix_(a, b)] + upto.T[np.ix_(a, b)] - 2 * _overlaps(sets, a, b)
+            ok = (100 + percent) * differ <= (100 - percent) * total
+            ok &= 100 * np.minimum(n[a][:, None], n[b][None, :]) >= percent * np.maximum(n[a][:, None], n[b][None, :])
+            ok &= a[:, None] != b[None, :]
+            hit = np.unique(np.concatenate([a[ok.any(axis=1)], b[ok.any(axis=0)]]))
+            nodes += g.column("node").to_numpy()[hit].tolist()
+            leads += [g.column("lead")[0].as_py()] * len(hit)
+            if len(nodes) > 50_000:
+                yield pa.record_batch([pa.array(leads, pa.int64()), pa.array(nodes, pa.int64())], schema=schema)
+                leads, nodes = [], []
+        yield pa.record_batch([pa.array(leads, pa.int64()), pa.array(nodes, pa.int64())], schema=schema)
 
     return run
 
 
 def _cross_links(percent: int):
     """Links between different components within a tile: overlaps are counted fragment by fragment and summed per pair."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        heads = rows.drop_duplicates("node").sort_values("node").reset_index(drop=True)
-        nodes, comps, n = heads["node"].to_numpy(), heads["comp"].to_numpy(), heads["n"].to_numpy()
-        side = heads["side"].to_numpy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links: list[tuple[int, int]] = []
-        if len(np.unique(comps)) > 1:
+        for g in _groups(batches, ["lead", "i", "j"]):
+            node, fragment = g.column("node").to_numpy(), g.column("fragment").to_numpy()
+            nodes, first, where = np.unique(node, return_index=True, return_inverse=True)
+            comps, n, side = (g.column(c).to_numpy()[first] for c in ("comp", "n", "side"))
             a, b = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+            grams = _lists(g, "grams")
             overlap = np.zeros((len(a), len(b)))
-            where = {v: k for k, v in enumerate(nodes.tolist())}
-            in_a, in_b = np.full(len(nodes), -1), np.full(len(nodes), -1)
-            in_a[a], in_b[b] = np.arange(len(a)), np.arange(len(b))
-            for _, part in rows.groupby("fragment"):
-                owner = np.repeat([where[v] for v in part["node"].tolist()], [len(g) for g in part["grams"]])
-                grams = np.concatenate(part["grams"].to_list()) if len(part) else np.zeros(0, dtype=np.int64)
-                _, gram, count = np.unique(grams, return_inverse=True, return_counts=True)
-                shared = count[gram] > 1
-                if not shared.any():
-                    continue
-                owner, (_, gram) = owner[shared], np.unique(gram[shared], return_inverse=True)
-                for at in range(0, int(gram.max()) + 1, 4096):
-                    now = (gram >= at) & (gram < at + 4096)
-                    m = np.zeros((len(nodes), 4096), dtype=np.float32)
-                    m[owner[now], gram[now] - at] = 1
-                    overlap += m[a] @ m[b].T
+            for f in np.unique(fragment):
+                sets = [np.zeros(0, dtype=np.int64)] * len(nodes)
+                for k in np.flatnonzero(fragment == f):
+                    sets[where[k]] = grams[k]
+                overlap += _overlaps(sets, a, b)
             hit = 100 * overlap >= percent * (n[a][:, None] + n[b][None, :] - overlap)
             hit &= comps[a][:, None] != comps[b][None, :]
             parent: dict[int, int] = {}
@@ -174,15 +259,29 @@ def _cross_links(percent: int):
                 return c
 
             for i, j in zip(*np.nonzero(hit), strict=True):
-                x, y = root(comps[a[i]]), root(comps[b[j]])
+                x, y = root(int(comps[a[i]])), root(int(comps[b[j]]))
                 if x != y:
                     parent[max(x, y)] = min(x, y)
                     links.append((x, y))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], schema=schema)
 
     return run
 
 
+def _tiles(members: DataFrame, tile: int) -> DataFrame:
+    """Deal each leader's nodes to chunks of about ``tile`` and repeat every chunk for each it is to meet: (lead, i, j, side, ...)."""
+    sizes = members.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("chunks"))
+    dealt = members.join(sizes.hint("merge"), "lead").withColumn("chunk", F.pmod(F.xxhash64("node", "lead"), F.col("chunks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    side = F.when(F.col("chunk") == F.col("other"), 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2)
+    return met.select(*members.columns, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), side.alias("side"))
+
+
+def _together(df: DataFrame) -> DataFrame:
+    """Rows of a tile in one task, one after the other."""
+    return df.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+
+
 def jaccard_components(
     docs: DataFrame,
     size: int = 5,
@@ -200,13 +299,14 @@ def jaccard_components(
     2. The global order is by hash, with the n-grams found to be frequent last (at most ``MOST_FREQUENT``
        of them, a fixed bound on the broadcast; which ones they are changes the work, not the result).
        Two linked sets share an n-gram of their prefixes in this order.
-    3. Of the nodes that share a prefix n-gram, the one with most frequent n-grams leads. Each node is
-       compared with its leaders: the global order is cut into ``fragments``, partial overlaps are counted
-       fragment by fragment and summed per pair.
-    4. Any two nodes that share a prefix n-gram have a leader in common. Where a leader's nodes are still
-       in different components, they are compared in tiles of two times ``tile`` nodes, fragment by
-       fragment again, and only links that join components leave the task. So no pair is lost, and pairs
-       inside one component are never emitted.
+    3. Of the nodes that share a prefix n-gram, the one with most frequent n-grams leads, so any two nodes
+       that share one have a leader in common. A leader's nodes meet in tiles of two times ``tile``, with
+       their prefixes only: nodes that differ too much there from all others are out.
+    4. The rest are compared with their leaders: the global order is cut into ``fragments``, partial
+       overlaps are counted fragment by fragment and summed per pair.
+    5. Where a leader's nodes are still in different components, they meet in tiles again, fragment by
+       fragment, and only links that join components leave the task. So no link between components is
+       lost, and pairs inside one component are never emitted.
 
     Returns doc_id, n_shingles and component_id (smallest doc_id reachable, its own included) for every row.
     Null and empty texts have no n-grams and stand alone. Rows that repeat a doc_id are separate
@@ -218,28 +318,28 @@ def jaccard_components(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = scratch.write(texts.mapInArrow(_signatures(size), "kind int, doc_id long, n long, sig1 long, sig2 long"), "signatures")
     frequent = first.where("kind = 1").groupBy("sig1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sig1").limit(MOST_FREQUENT).toPandas()
-    grams, ranks = frequent["sig1"].to_numpy(dtype=np.int64).view(np.uint64), frequent["n"].to_numpy(dtype=np.int64)
+    grams, ranks = _unsigned(frequent["sig1"].to_numpy(dtype=np.int64)), frequent["n"].to_numpy(dtype=np.int64)
     by_gram = np.argsort(grams)
     only = texts.select("text")
-    prefix = only.mapInArrow(_prefixes(size, percent, (grams[by_gram], ranks[by_gram])), "sig1 long, sig2 long, n long, score long, prefix array<long>")
-    nodes = prefix.groupBy("sig1", "sig2").agg(F.first("n").alias("n"), F.first("score").alias("score"), F.first("prefix").alias("prefix"))
-    alone = Window.partitionBy("gram")
-    shared = nodes.select(F.col("sig1").alias("node"), "n", "score", F.explode("prefix").alias("gram")).withColumn("m", F.count(F.lit(1)).over(alone)).where("m > 1").drop("m")
-    shared = scratch.write(shared, "shared")
-
-    rows_per_gram = shared.groupBy("gram").agg(F.max(F.struct("score", "node", "n")).alias("lead"))
-    members = shared.join(rows_per_gram.hint("merge"), "gram").select(F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), "node", "n").distinct()
-    members = scratch.write(members, "members")
+    prefix = only.mapInArrow(_prefixes(size, percent, (grams[by_gram], ranks[by_gram])), "sig1 long, sig2 long, n long, score long, light long, reach long, prefix array<long>")
+    once = prefix.groupBy("sig1", "sig2").agg(*[F.first(c).alias(c) for c in ("n", "score", "light", "reach", "prefix")])
+    nodes = scratch.write(once.withColumnRenamed("sig1", "node").drop("sig2"), "nodes")
+    shared = nodes.select("node", F.explode("prefix").alias("gram")).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("m > 1")
+    shared = scratch.write(shared.select("gram", "node"), "shared")
+
+    leads = shared.join(nodes.select("node", "score").hint("merge"), "node").groupBy("gram").agg(F.max(F.struct("score", "node")).alias("lead"))
+    members = scratch.write(shared.join(leads.select("gram", "lead.*").select("gram", F.col("node").alias("lead")).hint("merge"), "gram").select("lead", "node").distinct(), "members")
     scratch.drop(shared)
+    seen = _tiles(members, tile).join(nodes.select("node", "n", "light", "reach", "prefix").hint("merge"), "node")
+    members = scratch.write(_together(seen).mapInArrow(_may_link(percent), "lead long, node long").distinct().join(nodes.select("node", "n").hint("merge"), "node"), "linkable")
+    scratch.drop(nodes)
+    sets = _wanted_sets(only, members.select("node").distinct(), scratch, size, fragments, filter_bits)
 
-    wanted = members.select("node").unionByName(members.select(F.col("lead").alias("node"))).distinct()
-    sets = _wanted_sets(only, wanted, scratch, size, fragments, filter_bits)
-
-    pairs = members.where("node != lead").where(100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n"))
-    mine = sets.select("node", "fragment", "grams")
+    heads = members.where("node = lead").select("lead", F.col("n").alias("lead_n"))
+    pairs = members.where("node != lead").join(heads.hint("merge"), "lead").where(100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n"))
     theirs = sets.select(F.col("node").alias("lead"), "fragment", F.col("grams").alias("lead_grams"))
     part = (
-        pairs.join(mine.hint("merge"), "node")
+        pairs.join(sets.hint("merge"), "node")
         .join(theirs.hint("merge"), ["lead", "fragment"])
         .select("lead", "node", "n", "lead_n", F.size(F.array_intersect("grams", "lead_grams")).cast("long").alias("part"))
     )
@@ -247,23 +347,13 @@ def jaccard_components(
     links = scratch.write(overlap.where(100 * F.col("overlap") >= percent * (F.col("n") + F.col("lead_n") - F.col("overlap"))).select(F.col("node").alias("a"), F.col("lead").alias("b")), "links")
     comps = scratch.write(connected_components(links, scratch), "components")
 
-    known = members.join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_leads = known.where("node != lead").groupBy("lead").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi")
-    chunks = F.ceil(F.col("m") / F.lit(tile)).cast("int")
-    dealt = known.where("node != lead").join(open_leads.select("lead", chunks.alias("chunks")).hint("merge"), "lead").withColumn("chunk", F.pmod(F.xxhash64("node", "lead"), F.col("chunks")).cast("int"))
-    tiles = dealt.select("lead", "node", "comp", "n", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
-        "lead",
-        "node",
-        "comp",
-        "n",
-        F.least("chunk", "other").alias("i"),
-        F.greatest("chunk", "other").alias("j"),
-        F.when(F.col("chunk") == F.col("other"), 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2).alias("side"),
-    )
+    known = members.where("node != lead").join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_leads = known.groupBy("lead").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("lead")
+    tiles = _tiles(known.join(open_leads.hint("merge"), "lead", "left_semi").select("lead", "node", "comp", "n"), tile)
     mixed = tiles.groupBy("lead", "i", "j").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("lead", "i", "j")
-    tiles = scratch.write(tiles.join(mixed.hint("merge"), ["lead", "i", "j"]), "tiles")
-    filled = tiles.join(sets.select("node", "fragment", "grams").hint("merge"), "node")
-    more = scratch.write(filled.groupBy("lead", "i", "j").applyInPandas(_cross_links(percent), "a long, b long"), "cross")
+    tiles = scratch.write(tiles.join(mixed.hint("merge"), ["lead", "i", "j"], "left_semi"), "tiles")
+    filled = _together(tiles.join(sets.hint("merge"), "node"))
+    more = scratch.write(filled.mapInArrow(_cross_links(percent), "a long, b long"), "cross")
     joined = connected_components(more, scratch)
     final = (
         comps.select("node", F.col("comp").alias("old"))
@@ -289,9 +379,8 @@ def _wanted_sets(texts: DataFrame, wanted: DataFrame, scratch: Scratch, size: in
     words = wanted.mapInArrow(_filter_words(filter_bits), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     table = np.zeros(filter_bits // 64, dtype=np.uint64)
     table[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
-    found = texts.mapInArrow(_fragments(size, fragments, table), "node long, sig2 long, n long, fragment int, grams array<long>")
-    once = found.groupBy("node", "fragment").agg(F.first("grams").alias("grams"))
-    return scratch.write(once.join(wanted.hint("merge"), "node", "left_semi"), "sets")
+    found = texts.mapInArrow(_fragments(size, fragments, table), "node long, fragment int, grams array<long>")
+    return scratch.write(found.groupBy("node", "fragment").agg(F.first("grams").alias("grams")), "sets")
 
 
 def _filter_words(bits: int):

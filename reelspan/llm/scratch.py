@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -51,3 +52,9 @@ class Scratch:
         for t in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.release()
+
+    def release(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of finished steps now; it waits for the driver's garbage collection."""
+        gc.collect()
+        self.spark._jvm.System.gc()
