@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neighbours, ngramjoin
+from . import langid, linededup, mixing, neighbours, ngramjoin, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +16,40 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.drop_frequent_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, _table(spark, sf_dir, "labels"), ~_held_out(3, 1))
+    found = quality.score_quality(docs, model, keep=["doc_id"]).select("row.doc_id", "score")
+    return found.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def _held_out(modulus: int, remainder: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus == remainder
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs, ~_held_out(3, 1))
+    found = langid.identify(docs, model, keep=["doc_id"]).select("row.doc_id", "lang_pred", "score")
+    return found.select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), ~_held_out(5, 0))
+    found = toxicity.score_toxicity(docs, model, keep=["doc_id"]).select("row.doc_id", "score")
+    return found.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return neighbours.nearest(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
@@ -40,11 +70,16 @@ WHERE rank <= 10
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_quality": op3_quality,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op7_language_id": op7_language_id,
+    "op8_toxicity": op8_toxicity,
     "op9_nearest": op9_nearest,
 }
 
 ORACLE_SQL = {
     "op1_mix_sources": mixing.MIX_SQL,
+    "op2_line_dedup": linededup.LINES_SQL,
     "op9_nearest": NEAREST_SQL,
 }
