@@ -1,8 +1,72 @@
-"""The corpus pipeline: language ID, line dedup, near duplicates, decontamination, mixing."""
+"""The corpus pipeline: language ID, line dedup, near duplicates, benchmark decontamination, mixing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of
+``documents`` (the last one adds the mix's figures). Between stages the rows are written as Parquet.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reelspan.llm import decontam, langid, linededup, mixing, ngramjoin
+from reelspan.llm.scratch import Scratch
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognised language go: no text, no letter, or no language with half of the probability."""
+    model = langid.learn(docs, F.lit(True))
+    found = langid.identify(docs.select(COLUMNS), model)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select("row.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand in ten documents or more go; documents with nothing left go too."""
+    found = linededup.drop_frequent_lines(docs.select(COLUMNS), min_docs=10, min_chars=1)
+    kept = found.select("row.doc_id", F.col("kept").alias("text"), "row.lang", "row.source", F.char_length("kept").cast("long").alias("n_chars"))
+    return kept.where(F.btrim("text", F.lit(linededup.BLANKS)) != "")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates stays, the one with the smallest doc_id; rows without an id stay."""
+    groups = ngramjoin.jaccard_components(docs)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
+    gone = Scratch(spark, "gone").write(gone, "gone")
+    kept = docs.select(COLUMNS).join(gone.hint("merge"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, up to a fifth of its words edited, go."""
+    leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
+    leaks = Scratch(spark, "leaks").write(leaks.select(F.col("row.doc_id").alias("leak_id")).where("leak_id is not null").distinct(), "leaks")
+    return docs.select(COLUMNS).join(leaks.hint("merge"), F.col("doc_id") == F.col("leak_id"), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes; documents of which it takes none go."""
+    taken = mixing.mix_sources(docs)
+    return taken.where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken", "epochs")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+]
+
+#: Language ID, the first stage, can't be written in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each keeps is written to the shared folder and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return docs

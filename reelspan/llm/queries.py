@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, neighbours, ngramjoin, quality, toxicity
+from . import chat, decontam, langid, licenses, linededup, mixing, neighbours, ngramjoin, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,16 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("row.doc_id", "item_id", "first_word", "n_words", "edits")
+
+
 def _held_out(modulus: int, remainder: int):
     return F.crc32(F.col("doc_id").cast("string")) % modulus == remainder
 
@@ -50,6 +60,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw transcripts out of ``conversations``; the model learns from those whose crc32 is not 1 modulo 3."""
+    lines = chat.raw_transcripts(_table(spark, sf_dir, "conversations"))
+    model = chat.learn(lines.where(F.crc32(F.col("conv").cast("string")) % 3 != 1))
+    return chat.render(chat.decode(lines.drop("state"), model)).select("conv_id", "turn", "role", "rendered")
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return neighbours.nearest(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
@@ -59,9 +76,10 @@ NEAREST_SQL = """
 WITH good AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, 
+         sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
   FROM good q JOIN good c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM scored)
@@ -73,9 +91,12 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_license_scan": op5_license_scan,
+    "op6_decontaminate": op6_decontaminate,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_nearest": op9_nearest,
+    "op10_chat_turns": op10_chat_turns,
 }
 
 ORACLE_SQL = {
