@@ -19,8 +19,11 @@ MOST_FREQUENT = 1 << 16
 #: An n-gram is counted as frequent where it has this many different documents in a run of _RUN n-grams.
 _LOCAL = 8
 _RUN = 1 << 22
-#: The reach of a prefix that holds all of a set's infrequent n-grams.
-_EVERYTHING = (1 << 63) - 1
+
+
+def _common(n: int) -> int:
+    """N-grams by which a prefix is longer than needed for one in common: so many are then in common."""
+    return 1 + n // 10
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -71,14 +74,14 @@ def _signatures(size: int):
 
 
 def _prefixes(size: int, percent: int, frequent: pa.Array):
-    """Per document its signature, its share of frequent n-grams, and the prefix of its n-grams in the global order."""
-    schema = pa.schema([("sig1", pa.int64()), ("sig2", pa.int64()), ("n", pa.int64()), ("score", pa.int64()), ("light", pa.int64()), ("reach", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    """Per document its signature and the prefix of its n-grams in the global order."""
+    schema = pa.schema([("sig1", pa.int64()), ("sig2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         grams, ranks = frequent
         for batch in batches:
-            one, two, sizes, scores, lights, reaches, prefixes = [], [], [], [], [], [], []
+            one, two, prefixes = [], [], []
             known = set()
             for u in shingles(Words(batch.column("text"), powers), size):
                 if not len(u):
@@ -92,18 +95,13 @@ def _prefixes(size: int, percent: int, frequent: pa.Array):
                 rare, often = u[~last], u[last]
                 if len(often):
                     often = often[np.argsort(ranks[at[last]], kind="stable")]
-                keep = len(u) - -(-percent * len(u) // 100) + 1
+                keep = len(u) - -(-percent * len(u) // 100) + _common(len(u))
                 one.append(a)
                 two.append(b)
-                sizes.append(len(u))
-                scores.append(1000 * len(often) // len(u))
-                light = min(keep, len(rare))
-                lights.append(light)
-                reaches.append(int(_signed(rare[light - 1 : light])[0]) if light < len(rare) else _EVERYTHING)
                 prefixes.append(_signed(np.concatenate([rare, often])[:keep]))
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            yield pa.record_batch([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sizes, pa.int64()), pa.array(scores, pa.int64()), pa.array(lights, pa.int64()), pa.array(reaches, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=schema)
+            yield pa.record_batch([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=schema)
 
     return run
 
@@ -197,40 +195,6 @@ def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
     return out
 
 
-def _may_link(percent: int):
-    """Nodes of a tile that may be linked with another one, as far as their prefixes tell.
-
-    Two prefixes show all infrequent n-grams of both sets up to the shorter reach. Linked sets differ in
-    at most (100 - percent) / (100 + percent) of their sizes' sum, so also there.
-    """
-    schema = pa.schema([("lead", pa.int64()), ("node", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leads, nodes = [], []
-        for g in _groups(batches, ["lead", "i", "j"]):
-            side, n, reach = (g.column(c).to_numpy() for c in ("side", "n", "reach"))
-            light = g.column("light").to_numpy()
-            sets = [np.sort(x[:k]) for x, k in zip(_lists(g, "prefix"), light.tolist(), strict=True)]
-            a, b = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-            if len(sets) < 2 or not len(a) or not len(b):
-                continue
-            upto = np.stack([np.searchsorted(x, reach, side="right") for x in sets])
-            total = n[a][:, None] + n[b][None, :]
-            differ = upto[np.ix_(a, b)] + upto.T[np.ix_(a, b)] - 2 * _overlaps(sets, a, b)
-            ok = (100 + percent) * differ <= (100 - percent) * total
-            ok &= 100 * np.minimum(n[a][:, None], n[b][None, :]) >= percent * np.maximum(n[a][:, None], n[b][None, :])
-            ok &= a[:, None] != b[None, :]
-            hit = np.unique(np.concatenate([a[ok.any(axis=1)], b[ok.any(axis=0)]]))
-            nodes += g.column("node").to_numpy()[hit].tolist()
-            leads += [g.column("lead")[0].as_py()] * len(hit)
-            if len(nodes) > 50_000:
-                yield pa.record_batch([pa.array(leads, pa.int64()), pa.array(nodes, pa.int64())], schema=schema)
-                leads, nodes = [], []
-        yield pa.record_batch([pa.array(leads, pa.int64()), pa.array(nodes, pa.int64())], schema=schema)
-
-    return run
-
-
 def _cross_links(percent: int):
     """Links between different components within a tile: overlaps are counted fragment by fragment and summed per pair."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -277,6 +241,11 @@ def _tiles(members: DataFrame, tile: int) -> DataFrame:
     return met.select(*members.columns, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), side.alias("side"))
 
 
+def _in_groups(rows: DataFrame) -> DataFrame:
+    """Rows whose n-gram stands in the prefixes of two nodes at least."""
+    return rows.withColumn("in", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where(F.col("in") > 1).drop("in")
+
+
 def _together(df: DataFrame) -> DataFrame:
     """Rows of a tile in one task, one after the other."""
     return df.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
@@ -298,14 +267,15 @@ def jaccard_components(
     1. Equal sets become one node, so copies are never paired. The node is a 64-bit hash of the set.
     2. The global order is by hash, with the n-grams found to be frequent last (at most ``MOST_FREQUENT``
        of them, a fixed bound on the broadcast; which ones they are changes the work, not the result).
-       Two linked sets share an n-gram of their prefixes in this order.
-    3. Of the nodes that share a prefix n-gram, the one with most frequent n-grams leads, so any two nodes
-       that share one have a leader in common. A leader's nodes meet in tiles of two times ``tile``, with
-       their prefixes only: nodes that differ too much there from all others are out.
-    4. The rest are compared with their leaders: the global order is cut into ``fragments``, partial
+       Prefixes in this order are a tenth of the set longer than one common n-gram takes, so two linked
+       sets have that many (of the smaller set) in common there. Nodes that share fewer n-grams with
+       all others together are out.
+    3. Of the nodes that share a prefix n-gram, the one with most shared n-grams leads, so any two nodes
+       that share one have a leader in common.
+    4. Nodes are compared with their leaders: the global order is cut into ``fragments``, partial
        overlaps are counted fragment by fragment and summed per pair.
-    5. Where a leader's nodes are still in different components, they meet in tiles again, fragment by
-       fragment, and only links that join components leave the task. So no link between components is
+    5. Where a leader's nodes are still in different components, they meet in tiles of two times ``tile``,
+       fragment by fragment again, and only links that join components leave the task. So no link between components is
        lost, and pairs inside one component are never emitted.
 
     Returns doc_id, n_shingles and component_id (smallest doc_id reachable, its own included) for every row.
@@ -321,18 +291,21 @@ def jaccard_components(
     grams, ranks = _unsigned(frequent["sig1"].to_numpy(dtype=np.int64)), frequent["n"].to_numpy(dtype=np.int64)
     by_gram = np.argsort(grams)
     only = texts.select("text")
-    prefix = only.mapInArrow(_prefixes(size, percent, (grams[by_gram], ranks[by_gram])), "sig1 long, sig2 long, n long, score long, light long, reach long, prefix array<long>")
-    once = prefix.groupBy("sig1", "sig2").agg(*[F.first(c).alias(c) for c in ("n", "score", "light", "reach", "prefix")])
-    nodes = scratch.write(once.withColumnRenamed("sig1", "node").drop("sig2"), "nodes")
-    shared = nodes.select("node", F.explode("prefix").alias("gram")).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("m > 1")
-    shared = scratch.write(shared.select("gram", "node"), "shared")
-
-    leads = shared.join(nodes.select("node", "score").hint("merge"), "node").groupBy("gram").agg(F.max(F.struct("score", "node")).alias("lead"))
-    members = scratch.write(shared.join(leads.select("gram", "lead.*").select("gram", F.col("node").alias("lead")).hint("merge"), "gram").select("lead", "node").distinct(), "members")
+    prefix = only.mapInArrow(_prefixes(size, percent, (grams[by_gram], ranks[by_gram])), "sig1 long, sig2 long, prefix array<long>")
+    once = prefix.groupBy("sig1", "sig2").agg(F.first("prefix").alias("prefix"))
+    sizes = first.where("kind = 0 and n > 0").groupBy(F.col("sig1").alias("node")).agg(F.first("n").alias("n"))
+    shared = scratch.write(_in_groups(once.select(F.col("sig1").alias("node"), F.explode("prefix").alias("gram"))), "shared")
+    scratch.release()
+    for _ in range(2):
+        enough = shared.groupBy("node").agg(F.count(F.lit(1)).alias("m")).join(sizes.hint("merge"), "node")
+        enough = enough.where(F.col("m") >= 1 + F.floor(F.col("n") * percent / 1000)).select("node", F.floor(1000 * F.col("m") / F.col("n")).alias("score"))
+        fewer = scratch.write(_in_groups(shared.select("node", "gram").join(enough.hint("merge"), "node")), "shared")
+        scratch.drop(shared)
+        shared = fewer
+    leads = shared.groupBy("gram").agg(F.max(F.struct("score", "node")).alias("lead"))
+    members = shared.join(leads.select("gram", F.col("lead.node").alias("lead")).hint("merge"), "gram").select("lead", "node").distinct()
+    members = scratch.write(members.join(sizes.hint("merge"), "node"), "members")
     scratch.drop(shared)
-    seen = _tiles(members, tile).join(nodes.select("node", "n", "light", "reach", "prefix").hint("merge"), "node")
-    members = scratch.write(_together(seen).mapInArrow(_may_link(percent), "lead long, node long").distinct().join(nodes.select("node", "n").hint("merge"), "node"), "linkable")
-    scratch.drop(nodes)
     sets = _wanted_sets(only, members.select("node").distinct(), scratch, size, fragments, filter_bits)
 
     heads = members.where("node = lead").select("lead", F.col("n").alias("lead_n"))
