@@ -2,34 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelspan import fixtures as fx
 from reelspan.functions import images as img
 from reelspan.functions import names, scoring, timecode
-from reelspan.operators import articles, enrich, images, mentions, resolve, segments, sinks, timeline
+from reelspan.operators import articles, enrich, segments
 from reelspan.plans import timeline_slice as plan
-from reelspan.sources import annotations, transcripts
-from reelspan.streaming import incremental
+from reelspan.registry import ORACLE_SQL, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FPS = 24
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # ---- shared SQL -------------------------------------------------------------------------------------------------
 
 ENTITIES = (

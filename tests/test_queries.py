@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from reelspan import queries
+from reelspan import catalog as queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
