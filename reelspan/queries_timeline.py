@@ -266,7 +266,7 @@ def i3_first_source(spark, sf_dir):
 ELEMENTS = """
 elements AS (
   SELECT l_suppkey % 50 AS transcript_id, (['date', 'quote', 'number', 'process', 'comparison', 'other'])[l_linenumber % 6 + 1] AS element_type, l_partkey % 50 AS cue_idx, CAST(l_quantity AS BIGINT) AS q,
-         'v' || CAST(l_quantity AS BIGINT) AS first, CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE l_returnflag END AS second, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS seq, (l_partkey % 50) * 3000 + l_linenumber * 40 AS ms
+         'v' || CAST(l_quantity AS BIGINT) AS first, CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE l_returnflag END AS second, (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 60 + CAST(l_quantity AS BIGINT) AS seq, (l_partkey % 50) * 3000 + l_linenumber * 40 AS ms
   FROM lineitem)"""
 DEDUPED = (
     ELEMENTS
@@ -286,7 +286,7 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_partkey") % 50).alias("cue_idx"),
         F.concat(F.lit("v"), q).alias("first"),
         F.when(F.col("l_linenumber") % 2 == 0, "").otherwise(F.col("l_returnflag")).alias("second"),
-        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("seq"),
+        ((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 60 + q).alias("seq"),
         ((F.col("l_partkey") % 50) * 3000 + F.col("l_linenumber") * 40).alias("ms"),
     )
     return segments.dedup_elements(segments.element_ids(rows))
