@@ -155,12 +155,12 @@ def units(words: list[bytes]) -> list[bytes]:
     return out
 
 
-def fit(sentences: list[tuple[int, int, bytes]], landmarks: int = 96, rounds: int = 4, penalty: float = 1e-4) -> ToxicityModel:
+def fit(sentences: list[tuple[int, int, bytes]], landmarks: int = 96, rounds: int = 3, penalty: float = 1e-4) -> ToxicityModel:
     """Fit on labelled sentences (document, label, text).
 
     A toxic document's sentences share its label, but few of its words are to blame: each toxic document is
     represented by its word with the largest margin (at first by the word that tells the labels apart
-    best), which is then learned again. Every word of a clean sentence is clean; those with the largest
+    best), which is then learned again; documents without a word that toxic ones hold more often stay out. Every word of a clean sentence is clean; those with the largest
     margins join the training set from round to round. Landmarks are the words
     that tell the labels apart best, unlike each other, and the clean words nearest to them.
     """
@@ -177,7 +177,7 @@ def fit(sentences: list[tuple[int, int, bytes]], landmarks: int = 96, rounds: in
     if not n_bad or not n_good:
         return ToxicityModel([b"none"], np.zeros(1), 0.0, 0.0, 4.0 if n_bad else -4.0)
     odds = {w: math.log((bad[w] + 0.1) / (n_bad + 0.2)) - math.log((good[w] + 0.1) / (n_good + 0.2)) for w in bad if len(w) > 2}
-    ranked = sorted(odds, key=lambda w: (-odds[w] * math.sqrt(bad[w]), w))[: 40 * landmarks]
+    ranked = sorted(odds, key=lambda w: (-odds[w] * math.sqrt(bad[w]), w))[: 12 * landmarks]
     chosen: list[bytes] = []
     held: list[dict[int, float]] = []
     for w in ranked:
@@ -217,13 +217,14 @@ def fit(sentences: list[tuple[int, int, bytes]], landmarks: int = 96, rounds: in
     mined = dict.fromkeys([*(w for w, _ in good.most_common(2000)), *hard[:4000], *(clean[k] for k in spread)])
     all_low = matrix(clean) @ nystroem
     row = {w: k for k, w in enumerate(clean)}
-    toxic_words = [sorted(by_doc[d]) for d in docs if label[d]]
+    toxic_words = [sorted(w for w in by_doc[d] if odds.get(w, 0.0) > 1.0) for d in docs if label[d]]
+    toxic_words = [x for x in toxic_words if x] or [chosen[:1]]
     vocabulary = sorted({w for x in toxic_words for w in x})
     place = {w: k for k, w in enumerate(vocabulary)}
     high = matrix(vocabulary) @ nystroem
     strength = np.array([odds.get(w, -9.0) * math.sqrt(bad[w]) for w in vocabulary])
     for _ in range(rounds):
-        witness = np.array([max((place[w] for w in x), key=lambda k: (strength[k], -k)) for x in toxic_words if x])
+        witness = np.array([max((place[w] for w in x), key=lambda k: (strength[k], -k)) for x in toxic_words])
         w, bias = _svm(high[witness], all_low[[row[x] for x in mined]], penalty)
         mined.update(dict.fromkeys(clean[k] for k in np.argsort(-(all_low @ w), kind="stable")[:3000]))
         strength = high @ w + bias
@@ -233,7 +234,7 @@ def fit(sentences: list[tuple[int, int, bytes]], landmarks: int = 96, rounds: in
     return ToxicityModel(chosen, weights, bias, slope, shift)
 
 
-def _svm(high: np.ndarray, low: np.ndarray, penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
+def _svm(high: np.ndarray, low: np.ndarray, penalty: float, steps: int = 250) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, both classes of equal weight; accelerated gradient descent."""
     x = np.concatenate([high, low])
     y = np.concatenate([np.ones(len(high)), -np.ones(len(low))])
@@ -264,11 +265,12 @@ def _logistic(margin: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[floa
     return float(slope), float(w[1] - slope * center)
 
 
-def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most_docs: int = 3000, most_sentences: int = 60_000) -> ToxicityModel:
+def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most_docs: int = 2400, most_sentences: int = 30_000) -> ToxicityModel:
     """Fit on sentences of about ``most_docs`` labelled documents, half of them toxic if there are so many.
 
-    Documents, then sentences of clean ones, are drawn by hash at rates from their counts; both numbers
-    bound what reaches the driver. Rows with a null id, text or label are not learned from.
+    Documents are drawn by hash at rates from their counts. Of the clean ones about ``most_sentences`` sentences
+    are drawn; of the toxic ones all stay, as any may hold the insult. Both numbers bound what reaches the
+    driver. Rows with a null id, text or label are not learned from.
     """
     scratch = Scratch(docs.sparkSession, "toxic")
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learnable).select(F.col("doc_id").alias("id"), (F.col("toxic") > 0).cast("int").alias("y")).groupBy("id").agg(F.max("y").alias("y"))
@@ -280,8 +282,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most_docs: int
     cut = texts.select("id", "y", F.explode(F.split("text", r"(?<=[.!?])\s+|\n")).alias("sentence")).where(F.length("sentence") > 0)
     cut = scratch.write(cut, "sentences")
     m = {r["y"]: r["n"] for r in cut.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rate = F.when(F.col("y") == 1, most_sentences / 2 / max(1, m.get(1, 0))).otherwise(most_sentences / 2 / max(1, m.get(0, 0)))
-    got = cut.where(chance("id", "sentence") < rate).orderBy("id", "sentence").toPandas()
+    got = cut.where((F.col("y") == 1) | (chance("id", "sentence") < most_sentences / max(1, m.get(0, 0)))).orderBy("id", "sentence").toPandas()
     return fit([(int(i), int(y), s.encode()) for i, y, s in zip(got["id"], got["y"], got["sentence"], strict=True)])
 
 
