@@ -24,22 +24,31 @@ def allowed_edits(words: int, rate: float) -> int:
     return int(words * rate)
 
 
-def bigrams(h: np.ndarray) -> np.ndarray:
-    """Hashes of neighbouring words; one less than words."""
-    return mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) if len(h) > 1 else h[:0]
+def word_grams(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of runs of ``size`` words."""
+    n = max(0, len(h) - size + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(size):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
+    return out
+
+
+def gram_rule(words: int, edits: int) -> tuple[int, int]:
+    """(size, need): of an item's runs of ``size`` words at least ``need`` outlast the edits, each of which changes ``size`` runs at most."""
+    return next((q, words - q + 1 - q * edits) for q in (3, 2, 1) if words - q + 1 - q * edits > 0)
 
 
-def cgk(windows: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embeddings (Chakraborty, Goldenberg and Koucký, 2016) of equally long word windows, one row each.
+def cgk(windows: np.ndarray, seed: int, steps: int) -> np.ndarray:
+    """The first ``steps`` symbols of the CGK embeddings (Chakraborty, Goldenberg and Koucký, 2016) of equally long word windows, one row each.
 
-    Walk over a window three times its length; a random bit of the step and the word says whether to go on
-    to the next word. Two windows a few edits apart are few symbols apart after the walk.
+    Walk over a window; a random bit of the step and the word says whether to go on to the next word. Two
+    windows a few edits apart are few symbols apart after the walk.
     """
     n, m = windows.shape
     padded = np.concatenate([windows, np.full((n, 1), _PAD)], axis=1)
     at, rows = np.zeros(n, dtype=np.int64), np.arange(n)
-    out = np.empty((n, 3 * m), dtype=np.uint64)
-    for step in range(3 * m):
+    out = np.empty((n, steps), dtype=np.uint64)
+    for step in range(steps):
         x = padded[rows, at]
         out[:, step] = x
         coin = mix(x ^ np.uint64((seed * 0x9E3779B1 + step * 0x85EBCA77) & 0xFFFFFFFFFFFFFFFF)) & np.uint64(1)
@@ -48,11 +57,11 @@ def cgk(windows: np.ndarray, seed: int) -> np.ndarray:
 
 
 class Index:
-    """LSH tables of a block of items: for every length, walk and table, sampled places of the embedding to items.
+    """LSH tables of a block of items: for every length, walk and table, keys of sampled places of the embedding.
 
     With ``walks`` walks of ``tables`` tables of ``places`` places, an item whose embedding is a share d of
-    symbols away is met with probability 1 - (1 - (1 - d)^places)^(walks * tables), which is over 0.99 up to
-    d = 0.5 for the defaults. Places are drawn from the first two thirds: most walks have ended after them.
+    symbols away is met with probability 1 - (1 - (1 - d)^places)^(walks * tables), which is over 0.98 up to
+    d = 0.5 for the defaults. Places are drawn from twice the item's length: most walks have ended after that.
     """
 
     def __init__(self, items: list[tuple[int, np.ndarray]], rate: float, walks: int = 8, tables: int = 8, places: int = 4):
@@ -62,69 +71,82 @@ class Index:
         for k, (_, h) in enumerate(items):
             if len(h):
                 self.by_length[len(h)].append(k)
-        self.grams = np.unique(np.concatenate([bigrams(h) for _, h in items])) if items else np.zeros(0, dtype=np.uint64)
-        self.words = np.unique(np.concatenate([h for _, h in items])) if items else np.zeros(0, dtype=np.uint64)
+        self.rules = {m: gram_rule(m, allowed_edits(m, rate)) for m in self.by_length}
         self.bits = 20
-        self.seen = np.zeros(1 << self.bits, dtype=bool)
-        self.seen[self._slot(self.grams)] = True
+        self.own_grams: dict[int, np.ndarray] = {}
+        self.grams: dict[int, np.ndarray] = {}
+        self.seen: dict[int, np.ndarray] = {}
+        for q in {q for q, _ in self.rules.values()}:
+            for m, ks in self.by_length.items():
+                if self.rules[m][0] == q:
+                    self.own_grams[m] = np.unique(np.concatenate([word_grams(items[k][1], q) for k in ks]))
+            self.grams[q] = np.unique(np.concatenate([g for m, g in self.own_grams.items() if self.rules[m][0] == q]))
+            self.seen[q] = np.zeros(1 << self.bits, dtype=bool)
+            self.seen[q][self._slot(self.grams[q])] = True
         self.sampled: dict[int, np.ndarray] = {}
-        self.tables: dict[int, dict[tuple[int, int], list[int]]] = {}
+        self.tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for m, own in self.by_length.items():
             self.sampled[m] = np.stack([np.sort(rng.choice(2 * m, size=min(places, 2 * m), replace=False)) for _ in range(tables)])
-            found: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for number, keys in enumerate(self._keys(np.stack([items[k][1] for k in own]), m)):
-                for k, key in zip(own, keys.tolist(), strict=True):
-                    found[number, key].append(k)
-            self.tables[m] = dict(found)
+            self.tables[m] = []
+            for keys in self._keys(np.stack([items[k][1] for k in own]), m):
+                order = np.argsort(keys, kind="stable")
+                self.tables[m].append((keys[order], np.array(own)[order]))
 
     def _slot(self, h: np.ndarray) -> np.ndarray:
         return (mix(h) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def _keys(self, windows: np.ndarray, m: int) -> Iterator[np.ndarray]:
         for walk in range(self.walks):
-            embedded = cgk(windows, walk)
+            embedded = cgk(windows, walk, 2 * m)
             for places in self.sampled[m]:
                 key = np.zeros(len(windows), dtype=np.uint64)
                 for p in places:
                     key = mix(key * np.uint64(31) + embedded[:, p])
                 yield key
 
-    def has_gram(self, h: np.ndarray) -> np.ndarray:
-        """Whether a bigram stands in some item."""
-        out = self.seen[self._slot(h)]
+    def has_gram(self, h: np.ndarray, size: int) -> np.ndarray:
+        """Whether a run of words stands in some item of that rule."""
+        out = self.seen[size][self._slot(h)]
         hit = np.flatnonzero(out)
-        out[hit] = np.isin(h[hit], self.grams)
+        out[hit] = np.isin(h[hit], self.grams[size])
         return out
 
-    def candidates(self, words: np.ndarray) -> dict[int, list[int]]:
-        """Items met by windows of one text, each with the windows' starts.
+    def candidates(self, hash: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], list[int]]:
+        """(text, item) to the starts of the windows that met the item, for texts whose words are ``hash[first[i]:first[i + 1]]``.
 
-        Windows that cannot hold an item within its edits are left out first: an edit changes at most two
-        of the item's pairs of neighbouring words, so the rest must stand in the window and its margin.
+        Windows of an item's length start at every word. Those that cannot hold the item within its edits are
+        left out before the walks: too few of its runs of words stand in the window and its margin.
         """
-        found: dict[int, list[int]] = defaultdict(list)
-        n = len(words)
-        sums = np.concatenate([[0], np.cumsum(self.has_gram(bigrams(words)))])
-        known = np.concatenate([[0], np.cumsum(np.isin(words, self.words))]) if 1 in self.by_length or 2 in self.by_length else None
+        found: dict[tuple[int, int], list[int]] = defaultdict(list)
+        n = len(hash)
+        if not n:
+            return found
+        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        end = first[1:][text]
+        hits = {}
+        for q in self.grams:
+            grams = word_grams(hash, q)
+            at = np.flatnonzero(self.has_gram(grams, q))
+            at = at[at + q <= end[at]]
+            hits[q] = at, grams[at]
         for m in self.by_length:
             k = allowed_edits(m, self.rate)
-            if n < m - k or n == 0:
-                continue
-            starts = np.arange(0, max(1, n - (m - k) + 1))
-            need = m - 1 - 2 * k
-            if need > 0:
-                starts = starts[sums[np.minimum(starts + m + k - 1, n - 1)] - sums[starts] >= need]
-            elif known is not None and m <= 2:
-                starts = starts[known[np.minimum(starts + m, n)] > known[starts]]
-            if not len(starts):
-                continue
-            padded = np.concatenate([words, np.full(m, _PAD)])
-            windows = padded[starts[:, None] + np.arange(m)]
-            table = self.tables[m]
-            for number, keys in enumerate(self._keys(windows, m)):
-                for start, key in zip(starts.tolist(), keys.tolist(), strict=True):
-                    for item in table.get((number, key), ()):
-                        found[item].append(start)
+            q, need = self.rules[m]
+            at, grams = hits[q]
+            at = at[np.isin(grams, self.own_grams[m])]
+            one, other = at[: max(0, len(at) - need + 1)], at[need - 1 :]
+            low, high = np.maximum(other + q - m - k, first[text[one]]), np.minimum(one, end[one] - (m - k))
+            near = (text[one] == text[other]) & (low <= high)
+            sizes = (high - low + 1)[near]
+            starts = np.unique(np.repeat(low[near] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()))
+            for part in np.array_split(starts, max(1, len(starts) // 20_000)):
+                place = part[:, None] + np.arange(m)
+                windows = np.where(place < end[part][:, None], hash[np.minimum(place, n - 1)], _PAD)
+                for keys, (known, items) in zip(self._keys(windows, m) if len(part) else (), self.tables[m], strict=False):
+                    lo, hi = np.searchsorted(known, keys, side="left"), np.searchsorted(known, keys, side="right")
+                    for w in np.flatnonzero(hi > lo):
+                        for item in items[lo[w] : hi[w]]:
+                            found[int(text[part[w]]), int(item)].append(int(part[w] - first[text[part[w]]]))
         return found
 
     def verify(self, words: np.ndarray, item: int, starts: list[int]) -> list[tuple[int, int, int]]:
@@ -168,15 +190,16 @@ def _search(index_of: list[tuple[int, str]], rate: float):
         listed = Words(pa.array([t for _, t in index_of], pa.string()), powers)
         items = [(i, listed.hash[a:b]) for (i, _), a, b in zip(index_of, listed.first[:-1], listed.first[1:], strict=True)]
         index = Index(items, rate)
-        least = min((m - 1 - 2 * allowed_edits(m, rate) for m in index.by_length), default=0)
         for batch in batches:
             words = Words(batch.column("text"), powers)
             found: list[list] = [[], [], [], [], []]
-            for k in _promising(words, index, least):
-                h = words.hash[words.first[k] : words.first[k + 1]]
-                for item, starts in index.candidates(h).items():
+            cuts = _cuts(words.first, 1 << 21)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                lo, hi = words.first[a], words.first[b]
+                for (k, item), starts in sorted(index.candidates(words.hash[lo:hi], words.first[a : b + 1] - lo).items()):
+                    h = words.hash[words.first[a + k] : words.first[a + k + 1]]
                     for start, end, edits in index.verify(h, item, starts):
-                        for column, value in zip(found, (k, items[item][0], start, end - start, edits), strict=True):
+                        for column, value in zip(found, (a + k, items[item][0], start, end - start, edits), strict=True):
                             column.append(value)
             rows = batch.column("row").take(pa.array(found[0], pa.int64()))
             yield pa.RecordBatch.from_arrays([rows, *[pa.array(c, pa.int64()) for c in found[1:]]], names=["row", "item_id", "first_word", "n_words", "edits"])
@@ -184,19 +207,6 @@ def _search(index_of: list[tuple[int, str]], rate: float):
     return run
 
 
-def _promising(words: Words, index: Index, least: int) -> list[int]:
-    """Texts with as many pairs of neighbouring words out of items as the least demanding item needs."""
-    n = len(words.first) - 1
-    if least <= 0 or not index.by_length:
-        return list(range(n)) if index.by_length else []
-    counts = np.zeros(n, dtype=np.int64)
-    for a, b in zip(*(lambda c: (c[:-1], c[1:]))(_cuts(words.first, 1 << 20)), strict=True):
-        lo, hi = words.first[a], words.first[b]
-        hit = np.flatnonzero(index.has_gram(bigrams(words.hash[lo:hi]))) + lo
-        counts += np.bincount(np.searchsorted(words.first, hit, side="right") - 1, minlength=n)[:n]
-    return np.flatnonzero(counts >= least).tolist()
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.2, keep: list[str] | None = None) -> DataFrame:
     """Places in whole texts that hold a benchmark item with at most ``edit_rate`` of its words edited.
 

@@ -71,8 +71,8 @@ def test_cgk_keeps_near_windows_near():
     x = rng.integers(0, 1 << 62, size=(1, 40)).astype(np.uint64)
     y = np.concatenate([x[:, :10], x[:, 11:], x[:, :1]], axis=1)
     far = rng.integers(0, 1 << 62, size=(1, 40)).astype(np.uint64)
-    near = [(cgk(x, s) != cgk(y, s)).mean() for s in range(20)]
-    assert np.median(near) < 0.4 and np.median([(cgk(x, s) != cgk(far, s))[:, :80].mean() for s in range(20)]) > 0.9
+    near = [(cgk(x, s, 80) != cgk(y, s, 80)).mean() for s in range(20)]
+    assert np.median(near) < 0.4 and np.median([(cgk(x, s, 80) != cgk(far, s, 80)).mean() for s in range(20)]) > 0.9
 
 
 def test_edges(spark):
