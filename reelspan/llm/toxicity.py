@@ -265,12 +265,12 @@ def _logistic(margin: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[floa
     return float(slope), float(w[1] - slope * center)
 
 
-def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most_docs: int = 2400, most_sentences: int = 30_000) -> ToxicityModel:
+def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most_docs: int = 2400) -> ToxicityModel:
     """Fit on sentences of about ``most_docs`` labelled documents, half of them toxic if there are so many.
 
-    Documents are drawn by hash at rates from their counts. Of the clean ones about ``most_sentences`` sentences
-    are drawn; of the toxic ones all stay, as any may hold the insult. Both numbers bound what reaches the
-    driver. Rows with a null id, text or label are not learned from.
+    Documents are drawn by hash at rates from their counts, which bounds what reaches the driver; all their
+    sentences are taken, as any may hold the insult, and as a text's score is its largest. Rows with a null id,
+    text or label are not learned from.
     """
     scratch = Scratch(docs.sparkSession, "toxic")
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learnable).select(F.col("doc_id").alias("id"), (F.col("toxic") > 0).cast("int").alias("y")).groupBy("id").agg(F.max("y").alias("y"))
@@ -280,9 +280,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most_docs: int
     drawn = scratch.write(known.where(chance("id") < rate), "drawn")
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("id"))
     cut = texts.select("id", "y", F.explode(F.split("text", r"(?<=[.!?])\s+|\n")).alias("sentence")).where(F.length("sentence") > 0)
-    cut = scratch.write(cut, "sentences")
-    m = {r["y"]: r["n"] for r in cut.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    got = cut.where((F.col("y") == 1) | (chance("id", "sentence") < most_sentences / max(1, m.get(0, 0)))).orderBy("id", "sentence").toPandas()
+    got = cut.orderBy("id", "sentence").toPandas()
     return fit([(int(i), int(y), s.encode()) for i, y, s in zip(got["id"], got["y"], got["sentence"], strict=True)])
 
 
