@@ -21,7 +21,7 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# Short notices and their labels. A notice may have one error in eight characters.
+# Short notices and their labels. A notice may have one error in twelve characters.
 NOTICES = {
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
@@ -39,7 +39,7 @@ NOTICES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
     "permission to use copy modify and or distribute this software for any purpose": "isc",
 }
-ERROR_RATE = 8
+ERROR_RATE = 12
 
 _WORD = np.ones(256, dtype=bool)
 _WORD[:0x30] = _WORD[0x3A:0x61] = _WORD[0x7B:0x80] = False

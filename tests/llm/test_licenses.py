@@ -58,7 +58,7 @@ def test_fuzzy_finds_every_notice_within_the_errors():
 def test_fuzzy_labels():
     notices = compile_notices(NOTICES)
     assert scan_text("This work is licensed under the GNU General Public License, version 3.", EXACT, notices)["labels"] == "gpl"
-    assert scan_text("Released under teh MIT Licence", EXACT, notices)["labels"] == "mit"
+    assert scan_text("Released under teh MIT License", EXACT, notices)["labels"] == "mit"
     assert scan_text("Nothing of the kind stands here at all", EXACT, notices)["labels"] == ""
     x = scan_text("a b Licensed under the Apache License, Version 2.0.", EXACT, notices)
     assert x["labels"] == "apache-2" and [(s["first_word"], s["last_word"], s["errors"]) for s in x["spans"] if s["label"] == "apache-2"] == [(2, 9, 0)]
