@@ -2,7 +2,7 @@ import random
 import re
 
 from reelspan.llm import licenses
-from reelspan.llm.licenses import NOTICES, PHRASES, compile_notices, fuzzy_spans, normalise, scan_licenses, scan_text
+from reelspan.llm.licenses import NOTICES, PHRASES, compile_notices, fuzzy_spans, likely, normalise, scan_licenses, scan_text
 
 EXACT = [(p.encode(), x) for p, x in PHRASES.items()]
 
@@ -58,8 +58,33 @@ def test_fuzzy_finds_every_notice_within_the_errors():
 def test_fuzzy_labels():
     notices = compile_notices(NOTICES)
     assert scan_text("This work is licensed under the GNU General Public License, version 3.", EXACT, notices)["labels"] == "gpl"
+    assert scan_text("Released under teh MIT Licence", EXACT, notices)["labels"] == "mit"
     assert scan_text("Released under teh MIT License", EXACT, notices)["labels"] == "mit"
     assert scan_text("Nothing of the kind stands here at all", EXACT, notices)["labels"] == ""
     x = scan_text("a b Licensed under the Apache License, Version 2.0.", EXACT, notices)
     assert x["labels"] == "apache-2" and [(s["first_word"], s["last_word"], s["errors"]) for s in x["spans"] if s["label"] == "apache-2"] == [(2, 9, 0)]
     assert licenses.normalise(None) == b" "
+
+
+def test_no_notice_within_one_error_in_eight_characters_is_left_out(spark):
+    r = random.Random(8)
+    notices = compile_notices(NOTICES, 8)
+    texts, held = [], []
+    for n in notices:
+        for _ in range(4):
+            w = bytearray()
+            while normalise(w.decode()).strip() != w or not w:
+                w = bytearray(n.words)
+                for k in range(n.errors):
+                    at = min(len(w) - 1, (2 * k + 1) * len(n.words) // (2 * n.errors))
+                    w[at : at + 1] = r.choice([b"", b"q", bytes([w[at]]) + b"z"])
+            texts += [normalise("before " + w.decode() + " and after"), normalise("x" * r.randrange(0, 40))]
+            held += [n, None]
+    for t, n, kept, alone in zip(texts, held, likely(texts, notices), (likely([t], notices)[0] for t in texts), strict=True):
+        if n is not None:
+            assert any(edits(t[a:b], n.words) <= n.errors for a in range(6, 10) for b in range(len(t) - 16, len(t) - 4)), t
+            assert n in kept and n in alone and fuzzy_spans(t, n), t
+    df = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    for x in scan_licenses(df).collect():
+        n = held[x["row"]["doc_id"]]
+        assert n is None or n.label in x["labels"].split(",")
