@@ -58,7 +58,8 @@ class Notice:
     label: str
     errors: int
     seeds: list[tuple[bytes, int]]
-    pattern: regex.Pattern
+    #: For up to 0, 1, ... errors.
+    patterns: list[regex.Pattern]
 
 
 def compile_notices(notices: dict[str, str], rate: int = ERROR_RATE) -> list[Notice]:
@@ -69,7 +70,8 @@ def compile_notices(notices: dict[str, str], rate: int = ERROR_RATE) -> list[Not
         errors = len(w) // rate
         cuts = [len(w) * k // (errors + 1) for k in range(errors + 2)]
         seeds = [(w[a:b], a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        out.append(Notice(w, label, errors, seeds, regex.compile(rb"(?b)(?:" + regex.escape(w) + rb"){e<=%d}" % errors)))
+        patterns = [regex.compile(rb"(?b)(?:" + regex.escape(w) + rb"){e<=%d}" % e) for e in range(errors + 1)]
+        out.append(Notice(w, label, errors, seeds, patterns))
     return out
 
 
@@ -136,7 +138,7 @@ def find_all(text: bytes, piece: bytes, overlap: bool = True) -> Iterator[int]:
 
 
 def fuzzy_spans(text: bytes, notice: Notice) -> list[tuple[int, int, int]]:
-    """(start, end, errors) of the notice's best matches around exact seeds, ends apart; ``text`` is normalised."""
+    """(start, end, errors) of all matches of the notice around exact seeds that don't overlap, best first; ``text`` is normalised."""
     slack, size = notice.errors, len(notice.words)
     regions: list[list[int]] = []
     for start in sorted(at - offset for piece, offset in notice.seeds for at in find_all(text, piece)):
@@ -147,17 +149,33 @@ def fuzzy_spans(text: bytes, notice: Notice) -> list[tuple[int, int, int]]:
             regions.append([a, b])
     found = []
     for a, b in regions:
-        if distances(text[a:b], notice.words).min() > slack:
-            continue
-        at = a
-        while m := notice.pattern.search(text, at, min(b, len(text))):
-            found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-            at = m.end()
-            if m.end() == m.start():
-                break
+        found += [(a + x, a + y, errors) for x, y, errors in _apart(text[a:b], notice)]
     return found
 
 
+def _apart(text: bytes, notice: Notice) -> list[tuple[int, int, int]]:
+    """Matches in ``text``, none overlapping, the best taken first and of equals the first one; then again before and after it."""
+    words, most = notice.words, notice.errors
+    ends = distances(text, words)
+    starts, stops, found = [], [], []
+    for errors in range(most + 1) if ends.min() <= most else ():
+        for end in np.flatnonzero(ends == errors).tolist():
+            if ends[end] != errors:
+                continue
+            k = bisect.bisect_right(stops, end)
+            low = max(end - len(words) - errors, stops[k - 1] if k else 0)
+            m = notice.patterns[errors].search(text, low, end)
+            a, b = m.span()
+            starts.insert(k, a)
+            stops.insert(k, b)
+            found.append((a, b, errors))
+            # ends inside the match are gone, and those soon after it must do without its characters
+            ends[a + 1 : b + 1] = len(words)
+            reach = min(b + len(words) + most, len(text), starts[k + 1] if k + 1 < len(starts) else len(text))
+            ends[b + 1 : reach + 1] = distances(text[b:reach], words)[1:]
+    return sorted(found)
+
+
 def scan_text(text: str | None, phrases: list[tuple[bytes, str]], notices: list[Notice]) -> dict:
     words = normalise(text)
     return scan_words(words, phrases, likely([words], notices)[0])

@@ -88,3 +88,31 @@ def test_no_notice_within_one_error_in_eight_characters_is_left_out(spark):
     for x in scan_licenses(df).collect():
         n = held[x["row"]["doc_id"]]
         assert n is None or n.label in x["labels"].split(",")
+
+
+def test_repeated_notices_with_different_errors_have_a_span_each():
+    r = random.Random(6)
+    for n in compile_notices(NOTICES):
+        for copies in ([1, 1, 0], [0, 1, 0, 2], [n.errors, 0, n.errors], [1] * 40):
+            parts = []
+            for e in copies:
+                w = bytearray(n.words)
+                for at in r.sample([k for k in range(2, len(w) - 2) if w[k] != 32], e):
+                    w[at] = ord("q")
+                parts.append(bytes(w))
+            text = b" " + b" ".join(parts) + b" "
+            found = fuzzy_spans(text, n)
+            assert [e for _, _, e in found] == copies
+            assert all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False))
+            assert all(edits(text[a:b], n.words) == e for a, b, e in found)
+
+
+def test_no_further_match_is_left_between_spans():
+    r = random.Random(7)
+    n = compile_notices({"abcabcab cdabbcda": "x"}, 8)[0]
+    for _ in range(300):
+        text = b" " + b"".join(bytes(r.choices(b"abcd ", k=r.randrange(0, 6))) + n.words[r.randrange(0, 4) : r.randrange(12, 20)] for _ in range(4))
+        found = fuzzy_spans(text, n)
+        assert all(edits(text[a:b], n.words) == e <= n.errors for a, b, e in found)
+        for a, b in zip([0, *(x[1] for x in found)], [*(x[0] for x in found), len(text)], strict=True):
+            assert a <= b and min((edits(text[i:j], n.words) for i in range(a, b) for j in range(i + 12, min(b, i + 20) + 1)), default=99) > n.errors
