@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand in ten documents or more go; documents with nothing left go too."""
-    found = linededup.drop_frequent_lines(docs.select(COLUMNS), min_docs=10, min_chars=1)
+    """Lines that stand in ten documents or more go from all but the one with the smallest doc_id; documents with nothing left go too."""
+    found = linededup.drop_frequent_lines(docs.select(COLUMNS), min_docs=10, min_chars=1, keep_one=True)
     kept = found.select("row.doc_id", F.col("kept").alias("text"), "row.lang", "row.source", F.char_length("kept").cast("long").alias("n_chars"))
     return kept.where(F.btrim("text", F.lit(linededup.BLANKS)) != "")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +40,25 @@ def _keys_of(text: Column, min_chars: int) -> Column:
     return F.transform(F.array_distinct(keys), _hashes)
 
 
+def _holder(doc_id: Column, text: Column) -> Column:
+    """A number that orders rows by doc_id (null last), rows of one id by 18 digits of the text's hash."""
+    number = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit("1" + "0" * 19).cast("decimal(20,0)"))
+    return (number * F.lit(10**18).cast("decimal(19,0)") + F.pmod(F.xxhash64(text), F.lit(10**18)).cast("decimal(18,0)")).cast("decimal(38,0)")
+
+
 class LineRuns:
     """Levelled runs of (h1, h2, n): key hashes, sorted inside each file, and the number of documents that hold the key.
 
+    With ``holders`` there is also the smallest holder of each key.
+
     A batch is merge-joined with the runs: keys that no run has (anti-join) are counted as fresh, and the
     batch becomes a run of its own on level 0. When a level has ``fanout`` runs they are merged into one on
     the next level, so a table of B batches has O(log B) runs to look into.
     """
 
-    def __init__(self, scratch: Scratch, fanout: int = 2):
+    def __init__(self, scratch: Scratch, fanout: int = 2, holders: bool = False):
         self.scratch, self.fanout, self.levels = scratch, fanout, []
+        self.extra = ["holder"] if holders else []
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
@@ -71,7 +81,7 @@ class LineRuns:
         return keys.limit(0) if have is None else keys.join(have.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_semi")
 
     def _sorted(self, df: DataFrame, name: str) -> DataFrame:
-        return self.scratch.write(df.select("h1", "h2", "n").repartition("h1", "h2").sortWithinPartitions("h1", "h2"), name)
+        return self.scratch.write(df.select("h1", "h2", "n", *self.extra).repartition("h1", "h2").sortWithinPartitions("h1", "h2"), name)
 
     def add(self, counts: DataFrame) -> None:
         """Add a batch of (h1, h2, n), each key once: fresh keys and new counts of known ones."""
@@ -90,7 +100,7 @@ class LineRuns:
         both = old[0]
         for r in old[1:]:
             both = both.unionByName(r)
-        new = self._sorted(both.groupBy("h1", "h2").agg(F.sum("n").alias("n")), "merged")
+        new = self._sorted(both.groupBy("h1", "h2").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in self.extra]), "merged")
         self.scratch.drop(*old)
         return new
 
@@ -101,9 +111,11 @@ class LineRuns:
         return self.runs()[0]
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, most_broadcast: int = MOST_BROADCAST, keep_one: bool = False) -> DataFrame:
     """Drop from every document all lines whose key stands in ``min_docs`` documents or more.
 
+    With ``keep_one`` one holder of each such key, the row with the smallest doc_id, keeps its lines.
+
     A key is the line without ASCII white space at both ends, A-Z lower-cased; keys of fewer than
     ``min_chars`` code points are never dropped. Documents go through :class:`LineRuns` in ``batches``;
     afterwards the frequent keys are known exactly. Where they are at most ``most_broadcast`` (counted, 16
@@ -116,38 +128,44 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     """
     scratch = Scratch(docs.sparkSession, "lines")
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-    keys = docs.select(batch.alias("batch"), F.explode(_keys_of(F.col("text"), min_chars)).alias("key"))
-    counts = scratch.write(keys.groupBy("batch", "key.h1", "key.h2").agg(F.count(F.lit(1)).alias("n")), "counts")
-    runs = LineRuns(scratch)
+    own = [_holder(F.col("doc_id"), F.col("text")).alias("holder")] if keep_one else []
+    extra = ["holder"] if keep_one else []
+    keys = docs.select(batch.alias("batch"), *own, F.explode(_keys_of(F.col("text"), min_chars)).alias("key"))
+    counts = scratch.write(keys.groupBy("batch", "key.h1", "key.h2").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in extra]), "counts")
+    runs = LineRuns(scratch, holders=keep_one)
     for b in range(batches):
-        runs.add(counts.where(F.col("batch") == b).select("h1", "h2", "n"))
-    frequent = scratch.write(runs.totals().where(F.col("n") >= min_docs).select("h1", "h2"), "frequent")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+        runs.add(counts.where(F.col("batch") == b).select("h1", "h2", "n", *extra))
+    frequent = scratch.write(runs.totals().where(F.col("n") >= min_docs).select("h1", "h2", *extra), "frequent")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", *own)
     if frequent.count() <= most_broadcast:
         held = frequent.toPandas().sort_values(["h1", "h2"])
         kind = T.StructType([packed.schema["row"], T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-        return packed.mapInArrow(_without(held["h1"].to_numpy(np.int64), set(zip(held["h1"], held["h2"], strict=True)), min_chars), kind)
+        return packed.mapInArrow(_without(held["h1"].to_numpy(np.int64), dict(zip(zip(held["h1"], held["h2"], strict=True), held["holder"] if keep_one else [None] * len(held), strict=True)), min_chars, keep_one), kind)
     ident = [F.coalesce(F.xxhash64("text"), F.lit(0)).alias("t1"), F.xxhash64(F.concat(F.lit("#"), F.coalesce("text", F.lit("")))).alias("t2")]
     found = (
         docs.select("text")
         .select(*ident, F.explode(_keys_of(F.col("text"), min_chars)).alias("key"))
         .select("t1", "t2", "key.h1", "key.h2")
-        .join(frequent.hint("merge"), ["h1", "h2"], "left_semi")
+        .join(frequent.hint("merge"), ["h1", "h2"])
         .groupBy("t1", "t2")
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+        .agg(F.collect_set(F.struct("h1", "h2", *extra)).alias("gone"))
     )
-    joined = packed.select("row", "text", *ident).join(found.hint("merge"), ["t1", "t2"], "left").withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<struct<h1:bigint,h2:bigint>>)")))
+    joined = packed.select("row", "text", *extra, *ident).join(found.hint("merge"), ["t1", "t2"], "left")
+    if keep_one:
+        joined = joined.withColumn("gone", F.transform(F.filter("gone", lambda g: g["holder"] != F.col("holder")), lambda g: F.struct(g["h1"].alias("h1"), g["h2"].alias("h2"))))
+    joined = joined.withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<struct<h1:bigint,h2:bigint>>)")))
     kept = F.filter(_lines(F.col("text")), lambda x: (F.char_length(line_key(x)) < min_chars) | ~F.array_contains(F.col("gone"), _hashes(line_key(x))))
     return joined.select("row", F.array_join(kept, "\n").alias("kept"), F.size(_lines(F.col("text"))).cast("long").alias("n_lines"), (F.size(_lines(F.col("text"))) - F.size(kept)).cast("long").alias("n_dropped"))
 
 
-def _without(first: np.ndarray, both: set[tuple[int, int]], min_chars: int):
+def _without(first: np.ndarray, both: dict[tuple[int, int], Decimal | None], min_chars: int, keep_one: bool):
     blanks = BLANKS.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_lines, n_dropped = [], [], []
-            for text in batch.column("text").to_pylist():
+            own = batch.column("holder").to_pylist() if keep_one else [None] * batch.num_rows
+            for text, holder in zip(batch.column("text").to_pylist(), own, strict=True):
                 lines = (text or "").encode().split(b"\n")
                 keys = [x.strip(blanks).lower() for x in lines]
                 h1 = np.array([xxhash.xxh64_intdigest(k, seed=42) for k in keys], dtype=np.uint64).view(np.int64)
@@ -156,7 +174,8 @@ def _without(first: np.ndarray, both: set[tuple[int, int]], min_chars: int):
                 gone = set()
                 for k in maybe:
                     h2 = xxhash.xxh64_intdigest(b"#" + keys[k], seed=42)
-                    if (int(h1[k]), h2 - (h2 >> 63 << 64)) in both and len(keys[k].decode()) >= min_chars:
+                    key = int(h1[k]), h2 - (h2 >> 63 << 64)
+                    if key in both and not (keep_one and both[key] == holder) and len(keys[k].decode()) >= min_chars:
                         gone.add(int(k))
                 kept.append(b"\n".join(x for k, x in enumerate(lines) if k not in gone).decode())
                 n_lines.append(len(lines))

@@ -47,3 +47,25 @@ def test_batches_keep_first(spark):
         assert got == want
         seen |= {x.lower() for _, t in rows for x in t.split("\n")}
     assert len(runs.runs()) <= 3
+
+
+def test_keep_one_leaves_each_frequent_line_with_its_smallest_holder(spark):
+    rows = [x for x in table(4) if x[0] != 5] + [(1000, "Common line\nother"), (1000, "common line"), (None, "rare null")] + [(k, "only nulls") for k in [None] * 12]
+    key = lambda x: x.strip(WS).encode().lower().decode()
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    count = Counter(k for _, t in rows for k in {key(x) for x in t.split("\n")})
+    smallest = {k: min((i is None, i or 0) for i, t in rows if k in {key(x) for x in t.split("\n")}) for k in count}
+    want = sorted(((i, "\n".join(x for x in t.split("\n") if not key(x) or count[key(x)] < 10 or smallest[key(x)] == (i is None, i or 0))) for i, t in rows), key=str)
+    for most in (1 << 20, 0):
+        assert sorted(((x["row"]["doc_id"], x["kept"]) for x in drop_frequent_lines(docs, 10, 1, most_broadcast=most, keep_one=True).collect()), key=str) == want
+
+
+def test_pipeline_keeps_one_of_every_group_of_copies(spark):
+    import corpus_pipeline as p
+
+    word = lambda k: f"w{k * 7919 % 10007}"
+    text = lambda g: "\n".join(" ".join(word(g * 1000 + 20 * line + k) for k in range(12)) for line in range(4))
+    rows = [(100 * g + k, text(g), "en", "web", 0) for g, size in enumerate([1, 9, 10, 12, 40]) for k in range(size)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = p.near_duplicates(spark, p.Scratch(spark, "test").write(p.line_dedup(spark, docs, ""), "lines"), "").collect()
+    assert {(x["doc_id"], x["text"]) for x in kept} == {(100 * g, text(g)) for g in range(5)}
