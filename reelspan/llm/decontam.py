@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -162,6 +163,49 @@ class Index:
                 out.append((a + start, a + end, edits))
         return out
 
+    def verify_all(self, words: np.ndarray, item: int, starts: list[int]) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of all matches around the starts that have few enough edits and don't overlap."""
+        h = self.items[item][1]
+        k = allowed_edits(len(h), self.rate)
+        out, starts = [], sorted(set(starts))
+        for run in np.split(np.array(starts), np.flatnonzero(np.diff(starts) > len(h) + 2 * k) + 1):
+            a, b = max(0, int(run[0]) - k), min(len(words), int(run[-1]) + len(h) + k)
+            out += [(a + start, a + end, edits) for start, end, edits in all_matches(h, words[a:b], k)]
+        return out
+
+
+def distances(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each place of ``text`` the word edits of the best match of ``item`` that ends there."""
+    place = np.arange(len(text) + 1)
+    row, new = np.zeros(len(text) + 1, dtype=np.int64), np.empty(len(text) + 1, dtype=np.int64)
+    for i, x in enumerate(item.tolist(), 1):
+        new[0] = i
+        np.minimum(row[:-1] + (text != np.uint64(x)), row[1:] + 1, out=new[1:])
+        row = np.minimum.accumulate(new - place) + place
+    return row
+
+
+def all_matches(item: np.ndarray, text: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """Stretches of ``text`` with up to ``most`` edits, none overlapping: the best first, of equals the first one, then again before and after it."""
+    ends = distances(item, text)
+    starts, stops, found = [], [], []
+    for edits in range(most + 1):
+        for end in np.flatnonzero(ends == edits).tolist():
+            if ends[end] != edits:
+                continue
+            k = bisect.bisect_right(stops, end)
+            low = max(end - len(item) - edits, stops[k - 1] if k else 0)
+            a, b, _ = best_match(item, text[low:end])
+            a, b = low + a, low + b
+            starts.insert(k, a)
+            stops.insert(k, b)
+            found.append((a, b, edits))
+            # ends inside the match are gone, and those soon after it must do without its words
+            ends[a + 1 : b + 1] = most + 1
+            reach = min(b + len(item) + most, len(text), starts[k + 1] if k + 1 < len(starts) else len(text))
+            ends[b + 1 : reach + 1] = distances(item, text[b:reach])[1:]
+    return sorted(found)
+
 
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """The stretch of ``text`` with the fewest word edits to ``item``; the first and shortest of such: (start, end, edits)."""
@@ -184,12 +228,13 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(begin[end]), end, int(row[end])
 
 
-def _search(index_of: list[tuple[int, str]], rate: float):
+def _search(index_of: list[tuple[int, str]], rate: float, every_place: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         listed = Words(pa.array([t for _, t in index_of], pa.string()), powers)
         items = [(i, listed.hash[a:b]) for (i, _), a, b in zip(index_of, listed.first[:-1], listed.first[1:], strict=True)]
         index = Index(items, rate)
+        verify = index.verify_all if every_place else index.verify
         for batch in batches:
             words = Words(batch.column("text"), powers)
             found: list[list] = [[], [], [], [], []]
@@ -198,7 +243,7 @@ def _search(index_of: list[tuple[int, str]], rate: float):
                 lo, hi = words.first[a], words.first[b]
                 for (k, item), starts in sorted(index.candidates(words.hash[lo:hi], words.first[a : b + 1] - lo).items()):
                     h = words.hash[words.first[a + k] : words.first[a + k + 1]]
-                    for start, end, edits in index.verify(h, item, starts):
+                    for start, end, edits in verify(h, item, starts):
                         for column, value in zip(found, (a + k, items[item][0], start, end - start, edits), strict=True):
                             column.append(value)
             rows = batch.column("row").take(pa.array(found[0], pa.int64()))
@@ -207,7 +252,7 @@ def _search(index_of: list[tuple[int, str]], rate: float):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.2, keep: list[str] | None = None) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.2, keep: list[str] | None = None, every_place: bool = False) -> DataFrame:
     """Places in whole texts that hold a benchmark item with at most ``edit_rate`` of its words edited.
 
     Words are runs of characters other than ASCII white space, A-Z lower-cased. Every window of an item's
@@ -216,7 +261,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.2, ke
     stretch around them decides. Items are read in blocks of ``ITEMS_AT_ONCE``, one pass each.
 
     Returns ``row`` (a struct of the documents' ``keep`` columns, all by default), item_id, first_word and
-    n_words (the matched stretch) and edits; one row per place. Null and empty texts and items match
+    n_words (the matched stretch) and edits. With ``every_place`` there is one row per place, the best of
+    overlapping ones; otherwise places at most an item's length apart give one row, the best of them. Null and empty texts and items match
     nothing; items without an id are left out; texts shorter than an item match it if the missing words are
     within its edits. Repeated rows, ids and items are searched one by one. Empty tables give no rows.
     """
@@ -229,6 +275,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.2, ke
     for k in range(passes):
         part = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else usable
         items = sorted((r["item_id"], r["text"]) for r in part.collect())
-        found = packed.mapInArrow(_search(items, edit_rate), kind)
+        found = packed.mapInArrow(_search(items, edit_rate, every_place), kind)
         out = found if out is None else out.unionByName(found)
     return out

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from reelspan.llm.decontam import allowed_edits, best_match, cgk, find_leaks
+from reelspan.llm.decontam import all_matches, allowed_edits, best_match, cgk, find_leaks
 from reelspan.llm.wordhash import Powers, Words
 
 
@@ -84,3 +84,51 @@ def test_edges(spark):
     assert sorted(got, key=str) == sorted([(None, 1, 0, 10, 0), (4, 1, 100_000, 10, 0), (5, 1, 0, 9, 1), (6, 1, 0, 10, 0), (6, 1, 0, 10, 0), (8, 1, 0, 10, 0)], key=str)
     assert (7, 5) in {(x["row"]["doc_id"], x["item_id"]) for x in find_leaks(docs, bench).collect()}
     assert find_leaks(docs, bench.limit(0)).count() == find_leaks(docs.limit(0), bench).count() == 0
+
+
+def semi_global_apart(item, text, most):
+    """Matches by brute force: of all ends the first with the fewest edits, with the start that best_match gives it; then the rest on both sides."""
+    best = min(((semi_global_end(item, text[:b]), b) for b in range(1, len(text) + 1)), default=(most + 1, 0))
+    edits, b = best
+    if edits > most:
+        return []
+    a, end, _ = best_match(hashes(" ".join(item)), hashes(" ".join(text[:b])))
+    assert end == b
+    return [*semi_global_apart(item, text[:a], most), (a, b, edits), *((b + x, b + y, e) for x, y, e in semi_global_apart(item, text[b:], most))]
+
+
+def semi_global_end(item, text):
+    """Fewest edits between item and any stretch that ends where text ends."""
+    return min(full(item, text[a:]) for a in range(len(text)))
+
+
+def full(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_all_matches_against_brute_force():
+    r = random.Random(4)
+    for _ in range(40):
+        item = [r.choice("abcd") for _ in range(10)]
+        text = []
+        for _ in range(4):
+            text += [r.choice("abcd") for _ in range(r.randrange(0, 4))] + item[r.randrange(0, 3) : r.randrange(7, 11)]
+        got = all_matches(hashes(" ".join(item)), hashes(" ".join(text)), 2)
+        assert got == semi_global_apart(item, text, 2)
+        assert all(x[1] <= y[0] for x, y in zip(got, got[1:], strict=False))
+
+
+def test_every_place_is_a_row(spark):
+    item = "one two three four five six seven eight nine ten"
+    edited = item.replace("four", "quatre").replace("eight", "huit")
+    rows = [(1, item + " " + item), (2, " ".join([item] * 1000)), (3, edited + " " + item), (4, item + " x y z " + edited + " " + edited), (5, item)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench, every_place=True).collect()
+    got = sorted((x["row"]["doc_id"], x["first_word"], x["n_words"], x["edits"]) for x in found)
+    want = [(1, 0, 10, 0), (1, 10, 10, 0), *[(2, 10 * k, 10, 0) for k in range(1000)], (3, 0, 10, 2), (3, 10, 10, 0), (4, 0, 10, 0), (4, 13, 10, 2), (4, 23, 10, 2), (5, 0, 10, 0)]
+    assert got == want
