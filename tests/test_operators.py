@@ -356,3 +356,14 @@ def test_stream_parses_each_file_once(spark, tmp_path):
         stream_new_cues(spark, str(src), str(tmp_path / "out"), str(tmp_path / "check"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
     assert fingerprints(spark, str(src)).count() == 1
+
+
+def test_review_queue_numbers_rows_in_ranges(spark, capsys):
+    r = random.Random(9)
+    rows = [(int(s), r.randrange(0, 11)) for s in [*r.sample(range(-500, 100_000), 400), 10**15]]
+    queue = articles.review_queue(spark.createDataFrame(rows, "seq long, confidence int"))
+    want = sorted((c, s) for s, c in rows if 4 <= c <= 6)
+    assert sorted((x["place"], x["confidence"], x["seq"]) for x in queue.collect()) == [(k, c, s) for k, (c, s) in enumerate(want, 1)]
+    queue.explain()
+    windows = [x.split("windowspecdefinition(")[1] for x in capsys.readouterr().out.splitlines() if "Window [row_number" in x]
+    assert windows and not any(" ASC" in x.split(",")[0] for x in windows)  # a partition comes before the order
