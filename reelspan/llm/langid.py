@@ -3,32 +3,38 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import Scratch, make_importable
-from .wordhash import Powers, Words, mix
+from .wordhash import Powers, Words, mix, slices
 
-#: A public vocabulary of byte pieces; any file of base64 pieces and ranks will do.
+#: A public vocabulary of byte pieces; any file of base64 pieces and ranks will do. Only the driver reads it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Longest piece and longest part of a word, in bytes; a longer word is the product of its parts.
-LONGEST_PIECE, LONGEST_WORD = 12, 40
-_CACHE = 1 << 22
+#: Bytes of a word from which on it is scored block by block.
+LONG, BLOCK = 4096, 512
+#: Bytes of a word up to which it is learned from.
+LONGEST_LEARNED = 128
+_CACHE = 1 << 20
 _BASE = 0x5851F42D4C957F2D
+_POWERS = Powers(_BASE)
+BLANKS = b" \t\n\x0b\x0c\r"
 
 
 def read_pieces(path: str) -> list[bytes]:
-    """The vocabulary's pieces of at most LONGEST_PIECE bytes, single bytes first, all 256 of them."""
+    """The vocabulary's pieces that can stand in a lower-cased word with a blank before it; single bytes first, all 256 of them."""
     found = {base64.b64decode(x.split()[0]) for x in Path(path).read_bytes().splitlines() if x}
     single = [bytes([k]) for k in range(256)]
-    return single + sorted(p for p in found if 1 < len(p) <= LONGEST_PIECE)
+    fits = lambda p: p == p.lower() and not any(c in BLANKS for c in p[1:]) and (p[:1] == b" " or p[0] not in BLANKS)
+    return single + sorted(p for p in found if len(p) > 1 and fits(p))
 
 
 class Pieces:
@@ -36,6 +42,7 @@ class Pieces:
 
     def __init__(self, pieces: list[bytes], bits: int = 18):
         self.n, self.bits, self.tables = len(pieces), bits, []
+        self.sizes = sorted({len(p) for p in pieces})
         h = np.array([self._hash(p) for p in pieces], dtype=np.uint64)
         ids = np.arange(len(pieces), dtype=np.int32)
         level = 0
@@ -65,20 +72,20 @@ class Pieces:
             out[hit] = at[hit]
         return out
 
-    def spans(self, words: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """For equally long words, one per row: piece numbers of the bytes from i to j, by (i, j)."""
+    def spans(self, words: np.ndarray) -> list[list[tuple[int, np.ndarray]]]:
+        """For equally long rows of bytes: by end j the (i, piece numbers of the bytes from i to j), where any row has a piece."""
         n = words.shape[1]
-        up = np.array([pow(_BASE, k, 1 << 64) for k in range(n + 1)], dtype=np.uint64)
-        down = np.array([pow(pow(_BASE, -1, 1 << 64), k, 1 << 64) for k in range(n + 1)], dtype=np.uint64)
+        up, down = _POWERS.upto(n)
         sums = np.zeros((len(words), n + 1), dtype=np.uint64)
         np.cumsum((words.astype(np.uint64) + np.uint64(1)) * up[:n], axis=1, out=sums[:, 1:])
-        out = {}
-        for size in range(1, min(n, LONGEST_PIECE) + 1):
+        out: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n + 1)]
+        for size in self.sizes:
+            if size > n:
+                break
             h = (sums[:, size:] - sums[:, : n + 1 - size]) * down[: n + 1 - size] * np.uint64(2) + np.uint64(size)
             ids = self.find(h)
-            for i in range(n + 1 - size):
-                if (ids[:, i] < self.n).any():
-                    out[i, i + size] = ids[:, i]
+            for i in np.flatnonzero((ids < self.n).any(axis=0)).tolist():
+                out[i + size].append((i, ids[:, i]))
         return out
 
 
@@ -88,83 +95,152 @@ class LanguageModel:
 
     languages: list[str]
     probability: np.ndarray
-    vocabulary: str
-
-
-def _forward(spans: dict, n: int, p: np.ndarray, rows: int) -> np.ndarray:
-    """Summed probability of all segmentations of the first i bytes, for i from 0 to n."""
-    alpha = np.zeros((n + 1, rows, p.shape[1]))
-    alpha[0] = 1
-    for j in range(1, n + 1):
-        for i in range(max(0, j - LONGEST_PIECE), j):
-            if (i, j) in spans:
-                alpha[j] += alpha[i] * p[spans[i, j]]
-    return alpha
-
-
-def _parts(word: bytes) -> list[bytes]:
-    word = b" " + word
-    return [word[k : k + LONGEST_WORD] for k in range(0, len(word), LONGEST_WORD)]
-
-
-def _by_length(parts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, byte matrix) of equally long parts, a few thousand at once."""
-    sizes = np.array([len(x) for x in parts])
-    for n in np.unique(sizes):
-        same = np.flatnonzero(sizes == n)
-        for k in range(0, len(same), 4096):
-            at = same[k : k + 4096]
-            yield at, np.frombuffer(b"".join([parts[i] for i in at]), dtype=np.uint8).reshape(len(at), n)
+    pieces: list[bytes]
+
+
+def _by_length(words: list[bytes], cells: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(positions, sizes, byte matrix) of words of about the same length, shortest first, the shorter ones filled up with zeros."""
+    sizes = np.array([len(x) for x in words])
+    order = np.argsort(sizes, kind="stable")
+    k = 0
+    while k < len(order):
+        least = sizes[order[k]]
+        end = int(np.searchsorted(sizes[order], least + least // 8, side="right"))
+        end = min(end, k + max(1, cells // (least + least // 8)))
+        at = order[k:end]
+        width = int(sizes[at[-1]])
+        yield at, sizes[at], np.frombuffer(b"".join([words[i].ljust(width, b"\0") for i in at]), dtype=np.uint8).reshape(len(at), width)
+        k = end
+
+
+def _run(spans: list, alphas: list, p: np.ndarray, first: int, done: Callable[[int, np.ndarray, np.ndarray], None]) -> tuple[list, np.ndarray]:
+    """The forward recursion from boundary ``first`` on, with only the last boundaries held.
+
+    ``alphas`` are those of the boundaries before ``first``; of each row and language all are divided by
+    their largest value now and then, and the logarithm of what they were divided by is kept. ``done`` gets each boundary with its
+    sums and that logarithm. Returns the last boundaries and the logarithm.
+    """
+    ring = list(alphas)
+    scale = np.zeros((ring[-1].shape[0], p.shape[1]))
+    longest = len(ring)
+    for j in range(first, len(spans)):
+        total = np.zeros_like(ring[-1])
+        for i, ids in spans[j]:
+            back = j - i
+            if back <= longest:
+                w = p[ids]
+                total += ring[-back] * (w if total.ndim == 2 else w[:, None, :])
+        ring = [*ring[1:], total]
+        if j % 16 == 0:
+            top = np.maximum.reduce([r if r.ndim == 2 else r.max(axis=1) for r in ring])
+            top[top == 0] = 1
+            ring = [r / (top if r.ndim == 2 else top[:, None, :]) for r in ring]
+            scale = scale + np.log(top)
+        done(j, ring[-1], scale)
+    return ring, scale
+
+
+def _long_score(word: bytes, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """Log probability of a very long word.
+
+    What a block does to the sums at the last boundaries (as many as the longest piece in the word has bytes)
+    is one matrix per language; blocks get theirs side by side, equal ones once, and the matrices are applied in order.
+    """
+    x = np.frombuffer(word, dtype=np.uint8)
+    step, k = 1 << 16, pieces.sizes[-1]
+    longest = 1
+    for at in range(0, len(x), step):
+        part = x[max(0, at - k) : at + step][None, :]
+        longest = max([longest, *(j - i for j, ends in enumerate(pieces.spans(part)) for i, _ in ends)])
+    state = np.zeros((longest, p.shape[1]))
+    state[-1] = 1
+    total = np.zeros(p.shape[1])
+    padded = np.concatenate([np.zeros(longest, dtype=np.uint8), x])
+    whole = len(x) // BLOCK * BLOCK
+    nothing = lambda j, a, s: None
+    for at in range(0, len(x), 128 * BLOCK):
+        end = min(at + 128 * BLOCK, whole)
+        parts = [np.lib.stride_tricks.sliding_window_view(padded[at : end + longest], BLOCK + longest)[::BLOCK]] if end > at else []
+        if at + 128 * BLOCK > whole and whole < len(x) and at <= whole:
+            parts.append(padded[whole:][None, :])
+        for rows in parts:
+            unique, which = np.unique(rows, axis=0, return_inverse=True)
+            # one row of sums per boundary before the block, each alone set to one
+            basis = [np.zeros((len(unique), longest, p.shape[1])) for _ in range(longest)]
+            for b in range(longest):
+                basis[b][:, b] = 1
+            ring, scale = _run(pieces.spans(unique), basis, p, longest + 1, nothing)
+            moved = np.stack(ring[-longest:], axis=2)  # row, boundary before, boundary after, language
+            for u in which.ravel().tolist():
+                state = (state[:, None, :] * moved[u]).sum(axis=0)
+                top = state.max(axis=0)
+                state = state / top
+                total = total + np.log(top) + scale[u]
+    return total + np.log(np.maximum(state[-1], 1e-300))
 
 
 def word_scores(words: list[bytes], pieces: Pieces, p: np.ndarray) -> np.ndarray:
-    """Log probability of each word in each language."""
-    parts, owner = [], []
-    for k, w in enumerate(words):
-        own = _parts(w)
-        parts += own
-        owner += [k] * len(own)
+    """Log probability of each word, a blank before it, in each language: all its segmentations summed, whatever its length."""
     out = np.zeros((len(words), p.shape[1]))
-    owner = np.array(owner, dtype=np.int64)
-    for at, m in _by_length(parts) if parts else ():
-        total = _forward(pieces.spans(m), m.shape[1], p, len(m))[-1]
-        np.add.at(out, owner[at], np.log(np.maximum(total, 1e-300)))
+    short = [k for k, w in enumerate(words) if len(w) < LONG]
+    for at, sizes, m in _by_length([b" " + words[k] for k in short]):
+        found = np.zeros((len(at), p.shape[1]))
+
+        def done(j: int, alpha: np.ndarray, scale: np.ndarray, found=found, sizes=sizes) -> None:
+            lo, hi = np.searchsorted(sizes, j, side="left"), np.searchsorted(sizes, j, side="right")
+            if hi > lo:
+                found[lo:hi] = np.log(np.maximum(alpha[lo:hi], 1e-300)) + scale[lo:hi]
+
+        longest = min(pieces.sizes[-1], m.shape[1])
+        start = [np.zeros((len(at), p.shape[1])) for _ in range(longest - 1)] + [np.ones((len(at), p.shape[1]))]
+        _run(pieces.spans(m), start, p, 1, done)
+        out[np.array(short)[at]] = found
+    for k, w in enumerate(words):
+        if len(w) >= LONG:
+            out[k] = _long_score(b" " + w, pieces, p)
     return out
 
 
 def fit(counts: dict[str, dict[bytes, int]], vocabulary: str = VOCABULARY, rounds: int = 4, prior: float = 0.01) -> LanguageModel:
-    """Expectation-maximisation of piece probabilities per language from word counts."""
+    """Expectation-maximisation of piece probabilities per language from word counts, of words of at most LONGEST_LEARNED bytes."""
     names = sorted(counts, key=lambda x: x.encode())
-    vocab = Pieces(read_pieces(vocabulary))
+    listed = read_pieces(vocabulary)
+    vocab = Pieces(listed)
     table = np.zeros((vocab.n + 1, len(names)))
     for k, name in enumerate(names):
-        parts, times = [], []
-        for w, n in counts[name].items():
-            own = _parts(w)
-            parts += own
-            times += [n] * len(own)
-        times = np.array(times, dtype=np.float64)
-        p = np.full((vocab.n + 1, 1), 1.0 / vocab.n)
+        words = [b" " + w for w in counts[name] if len(w) <= LONGEST_LEARNED]
+        times = np.array([n for w, n in counts[name].items() if len(w) <= LONGEST_LEARNED], dtype=np.float64)
+        p = np.full(vocab.n + 1, 1.0 / vocab.n)
         p[-1] = 0
-        grouped = [(at, m.shape[1], vocab.spans(m)) for at, m in _by_length(parts)] if parts else []
+        sizes = np.array([len(w) for w in words])
+        grouped = []
+        for n in np.unique(sizes):
+            same = np.flatnonzero(sizes == n)
+            for c in range(0, len(same), 2048):
+                at = same[c : c + 2048]
+                grouped.append((at, n, vocab.spans(np.frombuffer(b"".join([words[i] for i in at]), dtype=np.uint8).reshape(len(at), n))))
         for _ in range(rounds):
             soft = np.zeros(vocab.n + 1)
             for at, n, spans in grouped:
-                alpha = _forward(spans, n, p, len(at))[:, :, 0]
-                beta = np.zeros_like(alpha)
-                beta[n] = 1
-                for i in range(n - 1, -1, -1):
-                    for j in range(i + 1, min(n, i + LONGEST_PIECE) + 1):
-                        if (i, j) in spans:
-                            beta[i] += beta[j] * p[spans[i, j], 0]
+                # sums are of probabilities times a constant to the power of the bytes, so that they stay in range
+                lift = 64.0
+                alpha, beta = np.zeros((n + 1, len(at))), np.zeros((n + 1, len(at)))
+                alpha[0] = beta[n] = 1
+                for j in range(1, n + 1):
+                    for i, ids in spans[j]:
+                        alpha[j] += alpha[i] * p[ids] * lift ** (j - i)
+                for j in range(n, 0, -1):
+                    for i, ids in spans[j]:
+                        beta[i] += beta[j] * p[ids] * lift ** (j - i)
                 weight = times[at] / np.maximum(alpha[n], 1e-300)
-                for (i, j), ids in spans.items():
-                    soft += np.bincount(ids, weight * alpha[i] * beta[j] * p[ids, 0], minlength=vocab.n + 1)
+                for j in range(1, n + 1):
+                    for i, ids in spans[j]:
+                        soft += np.bincount(ids, weight * alpha[i] * beta[j] * p[ids] * lift ** (j - i), minlength=vocab.n + 1)
             soft[-1] = 0
-            p = ((soft[:, None] + prior) / (soft.sum() + prior * vocab.n)).copy()
+            p = (soft + prior) / (soft.sum() + prior * vocab.n)
             p[-1] = 0
-        table[:, k] = p[:, 0]
-    return LanguageModel(names, table, vocabulary)
+        table[:, k] = p
+    return LanguageModel(names, table, listed)
 
 
 def learn(docs: DataFrame, learnable: Column, per_language: int = 400, words_per_language: int = 20_000, vocabulary: str = VOCABULARY) -> LanguageModel:
@@ -178,7 +254,7 @@ def learn(docs: DataFrame, learnable: Column, per_language: int = 400, words_per
     rates = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     rate = {r["lang"]: min(1.0, per_language / r["n"]) for r in rates.collect()}
     if not rate:
-        return LanguageModel([], np.zeros((1, 0)), vocabulary)
+        return LanguageModel([], np.zeros((1, 0)), [])
     chance = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
     keep = F.lit(False)
     for name, r in rate.items():
@@ -193,21 +269,17 @@ def learn(docs: DataFrame, learnable: Column, per_language: int = 400, words_per
     return fit(counts, vocabulary)
 
 
-def has_letter(text: str) -> bool:
-    return any(c.isalpha() for c in text)
-
-
-def _score(model: LanguageModel):
+def _score(model: LanguageModel, text_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, pieces = Powers(), Pieces(read_pieces(model.vocabulary))
+        powers, pieces = Powers(), Pieces(model.pieces)
         n = len(model.languages)
-        most = max(1 << 16, _CACHE // (n + 2))
+        most = max(1 << 14, _CACHE // (n + 2))
         known, values = np.zeros(0, dtype=np.uint64), np.zeros((0, n))
-        for batch in batches:
-            texts = batch.column("text")
+        for batch in slices(batches, text_column):
+            texts = batch.column(text_column)
             words = Words(texts, powers, spans=True)
             totals = np.zeros((len(texts), n))
-            cuts = _cuts(words.first, 1 << 20)
+            cuts = _cuts(words.first, 1 << 17)
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 lo, hi = words.first[a], words.first[b]
                 if lo == hi or not n:
@@ -215,30 +287,24 @@ def _score(model: LanguageModel):
                 if len(known) > most:
                     known, values = known[:0], values[:0]
                 unique, first, where = np.unique(words.hash[lo:hi], return_index=True, return_inverse=True)
-                at = np.searchsorted(known, unique)
                 new = np.ones(len(unique), dtype=bool)
                 if len(known):
-                    new = known[np.minimum(at, len(known) - 1)] != unique
+                    new = known[np.minimum(np.searchsorted(known, unique), len(known) - 1)] != unique
                 if new.any():
-                    fresh = word_scores([words.text(int(lo + i)) for i in first[new]], pieces, model.probability)
-                    known, values = np.concatenate([known, unique[new]]), np.concatenate([values, fresh])
+                    fresh = [word_scores([words.text(int(lo + i)) for i in first[new][c : c + 8192]], pieces, model.probability) for c in range(0, int(new.sum()), 8192)]
+                    known, values = np.concatenate([known, unique[new]]), np.concatenate([values, *fresh])
                     order = np.argsort(known)
                     known, values = known[order], values[order]
-                    at = np.searchsorted(known, unique)
                 filled = a + np.flatnonzero(np.diff(words.first[a : b + 1]))
-                totals[filled] = np.add.reduceat(values[at[where]], words.first[filled] - lo)
-            top = totals.max(axis=1, initial=-np.inf)[:, None] if n else None
-            share = np.exp(totals - top) if n else None
-            names, scores = [], []
-            for k, text in enumerate(texts.to_pylist()):
-                if not n or text is None or not has_letter(text):
-                    names.append("und")
-                    scores.append(0.0)
-                else:
-                    best = int(totals[k].argmax())
-                    names.append(model.languages[best])
-                    scores.append(float(share[k, best] / share[k].sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
+                totals[filled] = np.add.reduceat(values[np.searchsorted(known, unique)[where]], words.first[filled] - lo)
+            readable = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+            best, score = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
+            if n:
+                best = totals.argmax(axis=1)
+                share = np.exp(totals - totals.max(axis=1)[:, None])
+                score = np.where(readable, share.max(axis=1) / share.sum(axis=1), 0.0)
+            names = pa.array([*model.languages, "und"], pa.string()).take(pa.array(np.where(readable & (n > 0), best, n)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, names, pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     return run
 
@@ -254,9 +320,9 @@ def _cuts(first: np.ndarray, words: int) -> list[int]:
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
     """Predict the language of every whole text.
 
-    A word is scored by the sum over all its segmentations into vocabulary pieces (forward algorithm), a
-    text by the product over its words, equal priors. Scores of words are remembered inside a task, in
-    bounded memory.
+    A word, of any length, is scored by the sum over all its segmentations into vocabulary pieces (forward
+    algorithm), a text by the product over its words, equal priors. Scores of words are remembered inside a
+    task, in bounded memory.
 
     Returns ``row`` (a struct of the ``keep`` columns, all by default), ``lang_pred`` and ``score`` (its
     share of the languages' probability). A null text and one without a letter give ``und`` and 0; so do
@@ -264,7 +330,10 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     language in code point order. An empty table gives no rows.
     """
     make_importable(docs.sparkSession)
-    row = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row")
-    packed = docs.select(row, "text")
-    kind = T.StructType([packed.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return packed.mapInArrow(_score(model), kind)
+    names = keep or docs.columns
+    # The text travels once; columns are numbered on the way, so names can't clash.
+    packed = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], *([] if "text" in names else [F.col("text").alias("text")]))
+    text = f"c{names.index('text')}" if "text" in names else "text"
+    kind = T.StructType([*packed.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    found = packed.mapInArrow(_score(model, text), kind)
+    return found.select(F.struct(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)]).alias("row"), "lang_pred", "score")

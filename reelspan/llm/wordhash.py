@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xC2B2AE3D27D4EB4F | 1
 _MASK = (1 << 64) - 1
-#: Bytes that are worked on at once; a longer text is cut at white space.
+#: Bytes that are worked on at once.
 _PIECE = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -64,26 +64,33 @@ def pieces(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, in
             yield i, j, int(off[i]), int(off[j])
             i = j
             continue
-        at, end = int(off[i]), int(off[i + 1])
-        while end - at > _PIECE:
-            space = np.flatnonzero(SPACE[raw[at + _PIECE : min(end, at + 2 * _PIECE)]])
-            cut = at + _PIECE + int(space[0]) if len(space) else min(end, at + 2 * _PIECE)
-            yield i, i + 1, at, cut
-            at = cut
-        yield i, i + 1, at, end
+        for at in range(int(off[i]), int(off[i + 1]), _PIECE):
+            yield i, i + 1, at, min(at + _PIECE, int(off[i + 1]))
         i += 1
 
 
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most_bytes: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about ``most_bytes`` of text, a longer text in one of its own, so that what is held per word stays bounded."""
+    for batch in batches:
+        _, off = utf8(batch.column(text))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(off, off[at] + most_bytes, side="right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 class Words:
     """Words of a batch: ``hash`` of each, and ``first[i]:first[i + 1]`` are those of text i.
 
-    A word is a run of bytes other than ASCII white space, A-Z lower-cased. A run of over 2 MB without
-    white space is cut into words of that length.
+    A word is a run of bytes other than ASCII white space, A-Z lower-cased. Texts are read in pieces of
+    ``_PIECE`` bytes; a word that goes on in the next piece is carried there, so words have any length.
     """
 
     def __init__(self, texts: pa.Array, powers: Powers, spans: bool = False):
         self.raw, self.off = utf8(texts)
         hashes, starts, ends = [], [], []
+        held: tuple[int, int, int] | None = None  # sum, length and start of a word that goes on
         for i, j, a, b in pieces(self.raw, self.off):
             if a == b:
                 continue
@@ -98,9 +105,23 @@ class Words:
             e = np.flatnonzero(inside & (~after | edge[1:])) + 1
             up, down = powers.upto(b - a)
             sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: b - a], dtype=np.uint64)])
-            hashes.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))
-            starts.append(s + a)
-            ends.append(e + a)
+            total, size = (sums[e] - sums[s]) * down[s], e - s
+            s, e = s + a, e + a
+            if held:
+                if len(s) and s[0] == a:
+                    total[0] = np.uint64((held[0] + int(total[0]) * pow(powers.base, held[1], 1 << 64)) & _MASK)
+                    size[0] += held[1]
+                    s[0] = held[2]
+                else:
+                    total, size = np.insert(total, 0, np.uint64(held[0])), np.insert(size, 0, held[1])
+                    s, e = np.insert(s, 0, held[2]), np.insert(e, 0, held[2] + held[1])
+                held = None
+            if len(e) and e[-1] == b and b < self.off[j]:
+                held = int(total[-1]), int(size[-1]), int(s[-1])
+                total, size, s, e = total[:-1], size[:-1], s[:-1], e[:-1]
+            hashes.append(mix(total + size.astype(np.uint64)))
+            starts.append(s)
+            ends.append(e)
         self.hash = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
         self.start = np.concatenate(starts) if starts else np.zeros(0, dtype=np.int64)
         self.first = np.searchsorted(self.start, self.off)

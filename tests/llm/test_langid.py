@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ def all_segmentations(word, probability):
     """Sum over every segmentation, by recursion."""
     if not word:
         return 1.0
-    return sum(probability.get(word[:k], 0.0) * all_segmentations(word[k:], probability) for k in range(1, min(len(word), langid.LONGEST_PIECE) + 1))
+    return sum(probability.get(word[:k], 0.0) * all_segmentations(word[k:], probability) for k in range(1, len(word) + 1))
 
 
 def test_forward_sums_all_segmentations():
@@ -47,3 +48,33 @@ def test_edges(spark):
     none = langid.learn(df.limit(0), F.lit(True))
     assert {r["lang_pred"] for r in langid.identify(df, none).collect()} == {"und"}
     assert langid.identify(df.limit(0), model).count() == 0
+
+
+def one_by_one(word, probability):
+    """Log of the sum over all segmentations of a word of any length."""
+    longest = max(map(len, probability))
+    sums = [0.0]
+    for j in range(1, len(word) + 1):
+        parts = [sums[i] + math.log(probability[word[i:j]]) for i in range(max(0, j - longest), j) if word[i:j] in probability]
+        sums.append(max(parts) + math.log(sum(math.exp(x - max(parts)) for x in parts)))
+    return sums[-1]
+
+
+def test_words_of_any_length_are_never_cut():
+    model = fit({"a": {b"the": 50, b"station": 9}, "b": {b"der": 40, b"bahnhof": 10}})
+    r = random.Random(3)
+    words = [bytes(r.choice(b"thedrnbaofgi.") for _ in range(n)) for n in (12, 41, 500, 4095, 4096, 4097, 70_000)]
+    words += ["пространствоинструментдействительно".encode() * 200, b"z" * 66_000, "東京特許許可局".encode() * 300]
+    got = word_scores(words, Pieces(model.pieces), model.probability)
+    for k, _ in enumerate(model.languages):
+        p = dict(zip(model.pieces, model.probability[:-1, k], strict=True))
+        for w, g in zip(words, got[:, k], strict=True):
+            assert g == pytest.approx(one_by_one(b" " + w, p), rel=1e-9)
+
+
+def test_text_is_decided_beyond_the_fortieth_byte(spark):
+    """One word whose only telling part comes after hundreds of bytes."""
+    docs = spark.createDataFrame([(k, w, x) for k in range(40) for w, x in (("station bread", "a"), ("bahnhof brot", "b"))], "doc_id long, text string, lang string")
+    model = langid.learn(docs, F.lit(True))
+    odd = spark.createDataFrame([(1, "." * 300 + "station" * 9), (2, "." * 300 + "bahnhof" * 9)], "doc_id long, text string")
+    assert {r["row"]["doc_id"]: r["lang_pred"] for r in langid.identify(odd, model).collect()} == {1: "a", 2: "b"}
