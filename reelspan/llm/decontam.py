@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .langid import _cuts
 from .scratch import make_importable
-from .wordhash import Powers, Words, mix
+from .wordhash import Powers, Words, mix, slices
 
 #: Items that are held by every task at once; more items go in further passes.
 ITEMS_AT_ONCE = 1 << 13
@@ -235,7 +235,7 @@ def _search(index_of: list[tuple[int, str]], rate: float, every_place: bool):
         items = [(i, listed.hash[a:b]) for (i, _), a, b in zip(index_of, listed.first[:-1], listed.first[1:], strict=True)]
         index = Index(items, rate)
         verify = index.verify_all if every_place else index.verify
-        for batch in batches:
+        for batch in slices(batches):
             words = Words(batch.column("text"), powers)
             found: list[list] = [[], [], [], [], []]
             cuts = _cuts(words.first, 1 << 21)

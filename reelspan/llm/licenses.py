@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import make_importable
+from .wordhash import slices
 
 # Phrases that count wherever their words stand in a row, and their labels.
 PHRASES = {
@@ -251,7 +252,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         exact, fuzzy = [(p.encode(), label) for p, label in phrases.items()], compile_notices(notices, error_rate)
         types = {"score": pa.float64(), "base_labels": pa.string(), "labels": pa.string(), "spans": pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("errors", pa.int64())]))}
-        for batch in batches:
+        for batch in slices(batches):
             words = [normalise(t) for t in batch.column("text").to_pylist()]
             found = []
             for a, b in _parts(words, 1 << 17):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch
-from .wordhash import Powers, Words, mix, shingles
+from .wordhash import Powers, Words, mix, shingles, slices
 
 #: N-grams that come last in the global order; a bound on what is broadcast, not on what is joined.
 MOST_FREQUENT = 1 << 16
@@ -52,7 +52,7 @@ def _signatures(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, known, sets, held = Powers(), set(), [], 0
-        for batch in batches:
+        for batch in slices(batches):
             sizes, one, two = [], [], []
             for u in shingles(Words(batch.column("text"), powers), size):
                 a, b = _signature(u) if len(u) else (None, None)
@@ -80,7 +80,7 @@ def _prefixes(size: int, percent: int, frequent: pa.Array):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         grams, ranks = frequent
-        for batch in batches:
+        for batch in slices(batches):
             one, two, prefixes = [], [], []
             known = set()
             for u in shingles(Words(batch.column("text"), powers), size):
@@ -119,7 +119,7 @@ def _fragments(size: int, fragments: int, filter_words: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         cuts = np.array([(k << 64) // fragments for k in range(1, fragments)], dtype=np.uint64)
-        for batch in batches:
+        for batch in slices(batches):
             sets, nodes, known = [], [], set()
             for u in shingles(Words(batch.column("text"), powers), size):
                 node = _signature(u)[0] if len(u) else None

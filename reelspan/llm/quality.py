@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .langid import _cuts
 from .scratch import Scratch, make_importable
-from .wordhash import Powers, Words
+from .wordhash import Powers, Words, slices
 
 #: Words of a passage.
 PASSAGE = 48
@@ -169,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most_docs: int
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
-    for batch in batches:
+    for batch in slices(batches):
         words = Words(batch.column("text"), powers, spans=True)
         bags = [encode(words, k, k + 1)[0].tobytes() for k in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(bags, pa.binary())], names=["id", "y", "bag"])
@@ -178,7 +178,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _score(model: QualityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in batches:
+        for batch in slices(batches):
             words = Words(batch.column("text"), powers, spans=True)
             scores = np.zeros(batch.num_rows)
             cuts = _cuts(words.first + np.arange(batch.num_rows + 1), 1 << 18)
