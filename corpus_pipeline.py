@@ -6,17 +6,17 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspan.llm import decontam, langid, linededup, mixing, ngramjoin
-from reelspan.llm.scratch import Scratch
+from reelspan.llm.scratch import Scratch, temporary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go: no text, no letter, or no language with half of the probability."""
+    """Documents without a recognised language go: no text, no letter, or no language with half of the probability. Every row is judged by its own text; rows that repeat an id stay apart."""
     model = langid.learn(docs, F.lit(True))
     found = langid.identify(docs.select(COLUMNS), model)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select("row.*")
@@ -29,24 +29,38 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.where(F.btrim("text", F.lit(linededup.BLANKS)) != "")
 
 
+def _row_key() -> Column:
+    """64 bits of doc_id and text: rows that share an id but not the text are documents of their own."""
+    return F.xxhash64("doc_id", "text")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays, the one with the smallest doc_id; rows without an id stay."""
-    groups = ngramjoin.jaccard_components(docs)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
-    gone = Scratch(spark, "gone").write(gone, "gone")
-    kept = docs.select(COLUMNS).join(gone.hint("merge"), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """One document of each component of near duplicates stays, the one with the smallest doc_id (null last; of one id the smallest row key).
+
+    Rows are told apart by doc_id and text. Of rows equal in both one stays, with the smallest of the other
+    columns. Texts without words are linked with nothing, so each id keeps one of them.
+    """
+    keyed = docs.select(*COLUMNS, _row_key().alias("key"))
+    groups = ngramjoin.jaccard_components(keyed.select(F.col("key").alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).distinct()
+    ids = keyed.select("key", "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    first = groups.join(ids.hint("merge"), "key").groupBy("component").agg(F.min(order).alias("first"))
+    first = Scratch(spark, "first").write(first.select(F.col("first.key").alias("key")), "first")
+    kept = keyed.join(first.hint("merge"), "key", "left_semi").groupBy("key").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row"))
+    return kept.select(*[f"row.{c}" for c in COLUMNS])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, up to a fifth of its words edited, go."""
-    leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
-    leaks = Scratch(spark, "leaks").write(leaks.select(F.col("row.doc_id").alias("leak_id")).where("leak_id is not null").distinct(), "leaks")
-    return docs.select(COLUMNS).join(leaks.hint("merge"), F.col("doc_id") == F.col("leak_id"), "left_anti")
+    """Documents that hold a benchmark item, up to a fifth of its words edited, go; rows are told apart by doc_id and text."""
+    keyed = docs.select(*COLUMNS, _row_key().alias("key"))
+    leaks = decontam.find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["key"])
+    leaks = Scratch(spark, "leaks").write(leaks.select("row.key").distinct(), "leaks")
+    return keyed.join(leaks.hint("merge"), "key", "left_anti").select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of every document the mix takes; documents of which it takes none go."""
+    """How many words of every document the mix takes; documents of which it takes none go. Rows that repeat an id are documents of their own."""
     taken = mixing.mix_sources(docs)
     return taken.where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken", "epochs")
 
@@ -68,5 +82,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        with temporary(spark):
+            before, docs = docs, scratch.write(stage(spark, docs, sf_dir), name)
+        if hasattr(before, "_scratch_path"):
+            scratch.drop(before)
     return docs
