@@ -1,9 +1,9 @@
-"""Toxicity by a support vector machine over a gapped subsequence kernel with Nyström landmarks."""
+"""Toxicity by a support vector machine over a gapped subsequence kernel with Nyström landmarks, trained on labelled sentences."""
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,36 +13,109 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .langid import _cuts
 from .scratch import Scratch, make_importable
-from .wordhash import Powers, Words, mix
+from .wordhash import LOWER, SPACE, mix, slices, utf8
 
 #: Three characters within so many, each further place costing this factor.
 SPAN, DECAY = 5, 0.6
-#: Bytes of a word part; a longer word counts as the best of its overlapping parts.
-PART = 32
-_CACHE = 1 << 20
-_EDGE = b"^"
-#: Tokens at whose ends these stand are scored without them.
-_TRIM = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-
+#: Words of a window; bytes of a word from which on it is read in overlapping parts of that length.
+WORDS, PART = 3, 32
+#: What a clean document's largest window weighs more than others in training.
+LEADING = 10
+_OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
-def _clean(word: bytes) -> bytes:
-    return word.strip(_TRIM) or word
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[48:58] = _LETTER[97:123] = _LETTER[128:] = True
+_STOP = np.zeros(256, dtype=bool)
+_STOP[[33, 46, 63]] = True
 
 
-def _parts(word: bytes) -> list[bytes]:
-    word = _EDGE + word
-    if len(word) <= PART:
-        return [word]
-    return [word[k : k + PART] for k in range(0, len(word) - PART // 2, PART // 2)]
+@dataclass
+class Windows:
+    """Windows of texts: up to ``WORDS`` words in a row of one sentence, a blank before them.
 
+    ``bytes`` has all texts, A-Z lower-cased, with one blank before each word; signs at the ends of words are
+    gone, those inside words stay. A window is ``size`` bytes from ``start`` on and belongs to ``text``.
+    """
 
-_OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
+    bytes: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    text: np.ndarray
+
+    def get(self, k: int) -> bytes:
+        return self.bytes[self.start[k] : self.start[k] + self.size[k]].tobytes()
+
+
+def windows(texts: pa.Array) -> Windows:
+    raw, off = utf8(texts)
+    x = LOWER[raw[off[0] : off[-1]]]
+    off = off - off[0]
+    n = len(x)
+    letter, blank = _LETTER[x], SPACE[x]
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[off] = True
+    # a run of signs becomes one blank if it holds a blank or stands at an end of a text
+    other = ~letter
+    first = np.flatnonzero(other & (np.concatenate([[True], letter[:-1]]) | edge[:-1])) if n else np.zeros(0, dtype=np.int64)
+    gap = np.zeros(0, dtype=bool)
+    if len(first):
+        holds = np.concatenate([[0], np.cumsum(blank)])
+        last = np.flatnonzero(other & (np.concatenate([letter[1:], [True]]) | edge[1:])) + 1
+        gap = (holds[last] > holds[first]) | edge[first] | edge[last]
+    is_gap = np.zeros(n, dtype=bool)
+    if len(first):
+        mark = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(mark, first[gap], 1)
+        np.add.at(mark, last[gap], -1)
+        is_gap = np.cumsum(mark[:-1]) > 0
+    inside = ~is_gap
+    begins = inside & (np.concatenate([[True], is_gap[:-1]]) | edge[:-1]) if n else inside
+    ends = inside & (np.concatenate([is_gap[1:], [True]]) | edge[1:]) if n else inside
+    s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    # sentences: a stop before white space, or a line's end
+    stop = (_STOP[x] & np.concatenate([blank[1:], [True]])) | (x == 10) if n else np.zeros(0, dtype=bool)
+    sentence = np.concatenate([[0], np.cumsum(stop)])[s]
+    text = np.searchsorted(off, s, side="right") - 1
+    # one blank and the word's bytes, word after word
+    size = e - s
+    at = np.cumsum(size + 1) - size - 1
+    packed = np.full(int(size.sum()) + len(size), 32, dtype=np.uint8)
+    packed[np.repeat(at + 1 - s, size) + np.flatnonzero(inside)] = x[inside]
+    whole = np.flatnonzero(size < PART)
+    starts, sizes, owners = [at[whole]], [size[whole] + 1], [text[whole]]
+    for k in range(2, WORDS + 1):
+        i = np.arange(len(size) - k + 1)
+        ok = (text[i] == text[i + k - 1]) & (sentence[i] == sentence[i + k - 1])
+        for j in range(k):
+            ok &= size[i + j] < PART
+        i = i[ok]
+        starts.append(at[i])
+        sizes.append(at[i + k - 1] + size[i + k - 1] + 1 - at[i])
+        owners.append(text[i])
+    for i in np.flatnonzero(size >= PART).tolist():
+        cuts = np.arange(0, size[i] + 1 - PART // 2, PART // 2)
+        starts.append(at[i] + cuts)
+        sizes.append(np.minimum(PART, size[i] + 1 - cuts))
+        owners.append(np.full(len(cuts), text[i]))
+    return Windows(packed, np.concatenate(starts), np.concatenate(sizes), np.concatenate(owners))
+
+
+def spelled(seen: Windows) -> tuple[np.ndarray, list[str]]:
+    """Texts that hold three words or more of one letter in a row, and those letters put together."""
+    owner, found = [], []
+    one = np.flatnonzero(seen.size == 2)
+    if len(one):
+        linked = (np.diff(seen.start[one]) == 2) & (np.diff(seen.text[one]) == 0)
+        for run in np.split(one, np.flatnonzero(~linked) + 1):
+            if len(run) > 2:
+                owner.append(int(seen.text[run[0]]))
+                found.append(bytes(seen.bytes[seen.start[run] + 1]).decode())
+    return np.array(owner, dtype=np.int64), found
 
 
 def _features(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and weights of the gapped triples of equally long parts, one row each."""
+    """Codes and weights of the gapped triples of equally long windows, one row each."""
     codes, weights = [], []
     n = m.shape[1]
     x = m.astype(np.int64)
@@ -56,7 +129,7 @@ def _features(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Square roots of the parts' kernels with themselves; a triple that repeats adds up first."""
+    """Square roots of the windows' kernels with themselves; a triple that repeats adds up first."""
     order = np.argsort(codes, axis=1, kind="stable")
     c, w = np.take_along_axis(codes, order, axis=1), weights[order]
     start = np.ones(c.shape, dtype=bool)
@@ -66,187 +139,284 @@ def _norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.sqrt(np.bincount(rows, sums**2, minlength=len(c)))
 
 
-def kernel_features(word: bytes) -> dict[int, float]:
-    """Weights of a part's gapped triples, summed."""
+def kernel_features(window: bytes) -> dict[int, float]:
+    """Weights of a window's gapped triples, summed."""
     out: dict[int, float] = defaultdict(float)
-    codes, weights = _features(np.frombuffer(word, dtype=np.uint8)[None, :])
+    codes, weights = _features(np.frombuffer(window, dtype=np.uint8)[None, :])
     for c, w in zip(codes[0].tolist(), weights.tolist(), strict=True):
         out[c] += w
     return out
 
 
+def _unit(window: bytes) -> dict[int, float]:
+    own = kernel_features(window)
+    norm = math.sqrt(sum(v * v for v in own.values())) or 1.0
+    return {c: v / norm for c, v in own.items()}
+
+
+def _by_size(items: list[bytes], most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    sizes = np.array([len(x) for x in items])
+    for n in np.unique(sizes):
+        same = np.flatnonzero(sizes == n)
+        for k in range(0, len(same), most):
+            at = same[k : k + most]
+            yield at, np.frombuffer(b"".join([items[i] for i in at]), dtype=np.uint8).reshape(len(at), n)
+
+
 class Landmarks:
-    """Normalised kernels of many words with a fixed list of words."""
+    """Normalised kernels of windows with a fixed list of windows."""
 
-    def __init__(self, words: list[bytes]):
-        self.words = words
+    def __init__(self, landmarks: list[bytes]):
+        self.landmarks = landmarks
         found: dict[int, dict[int, float]] = defaultdict(dict)
-        for k, w in enumerate(words):
-            own = kernel_features((_EDGE + w)[:PART])
-            norm = math.sqrt(sum(v * v for v in own.values())) or 1.0
-            for c, v in own.items():
-                found[c][k] = v / norm
+        for k, w in enumerate(landmarks):
+            for c, v in _unit(w).items():
+                found[c][k] = v
         self.codes = np.array(sorted(found), dtype=np.int64)
-        self.table = np.zeros((len(found) + 1, len(words)))
+        self.table = np.zeros((len(found) + 1, len(landmarks)))
         for row, c in enumerate(self.codes.tolist()):
             for k, v in found[c].items():
                 self.table[row, k] = v
-        self.bits = 16
-        self.seen = np.zeros(1 << self.bits, dtype=bool)
-        self.seen[self._slot(self.codes)] = True
-
-    def _slot(self, codes: np.ndarray) -> np.ndarray:
-        return (mix(codes.astype(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def kernels(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, kernels): kernels of those equally long parts that share anything with a landmark."""
-        codes, weights = _features(parts)
-        if not codes.shape[1] or not len(self.codes):
-            return np.zeros(0, dtype=np.int64), np.zeros((0, len(self.words)))
-        row, col = np.nonzero(self.seen[self._slot(codes)])
-        at = np.minimum(np.searchsorted(self.codes, codes[row, col]), len(self.codes) - 1)
-        real = self.codes[at] == codes[row, col]
-        row, col, at = row[real], col[real], at[real]
-        rows, first = np.unique(row, return_index=True)
-        if not len(rows):
-            return rows, np.zeros((0, len(self.words)))
-        total = np.add.reduceat(self.table[at] * weights[col][:, None], first)
-        return rows, total / _norms(codes[rows], weights)[:, None]
+
+    def kernels(self, items: list[bytes]) -> np.ndarray:
+        out = np.zeros((len(items), len(self.landmarks)))
+        for at, m in _by_size(items):
+            codes, weights = _features(m)
+            if not codes.shape[1] or not len(self.codes):
+                continue
+            place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            place[self.codes[place] != codes] = len(self.codes)
+            total = np.zeros((len(at), len(self.landmarks)))
+            for j in range(codes.shape[1]):
+                total += self.table[place[:, j]] * weights[j]
+            out[at] = total / _norms(codes, weights)[:, None]
+        return out
+
+
+def nystroem_map(marks: Landmarks) -> np.ndarray:
+    """The matrix that turns kernels with the landmarks into features whose products are kernels, exactly so between landmarks."""
+    values, vectors = np.linalg.eigh(marks.kernels(marks.landmarks))
+    keep = values > 1e-6 * values.max()
+    return vectors[:, keep] / np.sqrt(values[keep])
+
+
+class Scorer:
+    """Largest margins over windows.
+
+    A window's margin is its kernels with the landmarks, weighted. As the kernel is linear in the triples, all
+    landmarks together give each triple one number, and a window's sum of them is a difference of running sums. A
+    window without repeated triples has the smallest norm of its length, which bounds its margin from above;
+    norms are computed, for those windows only that may be a text's largest. A window below 0 counts as 0.
+    """
+
+    def __init__(self, landmarks: list[bytes], weights: np.ndarray):
+        marks = Landmarks(landmarks)
+        self.codes, self.values = marks.codes, marks.table[:-1] @ weights
+        self.quick = np.zeros(1 << 24, dtype=np.float32)
+        self.quick[self.codes] = self.values
+        n = np.arange(WORDS * (PART + 1) + 1)
+        self.least_norm = np.sqrt(np.maximum(1e-12, sum(np.maximum(0, n - b) * DECAY ** (2 * (b + 1)) for _, b in _OFFSETS)))
+
+    def exact(self, items: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(items))
+        for at, m in _by_size(items):
+            codes, weights = _features(m)
+            if codes.shape[1] and len(self.codes):
+                place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+                out[at] = (np.where(self.codes[place] == codes, self.values[place], 0.0) * weights).sum(axis=1) / _norms(codes, weights)
+        return out
+
+    def bounds(self, w: Windows) -> np.ndarray:
+        """Upper bounds of the windows' margins."""
+        x = w.bytes.astype(np.int32)
+        total = np.zeros(len(w.start))
+        for b in range(2, SPAN):
+            if len(x) <= b:
+                continue
+            each = np.zeros(len(x) - b, dtype=np.float32)
+            for a in range(1, b):
+                each += self.quick[(x[: len(x) - b] << 16) | (x[a : len(x) - b + a] << 8) | x[b:]]
+            sums = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
+            end = np.maximum(w.start, np.minimum(w.start + w.size - b, len(each)))
+            total += DECAY ** (b + 1) * (sums[end] - sums[w.start])
+        return total / self.least_norm[w.size] + 1e-4
+
+    def best(self, w: Windows, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each of n texts the largest margin over its windows (0 if none is above) and that window's number (-1 if none)."""
+        best, which = np.zeros(n), np.full(n, -1, dtype=np.int64)
+        bound = self.bounds(w)
+        order = np.flatnonzero(bound > 1.1e-4)
+        order = order[np.lexsort((-bound[order], w.text[order]))]
+        text = w.text[order]
+        rank = np.arange(len(order)) - np.searchsorted(text, text)
+        low, high = 0, 1
+        while len(order):
+            now = (rank < high) & (rank >= low) & (bound[order] > best[text])
+            at = order[now]
+            # equal windows are computed once
+            items = [w.get(k) for k in at.tolist()]
+            different = list(dict.fromkeys(items))
+            value = dict(zip(different, self.exact(different).tolist(), strict=True))
+            for k, item in zip(at.tolist(), items, strict=True):
+                if value[item] > best[w.text[k]]:
+                    best[w.text[k]], which[w.text[k]] = value[item], k
+            left = (rank >= high) & (bound[order] > best[text])
+            order, text, rank = order[left], text[left], rank[left]
+            low, high = high, 4 * high
+        return best, which
+
+    def texts(self, texts: pa.Array) -> np.ndarray:
+        """Largest margin of every text, spelled out words included."""
+        seen = windows(texts)
+        best, _ = self.best(seen, len(texts))
+        owner, joined = spelled(seen)
+        if joined:
+            np.maximum.at(best, owner, self.best(windows(pa.array(joined, pa.string())), len(joined))[0])
+        return best
 
 
 @dataclass
 class ToxicityModel:
-    """A word's margin is ``kernels with landmarks @ weights + bias``; a text's is its largest word's."""
+    """A text's margin is the largest ``kernels with landmarks @ weights`` of its windows, or 0; its score the logistic of ``slope * margin + shift``."""
 
     landmarks: list[bytes]
     weights: np.ndarray
-    bias: float
     slope: float
     shift: float
 
 
-def word_margins(words: list[bytes], landmarks: Landmarks, weights: np.ndarray, bias: float) -> np.ndarray:
-    parts, owner = [], []
-    for k, w in enumerate(words):
-        own = _parts(_clean(w))
-        parts += own
-        owner += [k] * len(own)
-    out = np.full(len(words), bias)
-    owner, sizes = np.array(owner, dtype=np.int64), np.array([len(p) for p in parts])
-    for n in np.unique(sizes):
-        same = np.flatnonzero(sizes == n)
-        for k in range(0, len(same), 2048):
-            at = same[k : k + 2048]
-            rows, kernels = landmarks.kernels(np.frombuffer(b"".join([parts[i] for i in at]), dtype=np.uint8).reshape(len(at), n))
-            np.maximum.at(out, owner[at[rows]], kernels @ weights + bias)
+def _hashed(w: Windows) -> np.ndarray:
+    """64 bits of each window."""
+    x = w.bytes.astype(np.uint64) + np.uint64(1)
+    out = np.zeros(len(w.start), dtype=np.uint64)
+    for k in range(int(w.size.max(initial=0))):
+        long = np.flatnonzero(w.size > k)
+        out[long] = mix(out[long] * np.uint64(0x9E3779B97F4A7C15) + x[w.start[long] + k])
     return out
 
 
-def units(words: list[bytes]) -> list[bytes]:
-    """Words, and single characters in a row (three or more) put together."""
-    out, run = list(words), []
-    for w in [*words, b"  "]:
-        if len(w) == 1 and w.isalnum():
-            run.append(w)
-        else:
-            if len(run) > 2:
-                out.append(b"".join(run))
-            run = []
-    return out
-
-
-def fit(sentences: list[tuple[int, int, bytes]], landmarks: int = 96, rounds: int = 3, penalty: float = 1e-4) -> ToxicityModel:
+def fit(sentences: list[tuple[int, int, str]], landmarks: int = 128, rounds: int = 3, penalty: float = 1e-4, negatives: int = 12_000) -> ToxicityModel:
     """Fit on labelled sentences (document, label, text).
 
-    A toxic document's sentences share its label, but few of its words are to blame: each toxic document is
-    represented by its word with the largest margin (at first by the word that tells the labels apart
-    best), which is then learned again; documents without a word that toxic ones hold more often stay out. Every word of a clean sentence is clean; those with the largest
-    margins join the training set from round to round. Landmarks are the words
-    that tell the labels apart best, unlike each other, and the clean words nearest to them.
+    A toxic document's sentences share its label, but few are to blame: each toxic document is represented
+    by the window of its sentences with the largest margin (at first by the one that tells the labels apart
+    best), which is then learned again; documents without a window that toxic ones hold more often stay out.
+    Every sentence of a clean document is clean: the window with its largest margin joins the training set from
+    round to round, up to ``negatives`` of the largest ones and as many drawn at random; a window that is the largest of whole
+    documents weighs more. Landmarks are the windows that
+    tell the labels apart best, unlike each other, and clean ones: frequent words and those nearest to the others.
+    A window of several words is taken only where it tells the labels apart better than any window in it.
     """
-    by_doc: dict[int, set[bytes]] = defaultdict(set)
-    label: dict[int, int] = {}
-    for doc, y, text in sentences:
-        by_doc[doc].update(_clean(w) for w in units(text.lower().split()))
-        label[doc] = max(y, label.get(doc, 0))
-    docs = sorted(by_doc)
-    bad, good = Counter(), Counter()
-    for d in docs:
-        (bad if label[d] else good).update(by_doc[d])
-    n_bad, n_good = sum(label.values()), len(docs) - sum(label.values())
+    docs = sorted({d for d, _, _ in sentences})
+    number = {d: k for k, d in enumerate(docs)}
+    y = np.zeros(len(docs), dtype=np.int64)
+    for d, label, _ in sentences:
+        y[number[d]] = max(y[number[d]], label)
+    n_bad, n_good = int(y.sum()), int((1 - y).sum())
     if not n_bad or not n_good:
-        return ToxicityModel([b"none"], np.zeros(1), 0.0, 0.0, 4.0 if n_bad else -4.0)
-    odds = {w: math.log((bad[w] + 0.1) / (n_bad + 0.2)) - math.log((good[w] + 0.1) / (n_good + 0.2)) for w in bad if len(w) > 2}
-    ranked = sorted(odds, key=lambda w: (-odds[w] * math.sqrt(bad[w]), w))[: 12 * landmarks]
+        return ToxicityModel([b" none"], np.zeros(1), 0.0, 4.0 if n_bad else -4.0)
+    seen = windows(pa.array([t for _, _, t in sentences], pa.string()))
+    owner = np.array([number[d] for d, _, _ in sentences])[seen.text]
+    h = _hashed(seen)
+    # documents of each window, by label
+    known, first, where = np.unique(h, return_index=True, return_inverse=True)
+    once = np.unique(where.astype(np.int64) * len(docs) + owner)
+    item, doc = once // len(docs), once % len(docs)
+    bad, good = (np.bincount(item[y[doc] == k], minlength=len(known)) for k in (1, 0))
+    odds = np.log((bad + 0.1) / (n_bad + 0.2)) - np.log((good + 0.1) / (n_good + 0.2))
+    strength = odds * np.sqrt(bad)
+    running = np.concatenate([[0], np.cumsum(seen.bytes == 32)])
+    blanks = running[(seen.start + seen.size)[first]] - running[seen.start[first]]
+    held = np.flatnonzero((bad > 0) & (odds > 1.0) & (seen.size[first] > 3) & ((blanks == 1) | (bad >= 3)))
+    texts = {k: seen.get(int(first[k])) for k in held.tolist()}
+    stronger = {t: float(strength[k]) for k, t in texts.items()}
+
+    def tells_more(k: int) -> bool:
+        words = texts[k][1:].split(b" ")
+        inner = [b" " + b" ".join(words[a:b]) for a in range(len(words)) for b in range(a + 1, len(words) + 1) if b - a < len(words)]
+        return all(strength[k] > 1.05 * stronger.get(x, 0.0) for x in inner)
+
+    held = np.array([k for k in held.tolist() if tells_more(k)], dtype=np.int64)
+    held = held[np.lexsort((known[held], -strength[held]))]
     chosen: list[bytes] = []
-    held: list[dict[int, float]] = []
-    for w in ranked:
-        own = kernel_features((_EDGE + w)[:PART])
-        norm = math.sqrt(sum(v * v for v in own.values())) or 1.0
-        own = {c: v / norm for c, v in own.items()}
-        if odds[w] > 1.5 and all(sum(v * o.get(c, 0.0) for c, v in own.items()) < 0.85 for o in held):
-            chosen.append(w)
-            held.append(own)
+    units: list[dict[int, float]] = []
+    for k in held[: 20 * landmarks].tolist():
         if len(chosen) >= landmarks * 2 // 3:
             break
-    chosen = chosen or ranked[:1] or [b"none"]
-    clean = sorted(good)
-    first = Landmarks(chosen)
-    near = word_margins(clean, first, np.ones(len(chosen)), 0.0)
-    hard = [clean[k] for k in np.argsort(-near, kind="stable")]
-    usual = [w for w, _ in good.most_common(landmarks // 6)]
-    chosen += [w for w in dict.fromkeys([*usual, *hard[: landmarks // 6]]) if w not in chosen]
+        own = _unit(texts[k])
+        if odds[k] > 1.5 and all(sum(v * o.get(c, 0.0) for c, v in own.items()) < 0.85 for o in units):
+            chosen.append(texts[k])
+            units.append(own)
+    chosen = chosen or [texts[int(held[0])] if len(held) else b" none"]
+    clean = [(d, t) for d, _, t in sentences if not y[number[d]]]
+    clean_windows = windows(pa.array([t for _, t in clean], pa.string()))
+
+    clean_owner = np.array([number[d] for d, _ in clean])
+
+    def hardest(scorer: Scorer) -> dict[bytes, int]:
+        """Clean windows, the largest of each sentence, largest first, and of how many documents each is the largest."""
+        margin, which = scorer.best(clean_windows, len(clean))
+        order = [k for k in np.argsort(-margin, kind="stable").tolist() if which[k] >= 0]
+        found = dict.fromkeys((clean_windows.get(int(which[k])) for k in order), 0)
+        _, leading = np.unique(clean_owner[order], return_index=True)
+        for k in leading.tolist():
+            found[clean_windows.get(int(which[order[k]]))] += 1
+        return found
+
+    usual = [seen.get(int(first[k])) for k in np.lexsort((known, -good))[:2000] if blanks[k] == 1]
+    near = list(hardest(Scorer(chosen, np.ones(len(chosen)))))
+    chosen += [w for w in dict.fromkeys([*usual[: landmarks // 6], *near[: landmarks // 6]]) if w not in chosen]
     marks = Landmarks(chosen)
-
-    def matrix(words: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(words), len(chosen)))
-        parts = [(_EDGE + w)[:PART] for w in words]
-        sizes = np.array([len(p) for p in parts])
-        for n in np.unique(sizes):
-            same = np.flatnonzero(sizes == n)
-            for k in range(0, len(same), 4096):
-                at = same[k : k + 4096]
-                rows, kernels = marks.kernels(np.frombuffer(b"".join([parts[i] for i in at]), dtype=np.uint8).reshape(len(at), n))
-                out[at[rows]] = kernels
-        return out
-
-    values, vectors = np.linalg.eigh(matrix(chosen))
-    keep = values > 1e-6 * values.max()
-    nystroem = vectors[:, keep] / np.sqrt(values[keep])
-    spread = np.random.default_rng(1).permutation(len(clean))[:10_000]
-    mined = dict.fromkeys([*(w for w, _ in good.most_common(2000)), *hard[:4000], *(clean[k] for k in spread)])
-    all_low = matrix(clean) @ nystroem
-    row = {w: k for k, w in enumerate(clean)}
-    toxic_words = [sorted(w for w in by_doc[d] if odds.get(w, 0.0) > 1.0) for d in docs if label[d]]
-    toxic_words = [x for x in toxic_words if x] or [chosen[:1]]
-    vocabulary = sorted({w for x in toxic_words for w in x})
-    place = {w: k for k, w in enumerate(vocabulary)}
-    high = matrix(vocabulary) @ nystroem
-    strength = np.array([odds.get(w, -9.0) * math.sqrt(bad[w]) for w in vocabulary])
+    nystroem = nystroem_map(marks)
+    drawn = np.random.default_rng(1).permutation(len(clean_windows.start))[:negatives].tolist()
+    low = dict.fromkeys([*usual, *near[:negatives], *(clean_windows.get(k) for k in drawn)], 1)
+    candidates = {k: i for i, k in enumerate(held.tolist())}
+    of_doc: dict[int, list[int]] = defaultdict(list)
+    for k, d in zip(item.tolist(), doc.tolist(), strict=True):
+        if y[d] and k in candidates:
+            of_doc[d].append(candidates[k])
+    names = [texts[k] for k in held.tolist()]
+    high = marks.kernels(names) @ nystroem
+    strong = strength[held]
+    groups = [np.array(of_doc[d]) for d in sorted(of_doc)]
+    if not groups:
+        return ToxicityModel(chosen, np.zeros(len(chosen)), 0.0, 0.0)
     for _ in range(rounds):
-        witness = np.array([max((place[w] for w in x), key=lambda k: (strength[k], -k)) for x in toxic_words])
-        w, bias = _svm(high[witness], all_low[[row[x] for x in mined]], penalty)
-        mined.update(dict.fromkeys(clean[k] for k in np.argsort(-(all_low @ w), kind="stable")[:3000]))
-        strength = high @ w + bias
-    weights = nystroem @ w
-    doc_margin = np.array([float(word_margins(sorted(by_doc[d]), marks, weights, bias).max(initial=bias)) for d in docs])
-    slope, shift = _logistic(doc_margin, np.array([label[d] for d in docs], dtype=float))
-    return ToxicityModel(chosen, weights, bias, slope, shift)
-
-
-def _svm(high: np.ndarray, low: np.ndarray, penalty: float, steps: int = 250) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, both classes of equal weight; accelerated gradient descent."""
+        witness = np.array([g[np.lexsort((g, -strong[g]))[0]] for g in groups])
+        w, _ = _svm(high[witness], marks.kernels(list(low)) @ nystroem, np.array(list(low.values()), dtype=float), penalty)
+        scorer = Scorer(chosen, nystroem @ w)
+        for x, n in list(hardest(scorer).items())[:negatives]:
+            low[x] = low.get(x, 1) + LEADING * n
+        strong = high @ w
+    margin, _ = scorer.best(seen, len(sentences))
+    by_doc = np.zeros(len(docs))
+    np.maximum.at(by_doc, np.array([number[d] for d, _, _ in sentences]), margin)
+    slope, shift = _logistic(by_doc, y.astype(float))
+    return ToxicityModel(chosen, nystroem @ w, slope, shift)
+
+
+def _svm(high: np.ndarray, low: np.ndarray, times: np.ndarray, penalty: float, steps: int = 30) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss, both classes of equal weight, low rows weighing ``times``; Newton's method with halved steps."""
     x = np.concatenate([high, low])
     y = np.concatenate([np.ones(len(high)), -np.ones(len(low))])
-    s = np.concatenate([np.full(len(high), 0.5 / len(high)), np.full(len(low), 0.5 / len(low))])
+    s = np.concatenate([np.full(len(high), 0.5 / len(high)), 0.5 * times / times.sum()])
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    rate = 1.0 / (2 * np.linalg.norm(x * np.sqrt(s)[:, None], 2) ** 2 + penalty)
-    w = v = np.zeros(x.shape[1])
-    for k in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ v))
-        step = v - rate * (-2 * x.T @ (s * y * slack) + penalty * np.append(v[:-1], 0))
-        v = step + k / (k + 3) * (step - w)
-        w = step
+    ridge = np.append(np.full(x.shape[1] - 1, penalty), 1e-9)
+    loss = lambda w: float((s * np.maximum(0, 1 - y * (x @ w)) ** 2).sum() + 0.5 * (ridge * w * w).sum())
+    w = np.zeros(x.shape[1])
+    now = loss(w)
+    for _ in range(steps):
+        slack = 1 - y * (x @ w)
+        on = slack > 0
+        own = x[on] * s[on, None]
+        step = np.linalg.solve(2 * own.T @ x[on] + np.diag(ridge), ridge * w - 2 * own.T @ (y[on] * slack[on]))
+        size = 1.0
+        while size > 1e-3 and loss(w - size * step) > now:
+            size /= 2
+        before, w = now, w - size * step
+        now = loss(w)
+        if before - now < 1e-9:
+            break
     return w[:-1], float(w[-1])
 
 
@@ -265,77 +435,44 @@ def _logistic(margin: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[floa
     return float(slope), float(w[1] - slope * center)
 
 
-def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most_docs: int = 2400) -> ToxicityModel:
+def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most_docs: int = 2400, sentences_per_doc: int = 200, sentence_chars: int = 500) -> ToxicityModel:
     """Fit on sentences of about ``most_docs`` labelled documents, half of them toxic if there are so many.
 
-    Documents are drawn by hash at rates from their counts, which bounds what reaches the driver; all their
-    sentences are taken, as any may hold the insult, and as a text's score is its largest. Rows with a null id,
-    text or label are not learned from.
+    Documents are drawn by hash at rates from their counts. A sentence of over ``sentence_chars`` characters is
+    cut into several, and of a document with more than ``sentences_per_doc`` that many are drawn by hash.
+    The three parameters bound what reaches the driver; scoring has no bounds. Rows with a null id, text or
+    label are not learned from.
     """
     scratch = Scratch(docs.sparkSession, "toxic")
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learnable).select(F.col("doc_id").alias("id"), (F.col("toxic") > 0).cast("int").alias("y")).groupBy("id").agg(F.max("y").alias("y"))
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chance = lambda *c: F.pmod(F.xxhash64(F.lit("toxic"), *c), F.lit(1 << 20)) / F.lit(1 << 20)
+    chance = F.pmod(F.xxhash64(F.lit("toxic"), "id"), F.lit(1 << 20)) / F.lit(1 << 20)
     rate = F.when(F.col("y") == 1, most_docs / 2 / max(1, n.get(1, 0))).otherwise(most_docs / 2 / max(1, n.get(0, 0)))
-    drawn = scratch.write(known.where(chance("id") < rate), "drawn")
+    drawn = scratch.write(known.where(chance < rate), "drawn")
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("id"))
-    cut = texts.select("id", "y", F.explode(F.split("text", r"(?<=[.!?])\s+|\n")).alias("sentence")).where(F.length("sentence") > 0)
-    got = cut.orderBy("id", "sentence").toPandas()
-    return fit([(int(i), int(y), s.encode()) for i, y, s in zip(got["id"], got["y"], got["sentence"], strict=True)])
+    cut = F.flatten(F.transform(F.split("text", r"(?<=[.!?])\s+|\n"), lambda s: F.regexp_extract_all(s, F.lit(f"(?s).{{1,{int(sentence_chars)}}}"), F.lit(0))))
+    few = F.slice(F.array_sort(F.transform(cut, lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("s")))), 1, sentences_per_doc)
+    got = texts.select(F.col("id").cast("string").alias("id"), "y", F.explode(few).alias("x")).select("id", "y", "x.s").orderBy("id", "s").toPandas()
+    code = {i: k for k, i in enumerate(dict.fromkeys(got["id"]))}
+    return fit([(code[i], int(y), s) for i, y, s in zip(got["id"], got["y"], got["s"], strict=True)])
 
 
 def _score(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, marks = Powers(), Landmarks(model.landmarks)
-        known, values = np.zeros(0, dtype=np.uint64), np.zeros(0)
-        for batch in batches:
-            texts = batch.column("text")
-            words = Words(texts, powers, spans=True)
-            best = np.full(len(texts), model.bias)
-            cuts = _cuts(words.first, 1 << 20)
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                lo, hi = words.first[a], words.first[b]
-                if lo == hi:
-                    continue
-                if len(known) > _CACHE:
-                    known, values = known[:0], values[:0]
-                unique, first, where = np.unique(words.hash[lo:hi], return_index=True, return_inverse=True)
-                new = np.ones(len(unique), dtype=bool)
-                if len(known):
-                    new = known[np.minimum(np.searchsorted(known, unique), len(known) - 1)] != unique
-                if new.any():
-                    fresh = word_margins([words.text(int(lo + i)) for i in first[new]], marks, model.weights, model.bias)
-                    known, values = np.concatenate([known, unique[new]]), np.concatenate([values, fresh])
-                    order = np.argsort(known)
-                    known, values = known[order], values[order]
-                margin = values[np.searchsorted(known, unique)][where]
-                filled = a + np.flatnonzero(np.diff(words.first[a : b + 1]))
-                best[filled] = np.maximum.reduceat(margin, words.first[filled] - lo)
-            for k in _spelled(words):
-                own = [words.text(i) for i in range(words.first[k], words.first[k + 1])]
-                joined = units(own)[len(own) :]
-                if joined:
-                    best[k] = max(best[k], float(word_margins(joined, marks, model.weights, model.bias).max()))
-            p = 1 / (1 + np.exp(-np.clip(model.slope * best + model.shift, -30, 30)))
+        scorer = Scorer(model.landmarks, model.weights)
+        for batch in slices(batches, most_bytes=1 << 21):
+            margin = scorer.texts(batch.column("text"))
+            p = 1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(p, pa.float64())], names=["row", "score"])
 
     return run
 
 
-def _spelled(words: Words) -> list[int]:
-    """Texts with three one-byte words in a row."""
-    if words.end is None or len(words.hash) < 3:
-        return []
-    one = (words.end - words.start) == 1
-    three = np.flatnonzero(one[:-2] & one[1:-1] & one[2:])
-    return sorted(set((np.searchsorted(words.first, three, side="right") - 1).tolist()))
-
-
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
-    """Score every whole text for toxicity, 0 to 1.
+    """Score every whole text for toxicity, 0 to 1: the most toxic window of any of its sentences counts.
 
     Returns ``row`` (a struct of the ``keep`` columns, all by default) and ``score``. Null and empty texts
-    get the score of a text without any telling word. Repeated rows and ids are scored one by one. An
+    get the score of a text without any telling window. Repeated rows and ids are scored one by one. An
     empty table gives no rows.
     """
     make_importable(docs.sparkSession)
