@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rows import numbered, with_row
 from .scratch import Scratch
+from .wordhash import slices
 
 #: White space that is stripped from both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -46,47 +47,51 @@ def _holder(doc_id: Column, text: Column) -> Column:
     return (number * F.lit(10**18).cast("decimal(19,0)") + F.pmod(F.xxhash64(text), F.lit(10**18)).cast("decimal(18,0)")).cast("decimal(38,0)")
 
 
+def _same_key(keys: DataFrame, others: DataFrame, how: str) -> DataFrame:
+    return keys.join(others.select("h1", "h2").hint("merge"), ["h1", "h2"], how)
+
+
 class LineRuns:
     """Levelled runs of (h1, h2, n): key hashes, sorted inside each file, and the number of documents that hold the key.
 
     With ``holders`` there is also the smallest holder of each key.
 
-    A batch is merge-joined with the runs: keys that no run has (anti-join) are counted as fresh, and the
-    batch becomes a run of its own on level 0. When a level has ``fanout`` runs they are merged into one on
-    the next level, so a table of B batches has O(log B) runs to look into.
+    A batch merge-anti-joins the settled run, that of the keys already found in ``enough`` documents: these are
+    counted no more. What is left becomes a run of its own on level 0. When a level has ``fanout`` runs they are
+    compacted into one on the next level, counts added; keys that reach ``enough`` there move to the
+    settled run. So a table of B batches has O(log B) runs, and no run holds a key that is known to be frequent.
+    Batches come in the order of their holders, so a settled key has met its smallest one.
     """
 
-    def __init__(self, scratch: Scratch, fanout: int = 2, holders: bool = False):
-        self.scratch, self.fanout, self.levels = scratch, fanout, []
+    def __init__(self, scratch: Scratch, enough: int = 10, fanout: int = 2, holders: bool = False):
+        self.scratch, self.enough, self.fanout = scratch, enough, fanout
+        self.levels: list[list[DataFrame]] = []
+        self.settled: list[DataFrame] = []
         self.extra = ["holder"] if holders else []
 
     def runs(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
-
-    def _all(self) -> DataFrame | None:
-        out = None
-        for r in self.runs():
-            out = r if out is None else out.unionByName(r)
-        return out
+        return [*self.settled, *(r for level in self.levels for r in level)]
 
     def fresh(self, keys: DataFrame) -> DataFrame:
         """Rows of ``keys`` (h1, h2, ...) whose key no run has."""
         for r in self.runs():
-            keys = keys.join(r.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+            keys = _same_key(keys, r, "left_anti")
         return keys
 
-    def known(self, keys: DataFrame) -> DataFrame:
-        """Rows of ``keys`` whose key some run has."""
-        have = self._all()
-        return keys.limit(0) if have is None else keys.join(have.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_semi")
-
     def _sorted(self, df: DataFrame, name: str) -> DataFrame:
         return self.scratch.write(df.select("h1", "h2", "n", *self.extra).repartition("h1", "h2").sortWithinPartitions("h1", "h2"), name)
 
+    def _summed(self, runs: list[DataFrame]) -> DataFrame:
+        both = runs[0]
+        for r in runs[1:]:
+            both = both.unionByName(r)
+        return both.groupBy("h1", "h2").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in self.extra])
+
     def add(self, counts: DataFrame) -> None:
-        """Add a batch of (h1, h2, n), each key once: fresh keys and new counts of known ones."""
-        own = counts if not self.runs() else self.fresh(counts).unionByName(self.known(counts))
-        self._push(self._sorted(own, "run"), 0)
+        """Add a batch of (h1, h2, n), each key once."""
+        for r in self.settled:
+            counts = _same_key(counts, r, "left_anti")
+        self._push(self._sorted(counts, "run"), 0)
 
     def _push(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
@@ -94,63 +99,81 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            self._push(self._merge(old), level + 1)
-
-    def _merge(self, old: list[DataFrame]) -> DataFrame:
-        both = old[0]
-        for r in old[1:]:
-            both = both.unionByName(r)
-        new = self._sorted(both.groupBy("h1", "h2").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in self.extra]), "merged")
-        self.scratch.drop(*old)
-        return new
-
-    def totals(self) -> DataFrame:
-        """One run with every key and its number of documents."""
-        if len(self.runs()) > 1:
-            self.levels = [[], [self._merge(self.runs())]]
-        return self.runs()[0]
-
-
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, most_broadcast: int = MOST_BROADCAST, keep_one: bool = False) -> DataFrame:
+            both = self.scratch.write(self._summed(old), "merged")
+            settled = [*self.settled, self._sorted(both.where(F.col("n") >= self.enough), "found")]
+            rest = self._sorted(both.where(F.col("n") < self.enough), "rest")
+            if len(settled) > self.fanout:
+                settled, gone = [self._sorted(self._summed(settled), "settled")], settled
+                old += gone
+            self.settled = settled
+            self.scratch.drop(*old, both)
+            self._push(rest, level + 1)
+
+    def frequent(self) -> DataFrame:
+        """(h1, h2) and the smallest holder of every key found in ``enough`` documents."""
+        last = self._summed(self.runs()).where(F.col("n") >= self.enough) if self.runs() else None
+        if last is None:
+            raise ValueError("no batch was added")
+        return self.scratch.write(last.select("h1", "h2", *self.extra), "frequent")
+
+
+def _batches(docs: DataFrame, docs_per_batch: int, least: int) -> tuple[Column, int]:
+    """Number of a document's batch, ranges of doc_id of about equal size (null ids in the last), and how many there are."""
+    n = max(least, -(-docs.count() // docs_per_batch))
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000).alias("cuts")).first()["cuts"] or []
+    number = F.lit(0)
+    for c in sorted(set(cuts)):
+        number = number + (F.coalesce(F.col("doc_id") > c, F.lit(True))).cast("int")
+    return number, len(set(cuts)) + 1
+
+
+def drop_frequent_lines(
+    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, docs_per_batch: int = 1 << 28, least_batches: int = 4, most_broadcast: int = MOST_BROADCAST, keep_one: bool = False
+) -> DataFrame:
     """Drop from every document all lines whose key stands in ``min_docs`` documents or more.
 
     With ``keep_one`` one holder of each such key, the row with the smallest doc_id, keeps its lines.
 
     A key is the line without ASCII white space at both ends, A-Z lower-cased; keys of fewer than
-    ``min_chars`` code points are never dropped. Documents go through :class:`LineRuns` in ``batches``;
-    afterwards the frequent keys are known exactly. Where they are at most ``most_broadcast`` (counted, 16
-    bytes each), every task looks its lines up in them; otherwise the documents' line hashes are joined
-    with them. Hashes have 128 bits.
+    ``min_chars`` code points are never dropped. Documents go through :class:`LineRuns` in batches, ranges of
+    doc_id of about ``docs_per_batch`` documents, ``least_batches`` of them at least; afterwards the frequent
+    keys are known exactly. Where they are at most ``most_broadcast`` (counted, 24 bytes each), every task looks
+    its lines up in them; beyond that the documents' line hashes are joined with them. Hashes have 128 bits.
 
     Returns ``row`` (a struct of all input columns, so names can't clash), ``kept`` (the other lines joined
     by newlines), ``n_lines`` (before) and ``n_dropped``. Null or empty text is one empty line. Every row
-    is a document of its own, also where doc_ids repeat or are null. An empty table gives no rows.
+    is a document of its own, also where doc_ids (whole numbers) repeat or are null. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-    own = [_holder(F.col("doc_id"), F.col("text")).alias("holder")] if keep_one else []
-    extra = ["holder"] if keep_one else []
-    keys = docs.select(batch.alias("batch"), *own, F.explode(_keys_of(F.col("text"), min_chars)).alias("key"))
-    counts = scratch.write(keys.groupBy("batch", "key.h1", "key.h2").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in extra]), "counts")
-    runs = LineRuns(scratch, holders=keep_one)
+    own = {"holder": _holder(F.col("doc_id"), F.col("text"))} if keep_one else {}
+    batch, batches = _batches(docs, docs_per_batch, least_batches)
+    keys = docs.select(batch.alias("batch"), *[c.alias(n) for n, c in own.items()], F.explode(_keys_of(F.col("text"), min_chars)).alias("key"))
+    counts = scratch.write(keys.groupBy("batch", "key.h1", "key.h2").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in own]), "counts", by="batch")
+    runs = LineRuns(scratch, min_docs, holders=keep_one)
     for b in range(batches):
-        runs.add(counts.where(F.col("batch") == b).select("h1", "h2", "n", *extra))
-    frequent = scratch.write(runs.totals().where(F.col("n") >= min_docs).select("h1", "h2", *extra), "frequent")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", *own)
+        runs.add(counts.where(F.col("batch") == b).select("h1", "h2", "n", *own))
+    scratch.drop(counts)
+    frequent = runs.frequent()
+    holder = {n: F.xxhash64(c) for n, c in own.items()}
     if frequent.count() <= most_broadcast:
-        held = frequent.toPandas().sort_values(["h1", "h2"])
-        kind = T.StructType([packed.schema["row"], T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-        return packed.mapInArrow(_without(held["h1"].to_numpy(np.int64), dict(zip(zip(held["h1"], held["h2"], strict=True), held["holder"] if keep_one else [None] * len(held), strict=True)), min_chars, keep_one), kind)
+        packed, text = numbered(docs, None, **holder)
+        held = frequent.select("h1", "h2", *[F.xxhash64(c).alias(c) for c in own]).toPandas().sort_values(["h1", "h2"])
+        arrays = [held[c].to_numpy(np.int64) for c in ("h1", "h2", *own)]
+        kind = T.StructType([*[f for f in packed.schema if f.name != "holder"], T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+        return with_row(packed.mapInArrow(_without(arrays, text, min_chars), kind), docs, None, "kept", "n_lines", "n_dropped")
+    frequent = frequent.select("h1", "h2", *[F.xxhash64(c).alias(c) for c in own])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", *[c.alias(n) for n, c in holder.items()])
     ident = [F.coalesce(F.xxhash64("text"), F.lit(0)).alias("t1"), F.xxhash64(F.concat(F.lit("#"), F.coalesce("text", F.lit("")))).alias("t2")]
     found = (
         docs.select("text")
         .select(*ident, F.explode(_keys_of(F.col("text"), min_chars)).alias("key"))
         .select("t1", "t2", "key.h1", "key.h2")
+        .distinct()
         .join(frequent.hint("merge"), ["h1", "h2"])
         .groupBy("t1", "t2")
-        .agg(F.collect_set(F.struct("h1", "h2", *extra)).alias("gone"))
+        .agg(F.collect_list(F.struct("h1", "h2", *own)).alias("gone"))
     )
-    joined = packed.select("row", "text", *extra, *ident).join(found.hint("merge"), ["t1", "t2"], "left")
+    joined = packed.select("row", "text", *own, *ident).join(found.hint("merge"), ["t1", "t2"], "left")
     if keep_one:
         joined = joined.withColumn("gone", F.transform(F.filter("gone", lambda g: g["holder"] != F.col("holder")), lambda g: F.struct(g["h1"].alias("h1"), g["h2"].alias("h2"))))
     joined = joined.withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<struct<h1:bigint,h2:bigint>>)")))
@@ -158,29 +181,35 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     return joined.select("row", F.array_join(kept, "\n").alias("kept"), F.size(_lines(F.col("text"))).cast("long").alias("n_lines"), (F.size(_lines(F.col("text"))) - F.size(kept)).cast("long").alias("n_dropped"))
 
 
-def _without(first: np.ndarray, both: dict[tuple[int, int], Decimal | None], min_chars: int, keep_one: bool):
+def _without(frequent: list[np.ndarray], text_column: str, min_chars: int):
+    """Texts without their frequent lines; ``frequent`` has h1 (sorted), h2 and, where one holder keeps a line, that row's hash."""
     blanks = BLANKS.encode()
+    first, second, *holders = frequent
+
+    def listed(h1: int, at: int, key: bytes, holder: int | None) -> bool:
+        while at < len(first) and first[at] == h1:
+            h2 = xxhash.xxh64_intdigest(b"#" + key, seed=42)
+            if second[at] == h2 - (h2 >> 63 << 64):
+                return holder is None or holders[0][at] != holder
+            at += 1
+        return False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text_column):
             kept, n_lines, n_dropped = [], [], []
-            own = batch.column("holder").to_pylist() if keep_one else [None] * batch.num_rows
-            for text, holder in zip(batch.column("text").to_pylist(), own, strict=True):
-                lines = (text or "").encode().split(b"\n")
+            own = batch.column("holder").to_pylist() if holders else [None] * batch.num_rows
+            for text, holder in zip(batch.column(text_column), own, strict=True):
+                lines = (text.as_py() or "").encode().split(b"\n")
                 keys = [x.strip(blanks).lower() for x in lines]
                 h1 = np.array([xxhash.xxh64_intdigest(k, seed=42) for k in keys], dtype=np.uint64).view(np.int64)
                 at = np.searchsorted(first, h1)
-                maybe = np.flatnonzero(first[np.minimum(at, len(first) - 1)] == h1) if len(first) else ()
-                gone = set()
-                for k in maybe:
-                    h2 = xxhash.xxh64_intdigest(b"#" + keys[k], seed=42)
-                    key = int(h1[k]), h2 - (h2 >> 63 << 64)
-                    if key in both and not (keep_one and both[key] == holder) and len(keys[k].decode()) >= min_chars:
-                        gone.add(int(k))
+                maybe = np.flatnonzero(first[np.minimum(at, len(first) - 1)] == h1).tolist() if len(first) else ()
+                gone = {k for k in maybe if listed(h1[k], int(at[k]), keys[k], holder) and len(keys[k].decode()) >= min_chars}
                 kept.append(b"\n".join(x for k, x in enumerate(lines) if k not in gone).decode())
                 n_lines.append(len(lines))
                 n_dropped.append(len(gone))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=["row", "kept", "n_lines", "n_dropped"])
+            names = [n for n in batch.schema.names if n != "holder"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "kept", "n_lines", "n_dropped"])
 
     return run
 
@@ -202,16 +231,18 @@ def dedup_batch(docs: DataFrame, runs: LineRuns, min_chars: int = 1) -> DataFram
     return out
 
 
+#: Every row is a document of its own, also where doc_ids repeat.
 LINES_SQL = """
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
-  FROM documents),
+WITH rows AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
+lines AS (
+  SELECT doc_id, row, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place
+  FROM rows),
 keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM lines),
-frequent AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+frequent AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT row) >= 10),
 marked AS (SELECT k.*, f.key IS NOT NULL AS gone FROM keyed k LEFT JOIN frequent f ON k.key = f.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY row, doc_id
 """

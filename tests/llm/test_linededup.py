@@ -46,7 +46,44 @@ def test_batches_keep_first(spark):
         want = {i: "\n".join(x for x in t.split("\n") if not x or x.lower() not in seen) for i, t in rows}
         assert got == want
         seen |= {x.lower() for _, t in rows for x in t.split("\n")}
-    assert len(runs.runs()) <= 3
+    assert len(runs.runs()) <= 4
+
+
+def test_settled_keys_are_counted_no_more(spark):
+    """The anti-join decides: what has enough documents leaves the levels and is not added again."""
+    scratch = Scratch(spark, "t")
+    runs = LineRuns(scratch, enough=3, fanout=2, holders=True)
+    batch = lambda b: spark.createDataFrame([(1, 1, 2, 10 * b), (2, 2, 1, 10 * b + 1), (100 + b, 0, 1, 10 * b + 2)], "h1 long, h2 long, n long, holder long")
+    for b in range(8):
+        runs.add(batch(b))
+        left = [r["h1"] for level in runs.levels for run in level for r in run.collect()]
+        assert left.count(1) == (1 if b == 0 else 0) and (b < 3 or left.count(2) == 0)
+    assert sorted(map(tuple, runs.frequent().collect())) == [(1, 1, 0), (2, 2, 1)]
+    assert sorted(r["h1"] for r in runs.levels[-1][0].collect()) == [100 + b for b in range(8)]
+    files = runs.levels[-1][0].inputFiles()
+    assert all([x for x in (tuple(r) for r in spark.read.parquet(f).select("h1", "h2").collect())] == sorted(tuple(r) for r in spark.read.parquet(f).select("h1", "h2").collect()) for f in files)
+
+
+def test_sql_agrees_on_repeated_ids(spark):
+    import duckdb
+
+    from reelspan.llm.linededup import LINES_SQL
+
+    docs = spark.createDataFrame([(i, t) for i, t in table(7)], "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    want = con.execute(LINES_SQL).fetchall()
+    got = drop_frequent_lines(docs, 10, 1).selectExpr("row.doc_id", "n_lines", "n_dropped", "sha2(cast(kept as binary), 256)").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_batches_of_nulls_and_repeats(spark):
+    runs = LineRuns(Scratch(spark, "t"))
+    first = spark.createDataFrame([(1, "a\nb"), (1, "a\nb"), (None, None), (2, "")], "doc_id long, text string")
+    assert sorted(map(tuple, dedup_batch(first, runs).collect()), key=str) == sorted([(1, "a\nb"), (None, ""), (2, "")], key=str)
+    again = spark.createDataFrame([(1, "A \nc"), (None, "b"), (3, None)], "doc_id long, text string")
+    assert sorted(map(tuple, dedup_batch(again, runs).collect()), key=str) == sorted([(1, "c"), (None, ""), (3, "")], key=str)
+    assert dedup_batch(first.limit(0), runs).count() == 0
 
 
 def test_keep_one_leaves_each_frequent_line_with_its_smallest_holder(spark):
