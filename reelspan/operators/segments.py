@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Events with plenty of pictures.
 SWEEP_EVENTS = (
-    "french revolution|american revolution|russian revolution|industrial revolution|scientific revolution|haitian revolution|cuban revolution|"
-    "iranian revolution|chinese revolution|world war i|world war ii|world war 1|world war 2|first world war|second world war|cold war|vietnam war|"
-    "civil war|napoleonic wars|crusades|renaissance|enlightenment|reformation|middle ages|ancient rome|ancient greece|roman empire|british empire|"
-    "colonial era|civil rights movement|women's suffrage|great depression|space race|manhattan project|age of exploration|silk road"
-).split("|")
+    "french revolution", "american revolution", "russian revolution", "industrial revolution", "scientific revolution", "haitian revolution",
+    "cuban revolution", "iranian revolution", "chinese revolution", "world war i", "world war ii", "world war 1", "world war 2", "first world war",
+    "second world war", "cold war", "vietnam war", "civil war", "napoleonic wars", "crusades", "renaissance", "enlightenment", "reformation",
+    "middle ages", "ancient rome", "ancient greece", "roman empire", "british empire", "colonial era", "civil rights movement", "women's suffrage",
+    "great depression", "space race", "manhattan project", "age of exploration", "silk road",
+)
 # Language of lists.
 ENUMERATION = (
     r"\b(leaders? like|people like|countries like|nations like)\b",
@@ -23,6 +22,8 @@ ENUMERATION = (
     r"\b(from .+ to .+ to)\b",
     r"\b(\w+,\s+\w+,\s+and\s+\w+)\b",
 )
+#: What a text must hold for any of these: the same, but of the last one only its middle, without word characters.
+_LISTS = (*ENUMERATION[:5], r"and\s")
 # Language of processes, in order of precedence.
 PROCESS = {
     "start": (
@@ -63,18 +64,38 @@ def any_of(patterns: tuple[str, ...], flags: str = "(?iU)") -> str:
     return flags + "|".join(f"(?:{p})" for p in patterns)
 
 
+def _may_match(patterns: tuple[str, ...], text: Column) -> Column:
+    """A cheap test that every text with a match passes: the patterns, begun at an ASCII boundary, on lower-cased text.
+
+    An ASCII boundary stands wherever a Unicode one does before an ASCII letter; patterns that may begin with a sign
+    are looked for anywhere. One boundary is tested for all patterns together, so most places cost one comparison.
+    """
+    bare = [p.replace(r"\b", "").replace(r"\s", r"[\s\x85\p{Z}]").replace(r"\d", r"\p{Nd}") for p in patterns]
+    signs = [b for b in bare if "#" in b]
+    return F.translate(F.lower(text), "\u017f\u0131", "si").rlike("|".join([r"\b(?:" + "|".join(bare) + ")", *signs]))
+
+
+def _marker(text: Column) -> Column:
+    """The first kind of process marker that a text has, or null. The full patterns run on the few texts that may match."""
+    kind = F.lit(None).cast("string")
+    for k in reversed(PROCESS):
+        kind = F.when(text.rlike(any_of(PROCESS[k])), k).otherwise(kind)
+    return F.when(_may_match(sum(PROCESS.values(), ()), text), kind)
+
+
 def process_markers(cues: DataFrame) -> DataFrame:
     """The one kind of process marker of each cue that has any."""
-    kind = reduce(lambda w, k: w.when(F.col("text").rlike(any_of(PROCESS[k])), k), list(PROCESS)[1:], F.when(F.col("text").rlike(any_of(PROCESS["start"])), "start"))
-    return cues.withColumn("marker", kind).where("marker is not null")
+    likely = cues.where(_may_match(sum(PROCESS.values(), ()), F.col("text")))
+    return likely.withColumn("marker", _marker(F.col("text"))).where("marker is not null")
 
 
 def density_clusters(occ: DataFrame, window_ms: int = 8000, least: int = 3, most_images: int = 5) -> DataFrame:
     """Stretches of ``window_ms`` with ``least`` different entities, none sharing a cue with one before.
 
     Candidates are a range window; since a range also holds mentions at the same time that come before,
-    these are filtered out. Taking or leaving candidates is a fold per transcript over those candidates only,
-    inside the JVM.
+    these are filtered out. Taking or leaving candidates is one fold per transcript over those candidates only,
+    inside the JVM: as cues are numbered in order of time, a candidate shares a cue with those taken if it begins at or
+    before the last cue taken.
     """
     seq = F.row_number().over(Window.partitionBy("transcript_id").orderBy("ms", "cue_idx"))
     ahead = Window.partitionBy("transcript_id").orderBy("ms").rangeBetween(0, window_ms)
@@ -82,17 +103,15 @@ def density_clusters(occ: DataFrame, window_ms: int = 8000, least: int = 3, most
     near = F.collect_list(F.struct("seq", "entity", "cue_idx")).over(ahead)
     seen = ranked.withColumn("near", F.filter(near, lambda x: x["seq"] >= F.col("seq")))
     found = seen.select(
-        "transcript_id", "seq", "ms", "cue_idx", F.array_sort(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entities"), F.array_distinct(F.transform("near", lambda x: x["cue_idx"])).alias("cues")
+        "transcript_id", "seq", "ms", "cue_idx", F.array_sort(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entities"), F.array_max(F.transform("near", lambda x: x["cue_idx"])).alias("last_cue")
     ).where(F.size("entities") >= least)
-    rows = found.groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("seq", "ms", "cue_idx", "entities", "cues"))).alias("rows"))
-    fold = F.expr(
-        """aggregate(rows, named_struct('used', cast(array() as array<int>), 'kept', cast(array() as array<int>)),
-             (a, r) -> if(arrays_overlap(a.used, r.cues), a,
-                          named_struct('used', concat(a.used, r.cues), 'kept', concat(a.kept, array(r.seq)))),
+    rows = found.groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("seq", "ms", "cue_idx", "entities", "last_cue"))).alias("rows"))
+    kept = F.expr(
+        """aggregate(rows, named_struct('last', cast(null as int), 'kept', slice(rows, 1, 0)),
+             (a, r) -> if(a.last >= r.cue_idx, a, named_struct('last', cast(r.last_cue as int), 'kept', concat(a.kept, array(r)))),
              a -> a.kept)"""
     )
-    kept = rows.select("transcript_id", F.filter("rows", lambda r: F.array_contains(fold, r["seq"])).alias("rows"))
-    each = kept.select("transcript_id", F.posexplode("rows").alias("k", "r"))
+    each = rows.select("transcript_id", F.posexplode(kept).alias("k", "r"))
     return each.select(
         "transcript_id",
         F.format_string("density_%03d", F.col("k") + 1).alias("montage_id"),
@@ -116,7 +135,7 @@ def sweep_events(entities: DataFrame) -> DataFrame:
 
 def enumerations(cues: DataFrame, occ: DataFrame) -> DataFrame:
     """Cues in the language of lists, with the entities mentioned in them."""
-    hits = cues.where(F.col("text").rlike(any_of(ENUMERATION)))
+    hits = cues.where(_may_match(_LISTS, F.col("text"))).where(F.col("text").rlike(any_of(ENUMERATION)))
     named = occ.groupBy("transcript_id", "cue_idx").agg(F.array_sort(F.collect_set("entity")).alias("entities"))
     joined = hits.join(named.hint("merge"), ["transcript_id", "cue_idx"], "left").withColumn("entities", F.coalesce("entities", F.expr("cast(array() as array<string>)")))
     number = F.row_number().over(Window.partitionBy("transcript_id").orderBy("cue_idx"))
@@ -155,10 +174,8 @@ def sliding_windows(cues: DataFrame, size: int = 8, step: int = 5, extension: in
     """
     whole = Window.partitionBy("transcript_id")
     order = whole.orderBy("cue_idx")
-    marks = F.lit(None).cast("string")
-    for kind in reversed(PROCESS):
-        marks = F.when(F.col("text").rlike(any_of(PROCESS[kind])), kind).otherwise(marks)
-    numbered = cues.select("transcript_id", F.row_number().over(order).alias("rn"), F.count(F.lit(1)).over(whole).alias("n"), marks.alias("mark"))
+    marked = cues.select("transcript_id", "cue_idx", _marker(F.col("text")).alias("mark"))
+    numbered = marked.select("transcript_id", F.row_number().over(order).alias("rn"), F.count(F.lit(1)).over(whole).alias("n"), "mark")
     closing = F.min(F.when(F.col("mark").isin("end", "topic_shift"), F.col("rn"))).over(whole.orderBy("rn").rowsBetween(1, extension))
     numbered = numbered.withColumn("close", closing)
     first = F.greatest(F.lit(1), F.ceil((F.col("rn") - size) / step) * step + 1).cast("int")
@@ -192,6 +209,13 @@ def sample_cues(cues: DataFrame) -> DataFrame:
     return counted.withColumn("have", have).withColumn("rank", rank).where(keep).select(*cues.columns)
 
 
+def worth_showing(elements: DataFrame) -> DataFrame:
+    """Elements without quotes marked as not quotable and processes of fewer than two steps; a quote without a mark is quotable."""
+    quote = (F.col("element_type") != "quote") | F.coalesce("is_quotable", F.lit(True))
+    process = (F.col("element_type") != "process") | (F.coalesce(F.size("steps"), F.lit(0)) >= 2)
+    return elements.where(quote & process)
+
+
 def content_key(kind: Column, first: Column, second: Column) -> Column:
     """What two elements of a kind and cue must share to be the same."""
     return F.when(kind == "quote", F.substring(first, 1, 50)).otherwise(F.concat_ws("\x1f", first, second))
