@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,20 +24,50 @@ def lookup(wanted: DataFrame, entities: DataFrame) -> DataFrame:
     return left.join(right.hint("merge"), ["transcript_id", "low"]).withColumn("k", best).where("k = 1").drop("k", "low")
 
 
+_GROUP = ["transcript_id", "entity_type"]
+
+
+def _rarest_first(grams: DataFrame, keep: Column) -> DataFrame:
+    """Of each name's grams those first by frequency in the group, as many as ``keep`` says."""
+    counted = grams.groupBy(*_GROUP, "gram").agg(F.count(F.lit(1)).alias("many"))
+    order = F.row_number().over(Window.partitionBy(*_GROUP, "name").orderBy("many", "gram"))
+    return grams.join(counted.hint("merge"), [*_GROUP, "gram"]).withColumn("k", order).where(F.col("k") <= keep).select(*_GROUP, "name", "gram")
+
+
+def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.withColumnRenamed("name", "a_name").join(right.withColumnRenamed("name", "b_name").hint("merge"), [*_GROUP, "gram"]).where("a_name <> b_name").select(*_GROUP, "a_name", "b_name").distinct()
+
+
 def similar_pairs(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Ordered pairs of a transcript's entities of one type, one name within the other or alike by ``threshold``.
 
-    The edit distance bounds the ratio from above (matched characters are at most half of both lengths less
-    the distance), so only pairs that may pass reach Python.
+    Names meet by equality, not all with all. A name within another shares its rarest pair of letters with it.
+    Names alike by the threshold share as many letters, counted with repeats, as the ratio asks for, so each
+    has one of them among its rarest ones, one more than it may lack (a prefix filter). The edit distance bounds the
+    ratio from above (matched characters are at most half of both lengths less the distance), so only pairs
+    that may pass reach Python. Blank names are left out.
     """
-    side = lambda p: entities.select("transcript_id", "entity_type", F.col("entity").alias(f"{p}_name"), F.col("entity_seq").alias(f"{p}_seq"), F.lower("entity").alias(f"{p}_low"))
-    pairs = side("a").join(side("b").hint("merge"), ["transcript_id", "entity_type"]).where("a_name <> b_name")
+    named = entities.where(F.trim("entity") != "").select(*_GROUP, F.col("entity").alias("name"), F.lower("entity").alias("low"))
+    size = F.char_length("low")
+    pairs = F.when(size > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.substring("low", i, F.lit(2)))))
+    letters = F.array_distinct(F.split("low", ""))
+    every = named.select(*_GROUP, "name", F.explode(F.concat(F.coalesce(pairs, F.expr("cast(array() as array<string>)")), letters)).alias("gram"))
+    own = named.select(*_GROUP, "name", F.explode(F.when(size > 1, pairs).otherwise(letters)).alias("gram"))
+    inside = _meet(_rarest_first(own, F.lit(1)), every)
+    # the n-th of a letter is a gram of its own
+    numbered = F.expr("transform(split(low, ''), (c, i) -> concat(c, size(filter(slice(split(low, ''), 1, i + 1), x -> x = c))))")
+    counted = named.select(*_GROUP, "name", size.alias("size"), F.explode(numbered).alias("gram"))
+    first = _rarest_first(counted, F.col("size") - F.ceil(F.col("size") * threshold / (2 - threshold) - 1e-9) + 1)
+    alike = _meet(first, first)
+    met = inside.unionByName(inside.select(*_GROUP, F.col("b_name").alias("a_name"), F.col("a_name").alias("b_name"))).unionByName(alike).distinct()
+    side = lambda p: entities.select(*_GROUP, F.col("entity").alias(f"{p}_name"), F.col("entity_seq").alias(f"{p}_seq"), F.lower("entity").alias(f"{p}_low"))
+    full = met.join(side("a").hint("merge"), [*_GROUP, "a_name"]).join(side("b").hint("merge"), [*_GROUP, "b_name"])
     within = F.contains("a_low", F.col("b_low")) | F.contains("b_low", F.col("a_low"))
     total = F.char_length("a_low") + F.char_length("b_low")
     near = F.levenshtein("a_low", "b_low") <= (1 - threshold) * total + 1e-9
-    contained = pairs.where(within)
-    alike = pairs.where(~within & near).withColumn("ratio", similarity("a_low", "b_low")).where(F.col("ratio") >= threshold).drop("ratio")
-    return contained.unionByName(alike).select("transcript_id", "entity_type", "a_name", "a_seq", "b_name", "b_seq")
+    contained = full.where(within)
+    passing = full.where(~within & near).withColumn("ratio", similarity("a_low", "b_low")).where(F.col("ratio") >= threshold).drop("ratio")
+    return contained.unionByName(passing).select(*_GROUP, "a_name", "a_seq", "b_name", "b_seq")
 
 
 def fuzzy_clusters(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -78,20 +108,21 @@ def merge_clusters(entities: DataFrame, clusters: DataFrame) -> DataFrame:
     size = F.count(F.lit(1)).over(Window.partitionBy("transcript_id", "cluster"))
     found = found.withColumn("m", size).where("m >= 2").select("transcript_id", "cluster", "at", F.col("found").alias("entity"))
     rows = found.join(entities.hint("merge"), ["transcript_id", "entity"])
-    row = F.struct("at", "entity", "context", "aliases", "occurrences")
-    merged = rows.groupBy("transcript_id", "cluster").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max("priority").alias("priority"))
+    key = ["transcript_id", "cluster"]
+    row = F.struct("at", "entity", "context", "aliases")
+    merged = rows.groupBy(*key).agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max("priority").alias("priority"))
+    each = rows.select(*key, "at", F.posexplode("occurrences").alias("i", "o")).select(*key, "at", "i", "o.timecode", "o.cue_idx")
+    first = F.row_number().over(Window.partitionBy(*key, "timecode").orderBy("at", "i"))
+    kept = each.withColumn("k", first).where((F.col("k") == 1) | (F.coalesce("timecode", F.lit("")) == ""))
+    unique = kept.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("timecode", "at", "i", "cue_idx"))).alias("kept"))
     context = F.expr(
         """aggregate(rows, cast('' as string), (acc, r) ->
              case when coalesce(r.context, '') = '' or contains(acc, r.context) then acc when acc = '' then r.context else concat(acc, ' | ', r.context) end)"""
     )
-    all_occ = F.expr("flatten(transform(rows, r -> r.occurrences))")
-    unique = F.expr(
-        """array_sort(filter(transform(all_occ, (o, i) -> named_struct('timecode', o.timecode, 'i', i, 'cue_idx', o.cue_idx)),
-             x -> coalesce(x.timecode, '') = '' or array_position(transform(all_occ, o -> o.timecode), x.timecode) = x.i + 1))"""
-    )
+    empty = F.expr("cast(array() as array<struct<timecode:string,at:int,i:int,cue_idx:int>>)")
     return (
-        merged.withColumn("all_occ", all_occ)
-        .withColumn("occurrences", unique)
+        merged.join(unique.hint("merge"), key, "left")
+        .withColumn("occurrences", F.transform(F.coalesce("kept", empty), lambda x: F.struct(x["timecode"].alias("timecode"), x["cue_idx"].alias("cue_idx"))))
         .select(
             "transcript_id",
             F.col("rows")[0]["entity"].alias("canonical"),
@@ -99,7 +130,7 @@ def merge_clusters(entities: DataFrame, clusters: DataFrame) -> DataFrame:
             F.expr("array_sort(array_distinct(concat(flatten(transform(rows, r -> coalesce(r.aliases, cast(array() as array<string>)))), transform(slice(rows, 2, size(rows)), r -> r.entity))))").alias("aliases"),
             "priority",
             context.alias("context"),
-            F.transform("occurrences", lambda x: F.struct(x["timecode"].alias("timecode"), x["cue_idx"].alias("cue_idx"))).alias("occurrences"),
+            "occurrences",
             F.size("occurrences").alias("total_occurrences"),
         )
     )
