@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Extensions of pictures and of sound and film.
-IMAGE_EXTENSIONS = "jpg jpeg png gif svg webp tif tiff bmp ico xcf djvu pdf".split()
-OTHER_EXTENSIONS = "ogg oga ogv ogx opus spx webm mp4 m4v mov avi mpg mpeg mp3 wav flac midi mid aiff aac mka mkv".split()
+IMAGE_EXTENSIONS = (
+    "jpg", "jpeg", "png", "gif", "svg", "webp", "tif", "tiff", "bmp", "ico", "xcf", "djvu", "pdf",
+)
+OTHER_EXTENSIONS = (
+    "ogg", "oga", "ogv", "ogx", "opus", "spx", "webm", "mp4", "m4v", "mov", "avi", "mpg", "mpeg", "mp3", "wav", "flac", "midi", "mid", "aiff", "aac",
+    "mka", "mkv",
+)
 # Parts of file names that are never content, in the order in which they are tried.
 BLACKLIST = (
-    "wikisource-logo commons-logo disambig_gray wiktionary-logo wikinews-logo wikibooks-logo wikiquote-logo wikiversity-logo "
-    "wikivoyage-logo wikispecies-logo mediawiki-logo wikidata-logo wikipedia-logo wikimedia-logo oojs_ui oojs-ui question_book question-book "
-    "globe_of_letters global_thinking search_icon edit-clear text-x-generic folder-hexagon increase2 decrease2 steady2 ambox unbalanced_scales "
-    "merge-arrow padlock lock- semi-protection fully-protected pp- nuvola crystal_clear crystal-clear gnome- gnome_ _pog. red_pog blue_pog green_pog "
-    "yellow_pog orange_pog white_pog black_pog grey_pog purple_pog location_dot map_marker speaker_icon symbol_portal symbol_category symbol_list "
-    "symbol_book arrow_blue portal-puzzle"
-).split()
+    "wikisource-logo", "commons-logo", "disambig_gray", "wiktionary-logo", "wikinews-logo", "wikibooks-logo", "wikiquote-logo", "wikiversity-logo",
+    "wikivoyage-logo", "wikispecies-logo", "mediawiki-logo", "wikidata-logo", "wikipedia-logo", "wikimedia-logo", "oojs_ui", "oojs-ui",
+    "question_book", "question-book", "globe_of_letters", "global_thinking", "search_icon", "edit-clear", "text-x-generic", "folder-hexagon",
+    "increase2", "decrease2", "steady2", "ambox", "unbalanced_scales", "merge-arrow", "padlock", "lock-", "semi-protection", "fully-protected", "pp-",
+    "nuvola", "crystal_clear", "crystal-clear", "gnome-", "gnome_", "_pog.", "red_pog", "blue_pog", "green_pog", "yellow_pog", "orange_pog",
+    "white_pog", "black_pog", "grey_pog", "purple_pog", "location_dot", "map_marker", "speaker_icon", "symbol_portal", "symbol_category",
+    "symbol_list", "symbol_book", "arrow_blue", "portal-puzzle",
+)
 # Names of icons of a page's frame.
 ICONS = (
     r"(?i)padlock|lock|semi[- ]?protection|fully[- ]?protected|pp-|question[_-]?book|disambig|edit[- ]?clear|magnify|search|wiki\w*[- ]?logo|commons[- ]?logo"
@@ -70,6 +80,29 @@ def strip_html(text: Column) -> Column:
     return F.trim(bare)
 
 
+@F.pandas_udf(T.StringType())
+def unescape(text: pd.Series) -> pd.Series:
+    """All character references decoded, named and numbered."""
+    return text.map(html.unescape, na_action="ignore")
+
+
+def strip_html_exact(text: Column) -> Column:
+    """Text without tags, all character references decoded, in Arrow batches; ``strip_html`` stays inside the JVM and knows the common ones."""
+    return F.trim(unescape(F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]+>", "")))
+
+
+def metadata_map(json: Column) -> Column:
+    """Metadata fields as one map of strings: a field is an object with a value, or a string."""
+    fields = F.from_json(json, "map<string,string>")
+    return F.transform_values(fields, lambda k, v: F.when(F.trim(v).startswith("{"), F.coalesce(F.get_json_object(v, "$.value"), F.lit(""))).otherwise(v))
+
+
+def metadata_value(fields: Column, key: str, default: str = "") -> Column:
+    """A field's value, the default where it is missing or empty."""
+    value = F.element_at(fields, key)
+    return F.when(F.coalesce(value, F.lit("")) == "", F.lit(default)).otherwise(value)
+
+
 def symbolic_svg(title: Column, mime: Column, object_name: Column, description: Column) -> Column:
     """Flags, arms and signatures drawn as SVG."""
     named = F.lower(basename(title)).rlike(SYMBOLS) | F.lower(strip_html(object_name)).rlike(SYMBOLS) | F.lower(strip_html(description)).rlike(SYMBOLS)

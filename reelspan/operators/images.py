@@ -89,6 +89,15 @@ def dedup_paths(images: DataFrame) -> DataFrame:
     return images.withColumn("k", first).where("k = 1").drop("k")
 
 
+def svg_siblings(images: DataFrame, files: DataFrame) -> DataFrame:
+    """Replace an SVG by the PNG of the same path where ``files`` (path) has it, drop it otherwise; then each path once, the first wins."""
+    png = F.regexp_replace("path", r"(?i)\.svg$", ".png")
+    drawn = F.lower("path").endswith(".svg")
+    known = files.select(F.col("path").alias("png")).distinct()
+    swapped = images.where(drawn).withColumn("png", png).join(known.hint("merge"), "png").withColumn("path", F.col("png")).select(images.columns)
+    return dedup_paths(images.where(~drawn).unionByName(swapped))
+
+
 def with_metadata(titles: DataFrame, metadata: DataFrame, redirects: DataFrame) -> DataFrame:
     """Join titles with metadata found under the title itself or the one it redirects to; the title itself first."""
     own = metadata.select(F.col("title"), F.lit(0).alias("via"), F.struct(*[c for c in metadata.columns if c != "title"]).alias("meta"))

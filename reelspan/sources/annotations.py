@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,8 +61,11 @@ def read_download_log(lines: DataFrame) -> DataFrame:
 
 
 def read_attribution(spark: SparkSession, path: str) -> DataFrame:
-    """Attribution files keyed by file name; of repeated names the last row of a file counts."""
-    rows = spark.read.csv(path, header=True).withColumn("file", F.col("_metadata.file_path")).withColumn("row", F.monotonically_increasing_id())
+    """Attribution files keyed by file name; of repeated names the last row of a file counts.
+
+    A file's rows are in order of the block they are read from and, inside a block, which one task reads, of the task's row number.
+    """
+    rows = spark.read.csv(path, header=True).withColumn("file", F.col("_metadata.file_path")).withColumn("row", F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
     last = F.row_number().over(Window.partitionBy("file", "filename").orderBy(F.desc("row")))
     return rows.withColumn("k", last).where("k = 1").drop("k", "row", "file")
 
@@ -91,44 +91,36 @@ def page_anchors(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(links).alias("pos", "link"))
 
 
-class _Body(HTMLParser):
-    """Markup outside boilerplate containers."""
-
-    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-    def __init__(self, tags: set[str], classes: set[str]):
-        super().__init__(convert_charrefs=False)
-        self.tags, self.classes, self.depth, self.out = tags, classes, 0, []
+#: A page in pieces: comments, scripts and styles whole, tags, text.
+_PIECES = r"""(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<(?:[^>"']|"[^"]*"|'[^']*')*>|[^<]+|<"""
+_BOXES = ("navbox", "sidebar", "metadata", "reflist", "hatnote", "sister-bar", "noprint", "mbox-image-div", "portal-bar", "succession-box", "sistersitebox", "side-box")
 
-    def handle_starttag(self, tag, attrs):
-        marked = tag in self.tags or self.classes & set((dict(attrs).get("class") or "").split())
-        if self.depth or marked:
-            self.depth += tag not in self.VOID
-        else:
-            self.out.append(self.get_starttag_text())
 
-    def handle_endtag(self, tag):
-        if not self.depth:
-            self.out.append(f"</{tag}>")
-        elif tag not in self.VOID:
-            self.depth -= 1
+def strip_boilerplate(pages: DataFrame, tags: tuple[str, ...] = ("nav", "header", "footer", "aside"), classes: tuple[str, ...] = _BOXES) -> DataFrame:
+    """(page_id, html) without comments, scripts, styles and boilerplate containers, nested ones included.
 
-    def handle_data(self, data):
-        if not self.depth:
-            self.out.append(data)
-
-
-def strip_boilerplate(pages: DataFrame, tags: tuple[str, ...] = ("nav", "header", "footer", "aside", "script", "style"), classes: tuple[str, ...] = ("navbox", "sidebar", "metadata", "reflist", "hatnote")) -> DataFrame:
-    """Pages without their boilerplate containers, nested ones included, which patterns can't follow."""
-
-    def run(parts):
-        for p in parts:
-            bodies = []
-            for html in p["html"]:
-                body = _Body(set(tags), set(classes))
-                body.feed(html or "")
-                body.close()
-                bodies.append("".join(body.out))
-            yield pd.DataFrame({"page_id": p["page_id"], "html": bodies})
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, html string")
+    A page is cut into pieces, and one fold over them counts how deep it is inside a container, by tags of the
+    container's own name; so tags that are never closed don't matter. All inside the JVM.
+    """
+    name = lambda t: F.lower(F.regexp_extract(t, r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
+    boxed = "|".join(rf"\Q{c}\E" for c in classes)
+    marked = lambda t: name(t).isin(*tags) | t.rlike(rf"""(?is)^<[^>]*?\sclass\s*=\s*(?:"[^"]*?(?<![\w-])(?:{boxed})(?![\w-])|'[^']*?(?<![\w-])(?:{boxed})(?![\w-]))""")
+    piece = lambda t: F.struct(
+        t.alias("t"), name(t).alias("name"), t.startswith("</").alias("ends"), (t.startswith("<") & marked(t) & ~t.endswith("/>")).alias("opens"), t.rlike(r"(?is)^<(?:!--|script\b|style\b)").alias("gone")
+    )
+    cut = pages.select("page_id", F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_PIECES), F.lit(0)), piece).alias("pieces"))
+    body = F.expr(
+        """aggregate(pieces, named_struct('box', '', 'deep', 0, 'kept', cast(array() as array<string>)),
+             (a, p) -> case when p.gone then a
+                            when a.deep > 0 and p.name = a.box and p.name <> '' then named_struct('box', a.box, 'deep', a.deep + if(p.ends, -1, if(endswith(p.t, '/>'), 0, 1)), 'kept', a.kept)
+                            when a.deep > 0 then a
+                            when p.opens and not p.ends then named_struct('box', p.name, 'deep', 1, 'kept', a.kept)
+                            else named_struct('box', '', 'deep', 0, 'kept', concat(a.kept, array(p.t))) end,
+             a -> array_join(a.kept, ''))"""
+    )
+    return cut.select("page_id", body.alias("html"))
+
+
+def page_media(pages: DataFrame) -> DataFrame:
+    """(page_id, html) -> page_id, pos, title: files linked from a page's content, boilerplate left out."""
+    return media_links(strip_boilerplate(pages))

@@ -30,6 +30,19 @@ def pending_stages(transcripts: DataFrame, stages: list[str], done: DataFrame, s
     return every.join(first.hint("merge"), "transcript_id").where(F.col("place") >= F.col("from")).drop("from")
 
 
+def pending_entities(entities: DataFrame, *done: DataFrame) -> DataFrame:
+    """Entities (transcript_id, entity, ...) that none of the ``done`` tables has: no images yet, no decision yet."""
+    for d in done:
+        entities = entities.join(d.select("transcript_id", "entity").distinct().hint("merge"), ["transcript_id", "entity"], "left_anti")
+    return entities
+
+
+def retry_failed(entities: DataFrame, statuses: tuple[str, ...] = ("failed", "no_images", "rate_limited")) -> DataFrame:
+    """Entities whose download failed, without what is left of it: images and download_status become null."""
+    stale = {c: F.lit(None).cast(entities.schema[c].dataType) for c in ("images", "download_status") if c in entities.columns}
+    return entities.where(F.col("download_status").isin(*statuses)).withColumns(stale)
+
+
 def stream_new_cues(spark: SparkSession, path: str, out: str, checkpoint: str) -> None:
     """Parse the subtitle files that have come since the last call and append their cues; each file once."""
     from reelspan.sources.transcripts import read_cues
