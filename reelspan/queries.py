@@ -149,7 +149,7 @@ NAMED = (
     fx.CUES
     + r""",
 named AS (
-  SELECT transcript_id, cue_idx, trim(regexp_replace(regexp_replace(substr(text, 1, 40), '(?i)^\s*(\d+\s*(years?|months?|weeks?|days?)\s*(later|after|before|since)|\d{1,3}(st|nd|rd|th)\s+anniversary(?:\s+of)?\s+)', ''), '\s+', ' ', 'g'), ' ' || chr(9) || chr(13) || chr(10) || '-–—') AS name
+  SELECT transcript_id, cue_idx, trim(regexp_replace(regexp_replace(text, '(?i)^\s*(\d+\s*(years?|months?|weeks?|days?)\s*(later|after|before|since)|\d{1,3}(st|nd|rd|th)\s+anniversary(?:\s+of)?\s+)', ''), '\s+', ' ', 'g'), ' ' || chr(9) || chr(13) || chr(10) || '-–—') AS name
   FROM cues)"""
 )
 
@@ -162,7 +162,7 @@ named AS (
   FROM named"""
 )
 def f7_names(spark, sf_dir):
-    named = fx.cues(spark, sf_dir).select("transcript_id", "cue_idx", names.normalise(F.substring("text", 1, 40)).alias("name"))
+    named = fx.cues(spark, sf_dir).select("transcript_id", "cue_idx", names.normalise(F.col("text")).alias("name"))
     return named.select("*", names.plausible(F.col("name"), F.lit("events")).alias("plausible"))
 
 
@@ -240,15 +240,24 @@ def a13_dispositions(spark, sf_dir):
     return _decisions(spark, sf_dir).groupBy("entity").agg(F.count_if(action == "download").alias("accepted"), F.count_if(action == "flag").alias("flagged"), F.count_if(action == "skip").alias("skipped"))
 
 
-@query(f"WITH {fx.OCC} SELECT event_id AS seq, row_number() OVER (ORDER BY event_id % 11, event_id) AS place FROM occ WHERE event_id % 11 BETWEEN 4 AND 6 AND event_id % 7 = 0")
+@query(f"WITH {fx.OCC} SELECT event_id AS seq, row_number() OVER (ORDER BY event_id % 11, event_id) AS place FROM occ WHERE event_id % 11 BETWEEN 4 AND 6")
 def k7_review_queue(spark, sf_dir):
-    return articles.review_queue(_decisions(spark, sf_dir).where("seq % 7 = 0")).select("seq", "place")
+    return articles.review_queue(_decisions(spark, sf_dir)).select("seq", "place")
 
 
 # ---- passages ---------------------------------------------------------------------------------------------------
 
 
-@query()
+DENSITY = f"""{fx.OCC}, s AS (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY ms, cue_idx) AS seq FROM occ),
+  cand AS (SELECT a.transcript_id, a.seq, a.ms, a.cue_idx, string_agg(DISTINCT b.entity, ',' ORDER BY b.entity) AS entities, count(DISTINCT b.entity) AS m, max(b.cue_idx) AS last_cue
+    FROM s a JOIN s b ON a.transcript_id = b.transcript_id AND b.seq >= a.seq AND b.ms <= a.ms + 8000 GROUP BY ALL HAVING count(DISTINCT b.entity) >= 3),
+  nxt AS (SELECT a.transcript_id, a.seq, min(b.seq) AS after FROM cand a JOIN cand b ON a.transcript_id = b.transcript_id AND b.cue_idx > a.last_cue AND b.seq > a.seq GROUP BY ALL),
+  walk AS (SELECT transcript_id, min(seq) AS seq FROM cand GROUP BY transcript_id UNION ALL SELECT w.transcript_id, n.after FROM walk w JOIN nxt n ON w.transcript_id = n.transcript_id AND w.seq = n.seq),
+  density AS (SELECT c.transcript_id, printf('density_%03d', row_number() OVER (PARTITION BY c.transcript_id ORDER BY c.seq)) AS montage_id, ms, cue_idx, entities, least(m, 5) AS images
+    FROM cand c JOIN walk w ON c.transcript_id = w.transcript_id AND c.seq = w.seq)"""
+
+
+@query(f"WITH RECURSIVE {DENSITY} SELECT * FROM density")
 def w2_density(spark, sf_dir):
     return segments.density_clusters(fx.occurrences(spark, sf_dir)).withColumn("entities", F.array_join("entities", ","))
 

@@ -9,8 +9,8 @@ from reelspan import fixtures as fx
 from reelspan.functions import images as img
 from reelspan.operators import articles, images, mentions, resolve, segments, sinks
 from reelspan.plans import timeline_slice as plan
-from reelspan.queries import ENTITIES
-from reelspan.registry import query
+from reelspan.queries import DENSITY, ENTITIES
+from reelspan.registry import ORACLE_SQL, query
 from reelspan.sources import annotations, transcripts
 from reelspan.streaming import incremental
 
@@ -104,7 +104,9 @@ def s11_page_anchors(spark, sf_dir):
     return annotations.page_anchors(fx.table(spark, sf_dir, "pages"))
 
 
-@query()
+@query(
+    """SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<nav>.*?</nav>', '', 'gs'), '<footer>.*?</footer>', '', 'gs')) AS chars FROM pages"""
+)
 def s11_page_bodies(spark, sf_dir):
     return annotations.strip_boilerplate(fx.table(spark, sf_dir, "pages")).select("page_id", F.length("html").alias("chars"))
 
@@ -126,23 +128,44 @@ def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions.emit_mentions(occ, _items(spark, sf_dir), hints)
 
 
-@query()
+ANCHORS = """nxt AS (SELECT a.transcript_id, a.cue_idx, min(b.cue_idx) AS after FROM occ a JOIN occ b ON a.transcript_id = b.transcript_id AND b.cue_idx > a.cue_idx AND b.ms - a.ms >= 5000 GROUP BY ALL),
+  walk AS (SELECT transcript_id, min(cue_idx) AS cue_idx FROM occ GROUP BY transcript_id UNION ALL SELECT w.transcript_id, n.after FROM walk w JOIN nxt n ON w.transcript_id = n.transcript_id AND w.cue_idx = n.cue_idx),
+  anchors AS (SELECT o.transcript_id, o.cue_idx, o.ms, max(w.cue_idx) AS anchor FROM occ o JOIN walk w ON o.transcript_id = w.transcript_id AND w.cue_idx <= o.cue_idx GROUP BY ALL)"""
+EMITTED = (
+    f"{ITEMS}, {ANCHORS}"
+    + """,
+named AS (SELECT i.*, a.anchor, canonical AS name, list_position(['people', 'places', 'events', 'concepts'], kind) AS ord FROM items i JOIN anchors a ON i.transcript_id = a.transcript_id AND i.cue_idx = a.cue_idx
+  WHERE kind IN ('people', 'places') OR canonical LIKE 'War of %'),
+mains AS (SELECT *, row_number() OVER (PARTITION BY transcript_id, cue_idx ORDER BY primary_hint = name DESC, ord, item_seq) = 1 AND cue_idx = min(cue_idx) OVER (PARTITION BY transcript_id, anchor) AS main FROM named),
+emitted AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY transcript_id, anchor, name ORDER BY cue_idx, main DESC, ord) AS k FROM mains WHERE main OR kind IN ('people', 'places')) WHERE k = 1),
+merged AS (SELECT transcript_id, name, arg_min(kind, cue_idx) AS entity_type, count(*) AS mentions, min(cue_idx) AS seq, list_sort(list_distinct(list(surface))) AS aliases FROM emitted GROUP BY transcript_id, name)"""
+)
+
+
+@query(f"WITH RECURSIVE {EMITTED} SELECT transcript_id, cue_idx, name, surface, kind, main FROM emitted")
 def w1_emitted_mentions(spark, sf_dir):
     return _gate(spark, sf_dir).select("transcript_id", "cue_idx", "name", "surface", "kind", "main")
 
 
-@query()
+@query(f"WITH RECURSIVE {fx.OCC}, {ANCHORS} SELECT * FROM anchors")
 def w1_anchors(spark, sf_dir):
     return mentions.anchor_windows(fx.occurrences(spark, sf_dir).select("transcript_id", "cue_idx", "ms"))
 
 
-@query()
+@query(f"WITH RECURSIVE {EMITTED} SELECT transcript_id, name, entity_type, mentions, array_to_string(aliases, ',') AS aliases FROM merged")
 def a1_merged_entities(spark, sf_dir):
     e = mentions.merge_by_canonical(_gate(spark, sf_dir))
     return e.select("transcript_id", "name", "entity_type", F.size("occurrences").alias("mentions"), F.array_join("aliases", ",").alias("aliases"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {EMITTED}, counted AS (SELECT transcript_id, canonical AS name, count(*) AS n FROM items WHERE kind = 'places' GROUP BY ALL),
+  subjects AS (SELECT transcript_id, name AS subject FROM (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY n DESC, name) AS k FROM counted) WHERE k = 1),
+  sites AS (SELECT transcript_id, coalesce(list(lower(name)) FILTER (entity_type = 'places'), []) AS places FROM merged GROUP BY transcript_id),
+  renamed AS (SELECT m.*, CASE WHEN subject IS NOT NULL AND entity_type IN ('events', 'concepts') AND NOT contains(lower(name), lower(subject)) AND len(list_filter(places, lambda p: contains(lower(name), p))) = 0
+      THEN name || ' ' || subject ELSE name END AS new_name FROM merged m JOIN sites s ON m.transcript_id = s.transcript_id LEFT JOIN subjects u ON m.transcript_id = u.transcript_id)
+  SELECT transcript_id, new_name AS name, arg_min(entity_type, seq) AS entity_type, CAST(sum(mentions) AS BIGINT) AS mentions, array_to_string(list_sort(list_distinct(flatten(list(aliases)))), ',') AS aliases FROM renamed GROUP BY transcript_id, new_name"""
+)
 def a4_with_subjects(spark, sf_dir):
     e = mentions.add_subjects(mentions.merge_by_canonical(_gate(spark, sf_dir)), mentions.infer_subjects(_items(spark, sf_dir)))
     return e.select("transcript_id", "name", "entity_type", F.size("occurrences").alias("mentions"), F.array_join("aliases", ",").alias("aliases"))
@@ -182,10 +205,10 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.groupBy(F.col("p_size").alias("transcript_id"), kind.alias("entity_type"), F.col("p_name").alias("entity")).agg(F.min("p_partkey").alias("entity_seq"))
 
 
-@query(f"WITH {NAMES_SQL} SELECT transcript_id, upper(entity) AS name, entity AS found FROM names WHERE entity_seq % 3 = 0")
+@query(f"WITH {NAMES_SQL} SELECT transcript_id, upper(entity) AS name, entity AS found FROM names")
 def j4_name_lookup(spark, sf_dir):
     names = _names(spark, sf_dir)
-    return resolve.lookup(names.where("entity_seq % 3 = 0").select("transcript_id", F.upper("entity").alias("name")), names).select("transcript_id", "name", "found")
+    return resolve.lookup(names.select("transcript_id", F.upper("entity").alias("name")), names).select("transcript_id", "name", "found")
 
 
 @query()
@@ -213,12 +236,18 @@ def a6_dedup_occurrences(spark, sf_dir):
     return resolve.dedup_occurrences(occ).select("transcript_id", "entity", F.col("seq").alias("cue_idx"), F.col("timecode").cast("long").alias("second"))
 
 
-@query()
+@query(
+    f"""WITH {fx.CUES}, w AS (SELECT *, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^\\pL\\pN\\pM_]+', ' ', 'g'), ' '), lambda x: x <> '')) AS words FROM cues),
+  q AS (SELECT transcript_id AS quote_id, transcript_id, lower(trim(text)) AS low, words, greatest(len(words), 1) AS n FROM (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY cue_idx) AS k FROM w) WHERE k = 3 AND transcript_id % 20 = 0),
+  s AS (SELECT quote_id, q.transcript_id, c.cue_idx, len(list_intersect(q.words, c.words)) / CAST(n AS DOUBLE) + CASE WHEN contains(lower(c.text), substr(low, 1, 30)) OR contains(low, lower(c.text)) THEN 0.5 ELSE 0.0 END AS score, len(list_intersect(q.words, c.words)) AS m
+    FROM q JOIN w c ON q.transcript_id = c.transcript_id)
+  SELECT quote_id, transcript_id, cue_idx, score FROM (SELECT *, row_number() OVER (PARTITION BY quote_id ORDER BY score DESC, cue_idx) AS k FROM s WHERE m > 0 AND score >= 0.3) WHERE k = 1"""
+)
 def j8_quote_matches(spark, sf_dir):
-    """Every 20th document's third line, its first 60 characters, looked for among the cues of the document."""
+    """Every 20th document's third line looked for among the cues of the document."""
     cues = fx.cues(spark, sf_dir)
     third = F.row_number().over(Window.partitionBy("transcript_id").orderBy("cue_idx"))
-    quotes = cues.withColumn("k", third).where("k = 3 and transcript_id % 20 = 0").select(F.col("transcript_id").alias("quote_id"), "transcript_id", F.substring("text", 1, 60).alias("quote"))
+    quotes = cues.withColumn("k", third).where("k = 3 and transcript_id % 20 = 0").select(F.col("transcript_id").alias("quote_id"), "transcript_id", F.col("text").alias("quote"))
     return resolve.quote_matches(quotes, cues)
 
 
@@ -308,13 +337,13 @@ def l7_terms_by_confidence(spark, sf_dir):
 
 @query(
     f"""WITH {fx.ARTICLES}, t AS (SELECT page_id, title, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\\pL\\pN\\pM_]+'), lambda w: length(w) > 2)) AS w FROM articles),
-  q AS (SELECT 'e' || page_id AS entity, unnest(w) AS word FROM t WHERE page_id % 7 = 0), a AS (SELECT page_id, title, unnest(w) AS word FROM t),
+  q AS (SELECT 'e' || page_id AS entity, unnest(w) AS word FROM t WHERE page_id % 20 = 0), a AS (SELECT page_id, title, unnest(w) AS word FROM t),
   s AS (SELECT entity, page_id, title, count(*) AS score FROM q JOIN a ON q.word = a.word GROUP BY ALL)
   SELECT entity, page_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, title, page_id) AS rank FROM s) WHERE rank <= 3"""
 )
 def l5_top_articles(spark, sf_dir):
     a = fx.articles(spark, sf_dir)
-    asked = a.where("page_id % 7 = 0").select(F.concat(F.lit("e"), "page_id").alias("entity"), F.col("title").alias("query"))
+    asked = a.where("page_id % 20 = 0").select(F.concat(F.lit("e"), "page_id").alias("entity"), F.col("title").alias("query"))
     return articles.top_articles(asked, a).select("entity", "page_id", "score", "rank")
 
 
@@ -379,7 +408,11 @@ def n2_pending_stages(spark, sf_dir):
     return incremental.pending_stages(customers, STAGES, done)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {DENSITY}, enums AS ({ORACLE_SQL['w4_enumerations']}),
+  united AS (SELECT transcript_id, montage_id, ms, images, 'density' AS kind, 0 AS place FROM density UNION ALL SELECT transcript_id, montage_id, ms, images, 'enumeration', 2 FROM enums)
+  SELECT transcript_id, montage_id, ms, images, kind, row_number() OVER (PARTITION BY transcript_id ORDER BY ms, place, montage_id) AS number FROM united"""
+)
 def w5_montages(spark, sf_dir):
     occ, cues = fx.occurrences(spark, sf_dir), fx.cues(spark, sf_dir)
     sweep = segments.sweep_events(plan.entities(occ).select("transcript_id", "entity", "first_ms", "entity_seq"))

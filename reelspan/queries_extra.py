@@ -29,10 +29,10 @@ def f14_years(spark, sf_dir):
 
 
 @query(
-    """SELECT page_id, trim(replace(replace(replace(replace(replace(replace(regexp_replace(substr(html, 1, 500), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS text FROM pages"""
+    """SELECT page_id, trim(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS text FROM pages"""
 )
 def f16_strip_html(spark, sf_dir):
-    return fx.table(spark, sf_dir, "pages").select("page_id", img.strip_html(F.substring("html", 1, 500)).alias("text"))
+    return fx.table(spark, sf_dir, "pages").select("page_id", img.strip_html(F.col("html")).alias("text"))
 
 
 @query(f"WITH {fx.IMAGES} SELECT key, regexp_matches(replace(regexp_replace(title, '^[^:]*:', ''), ' ', '_'), '{img.ICONS}') AS icon, contains(lower(title), 'lock-') AS listed FROM images")

@@ -1,6 +1,7 @@
 """Literal cases, and plain Python against the folds and grouped operators."""
 
 import math
+import time
 import random
 from difflib import SequenceMatcher
 
@@ -367,3 +368,39 @@ def test_review_queue_numbers_rows_in_ranges(spark, capsys):
     queue.explain()
     windows = [x.split("windowspecdefinition(")[1] for x in capsys.readouterr().out.splitlines() if "Window [row_number" in x]
     assert windows and not any(" ASC" in x.split(",")[0] for x in windows)  # a partition comes before the order
+
+
+def test_boilerplate_by_depth_of_its_own_tag(spark):
+    cases = {
+        "<p>a</p><!-- <nav> --><nav><div><nav>x</nav>y</div></nav><b>c</b>": "<p>a</p><b>c</b>",
+        '<script>var t="</p><nav>";</script>z<style>p{}</style>': "z",
+        '<div class="big navbox"><p>open<div>in</div></div>out<DIV CLASS=navboxes>stay</DIV>': "out<DIV CLASS=navboxes>stay</DIV>",
+        "<div class='x navbox'><br><img src=\"a>b\"></div><i>k</i>": "<i>k</i>",
+        "<nav>never closed <p>x": "",
+        "a < b and <header/>c": "a < b and <header/>c",
+        "": "",
+    }
+    rows = list(enumerate(cases))
+    got = annotations.strip_boilerplate(spark.createDataFrame([*rows, (99, None)], "page_id long, html string")).collect()
+    assert {r["page_id"]: r["html"] for r in got} == {**dict(enumerate(cases.values())), 99: ""}
+
+
+def test_exact_character_references(spark):
+    df = spark.createDataFrame([("<b>a</b> &eacute;&#233;&#x1F600; &amp;lt; ",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(img.strip_html_exact(F.col("t"))).collect()] == ["a éé\U0001f600 &lt;", "", ""]
+
+
+def test_many_mentions_of_one_transcript_take_seconds(spark):
+    rows = spark.range(5000).selectExpr("1L transcript_id", "concat('e', id % 17) entity", "id * 2000 ms", "cast(id as int) cue_idx")
+    began = time.monotonic()
+    n = segments.density_clusters(rows).count()
+    assert n == 1000 and time.monotonic() - began < 20
+
+
+def test_quick_marker_test_misses_nothing(spark):
+    texts = ["Step one: go", "éstep one", "étape; STEP ONE.", "x#1", "number #2", "there are ٣ steps", "Let me\u00a0show", "nothing here", "ﬁrst ſtep one", "so\u00a0that'ſ how", "and\u00a0then", "a, b,\u00a0and c", "Kings, among them A, b, c", ""]
+    df = spark.createDataFrame([(1, k, 0, t) for k, t in enumerate(texts)], "transcript_id long, cue_idx int, start_ms long, text string")
+    for kinds, quick in ((segments.PROCESS.values(), None), ([segments.ENUMERATION], segments._LISTS)):
+        patterns = sum(map(tuple, kinds), ())
+        both = df.select(F.col("text").rlike(segments.any_of(patterns)).alias("full"), segments._may_match(quick or patterns, F.col("text")).alias("quick"), "text")
+        assert both.where("full and not quick").collect() == []
