@@ -18,6 +18,8 @@ from .wordhash import Powers, Words, mix, slices
 
 #: Items that are held by every task at once; more items go in further passes.
 ITEMS_AT_ONCE = 1 << 13
+#: Words of all windows that are embedded at once.
+CELLS = 1 << 20
 _PAD = np.uint64(0x70AD)
 
 
@@ -140,7 +142,7 @@ class Index:
             near = (text[one] == text[other]) & (low <= high)
             sizes = (high - low + 1)[near]
             starts = np.unique(np.repeat(low[near] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()))
-            for part in np.array_split(starts, max(1, len(starts) // 20_000)):
+            for part in np.array_split(starts, max(1, -(-len(starts) * m // CELLS))):
                 place = part[:, None] + np.arange(m)
                 windows = np.where(place < end[part][:, None], hash[np.minimum(place, n - 1)], _PAD)
                 for keys, (known, items) in zip(self._keys(windows, m) if len(part) else (), self.tables[m], strict=False):
@@ -207,25 +209,25 @@ def all_matches(item: np.ndarray, text: np.ndarray, most: int) -> list[tuple[int
     return sorted(found)
 
 
+def lengths(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Word edits between ``item`` and the last j words of ``text``, for each j."""
+    text = text[::-1]
+    place = np.arange(len(text) + 1)
+    row, new = place.copy(), np.empty(len(text) + 1, dtype=np.int64)
+    for i, x in enumerate(item[::-1].tolist(), 1):
+        new[0] = i
+        np.minimum(row[:-1] + (text != np.uint64(x)), row[1:] + 1, out=new[1:])
+        row = np.minimum.accumulate(new - place) + place
+    return row
+
+
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """The stretch of ``text`` with the fewest word edits to ``item``; the first and shortest of such: (start, end, edits)."""
-    row = np.zeros(len(text) + 1, dtype=np.int64)
-    begin = np.arange(len(text) + 1)
-    for i, x in enumerate(item.tolist(), 1):
-        new, new_begin = np.empty_like(row), np.empty_like(begin)
-        new[0], new_begin[0] = i, 0
-        through = row[:-1] + (text != np.uint64(x))
-        drop = row[1:] + 1
-        best = np.minimum(through, drop)
-        source = np.where(through <= drop, begin[:-1], begin[1:])
-        for j in range(1, len(text) + 1):
-            if new[j - 1] + 1 < best[j - 1]:
-                new[j], new_begin[j] = new[j - 1] + 1, new_begin[j - 1]
-            else:
-                new[j], new_begin[j] = best[j - 1], source[j - 1]
-        row, begin = new, new_begin
-    end = int(row.argmin())
-    return int(begin[end]), end, int(row[end])
+    """The stretch of ``text`` with the fewest word edits to ``item``; the first to end and of these the shortest: (start, end, edits)."""
+    ends = distances(item, text)
+    end = int(ends.argmin())
+    edits = int(ends[end])
+    near = text[max(0, end - len(item) - edits) : end]
+    return end - int(lengths(item, near).argmin()), end, edits
 
 
 def _search(index_of: list[tuple[int, str]], rate: float, every_place: bool):
@@ -235,7 +237,7 @@ def _search(index_of: list[tuple[int, str]], rate: float, every_place: bool):
         items = [(i, listed.hash[a:b]) for (i, _), a, b in zip(index_of, listed.first[:-1], listed.first[1:], strict=True)]
         index = Index(items, rate)
         verify = index.verify_all if every_place else index.verify
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=1 << 22):
             words = Words(batch.column("text"), powers)
             found: list[list] = [[], [], [], [], []]
             cuts = _cuts(words.first, 1 << 21)

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rows import numbered, with_row
 from .scratch import Scratch, make_importable
-from .wordhash import Powers, Words, mix, slices
+from .wordhash import LOWER, Powers, Words, mix, slices
 
 #: A public vocabulary of byte pieces; any file of base64 pieces and ranks will do. Only the driver reads it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -23,7 +24,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 LONG, BLOCK = 4096, 512
 #: Bytes of a word up to which it is learned from.
 LONGEST_LEARNED = 128
-_CACHE = 1 << 20
+_CACHE = 1 << 21
 _BASE = 0x5851F42D4C957F2D
 _POWERS = Powers(_BASE)
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -64,13 +65,20 @@ class Pieces:
         return (h * 2 + len(p)) % (1 << 64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece numbers; n where there is none."""
-        out = np.full(h.shape, self.n, dtype=np.int32)
+        """Piece numbers; n where there is none. A table is asked only about what met another piece in the one before."""
+        flat = h.ravel()
+        out = np.full(len(flat), self.n, dtype=np.int32)
+        rest = np.arange(len(flat))
         for level, slots in enumerate(self.tables):
-            at = slots[(mix(h + np.uint64(level)) >> np.uint64(64 - self.bits)).astype(np.int64)]
-            hit = (self.hash[at] == h) & (at >= 0)
-            out[hit] = at[hit]
-        return out
+            own = flat[rest] if level else flat
+            at = slots[(mix(own + np.uint64(level)) >> np.uint64(64 - self.bits)).astype(np.int64)]
+            taken = np.flatnonzero(at >= 0)
+            hit = self.hash[at[taken]] == own[taken]
+            out[rest[taken[hit]]] = at[taken[hit]]
+            rest = rest[taken[~hit]]
+            if not len(rest):
+                break
+        return out.reshape(h.shape)
 
     def spans(self, words: np.ndarray) -> list[list[tuple[int, np.ndarray]]]:
         """For equally long rows of bytes: by end j the (i, piece numbers of the bytes from i to j), where any row has a piece."""
@@ -98,18 +106,20 @@ class LanguageModel:
     pieces: list[bytes]
 
 
-def _by_length(words: list[bytes], cells: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(positions, sizes, byte matrix) of words of about the same length, shortest first, the shorter ones filled up with zeros."""
-    sizes = np.array([len(x) for x in words])
+def _by_length(raw: np.ndarray, start: np.ndarray, sizes: np.ndarray, cells: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(positions, sizes, byte matrix) of words of about the same length, shortest first, a blank before each and the shorter ones filled up with zeros; sizes count the blank."""
     order = np.argsort(sizes, kind="stable")
     k = 0
     while k < len(order):
         least = sizes[order[k]]
         end = int(np.searchsorted(sizes[order], least + least // 8, side="right"))
-        end = min(end, k + max(1, cells // (least + least // 8)))
+        end = min(end, k + max(1, cells // (least + least // 8 + 1)))
         at = order[k:end]
-        width = int(sizes[at[-1]])
-        yield at, sizes[at], np.frombuffer(b"".join([words[i].ljust(width, b"\0") for i in at]), dtype=np.uint8).reshape(len(at), width)
+        place = np.arange(int(sizes[at[-1]]))
+        inside = place < sizes[at][:, None]
+        m = np.full((len(at), len(place) + 1), ord(" "), dtype=np.uint8)
+        m[:, 1:] = np.where(inside, LOWER[raw[np.where(inside, start[at][:, None] + place, 0)]], 0)
+        yield at, sizes[at] + 1, m
         k = end
 
 
@@ -179,28 +189,33 @@ def _long_score(word: bytes, pieces: Pieces, p: np.ndarray) -> np.ndarray:
     return total + np.log(np.maximum(state[-1], 1e-300))
 
 
-def word_scores(words: list[bytes], pieces: Pieces, p: np.ndarray) -> np.ndarray:
-    """Log probability of each word, a blank before it, in each language: all its segmentations summed, whatever its length."""
-    out = np.zeros((len(words), p.shape[1]))
-    short = [k for k, w in enumerate(words) if len(w) < LONG]
-    for at, sizes, m in _by_length([b" " + words[k] for k in short]):
+def span_scores(raw: np.ndarray, start: np.ndarray, sizes: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """Log probability in each language of each word, ``sizes`` bytes from ``start`` on with a blank before them: all its segmentations summed, whatever its length."""
+    out = np.zeros((len(start), p.shape[1]))
+    short = np.flatnonzero(sizes < LONG)
+    for at, ends, m in _by_length(raw, start[short], sizes[short]):
         found = np.zeros((len(at), p.shape[1]))
 
-        def done(j: int, alpha: np.ndarray, scale: np.ndarray, found=found, sizes=sizes) -> None:
-            lo, hi = np.searchsorted(sizes, j, side="left"), np.searchsorted(sizes, j, side="right")
+        def done(j: int, alpha: np.ndarray, scale: np.ndarray, found=found, ends=ends) -> None:
+            lo, hi = np.searchsorted(ends, j, side="left"), np.searchsorted(ends, j, side="right")
             if hi > lo:
                 found[lo:hi] = np.log(np.maximum(alpha[lo:hi], 1e-300)) + scale[lo:hi]
 
         longest = min(pieces.sizes[-1], m.shape[1])
-        start = [np.zeros((len(at), p.shape[1])) for _ in range(longest - 1)] + [np.ones((len(at), p.shape[1]))]
-        _run(pieces.spans(m), start, p, 1, done)
-        out[np.array(short)[at]] = found
-    for k, w in enumerate(words):
-        if len(w) >= LONG:
-            out[k] = _long_score(b" " + w, pieces, p)
+        zero = np.zeros((len(at), p.shape[1]))
+        _run(pieces.spans(m), [zero] * (longest - 1) + [np.ones((len(at), p.shape[1]))], p, 1, done)
+        out[short[at]] = found
+    for k in np.flatnonzero(sizes >= LONG):
+        out[k] = _long_score(b" " + LOWER[raw[start[k] : start[k] + sizes[k]]].tobytes(), pieces, p)
     return out
 
 
+def word_scores(words: list[bytes], pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """The same for a list of words."""
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    return span_scores(np.frombuffer(b"".join(words) + b" ", dtype=np.uint8), np.cumsum(sizes) - sizes, sizes, pieces, p)
+
+
 def fit(counts: dict[str, dict[bytes, int]], vocabulary: str = VOCABULARY, rounds: int = 4, prior: float = 0.01) -> LanguageModel:
     """Expectation-maximisation of piece probabilities per language from word counts, of words of at most LONGEST_LEARNED bytes."""
     names = sorted(counts, key=lambda x: x.encode())
@@ -291,8 +306,9 @@ def _score(model: LanguageModel, text_column: str):
                 if len(known):
                     new = known[np.minimum(np.searchsorted(known, unique), len(known) - 1)] != unique
                 if new.any():
-                    fresh = [word_scores([words.text(int(lo + i)) for i in first[new][c : c + 8192]], pieces, model.probability) for c in range(0, int(new.sum()), 8192)]
-                    known, values = np.concatenate([known, unique[new]]), np.concatenate([values, *fresh])
+                    at = lo + first[new]
+                    fresh = span_scores(words.raw, words.start[at], words.end[at] - words.start[at], pieces, model.probability)
+                    known, values = np.concatenate([known, unique[new]]), np.concatenate([values, fresh])
                     order = np.argsort(known)
                     known, values = known[order], values[order]
                 filled = a + np.flatnonzero(np.diff(words.first[a : b + 1]))
@@ -330,10 +346,6 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     language in code point order. An empty table gives no rows.
     """
     make_importable(docs.sparkSession)
-    names = keep or docs.columns
-    # The text travels once; columns are numbered on the way, so names can't clash.
-    packed = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], *([] if "text" in names else [F.col("text").alias("text")]))
-    text = f"c{names.index('text')}" if "text" in names else "text"
+    packed, text = numbered(docs, keep)
     kind = T.StructType([*packed.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    found = packed.mapInArrow(_score(model, text), kind)
-    return found.select(F.struct(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)]).alias("row"), "lang_pred", "score")
+    return with_row(packed.mapInArrow(_score(model, text), kind), docs, keep, "lang_pred", "score")

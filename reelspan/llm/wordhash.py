@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xC2B2AE3D27D4EB4F | 1
 _MASK = (1 << 64) - 1
@@ -69,8 +72,11 @@ def pieces(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, in
         i += 1
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most_bytes: int = 1 << 23) -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices of about ``most_bytes`` of text, a longer text in one of its own, so that what is held per word stays bounded."""
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about ``most_bytes`` of text, a longer text in one of its own, so that what is held per word stays bounded.
+
+    After each batch freed memory goes back to the system: a worker would keep it through later tasks.
+    """
     for batch in batches:
         _, off = utf8(batch.column(text))
         at = 0
@@ -78,6 +84,9 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most_bytes: in
             end = max(at + 1, int(np.searchsorted(off, off[at] + most_bytes, side="right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+        pa.default_memory_pool().release_unused()
+        if _TRIM:
+            _TRIM(0)
 
 
 class Words:
