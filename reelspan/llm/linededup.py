@@ -78,36 +78,39 @@ class LineRuns:
             keys = _same_key(keys, r, "left_anti")
         return keys
 
-    def _sorted(self, df: DataFrame, name: str) -> DataFrame:
-        return self.scratch.write(df.select("h1", "h2", "n", *self.extra).repartition("h1", "h2").sortWithinPartitions("h1", "h2"), name)
-
     def _summed(self, runs: list[DataFrame]) -> DataFrame:
         both = runs[0]
         for r in runs[1:]:
             both = both.unionByName(r)
         return both.groupBy("h1", "h2").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in self.extra])
 
-    def add(self, counts: DataFrame) -> None:
-        """Add a batch of (h1, h2, n), each key once."""
+    def add(self, counts: DataFrame, stored: bool = False, compact: bool = True) -> None:
+        """Add a batch of (h1, h2, n), each key once.
+
+        A ``stored`` batch, a table sorted by key, is its own run as long as no key is settled. Without ``compact``,
+        for the last batch of all, no level is merged.
+        """
+        counts = counts.select("h1", "h2", "n", *self.extra)
         for r in self.settled:
             counts = _same_key(counts, r, "left_anti")
-        self._push(self._sorted(counts, "run"), 0)
+        run = counts if stored and not self.settled else self.scratch.write(counts.select("h1", "h2", "n", *self.extra).sortWithinPartitions("h1", "h2"), "run")
+        self._push(run, 0, compact)
 
-    def _push(self, run: DataFrame, level: int) -> None:
+    def _push(self, run: DataFrame, level: int, compact: bool = True) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fanout:
+        if compact and len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            both = self.scratch.write(self._summed(old), "merged")
-            settled = [*self.settled, self._sorted(both.where(F.col("n") >= self.enough), "found")]
-            rest = self._sorted(both.where(F.col("n") < self.enough), "rest")
+            # one table, in two folders: keys that have enough documents, and the rest
+            both = self._summed(old).withColumn("enough", F.col("n") >= self.enough).sortWithinPartitions("enough", "h1", "h2")
+            both = self.scratch.write(both, "merged", by="enough")
+            settled = [*self.settled, both.where("enough").drop("enough")]
             if len(settled) > self.fanout:
-                settled, gone = [self._sorted(self._summed(settled), "settled")], settled
-                old += gone
+                settled = [self.scratch.write(self._summed(settled).sortWithinPartitions("h1", "h2"), "settled")]
             self.settled = settled
-            self.scratch.drop(*old, both)
-            self._push(rest, level + 1)
+            self.scratch.drop(*[r for r in old if hasattr(r, "_scratch_path")])
+            self._push(both.where("not enough").drop("enough"), level + 1)
 
     def frequent(self) -> DataFrame:
         """(h1, h2) and the smallest holder of every key found in ``enough`` documents."""
@@ -148,12 +151,13 @@ def drop_frequent_lines(
     own = {"holder": _holder(F.col("doc_id"), F.col("text"))} if keep_one else {}
     batch, batches = _batches(docs, docs_per_batch, least_batches)
     keys = docs.select(batch.alias("batch"), *[c.alias(n) for n, c in own.items()], F.explode(_keys_of(F.col("text"), min_chars)).alias("key"))
-    counts = scratch.write(keys.groupBy("batch", "key.h1", "key.h2").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in own]), "counts", by="batch")
+    counted = keys.groupBy("batch", "key.h1", "key.h2").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in own])
+    counts = scratch.write(counted.sortWithinPartitions("batch", "h1", "h2"), "counts", by="batch")
     runs = LineRuns(scratch, min_docs, holders=keep_one)
     for b in range(batches):
-        runs.add(counts.where(F.col("batch") == b).select("h1", "h2", "n", *own))
-    scratch.drop(counts)
+        runs.add(counts.where(F.col("batch") == b), stored=True, compact=b < batches - 1)
     frequent = runs.frequent()
+    scratch.drop(counts)
     holder = {n: F.xxhash64(c) for n, c in own.items()}
     if frequent.count() <= most_broadcast:
         packed, text = numbered(docs, None, **holder)
