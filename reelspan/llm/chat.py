@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 from .ngramjoin import _lists
 from .scratch import Scratch, make_importable
 
-ROLES = ("system", "user", "assistant")
+#: The last one stands for any further role.
+ROLES = ("system", "user", "assistant", "other")
 #: State 2r begins a turn of role r, state 2r + 1 goes on with it.
 STATES = 2 * len(ROLES)
 # Names that stand for a role at the start of a line, before a colon.
 NAMES = {"system": ("system", "instructions"), "user": ("user", "human", "customer", "q"), "assistant": ("assistant", "ai", "bot", "agent", "a")}
 #: Lines of a chunk; a longer transcript is decoded chunk by chunk.
 CHUNK = 2048
-#: Values of the line features: marker (none, one per role, another name), line before, length, question, first line.
-MARKERS, BEFORE, LENGTHS = 2 + len(ROLES), 3, 6
+LINES_PER_TASK = 1 << 14
+#: Values of the line features: marker (none, one per named role, another name), line before, length, question, first line.
+MARKERS, BEFORE, LENGTHS = 2 + len(NAMES), 3, 6
 OBSERVATIONS = MARKERS * BEFORE * LENGTHS * 2 * 2
 _ANY = r"^\s*(?:\*\*|\[|<\||#+ ?)?([A-Za-z]{1,12})(?:\*\*|\]|\|>)?\s*:"
 
@@ -29,16 +31,18 @@ _ANY = r"^\s*(?:\*\*|\[|<\||#+ ?)?([A-Za-z]{1,12})(?:\*\*|\]|\|>)?\s*:"
 def _marker(line: Column) -> Column:
     name = F.lower(F.regexp_extract(line, _ANY, 1))
     out = F.when(name == "", 0)
-    for k, role in enumerate(ROLES):
-        out = out.when(name.isin(*NAMES[role]), k + 1)
+    for k, known in enumerate(NAMES.values()):
+        out = out.when(name.isin(*known), k + 1)
     return out.otherwise(MARKERS - 1)
 
 
 def observe(lines: DataFrame) -> DataFrame:
-    """Add ``obs``, one number for a line's features, to (conv, chunk, at, line); the line before is taken across chunks.
+    """Add ``obs``, one number for a line's features, to (conv, chunk, at, line), if it isn't there; the line before is taken across chunks.
 
     The window runs inside a chunk; each chunk's last line is carried to the next by a join.
     """
+    if "obs" in lines.columns:
+        return lines
     size = F.char_length("line")
     length = F.when(size == 0, 0).when(size < 20, 1).when(size < 60, 2).when(size < 150, 3).when(size < 400, 4).otherwise(5)
     last = lines.groupBy("conv", "chunk").agg(F.max_by("line", "at").alias("carried")).withColumn("chunk", F.col("chunk") + 1)
@@ -89,6 +93,8 @@ def learn(lines: DataFrame) -> ChatModel:
             step[r["old"], r["state"]] += r["n"]
     for r in emitted:
         emit[r["state"], r["obs"]] += r["n"]
+    for r in np.flatnonzero(emit.sum(axis=1).reshape(len(ROLES), 2).sum(axis=1) == 0) if emit.any() else ():
+        start[2 * r], step[:, 2 * r] = 1e-12, 1e-12  # a role without any line is never entered
     shape = (STATES, MARKERS, BEFORE, LENGTHS, 2, 2)
     backed = np.ones(shape)
     counts = emit.reshape(shape)
@@ -175,6 +181,9 @@ def decode(lines: DataFrame, model: ChatModel) -> DataFrame:
     obs = observe(lines)
     chunks = obs.groupBy("conv", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "obs"))), lambda x: x["obs"]).alias("obs"))
     chunks = scratch.write(chunks, "chunks")
+    # the work is in the lines, not in the bytes of their numbers
+    tasks = -(-(chunks.agg(F.sum(F.size("obs"))).first()[0] or 1) // LINES_PER_TASK)
+    chunks = chunks.repartition(tasks, "conv", "chunk")
     long = chunks.where("chunk = 1").select("conv").distinct()
     spans = chunks.join(long.hint("merge"), "conv", "left_semi").select("conv", "chunk", "obs").mapInArrow(_spans(model), f"conv {conv}, chunk long, span array<double>")
     ends = scratch.write(spans.groupBy("conv").applyInArrow(_ends, f"conv {conv}, chunk long, before int, after int"), "ends")
@@ -202,7 +211,8 @@ def render(lines: DataFrame) -> DataFrame:
     known = "|".join(n for names in NAMES.values() for n in names)
     marker = r"(?i)^\s*(?:\*\*|\[|<\||#+ ?)?(?:" + known + r")(?:\*\*|\]|\|>)?\s*:\s*"
     text = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
-    content = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, marker, ""), r"^\s+", ""), r"\s+\z", "")
+    bare = F.when(role == ROLES[-1], F.regexp_replace(text, _ANY, "")).otherwise(F.regexp_replace(text, marker, ""))
+    content = F.regexp_replace(F.regexp_replace(bare, r"^\s+", ""), r"\s+\z", "")
     shown = turns.select(F.col("conv").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), content.alias("content"))
     return shown.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "content", F.lit("\n<|end|>")))
 
@@ -222,22 +232,26 @@ def raw_transcripts(conversations: DataFrame) -> DataFrame:
     """(conv, chunk, at, line, state): the turns of ``conversations`` as the lines of raw transcripts, with the true states.
 
     Speakers are marked in the way of one of four dumps, by conv_id: role names, other names, role names with
-    every third turn bare, no names but blank lines between turns.
+    every third turn bare, no names but blank lines between turns. Turns of a role without a state of its own,
+    null included, are marked by that role's name and have the state of "other". A null text is an empty line;
+    turns without a number come last; turns without a conv_id belong to no transcript and are left out. Turns that repeat a number stay apart.
     """
     style = F.pmod(F.xxhash64(F.lit("style"), "conv_id"), F.lit(4))
     names = {"system": ("System", "Instructions"), "user": ("User", "Human"), "assistant": ("Assistant", "AI")}
-    pick = lambda k: F.create_map(*[x for r, n in names.items() for x in (F.lit(r), F.lit(n[k]))])[F.col("role")]
+    further = F.regexp_replace(F.initcap(F.coalesce("role", F.lit("nobody"))), "[^A-Za-z]", "")
+    pick = lambda k: F.coalesce(F.create_map(*[x for r, n in names.items() for x in (F.lit(r), F.lit(n[k]))])[F.col("role")], further)
     bare = (style == 3) | ((style == 2) & (F.pmod(F.col("turn"), F.lit(3)) == 2))
     head = F.when(bare, F.lit("")).otherwise(F.concat(F.when(style == 1, pick(1)).otherwise(pick(0)), F.lit(": ")))
     tail = F.when(style == 3, F.lit("\n")).otherwise(F.lit(""))
-    turns = conversations.where(F.col("conv_id").isNotNull() & F.col("role").isin(*ROLES)).select("conv_id", "turn", "role", F.split(F.concat(head, F.coalesce("text", F.lit("")), tail), "\n", -1).alias("lines"))
+    role = F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise(ROLES[-1])
+    turns = conversations.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", role.alias("role"), F.split(F.concat(head, F.coalesce("text", F.lit("")), tail), "\n", -1).alias("lines"))
     return number_lines(turns)
 
 
 def number_lines(turns: DataFrame) -> DataFrame:
     """Number the lines of (conv_id, turn, role, lines) through each transcript by two-level sums over blocks of turns, so a very long one is no single group."""
-    block = F.floor(F.col("turn") / 256)
-    dealt = turns.where(F.col("turn").isNotNull()).withColumn("block", block).withColumn("m", F.size("lines"))
+    block = F.coalesce(F.floor(F.col("turn") / 256), F.lit(1 << 62))
+    dealt = turns.withColumn("block", block).withColumn("m", F.size("lines"))
     sums = dealt.groupBy("conv_id", "block").agg(F.sum("m").alias("all"))
     base = sums.select("conv_id", "block", F.coalesce(F.sum("all").over(Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     order = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "lines").rowsBetween(Window.unboundedPreceding, -1)

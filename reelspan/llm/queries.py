@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, langid, licenses, linededup, mixing, neighbours, ngramjoin, quality, toxicity
+from .scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,10 +62,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw transcripts out of ``conversations``; the model learns from those whose crc32 is not 1 modulo 3."""
-    lines = chat.raw_transcripts(_table(spark, sf_dir, "conversations"))
-    model = chat.learn(lines.where(F.crc32(F.col("conv").cast("string")) % 3 != 1))
-    return chat.render(chat.decode(lines.drop("state"), model)).select("conv_id", "turn", "role", "rendered")
+    """Raw transcripts out of ``conversations``; the model learns from those whose crc32 is not 1 modulo 3, the others are held out."""
+    held_out = lambda c: F.crc32(F.col(c).cast("string")) % 3 == 1
+    lines = Scratch(spark, "transcripts").write(chat.observe(chat.raw_transcripts(_table(spark, sf_dir, "conversations"))), "lines")
+    model = chat.learn(lines.where(~held_out("conv")))
+    return chat.render(chat.decode(lines.drop("state"), model)).select("conv_id", held_out("conv_id").alias("held_out"), "turn", "role", "rendered")
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

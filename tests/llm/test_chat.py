@@ -50,7 +50,7 @@ def test_chunks_give_the_whole_transcripts_path(spark, monkeypatch):
 def test_edges(spark):
     talks = spark.createDataFrame([(1, 0, "user", "Hi?"), (1, 1, "assistant", None), (None, 0, "user", "x"), (2, None, "user", "x"), (3, 0, "narrator", "x"), (4, 0, "user", "a\nb"), (4, 0, "user", "a\nb")], "conv_id long, turn long, role string, text string")
     lines = chat.raw_transcripts(talks)
-    assert {r["conv"] for r in lines.collect()} == {1, 4}
+    assert {r["conv"] for r in lines.collect()} == {1, 2, 3, 4}
     assert chat.learn(lines).step.shape == (chat.STATES, chat.STATES)
     model = chat.learn(chat.raw_transcripts(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")))
     raw = spark.createDataFrame([(1, "User: Hi?\nAssistant: Hello.\nMore."), (2, None), (3, ""), (None, "User: x"), (5, "User: " + "long " * 50_000)], "conv_id long, text string")
@@ -58,3 +58,29 @@ def test_edges(spark):
     assert got[1, 0] == ("user", "Hi?") and (3, 0) in got and got[5, 0][0] == "user" and {k for k, _ in got} == {1, 3, 5}
     assert chat.format_transcripts(raw.limit(0), model).count() == 0
     assert chat.learn(lines.limit(0)).start.shape == (chat.STATES,)
+
+
+def test_turns_of_held_out_conversations(spark):
+    """The query's own turns against those that the transcripts were made of."""
+    from reelspan.llm.queries import op10_chat_turns
+
+    talks = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    got = op10_chat_turns(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
+    body = got["rendered"].str.removesuffix("\n<|end|>").str.split("|>\n", n=1, regex=False).str[1]
+    found = {(i, r, " ".join(t.split())) for i, r, t in zip(got["conv_id"], got["role"], body, strict=True)}
+    true = talks.where(F.crc32(F.col("conv_id").cast("string")) % 3 == 1).toPandas()
+    hit = [(i, r, " ".join((t or "").split())) in found for i, r, t in zip(true["conv_id"], true["role"], true["text"], strict=True)]
+    assert len(hit) > 150 and np.mean(hit) > 0.85, np.mean(hit)
+
+
+def test_every_role_and_every_turn_is_kept(spark):
+    rows = [(1, 0, "user", "Hi?"), (1, 1, "tool", "42"), (1, 2, "assistant", "It is 42."), (1, None, None, "late"), (1, 2, "assistant", "It is 42.")]
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    lines = chat.raw_transcripts(talks)
+    begins = lines.where("state % 2 = 0").orderBy("at").collect()
+    assert [r["state"] // 2 for r in begins] == [1, 3, 2, 2, 3] and begins[-1]["line"].endswith("late")
+    model = chat.learn(chat.raw_transcripts(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")).unionByName(lines))
+    raw = spark.createDataFrame([(1, "User: Hi?\nTool: 42\nAssistant: It is 42.")], "conv_id long, text string")
+    got = [(r["role"], r["content"]) for r in chat.format_transcripts(raw, model).orderBy("turn").collect()]
+    assert got == [("user", "Hi?"), ("other", "42"), ("assistant", "It is 42.")]
+    assert chat.render(chat.decode(chat.to_lines(raw.limit(0)), model)).count() == 0
