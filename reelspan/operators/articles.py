@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspan.functions.scoring import confidence_action, match_quality
+from reelspan.operators.ordering import number_rows
 
 
 def validate_titles(queries: DataFrame, articles: DataFrame, redirects: DataFrame) -> DataFrame:
@@ -131,21 +132,8 @@ def merge_overrides(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def review_queue(decisions: DataFrame, ranges: int = 64) -> DataFrame:
-    """Flagged decisions, least sure first.
-
-    Rows are numbered inside (confidence, range of seq), after the rows of all smaller ones; the window over
-    the ranges' counts has ``ranges`` rows for each confidence, never decisions.
-    """
-    rows = decisions.where(confidence_action(F.col("confidence")) == "flag")
-    ends = rows.agg(F.min("seq").alias("_low"), F.max("seq").alias("_high"))
-    share = (F.col("seq").cast("double") - F.col("_low")) / (F.col("_high").cast("double") - F.col("_low") + 1)
-    dealt = rows.crossJoin(F.broadcast(ends)).withColumn("_range", F.coalesce(F.floor(share * ranges), F.lit(-1)))
-    earlier = Window.orderBy("confidence", "_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy("confidence", "_range").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("confidence", "_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("confidence", "_range").orderBy("seq"))
-    placed = dealt.join(before.hint("merge"), ["confidence", "_range"]).withColumn("place", (F.col("_before") + inside).cast("int"))
-    return placed.select(*decisions.columns, "place")
+    """Flagged decisions, least sure first, numbered from 1."""
+    return number_rows(decisions.where(confidence_action(F.col("confidence")) == "flag"), ["confidence"], "seq", ranges=ranges)
 
 
 def request_batches(entities: DataFrame, size: int = 7, context: int = 150) -> DataFrame:

@@ -96,8 +96,12 @@ def add_subjects(entities: DataFrame, subjects: DataFrame) -> DataFrame:
     )
 
 
-def from_gazetteer(cues: DataFrame, gazetteer: DataFrame, longest: int = 3) -> DataFrame:
-    """Mentions by dictionary: word n-grams of every cue joined by equality with (surface, canonical, kind)."""
+def from_gazetteer(cues: DataFrame, gazetteer: DataFrame, longest: int = 3, most_broadcast: int = 1 << 16) -> DataFrame:
+    """Mentions by dictionary: word n-grams of every cue joined by equality with (surface, canonical, kind).
+
+    A dictionary of at most ``most_broadcast`` entries (counted) goes to every task, so a frequent n-gram meets
+    it where it is; with a larger one both sides are shuffled.
+    """
     words = F.filter(F.split(F.regexp_replace(F.lower("text"), r"(?U)[^\w]+", " "), " "), lambda w: w != "")
     tokens = cues.select("transcript_id", "cue_idx", F.col("start_ms").alias("ms"), words.alias("w"))
     grams = None
@@ -107,4 +111,5 @@ def from_gazetteer(cues: DataFrame, gazetteer: DataFrame, longest: int = 3) -> D
         part = tokens.select("transcript_id", "cue_idx", "ms", F.explode(each).alias("g")).select("transcript_id", "cue_idx", "ms", "g.at", "g.gram")
         grams = part if grams is None else grams.unionByName(part)
     known = gazetteer.select(F.lower("surface").alias("gram"), "canonical", "kind").distinct()
-    return grams.join(known.hint("merge"), "gram").select("transcript_id", "cue_idx", "ms", "at", F.col("gram").alias("surface"), "canonical", "kind")
+    known = known.hint("broadcast" if known.count() <= most_broadcast else "merge")
+    return grams.join(known, "gram").select("transcript_id", "cue_idx", "ms", "at", F.col("gram").alias("surface"), "canonical", "kind")

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspan.operators.ordering import number_rows
+
 #: The first track that clips may take; the one below holds the main video.
 BASE_TRACK = 2
 
@@ -194,7 +196,8 @@ def filler_pool(entities: DataFrame, pervasive: DataFrame) -> DataFrame:
     """Order of entities for fillers: those listed as pervasive first (name for name, in the list's order), then by priority."""
     listed = pervasive.select("entity", "place").join(entities.hint("merge"), "entity").select("entity", F.lit(0).alias("part"), F.col("place").cast("double").alias("key"), "entity_seq")
     rest = entities.join(pervasive.select("entity").hint("merge"), "entity", "left_anti").select("entity", F.lit(1).alias("part"), (-F.col("priority")).alias("key"), "entity_seq")
-    return listed.unionByName(rest).withColumn("pool_no", F.row_number().over(Window.orderBy("part", "key", "entity_seq", "entity")) - 1).select("entity", "pool_no")
+    numbered = number_rows(listed.unionByName(rest), ["part", "key"], "entity_seq", ("entity",), name="pool_no")
+    return numbered.select("entity", (F.col("pool_no") - 1).alias("pool_no"))
 
 
 def coverage(placements: DataFrame, totals: DataFrame, tracks: int) -> DataFrame:
