@@ -46,23 +46,25 @@ def mix_sources(
     share: float = 1.0,
     cap: float = 3.0,
     seed: str = "mix",
-    ranges: int = 256,
+    least_ranges: int = 256,
+    rows_per_range: int = 1 << 20,
 ) -> DataFrame:
     """Choose how many words of every document the mix takes.
 
     Every document gets a hash-random key (MD5 of seed and doc_id). Within a source the documents stand
     in key order; whole epochs are taken while the source's target allows, then the documents in key
     order until the target's whole words are used up, the last one in part. Prefix sums are two-level:
-    word counts of ``ranges`` key ranges per source, and a running sum inside a range, so a source with a
-    third of all rows is dealt over ``ranges`` groups.
+    word counts of key ranges per source, and a running sum inside a range. There are as many ranges as keep
+    about ``rows_per_range`` rows of all sources in one, ``least_ranges`` at least, so a source with a third of all
+    rows is dealt over all of them. How many there are doesn't change the result.
 
     Returns doc_id, source, size, source_size, target, taken and epochs (whole epochs of the source).
-    Null or empty texts have size 0 and take 0. A null source is a source of its own. A null doc_id is a
-    key like any other. Rows repeating a doc_id are separate documents, ordered by size. An empty table
+    Null or empty texts have size 0 and take 0. A null source is a source of its own. Rows without a
+    doc_id get their key from the text. Rows repeating a doc_id are separate documents, ordered by size. An empty table
     gives no rows. Columns other than doc_id, text and source are not read, so their names don't matter.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))))
     sized = scratch.write(
         docs.select(
             "doc_id",
@@ -70,9 +72,11 @@ def mix_sources(
             F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("group"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             key.alias("key"),
-        ).withColumn("range", F.pmod(F.conv(F.substring("key", 1, 4), 16, 10).cast("int"), F.lit(65536)) * ranges / F.lit(65536)).withColumn("range", F.floor("range").cast("int")),
+        ),
         "sized",
     )
+    ranges = max(least_ranges, -(-sized.count() // rows_per_range))
+    sized = sized.withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int"))
     per_range = scratch.write(sized.groupBy("group", "source", "range").agg(F.sum("size").alias("words")), "ranges")
     targets = source_targets(per_range.groupBy("group", "source").agg(F.sum("words").alias("source_size")).drop("group"), weights, share, cap)
     targets = targets.withColumn("group", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
@@ -106,7 +110,7 @@ def mix_sources(
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, '')))) AS key
   FROM documents),
 per_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighted AS (
