@@ -12,6 +12,8 @@ from .scratch import Scratch
 
 #: Products of int8 values are summed in float32 over at most this many dimensions, so every sum is exact.
 _EXACT_DIMS = 1024
+#: Queries of a tile whose bounds are held at once.
+QUERIES_AT_ONCE = 256
 
 
 def usable(vector: str) -> Column:
@@ -52,6 +54,19 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def _nearest_rows(qm: np.ndarray, q_id: np.ndarray, rm: np.ndarray, r_id: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    low, high = _tile_bounds(qm, rm)
+    own = q_id[:, None] == r_id[None, :]
+    low[own] = high[own] = np.inf
+    limit = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] > k else np.full(len(qm), np.inf)
+    at, to = np.nonzero((low <= limit[:, None]) & ~own)
+    score = _exact(qm[at], rm[to])
+    found = []
+    for i, start, end in zip(*_runs(at), strict=True):
+        found += [(q_id[i], v, s) for s, v in heapq.nsmallest(k, zip(score[start:end], r_id[to[start:end]], strict=True))]
+    return found
+
+
 def _search_tile(k: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, float]] = []
@@ -62,15 +77,9 @@ def _search_tile(k: int):
                 if not len(r):
                     continue
                 qm, rm = np.stack(q["vector"].to_numpy()).astype(np.float64), np.stack(r["vector"].to_numpy()).astype(np.float64)
-                q_id, r_id = q["vec_id"].to_numpy(), r["vec_id"].to_numpy()
-                low, high = _tile_bounds(qm, rm)
-                own = q_id[:, None] == r_id[None, :]
-                low[own] = high[own] = np.inf
-                limit = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] > k else np.full(len(q), np.inf)
-                at, to = np.nonzero((low <= limit[:, None]) & ~own)
-                score = _exact(qm[at], rm[to])
-                for i, start, end in zip(*_runs(at), strict=True):
-                    found += [(q_id[i], v, s) for s, v in heapq.nsmallest(k, zip(score[start:end], r_id[to[start:end]], strict=True))]
+                r_id = r["vec_id"].to_numpy()
+                for part in range(0, len(q), QUERIES_AT_ONCE):
+                    found += _nearest_rows(qm[part : part + QUERIES_AT_ONCE], q["vec_id"].to_numpy()[part : part + QUERIES_AT_ONCE], rm, r_id, k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return run
@@ -87,7 +96,7 @@ def nearest(
     k: int = 10,
     vector: str = "embedding",
     row_block: int = 4096,
-    query_block: int = 512,
+    query_block: int = 4096,
 ) -> DataFrame:
     """The k nearest rows of every query by Euclidean distance; exact.
 
@@ -95,7 +104,8 @@ def nearest(
     blocks is one tile: int8 products give a distance with a bound on its quantisation error; only pairs
     whose lower bound is within the k-th smallest upper bound are recomputed in double precision, and a
     heap keeps the tile's best k per query. The heaps are merged per query by rank, at most k rows of each
-    tile. A tile is all that a task holds, whatever the table's size.
+    tile. A tile is all that a task holds, whatever the table's size. Each row is sent once per block of
+    queries and each query once per block of rows.
 
     Vectors that are null, all zero or hold null or non-finite components take no part, as do rows without
     vec_id. A query is compared with vectors of its own length only. Rows that repeat a vec_id count once,
