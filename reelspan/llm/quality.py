@@ -149,10 +149,11 @@ def fit(features: list[np.ndarray], labels: np.ndarray, width: int = 24, epochs:
     return QualityModel(mean, scale, w)
 
 
-def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most_docs: int = 4000) -> QualityModel:
+def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most_docs: int = 4000, passages_per_doc: int = 64) -> QualityModel:
     """Fit on about ``most_docs`` labelled documents, half of each label if there are so many, drawn by hash at rates from their counts.
 
-    Passages are encoded where the documents are; only their features reach the driver. Rows with a null id,
+    Passages are encoded where the documents are; only their features reach the driver, of a document with
+    more than ``passages_per_doc`` passages that many evenly spaced ones. Both parameters bound what the driver holds; scoring has no bounds. Rows with a null id,
     text or label are not learned from.
     """
     scratch = Scratch(docs.sparkSession, "quality")
@@ -162,17 +163,23 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most_docs: int
     rate = F.when(F.col("y") == 1, most_docs / 2 / max(1, n.get(1, 0))).otherwise(most_docs / 2 / max(1, n.get(0, 0)))
     drawn = scratch.write(known.where(chance < rate), "drawn")
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("id"))
-    got = texts.select("id", "y", "text").mapInArrow(_bags, "id long, y int, bag binary").toPandas().sort_values(["id", "bag"])
+    got = texts.select("id", "y", "text").mapInArrow(_bags(passages_per_doc), "id long, y int, bag binary").toPandas().sort_values(["id", "bag"])
     bags = [np.frombuffer(b, dtype=np.float32).reshape(-1, FEATURES).astype(np.float64) for b in got["bag"]]
     return fit(bags, got["y"].to_numpy(dtype=np.float64))
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = Powers()
-    for batch in slices(batches):
-        words = Words(batch.column("text"), powers, spans=True)
-        bags = [encode(words, k, k + 1)[0].tobytes() for k in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(bags, pa.binary())], names=["id", "y", "bag"])
+def _bags(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in slices(batches):
+            words = Words(batch.column("text"), powers, spans=True)
+            bags = []
+            for k in range(batch.num_rows):
+                x = encode(words, k, k + 1)[0]
+                bags.append(x[np.unique(np.linspace(0, len(x) - 1, min(most, len(x))).astype(np.int64))].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(bags, pa.binary())], names=["id", "y", "bag"])
+
+    return run
 
 
 def _score(model: QualityModel):
