@@ -16,8 +16,8 @@ from .langid import _cuts
 from .scratch import make_importable
 from .wordhash import Powers, Words, mix, slices
 
-#: Items that are held by every task at once; more items go in further passes.
-ITEMS_AT_ONCE = 1 << 13
+#: Items, and bytes of them, that are held by every task at once; more go in further passes.
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 1 << 13, 1 << 24
 #: Words of all windows that are embedded at once.
 CELLS = 1 << 20
 _PAD = np.uint64(0x70AD)
@@ -260,7 +260,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.2, ke
     Words are runs of characters other than ASCII white space, A-Z lower-cased. Every window of an item's
     length is embedded by CGK walks, so that word edits become differing symbols; bit-sampling LSH tables
     over the embedding give candidate items, and the exact word edit distance of the item to the best
-    stretch around them decides. Items are read in blocks of ``ITEMS_AT_ONCE``, one pass each.
+    stretch around them decides. Items are read in blocks of about ``ITEMS_AT_ONCE`` and ``BYTES_AT_ONCE``, one pass each.
 
     Returns ``row`` (a struct of the documents' ``keep`` columns, all by default), item_id, first_word and
     n_words (the matched stretch) and edits. With ``every_place`` there is one row per place, the best of
@@ -272,7 +272,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = 0.2, ke
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), "text")
     kind = T.StructType([packed.schema["row"], *[T.StructField(c, T.LongType()) for c in ("item_id", "first_word", "n_words", "edits")]])
     usable = benchmark.where("item_id is not null and length(trim(text)) > 0").select("item_id", "text")
-    passes = max(1, -(-usable.count() // ITEMS_AT_ONCE))
+    n, size = usable.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    passes = max(1, -(-n // ITEMS_AT_ONCE), -(-size // BYTES_AT_ONCE))
     out = None
     for k in range(passes):
         part = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else usable

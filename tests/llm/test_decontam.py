@@ -132,3 +132,15 @@ def test_every_place_is_a_row(spark):
     got = sorted((x["row"]["doc_id"], x["first_word"], x["n_words"], x["edits"]) for x in found)
     want = [(1, 0, 10, 0), (1, 10, 10, 0), *[(2, 10 * k, 10, 0) for k in range(1000)], (3, 0, 10, 2), (3, 10, 10, 0), (4, 0, 10, 0), (4, 13, 10, 2), (4, 23, 10, 2), (5, 0, 10, 0)]
     assert got == want
+
+
+def test_long_items(spark):
+    """An item of thousands of words, edited here and there, and texts that hold none of it."""
+    r = random.Random(8)
+    item = [f"w{r.randrange(5000)}" for _ in range(3000)]
+    near = [w if r.random() > 0.05 or k in (0, 2999) else "edit" for k, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, " ".join(["x"] * 50 + near + ["y"] * 70)), (2, " ".join(r.choices(item, k=4000))), (3, " ".join(item[:1500]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = find_leaks(docs, bench, keep=["doc_id"], every_place=True).collect()
+    assert [(x["row"]["doc_id"], x["item_id"], x["first_word"], x["n_words"]) for x in got] == [(1, 7, 50, 3000)]
+    assert got[0]["edits"] == sum(a != b for a, b in zip(item, near))
