@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import Scratch, make_importable
-from .wordhash import LOWER, SPACE, mix, slices, utf8
+from .wordhash import LOWER, SPACE, give_back, mix, slices, utf8
 
 #: Three characters within so many, each further place costing this factor.
 SPAN, DECAY = 5, 0.6
@@ -98,7 +98,8 @@ def windows(texts: pa.Array) -> Windows:
         starts.append(at[i] + cuts)
         sizes.append(np.minimum(PART, size[i] + 1 - cuts))
         owners.append(np.full(len(cuts), text[i]))
-    return Windows(packed, np.concatenate(starts), np.concatenate(sizes), np.concatenate(owners))
+    kind = np.int32 if len(packed) < 1 << 31 else np.int64
+    return Windows(packed, *(np.concatenate(c).astype(kind) for c in (starts, sizes, owners)))
 
 
 def spelled(seen: Windows) -> tuple[np.ndarray, list[str]]:
@@ -154,7 +155,7 @@ def _unit(window: bytes) -> dict[int, float]:
     return {c: v / norm for c, v in own.items()}
 
 
-def _by_size(items: list[bytes], most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _by_size(items: list[bytes], most: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     sizes = np.array([len(x) for x in items])
     for n in np.unique(sizes):
         same = np.flatnonzero(sizes == n)
@@ -237,8 +238,9 @@ class Scorer:
             for a in range(1, b):
                 each += self.quick[(x[: len(x) - b] << 16) | (x[a : len(x) - b + a] << 8) | x[b:]]
             sums = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
-            end = np.maximum(w.start, np.minimum(w.start + w.size - b, len(each)))
-            total += DECAY ** (b + 1) * (sums[end] - sums[w.start])
+            start = np.minimum(w.start, len(each))
+            end = np.maximum(start, np.minimum(w.start + w.size - b, len(each)))
+            total += DECAY ** (b + 1) * (sums[end] - sums[start])
         return total / self.least_norm[w.size] + 1e-4
 
     def best(self, w: Windows, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -287,53 +289,122 @@ class ToxicityModel:
 
 def _hashed(w: Windows) -> np.ndarray:
     """64 bits of each window."""
-    x = w.bytes.astype(np.uint64) + np.uint64(1)
     out = np.zeros(len(w.start), dtype=np.uint64)
     for k in range(int(w.size.max(initial=0))):
         long = np.flatnonzero(w.size > k)
-        out[long] = mix(out[long] * np.uint64(0x9E3779B97F4A7C15) + x[w.start[long] + k])
+        out[long] = mix(out[long] * np.uint64(0x9E3779B97F4A7C15) + w.bytes[w.start[long] + k].astype(np.uint64) + np.uint64(1))
     return out
 
 
-def fit(sentences: list[tuple[int, int, str]], landmarks: int = 128, rounds: int = 3, penalty: float = 1e-4, negatives: int = 12_000) -> ToxicityModel:
+class _Sentences:
+    """Labelled sentences in blocks; windows are made block by block, whenever they are read."""
+
+    def __init__(self, sentences: list[tuple[int, int, str]], block: int = 1 << 17):
+        self.docs = sorted({d for d, _, _ in sentences})
+        number = {d: k for k, d in enumerate(self.docs)}
+        self.label = np.zeros(len(self.docs), dtype=np.int64)
+        self.blocks: list[tuple[pa.Array, np.ndarray]] = []
+        texts: list[str] = []
+        owner: list[int] = []
+        held = 0
+        for d, y, t in sentences:
+            self.label[number[d]] = max(y, self.label[number[d]])
+            texts.append(t)
+            owner.append(number[d])
+            held += len(t)
+            if held > block:
+                self._close(texts, owner)
+                texts, owner, held = [], [], 0
+        self._close(texts, owner)
+
+    def _close(self, texts: list[str], owner: list[int]) -> None:
+        if texts:
+            self.blocks.append((pa.array(texts, pa.string()), np.array(owner, dtype=np.int32)))
+
+    def windows(self) -> Iterator[tuple[Windows, np.ndarray]]:
+        for texts, owner in self.blocks:
+            yield windows(texts), owner
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Hashes of all windows, in order; how many toxic and clean documents hold each; its number of words if it is longer than two bytes, else 0; and (hash, document) pairs."""
+        pairs, sizes = [], []
+        for w, owner in self.windows():
+            h = _hashed(w)
+            blanks = np.concatenate([[0], np.cumsum(w.bytes == 32)])
+            words = np.where(w.size > 3, blanks[w.start + w.size] - blanks[w.start], 0).astype(np.int8)
+            known, first, where = np.unique(h, return_index=True, return_inverse=True)
+            sizes.append((known, words[first]))
+            once = np.unique(where.astype(np.int64) * len(self.docs) + owner[w.text])
+            pairs.append((known[once // len(self.docs)], (once % len(self.docs)).astype(np.int32)))
+        known, first = np.unique(np.concatenate([k for k, _ in sizes]), return_index=True) if sizes else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+        words = np.concatenate([x for _, x in sizes])[first] if sizes else np.zeros(0, dtype=np.int8)
+        del sizes
+        doc_of = []
+        while pairs:
+            h, d = pairs.pop()
+            doc_of.append(np.searchsorted(known, h).astype(np.int64) * len(self.docs) + d)
+        once = np.unique(np.concatenate(doc_of)) if doc_of else np.zeros(0, dtype=np.int64)
+        del doc_of
+        item, doc = once // max(1, len(self.docs)), once % max(1, len(self.docs))
+        bad, good = (np.bincount(item[self.label[doc] == k], minlength=len(known)) for k in (1, 0))
+        return known, bad, good, words, (item, doc)
+
+    def texts(self, wanted: np.ndarray) -> dict[int, bytes]:
+        """Bytes of the windows with the (sorted) wanted hashes."""
+        found: dict[int, bytes] = {}
+        for w, _ in self.windows():
+            h, first = np.unique(_hashed(w), return_index=True)
+            for k in np.flatnonzero(np.isin(h, wanted)).tolist():
+                found.setdefault(int(h[k]), w.get(int(first[k])))
+        return found
+
+    def drawn(self, share: float) -> Iterator[bytes]:
+        """Windows of clean documents drawn by hash."""
+        for w, owner in self.windows():
+            h = _hashed(w)
+            chosen = (h >> np.uint64(11)).astype(np.float64) / (1 << 53) < share
+            for k in np.flatnonzero(chosen & (self.label[owner[w.text]] == 0)).tolist():
+                yield w.get(k)
+
+    def best(self, scorer: Scorer) -> tuple[np.ndarray, list[tuple[float, bytes, int]]]:
+        """Largest margin of each document; and of each clean sentence (margin, window, document), largest first."""
+        margins, found = np.zeros(len(self.docs)), []
+        for w, owner in self.windows():
+            margin, which = scorer.best(w, len(owner))
+            np.maximum.at(margins, owner, margin)
+            found += [(float(margin[k]), w.get(int(which[k])), int(owner[k])) for k in np.flatnonzero((which >= 0) & (self.label[owner] == 0)).tolist()]
+        return margins, sorted(found, key=lambda x: (-x[0], x[1], x[2]))
+
+
+def fit(sentences: list[tuple[int, int, str]], landmarks: int = 128, rounds: int = 3, penalty: float = 1e-4, negatives: int = 6_000) -> ToxicityModel:
     """Fit on labelled sentences (document, label, text).
 
     A toxic document's sentences share its label, but few are to blame: each toxic document is represented
     by the window of its sentences with the largest margin (at first by the one that tells the labels apart
     best), which is then learned again; documents without a window that toxic ones hold more often stay out.
     Every sentence of a clean document is clean: the window with its largest margin joins the training set from
-    round to round, up to ``negatives`` of the largest ones and as many drawn at random; a window that is the largest of whole
-    documents weighs more. Landmarks are the windows that
-    tell the labels apart best, unlike each other, and clean ones: frequent words and those nearest to the others.
-    A window of several words is taken only where it tells the labels apart better than any window in it.
+    round to round, up to ``negatives`` of the largest ones and about as many drawn by hash; a window that is the
+    largest of whole documents weighs more. Landmarks are the windows that tell the labels apart best, unlike each
+    other, and clean ones: frequent words and those nearest to the others. A window of several words is taken only
+    where it tells the labels apart better than any window in it.
     """
-    docs = sorted({d for d, _, _ in sentences})
-    number = {d: k for k, d in enumerate(docs)}
-    y = np.zeros(len(docs), dtype=np.int64)
-    for d, label, _ in sentences:
-        y[number[d]] = max(y[number[d]], label)
-    n_bad, n_good = int(y.sum()), int((1 - y).sum())
+    data = _Sentences(sentences)
+    n_bad, n_good = int(data.label.sum()), int((1 - data.label).sum())
     if not n_bad or not n_good:
         return ToxicityModel([b" none"], np.zeros(1), 0.0, 4.0 if n_bad else -4.0)
-    seen = windows(pa.array([t for _, _, t in sentences], pa.string()))
-    owner = np.array([number[d] for d, _, _ in sentences])[seen.text]
-    h = _hashed(seen)
-    # documents of each window, by label
-    known, first, where = np.unique(h, return_index=True, return_inverse=True)
-    once = np.unique(where.astype(np.int64) * len(docs) + owner)
-    item, doc = once // len(docs), once % len(docs)
-    bad, good = (np.bincount(item[y[doc] == k], minlength=len(known)) for k in (1, 0))
+    known, bad, good, words, (item, doc) = data.counts()
     odds = np.log((bad + 0.1) / (n_bad + 0.2)) - np.log((good + 0.1) / (n_good + 0.2))
     strength = odds * np.sqrt(bad)
-    running = np.concatenate([[0], np.cumsum(seen.bytes == 32)])
-    blanks = running[(seen.start + seen.size)[first]] - running[seen.start[first]]
-    held = np.flatnonzero((bad > 0) & (odds > 1.0) & (seen.size[first] > 3) & ((blanks == 1) | (bad >= 3)))
-    texts = {k: seen.get(int(first[k])) for k in held.tolist()}
+    held = np.flatnonzero((bad > 0) & (odds > 1.0) & ((words == 1) | ((words > 1) & (bad >= 3))))
+    frequent = np.flatnonzero(words == 1)
+    frequent = frequent[np.lexsort((known[frequent], -good[frequent]))][:2000]
+    text_of = data.texts(np.unique(known[np.concatenate([held, frequent])]))
+    texts = {k: text_of[int(known[k])] for k in held.tolist()}
     stronger = {t: float(strength[k]) for k, t in texts.items()}
 
     def tells_more(k: int) -> bool:
-        words = texts[k][1:].split(b" ")
-        inner = [b" " + b" ".join(words[a:b]) for a in range(len(words)) for b in range(a + 1, len(words) + 1) if b - a < len(words)]
+        parts = texts[k][1:].split(b" ")
+        inner = [b" " + b" ".join(parts[a:b]) for a in range(len(parts)) for b in range(a + 1, len(parts) + 1) if b - a < len(parts)]
         return all(strength[k] > 1.05 * stronger.get(x, 0.0) for x in inner)
 
     held = np.array([k for k in held.tolist() if tells_more(k)], dtype=np.int64)
@@ -348,50 +419,47 @@ def fit(sentences: list[tuple[int, int, str]], landmarks: int = 128, rounds: int
             chosen.append(texts[k])
             units.append(own)
     chosen = chosen or [texts[int(held[0])] if len(held) else b" none"]
-    clean = [(d, t) for d, _, t in sentences if not y[number[d]]]
-    clean_windows = windows(pa.array([t for _, t in clean], pa.string()))
-
-    clean_owner = np.array([number[d] for d, _ in clean])
-
-    def hardest(scorer: Scorer) -> dict[bytes, int]:
-        """Clean windows, the largest of each sentence, largest first, and of how many documents each is the largest."""
-        margin, which = scorer.best(clean_windows, len(clean))
-        order = [k for k in np.argsort(-margin, kind="stable").tolist() if which[k] >= 0]
-        found = dict.fromkeys((clean_windows.get(int(which[k])) for k in order), 0)
-        _, leading = np.unique(clean_owner[order], return_index=True)
-        for k in leading.tolist():
-            found[clean_windows.get(int(which[order[k]]))] += 1
-        return found
-
-    usual = [seen.get(int(first[k])) for k in np.lexsort((known, -good))[:2000] if blanks[k] == 1]
-    near = list(hardest(Scorer(chosen, np.ones(len(chosen)))))
+    place = np.full(len(known), -1, dtype=np.int64)
+    place[held] = np.arange(len(held))
+    mine = (data.label[doc] == 1) & (place[item] >= 0)
+    of_doc: dict[int, list[int]] = defaultdict(list)
+    for k, d in zip(place[item[mine]].tolist(), doc[mine].tolist(), strict=True):
+        of_doc[d].append(k)
+    names, strong = [texts[k] for k in held.tolist()], strength[held]
+    usual = [text_of[int(known[k])] for k in frequent.tolist()]
+    share = negatives / max(1, int(good.sum()))
+    del known, bad, good, words, item, doc, odds, strength, place, mine, text_of, texts, stronger
+
+    def hardest(scorer: Scorer) -> tuple[np.ndarray, dict[bytes, int]]:
+        """Margins of the documents; and clean windows, largest first, with the number of documents whose largest it is."""
+        margins, rows = data.best(scorer)
+        found: dict[bytes, int] = {}
+        led: set[int] = set()
+        for _, x, d in rows:
+            found[x] = found.get(x, 0) + (d not in led)
+            led.add(d)
+        return margins, found
+
+    give_back()
+    near = list(hardest(Scorer(chosen, np.ones(len(chosen))))[1])
     chosen += [w for w in dict.fromkeys([*usual[: landmarks // 6], *near[: landmarks // 6]]) if w not in chosen]
     marks = Landmarks(chosen)
     nystroem = nystroem_map(marks)
-    drawn = np.random.default_rng(1).permutation(len(clean_windows.start))[:negatives].tolist()
-    low = dict.fromkeys([*usual, *near[:negatives], *(clean_windows.get(k) for k in drawn)], 1)
-    candidates = {k: i for i, k in enumerate(held.tolist())}
-    of_doc: dict[int, list[int]] = defaultdict(list)
-    for k, d in zip(item.tolist(), doc.tolist(), strict=True):
-        if y[d] and k in candidates:
-            of_doc[d].append(candidates[k])
-    names = [texts[k] for k in held.tolist()]
-    high = marks.kernels(names) @ nystroem
-    strong = strength[held]
+    low = dict.fromkeys([*usual, *near[:negatives], *data.drawn(share)], 1)
+    high = marks.kernels(names) @ nystroem if names else np.zeros((0, nystroem.shape[1]))
     groups = [np.array(of_doc[d]) for d in sorted(of_doc)]
     if not groups:
         return ToxicityModel(chosen, np.zeros(len(chosen)), 0.0, 0.0)
+    margins = np.zeros(len(data.docs))
     for _ in range(rounds):
         witness = np.array([g[np.lexsort((g, -strong[g]))[0]] for g in groups])
         w, _ = _svm(high[witness], marks.kernels(list(low)) @ nystroem, np.array(list(low.values()), dtype=float), penalty)
-        scorer = Scorer(chosen, nystroem @ w)
-        for x, n in list(hardest(scorer).items())[:negatives]:
+        margins, harder = hardest(Scorer(chosen, nystroem @ w))
+        give_back()
+        for x, n in list(harder.items())[:negatives]:
             low[x] = low.get(x, 1) + LEADING * n
         strong = high @ w
-    margin, _ = scorer.best(seen, len(sentences))
-    by_doc = np.zeros(len(docs))
-    np.maximum.at(by_doc, np.array([number[d] for d, _, _ in sentences]), margin)
-    slope, shift = _logistic(by_doc, y.astype(float))
+    slope, shift = _logistic(margins, data.label.astype(float))
     return ToxicityModel(chosen, nystroem @ w, slope, shift)
 
 

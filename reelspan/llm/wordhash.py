@@ -72,6 +72,13 @@ def pieces(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, in
         i += 1
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of about ``most_bytes`` of text, a longer text in one of its own, so that what is held per word stays bounded.
 
@@ -84,9 +91,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most_bytes: in
             end = max(at + 1, int(np.searchsorted(off, off[at] + most_bytes, side="right")) - 1)
             yield batch.slice(at, end - at)
             at = end
-        pa.default_memory_pool().release_unused()
-        if _TRIM:
-            _TRIM(0)
+        give_back()
 
 
 class Words:
