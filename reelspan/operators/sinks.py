@@ -18,6 +18,12 @@ def write_entity_maps(entities: DataFrame, path: str) -> None:
     entity_maps(entities).write.partitionBy("transcript_id").json(path)
 
 
+def write_element_maps(elements: DataFrame, path: str) -> None:
+    """One JSON document per transcript with a map of its elements (transcript_id, element_id, ...) by id."""
+    maps = entity_maps(elements.withColumnRenamed("element_id", "entity"))
+    maps.withColumnRenamed("entities", "visual_elements").write.partitionBy("transcript_id").json(path)
+
+
 def marker_rows(elements: DataFrame, fps: int = 25) -> DataFrame:
     """Markers in order of time: number, frame, time codes, label and colours."""
     number = F.row_number().over(Window.partitionBy("transcript_id").orderBy("ms", "element_id"))

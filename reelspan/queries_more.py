@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reelspan import fixtures as fx
 from reelspan.functions import images as img
-from reelspan.functions import names
+from reelspan.functions import names, timecode
 from reelspan.operators import images, segments, sinks
 from reelspan.plans import timeline_slice as plan
 from reelspan.queries import ENTITIES, IMAGE_SQL, _categorised
@@ -199,3 +199,12 @@ def k9_failure_log(spark, sf_dir):
         sinks.append_failures(fx.images(spark, sf_dir).withColumn("reason", reason), path)
     back = spark.read.schema("entity string, title string, reason string").csv(path, header=True)
     return back.groupBy("entity", "title", "reason").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query(f"WITH {DEDUPED}, t AS (SELECT *, printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS timecode FROM once) SELECT transcript_id, element_id, element_type, timecode, cue_idx, row_number() OVER (PARTITION BY transcript_id ORDER BY timecode, element_id) AS place FROM t")
+def s15_elements(spark, sf_dir):
+    """Visual elements written as maps, one file per transcript, and scanned in order."""
+    path = _folder(spark, "elements")
+    sinks.write_element_maps(_elements(spark, sf_dir).select("transcript_id", "element_id", "element_type", timecode.to_text(F.col("ms")).alias("timecode"), F.col("cue_idx").cast("int").alias("cue_idx")), path)
+    back = annotations.read_elements(spark, path)
+    return back.withColumn("transcript_id", F.regexp_extract("transcript_id", r"transcript_id=(\d+)", 1).cast("long"))

@@ -91,14 +91,34 @@ def w19_grown_tracks(spark, sf_dir):
     return timeline.grown_tracks(timeline.expand_stacks(_mentions(spark, sf_dir), _arrays(spark, sf_dir), 3), 2)
 
 
-@query()
+PLACED_STACKS = f"""{STACKS}, pairs AS (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY frame, entity, occ_idx, stack_offset) AS clip_seq FROM (SELECT * REPLACE (least(2, stack_size) AS stack_size) FROM stacks WHERE stack_offset < 2)),
+  together AS (SELECT transcript_id, entity, occ_idx, frame, count(*) AS size, row_number() OVER (PARTITION BY transcript_id ORDER BY min(clip_seq)) AS turn FROM pairs GROUP BY transcript_id, entity, occ_idx, frame),
+  walk AS (SELECT DISTINCT transcript_id, CAST(0 AS BIGINT) AS turn, CAST([0, 0, 0, 0] AS BIGINT[]) AS free, CAST(0 AS BIGINT) AS room FROM together
+    UNION ALL SELECT transcript_id, turn, list_transform(range(1, {TRACKS} + 1), lambda i: CASE WHEN i >= room AND i < room + size AND room > 0 THEN frame + {DURATION} ELSE free[i] END), room
+    FROM (SELECT t.*, w.free, CAST(coalesce(
+        list_min(list_filter(range(1, {TRACKS} + 2 - t.size), lambda i: len(list_filter(w.free[i:i + t.size - 1], lambda e: t.frame < e + {GAP})) = 0)),
+        CASE WHEN t.size = 1 AND t.frame >= list_min(w.free) THEN list_position(w.free, list_min(w.free)) END, 0) AS BIGINT) AS room
+      FROM walk w JOIN together t ON w.transcript_id = t.transcript_id AND t.turn = w.turn + 1))"""
+
+
+@query(
+    f"""WITH RECURSIVE {PLACED_STACKS} SELECT p.transcript_id, p.entity, p.occ_idx, p.image, p.frame, p.clip_seq, p.stack_offset, CASE WHEN room > 0 THEN room + size - stack_offset END AS track,
+    CASE WHEN room = 0 THEN CASE WHEN size = 1 THEN 'tracks occupied' ELSE 'no block of tracks free' END END AS skip_reason, {DURATION} AS duration_frames
+  FROM pairs p JOIN together t ON p.transcript_id = t.transcript_id AND p.entity = t.entity AND p.occ_idx = t.occ_idx AND p.frame = t.frame JOIN walk w ON w.transcript_id = t.transcript_id AND w.turn = t.turn"""
+)
 def w18_tracks(spark, sf_dir):
     stacks = timeline.expand_stacks(_mentions(spark, sf_dir), _arrays(spark, sf_dir), 2)
     number = F.row_number().over(Window.partitionBy("transcript_id").orderBy("frame", "entity", "occ_idx", "stack_offset")).cast("long")
     return timeline.assign_tracks(stacks.withColumn("clip_seq", number), TRACKS, DURATION, GAP)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {NUMBERED}, walk AS (SELECT DISTINCT transcript_id, CAST(0 AS BIGINT) AS clip_seq, CAST([0, 0, 0, 0] AS BIGINT[]) AS free, CAST(0 AS BIGINT) AS room FROM numbered
+    UNION ALL SELECT transcript_id, clip_seq, list_transform(range(1, {TRACKS} + 1), lambda i: CASE WHEN i = room THEN frame + {DURATION} ELSE free[i] END), room
+    FROM (SELECT n.transcript_id, n.clip_seq, n.frame, w.free, CAST(coalesce(list_min(list_filter(range(1, {TRACKS} + 1), lambda i: n.frame >= w.free[i] + {GAP})), CASE WHEN n.frame >= list_min(w.free) THEN list_position(w.free, list_min(w.free)) END, 0) AS BIGINT) AS room
+      FROM walk w JOIN numbered n ON w.transcript_id = n.transcript_id AND n.clip_seq = w.clip_seq + 1))
+  SELECT n.transcript_id, n.clip_seq, n.entity, n.frame, CASE WHEN room > 0 THEN room + 1 END AS track FROM numbered n JOIN walk w ON n.transcript_id = w.transcript_id AND n.clip_seq = w.clip_seq"""
+)
 def w18_single(spark, sf_dir):
     return timeline.assign_single(_numbered(spark, sf_dir), TRACKS, DURATION, GAP).select("transcript_id", "clip_seq", "entity", "frame", "track")
 

@@ -54,6 +54,17 @@ def read_entity_maps(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("transcript_id"), F.explode("entities").alias("entity", "payload")).select("transcript_id", "entity", "payload.*")
 
 
+def read_elements(spark: SparkSession, path: str, schema: str = "element_type:string,timecode:string,cue_idx:int") -> DataFrame:
+    """Visual elements (one JSON document with a map by id per file) as rows in order: transcript_id (the file), place, element_id and the elements' fields.
+
+    Elements stand in order of their time code, one without counting as the start, and of their id.
+    """
+    raw = spark.read.schema(f"visual_elements map<string,struct<{schema}>>").json(path, multiLine=True)
+    each = raw.select(F.col("_metadata.file_path").alias("transcript_id"), F.explode("visual_elements").alias("element_id", "payload"))
+    order = Window.partitionBy("transcript_id").orderBy(F.coalesce("payload.timecode", F.lit("00:00:00,000")), "element_id")
+    return each.select("transcript_id", F.row_number().over(order).alias("place"), "element_id", "payload.*")
+
+
 def read_download_log(lines: DataFrame) -> DataFrame:
     """(value) with tab-separated lines of five fields; lines of another width are dropped."""
     f = F.split("value", "\t", -1)
