@@ -140,8 +140,8 @@ def _stacked(pool: list[tuple[str, int]], tracks: int, candidates: int, duration
         return 0 if available < 2 else min(candidates or available, available, tracks)
 
     def run(clips: pd.DataFrame) -> pd.DataFrame:
-        clips = clips.sort_values(["track", "frame"], kind="stable").reset_index(drop=True)
-        whole = int(clips[total].iloc[0])
+        transcript, whole = clips["transcript_id"].iloc[0], int(clips[total].iloc[0])
+        clips = clips[clips["frame"].notna()].sort_values(["track", "frame"], kind="stable").reset_index(drop=True)
         spans: dict[int, list[list[int]]] = {t: [] for t in range(BASE_TRACK, BASE_TRACK + tracks)}
         for t, frame, length in clips[["track", "frame", "duration_frames"]].itertuples(index=False):
             spans[int(t)].append([int(frame), int(length)])
@@ -174,7 +174,7 @@ def _stacked(pool: list[tuple[str, int]], tracks: int, candidates: int, duration
                         break
                 at += duration + gap
         out = pd.DataFrame(rows, columns=["track", "frame", "duration_frames", "filler", "stack_offset"])
-        out.insert(0, "transcript_id", clips["transcript_id"].iloc[0])
+        out.insert(0, "transcript_id", transcript)
         return out.astype({"stack_offset": "float64"})
 
     return run
@@ -184,9 +184,9 @@ def fill_gaps_stacked(placements: DataFrame, totals: DataFrame, pool: list[tuple
     """Lengthen clips over short gaps on all tracks, then fill the lowest track's gaps with stacks of one entity's images.
 
     ``pool`` has (entity, number of images) in turn. A stack needs every track of its block free; each choice
-    changes what is free for the next, so a transcript is one group of rows.
+    changes what is free for the next, so a transcript is one group of rows. A transcript without clips is one gap.
     """
-    rows = placements.select("transcript_id", "track", "frame", "duration_frames").join(totals.select("transcript_id", "total_frames").hint("merge"), "transcript_id")
+    rows = totals.select("transcript_id", "total_frames").join(placements.select("transcript_id", "track", "frame", "duration_frames").hint("merge"), "transcript_id", "left")
     kind = "transcript_id long, track int, frame long, duration_frames int, filler string, stack_offset double"
     found = rows.groupBy("transcript_id").applyInPandas(_stacked(pool, tracks, candidates, duration, gap, stretch_below, "total_frames"), kind)
     return found.withColumn("stack_offset", F.col("stack_offset").cast("int"))

@@ -404,3 +404,10 @@ def test_quick_marker_test_misses_nothing(spark):
         patterns = sum(map(tuple, kinds), ())
         both = df.select(F.col("text").rlike(segments.any_of(patterns)).alias("full"), segments._may_match(quick or patterns, F.col("text")).alias("quick"), "text")
         assert both.where("full and not quick").collect() == []
+
+
+def test_stacked_fillers_without_any_clip(spark):
+    none = spark.createDataFrame([], "transcript_id long, track int, frame long, duration_frames int")
+    totals = spark.createDataFrame([(1, 500), (2, 90)], "transcript_id long, total_frames long")
+    got = timeline.fill_gaps_stacked(none, totals, [("a", 3), ("b", 2)], 4, 2, 100, 50, 120).collect()
+    assert sorted((r["transcript_id"], r["track"], r["frame"], r["filler"]) for r in got) == [(1, t, f, e) for t in (2, 3) for f, e in ((0, "a"), (150, "b"), (300, "a"))]
