@@ -23,7 +23,7 @@ ENUMERATION = (
     r"\b(\w+,\s+\w+,\s+and\s+\w+)\b",
 )
 #: What a text must hold for any of these: the same, but of the last one only its middle, without word characters.
-_LISTS = (*ENUMERATION[:5], r"and\s")
+_LISTS = (*ENUMERATION[:5], r"\b(and)\s")
 # Language of processes, in order of precedence.
 PROCESS = {
     "start": (
@@ -64,29 +64,52 @@ def any_of(patterns: tuple[str, ...], flags: str = "(?iU)") -> str:
     return flags + "|".join(f"(?:{p})" for p in patterns)
 
 
+def _branches(pattern: str) -> list[str]:
+    """The alternatives that a pattern ``\\b(a|b)rest`` stands for, with ASCII ends: no letter, digit or underscore after a final boundary."""
+    body = pattern.removeprefix(r"\b")
+    depth, cuts = 0, [0]
+    for k, c in enumerate(body):
+        depth += (c == "(") - (c == ")")
+        if depth == 1 and c == "|":
+            cuts.append(k)
+        if depth == 0:
+            cuts.append(k)
+            break
+    rest = body[cuts[-1] + 1 :]
+    rest = (rest.removesuffix(r"\b") + r"(?![a-z0-9_])") if rest.endswith(r"\b") else rest
+    return [(body[i + 1 : j] + rest).replace(r"\b", "").replace(r"\s", r"[\s\x85\p{Z}]").replace(r"\d", r"\p{Nd}") for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
 def _may_match(patterns: tuple[str, ...], text: Column) -> Column:
-    """A cheap test that every text with a match passes: the patterns, begun at an ASCII boundary, on lower-cased text.
+    """A cheap test that every text with a match passes: alternatives by their first letter, with ASCII boundaries, on lower-cased text.
 
-    An ASCII boundary stands wherever a Unicode one does before an ASCII letter; patterns that may begin with a sign
-    are looked for anywhere. One boundary is tested for all patterns together, so most places cost one comparison.
+    An ASCII boundary stands wherever a Unicode one does beside an ASCII letter; alternatives that begin with a sign
+    are looked for anywhere. Most words of a text cost one comparison of a letter.
     """
-    bare = [p.replace(r"\b", "").replace(r"\s", r"[\s\x85\p{Z}]").replace(r"\d", r"\p{Nd}") for p in patterns]
-    signs = [b for b in bare if "#" in b]
-    return F.translate(F.lower(text), "\u017f\u0131", "si").rlike("|".join([r"\b(?:" + "|".join(bare) + ")", *signs]))
+    by_first: dict[str, list[str]] = {}
+    for branch in sum(map(_branches, patterns), []):
+        by_first.setdefault(branch[0], []).append(branch[1:])
+    words = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items() if c.isalnum())
+    signs = [f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items() if not c.isalnum()]
+    plain = F.replace(F.replace(F.lower(text), F.lit("\u017f"), F.lit("s")), F.lit("\u0131"), F.lit("i"))
+    return plain.rlike("|".join([rf"\b(?:{words})", *signs]))
+
+
+_ALL_MARKERS = sum(PROCESS.values(), ())
 
 
 def _marker(text: Column) -> Column:
-    """The first kind of process marker that a text has, or null. The full patterns run on the few texts that may match."""
+    """The first kind of process marker that a text has, or null."""
     kind = F.lit(None).cast("string")
     for k in reversed(PROCESS):
         kind = F.when(text.rlike(any_of(PROCESS[k])), k).otherwise(kind)
-    return F.when(_may_match(sum(PROCESS.values(), ()), text), kind)
+    return kind
 
 
 def process_markers(cues: DataFrame) -> DataFrame:
-    """The one kind of process marker of each cue that has any."""
-    likely = cues.where(_may_match(sum(PROCESS.values(), ()), F.col("text")))
-    return likely.withColumn("marker", _marker(F.col("text"))).where("marker is not null")
+    """The one kind of process marker of each cue that has any. The full patterns run once, on the few texts that may match."""
+    likely = cues.where(_may_match(_ALL_MARKERS, F.col("text")))
+    return likely.select("*", F.explode(F.array_compact(F.array(_marker(F.col("text"))))).alias("marker"))
 
 
 def density_clusters(occ: DataFrame, window_ms: int = 8000, least: int = 3, most_images: int = 5) -> DataFrame:
@@ -174,7 +197,7 @@ def sliding_windows(cues: DataFrame, size: int = 8, step: int = 5, extension: in
     """
     whole = Window.partitionBy("transcript_id")
     order = whole.orderBy("cue_idx")
-    marked = cues.select("transcript_id", "cue_idx", _marker(F.col("text")).alias("mark"))
+    marked = cues.select("transcript_id", "cue_idx", F.when(_may_match(_ALL_MARKERS, F.col("text")), _marker(F.col("text"))).alias("mark"))
     numbered = marked.select("transcript_id", F.row_number().over(order).alias("rn"), F.count(F.lit(1)).over(whole).alias("n"), "mark")
     closing = F.min(F.when(F.col("mark").isin("end", "topic_shift"), F.col("rn"))).over(whole.orderBy("rn").rowsBetween(1, extension))
     numbered = numbered.withColumn("close", closing)
