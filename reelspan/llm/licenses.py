@@ -39,6 +39,15 @@ NOTICES = {
     "redistribution and use in source and binary forms": "bsd",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "redistributions of source code must retain the above copyright notice": "bsd",
+    "this program is free software you can redistribute it and or modify it": "gpl",
+    "distributed under the boost software license version 1 0": "bsl-1",
+    "subject to the terms of the mozilla public license": "mpl-2",
+    "eclipse public license version 2 0": "epl-2",
+    "european union public licence": "eupl",
+    "creative commons zero v1 0 universal": "cc0",
+    "do what the fuck you want to public license": "wtfpl",
+    "sil open font license version 1 1": "ofl",
 }
 ERROR_RATE = 8
 

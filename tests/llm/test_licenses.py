@@ -116,3 +116,14 @@ def test_no_further_match_is_left_between_spans():
         assert all(edits(text[a:b], n.words) == e <= n.errors for a, b, e in found)
         for a, b in zip([0, *(x[1] for x in found)], [*(x[0] for x in found), len(text)], strict=True):
             assert a <= b and min((edits(text[i:j], n.words) for i in range(a, b) for j in range(i + 12, min(b, i + 20) + 1)), default=99) > n.errors
+
+
+def test_repeated_rows_and_a_text_of_megabytes(spark):
+    long = "some words of no meaning " * 120_000 + "released undr the MIT License " + "more words " * 100_000 + "cc by nc"
+    rows = [(1, long), (2, "under the MIT license"), (2, "under the MIT license"), (None, "cc by nc"), (4, None), (4, "")]
+    df = spark.createDataFrame([(i, t, "clash", 0.5) for i, t in rows], "doc_id long, text string, labels string, score double")
+    got = sorted(((x["row"]["doc_id"], x["n_words"], x["n_base"], x["first_word"], x["base_labels"], x["labels"]) for x in scan_licenses(df).collect()), key=str)
+    n = len(long.split())
+    want = [(1, n, 1, n - 3, "cc-by-nc", "cc-by-nc,mit"), (2, 4, 1, 0, "mit", "mit"), (2, 4, 1, 0, "mit", "mit"), (4, 0, 0, None, "", ""), (4, 0, 0, None, "", ""), (None, 3, 1, 0, "cc-by-nc", "cc-by-nc")]
+    assert got == sorted(want, key=str)
+    assert scan_licenses(df.limit(0)).count() == 0

@@ -74,3 +74,9 @@ def test_components(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(500 + k, 499) for k in range(50)] + [(7, 7), (3, 900), (900, 3)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t")).collect()))
     assert all(got[k] == 100 for k in range(100, 161)) and all(got[k] == 499 for k in range(499, 550)) and got[900] == 3 and 7 not in got
+
+
+def test_runs_of_any_length_are_one_word(spark):
+    run = "x" * 12_000_000
+    df = spark.createDataFrame([(1, run), (2, run + " "), (3, "y" * 1_200_000), (4, " ".join(["a", "b", "c", "d", run]))], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(df).collect())) == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 4)]
