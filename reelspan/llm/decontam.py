@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -230,12 +231,18 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return end - int(lengths(item, near).argmin()), end, edits
 
 
+@lru_cache(maxsize=1)
+def _index(listed: tuple[tuple[int, str], ...], rate: float) -> Index:
+    """The index of a block of items, built once by each worker and not for each of its tasks."""
+    words = Words(pa.array([t for _, t in listed], pa.string()), Powers())
+    return Index([(i, words.hash[a:b]) for (i, _), a, b in zip(listed, words.first[:-1], words.first[1:], strict=True)], rate)
+
+
 def _search(index_of: list[tuple[int, str]], rate: float, every_place: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        listed = Words(pa.array([t for _, t in index_of], pa.string()), powers)
-        items = [(i, listed.hash[a:b]) for (i, _), a, b in zip(index_of, listed.first[:-1], listed.first[1:], strict=True)]
-        index = Index(items, rate)
+        index = _index(tuple(index_of), rate)
+        items = index.items
         verify = index.verify_all if every_place else index.verify
         for batch in slices(batches, most_bytes=1 << 22):
             words = Words(batch.column("text"), powers)

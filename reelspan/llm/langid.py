@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -284,9 +285,15 @@ def learn(docs: DataFrame, learnable: Column, per_language: int = 400, words_per
     return fit(counts, vocabulary)
 
 
+@lru_cache(maxsize=1)
+def _pieces(listed: tuple[bytes, ...]) -> Pieces:
+    """The vocabulary's tables, built once by each worker and not for each of its tasks."""
+    return Pieces(list(listed))
+
+
 def _score(model: LanguageModel, text_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, pieces = Powers(), Pieces(model.pieces)
+        powers, pieces = Powers(), _pieces(tuple(model.pieces))
         n = len(model.languages)
         most = max(1 << 14, _CACHE // (n + 2))
         known, values = np.zeros(0, dtype=np.uint64), np.zeros((0, n))
