@@ -380,8 +380,8 @@ def fit(sentences: list[tuple[int, int, str]], landmarks: int = 128, rounds: int
     """Fit on labelled sentences (document, label, text).
 
     A toxic document's sentences share its label, but few are to blame: each toxic document is represented
-    by the window of its sentences with the largest margin (at first by the one that tells the labels apart
-    best), which is then learned again; documents without a window that toxic ones hold more often stay out.
+    by the windows that tell the labels apart best and by the one with the largest margin, which is learned
+    again from round to round; documents without a window that toxic ones hold more often stay out.
     Every sentence of a clean document is clean: the window with its largest margin joins the training set from
     round to round, up to ``negatives`` of the largest ones and about as many drawn by hash; a window that is the
     largest of whole documents weighs more. Landmarks are the windows that tell the labels apart best, unlike each
@@ -451,9 +451,12 @@ def fit(sentences: list[tuple[int, int, str]], landmarks: int = 128, rounds: int
     if not groups:
         return ToxicityModel(chosen, np.zeros(len(chosen)), 0.0, 0.0)
     margins = np.zeros(len(data.docs))
+    # a document may hold several insults, and others only one of them: all windows of a document that tell about as much as any window does
+    telling = np.bincount(np.concatenate([g[strong[g] >= 0.5 * strong.max()] for g in groups]), minlength=len(held))
     for _ in range(rounds):
         witness = np.array([g[np.lexsort((g, -strong[g]))[0]] for g in groups])
-        w, _ = _svm(high[witness], marks.kernels(list(low)) @ nystroem, np.array(list(low.values()), dtype=float), penalty)
+        times = telling + np.bincount(witness, minlength=len(held))
+        w, _ = _svm(high[times > 0], times[times > 0].astype(float), marks.kernels(list(low)) @ nystroem, np.array(list(low.values()), dtype=float), penalty)
         margins, harder = hardest(Scorer(chosen, nystroem @ w))
         give_back()
         for x, n in list(harder.items())[:negatives]:
@@ -463,11 +466,11 @@ def fit(sentences: list[tuple[int, int, str]], landmarks: int = 128, rounds: int
     return ToxicityModel(chosen, nystroem @ w, slope, shift)
 
 
-def _svm(high: np.ndarray, low: np.ndarray, times: np.ndarray, penalty: float, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, both classes of equal weight, low rows weighing ``times``; Newton's method with halved steps."""
+def _svm(high: np.ndarray, high_times: np.ndarray, low: np.ndarray, low_times: np.ndarray, penalty: float, steps: int = 30) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss, both classes of equal weight and their rows weighing their times; Newton's method with halved steps."""
     x = np.concatenate([high, low])
     y = np.concatenate([np.ones(len(high)), -np.ones(len(low))])
-    s = np.concatenate([np.full(len(high), 0.5 / len(high)), 0.5 * times / times.sum()])
+    s = np.concatenate([0.5 * high_times / high_times.sum(), 0.5 * low_times / low_times.sum()])
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     ridge = np.append(np.full(x.shape[1] - 1, penalty), 1e-9)
     loss = lambda w: float((s * np.maximum(0, 1 - y * (x @ w)) ** 2).sum() + 0.5 * (ridge * w * w).sum())
