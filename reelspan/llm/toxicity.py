@@ -425,7 +425,7 @@ def fit(sentences: list[tuple[int, int, str]], landmarks: int = 128, rounds: int
     of_doc: dict[int, list[int]] = defaultdict(list)
     for k, d in zip(place[item[mine]].tolist(), doc[mine].tolist(), strict=True):
         of_doc[d].append(k)
-    names, strong = [texts[k] for k in held.tolist()], strength[held]
+    names, strong, rare = [texts[k] for k in held.tolist()], strength[held], odds[held]
     usual = [text_of[int(known[k])] for k in frequent.tolist()]
     share = negatives / max(1, int(good.sum()))
     del known, bad, good, words, item, doc, odds, strength, place, mine, text_of, texts, stronger
@@ -452,7 +452,9 @@ def fit(sentences: list[tuple[int, int, str]], landmarks: int = 128, rounds: int
         return ToxicityModel(chosen, np.zeros(len(chosen)), 0.0, 0.0)
     margins = np.zeros(len(data.docs))
     # a document may hold several insults, and others only one of them: all windows of a document that tell about as much as any window does
-    telling = np.bincount(np.concatenate([g[strong[g] >= 0.5 * strong.max()] for g in groups]), minlength=len(held))
+    # (not those that clean ones hold too often)
+    clear = (strong >= 0.5 * strong.max()) & (rare >= 0.5 * rare.max())
+    telling = np.bincount(np.concatenate([g[clear[g]] for g in groups]), minlength=len(held))
     for _ in range(rounds):
         witness = np.array([g[np.lexsort((g, -strong[g]))[0]] for g in groups])
         times = telling + np.bincount(witness, minlength=len(held))
