@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, licenses, linededup, mixing, neighbours, ngramjoin, quality, toxicity
+from . import chat, decontam, langid, licenses, linededup, mixing, neighbours, ngramjoin, prefixtrie, quality, toxicity
 from .scratch import Scratch
 
 
@@ -74,6 +74,12 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = Scratch(spark, "turns").write(prefixtrie.ordered_turns(_table(spark, sf_dir, "conversations")), "turns")
+    nodes = prefixtrie.prefix_trie(prefixtrie.shared_openings(turns), turns.where("at = 1").select("conv_id"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 NEAREST_SQL = """
 WITH good AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
@@ -99,10 +105,12 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_nearest": op9_nearest,
     "op10_chat_turns": op10_chat_turns,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLE_SQL = {
     "op1_mix_sources": mixing.MIX_SQL,
     "op2_line_dedup": linededup.LINES_SQL,
     "op9_nearest": NEAREST_SQL,
+    "op11_prefix_trie": prefixtrie.TRIE_SQL,
 }
