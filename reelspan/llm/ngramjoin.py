@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -241,9 +241,13 @@ def _tiles(members: DataFrame, tile: int) -> DataFrame:
     return met.select(*members.columns, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), side.alias("side"))
 
 
-def _in_groups(rows: DataFrame) -> DataFrame:
-    """Rows whose n-gram stands in the prefixes of two nodes at least."""
-    return rows.withColumn("in", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where(F.col("in") > 1).drop("in")
+def in_groups(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """Rows (one per node and key) whose key stands with two nodes at least.
+
+    Keys are counted with partial sums and written; the join with them can be split where a key is hot.
+    """
+    often = scratch.write(rows.groupBy(key).agg(F.count(F.lit(1)).alias("in")).where(F.col("in") > 1).select(key), "often")
+    return rows.join(often.hint("merge"), key, "left_semi")
 
 
 def _together(df: DataFrame) -> DataFrame:
@@ -294,18 +298,29 @@ def jaccard_components(
     prefix = only.mapInArrow(_prefixes(size, percent, (grams[by_gram], ranks[by_gram])), "sig1 long, sig2 long, prefix array<long>")
     once = prefix.groupBy("sig1", "sig2").agg(F.first("prefix").alias("prefix"))
     sizes = first.where("kind = 0 and n > 0").groupBy(F.col("sig1").alias("node")).agg(F.first("n").alias("n"))
-    shared = scratch.write(_in_groups(once.select(F.col("sig1").alias("node"), F.explode("prefix").alias("gram"))), "shared")
-    scratch.release()
+    once = scratch.write(once.select(F.col("sig1").alias("node"), "prefix"), "prefixes")
+    shared = scratch.write(in_groups(once.select("node", F.explode("prefix").alias("gram")), "gram", scratch), "shared")
+    scratch.drop(once)
     for _ in range(2):
         enough = shared.groupBy("node").agg(F.count(F.lit(1)).alias("m")).join(sizes.hint("merge"), "node")
         enough = enough.where(F.col("m") >= 1 + F.floor(F.col("n") * percent / 1000)).select("node", F.floor(1000 * F.col("m") / F.col("n")).alias("score"))
-        fewer = scratch.write(_in_groups(shared.select("node", "gram").join(enough.hint("merge"), "node")), "shared")
-        scratch.drop(shared)
+        left = scratch.write(shared.select("node", "gram").join(enough.hint("merge"), "node"), "left")
+        fewer = scratch.write(in_groups(left, "gram", scratch), "shared")
+        scratch.drop(shared, left)
         shared = fewer
     leads = shared.groupBy("gram").agg(F.max(F.struct("score", "node")).alias("lead"))
     members = shared.join(leads.select("gram", F.col("lead.node").alias("lead")).hint("merge"), "gram").select("lead", "node").distinct()
     members = scratch.write(members.join(sizes.hint("merge"), "node"), "members")
     scratch.drop(shared)
+    return settle(first.where("kind = 0").select("doc_id", "n", "sig1"), members, only, scratch, size, percent, fragments, tile, filter_bits)
+
+
+def settle(first: DataFrame, members: DataFrame, only: DataFrame, scratch: Scratch, size: int, percent: int, fragments: int, tile: int, filter_bits: int) -> DataFrame:
+    """Components from candidate groups, on full sets of n-grams: steps 4 and 5 of :func:`jaccard_components`.
+
+    ``first`` has doc_id, n and sig1 (the node) of every row, ``members`` (lead, node, n) the nodes of each group, its
+    leader included; ``only`` (text) are all texts. Only pairs within a group can be linked.
+    """
     sets = _wanted_sets(only, members.select("node").distinct(), scratch, size, fragments, filter_bits)
 
     heads = members.where("node = lead").select("lead", F.col("n").alias("lead_n"))
@@ -336,14 +351,12 @@ def jaccard_components(
         .select("node", F.coalesce("comp", "old").alias("comp"))
         .distinct()
     )
-    ids = first.where("kind = 0 and n > 0").groupBy(F.col("sig1").alias("node")).agg(F.min("doc_id").alias("least"))
+    ids = first.where("n > 0").groupBy(F.col("sig1").alias("node")).agg(F.min("doc_id").alias("least"))
     named = ids.join(final.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("least").alias("component"))
     named = scratch.write(named.join(least.hint("merge"), "comp").select("node", "component"), "named")
-    return (
-        first.where("kind = 0")
-        .join(named.hint("merge"), first["sig1"] == named["node"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return first.join(named.hint("merge"), first["sig1"] == named["node"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, licenses, linededup, mixing, neighbours, ngramjoin, prefixtrie, quality, toxicity
+from . import chat, collocations, decontam, langid, licenses, linededup, minhash, mixing, neighbours, ngramjoin, prefixtrie, quality, toxicity
 from .scratch import Scratch
 
 
@@ -80,6 +80,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_components(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 NEAREST_SQL = """
 WITH good AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
@@ -106,6 +114,8 @@ QUERIES = {
     "op9_nearest": op9_nearest,
     "op10_chat_turns": op10_chat_turns,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_minhash_dedup": op12_minhash_dedup,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL = {
@@ -113,4 +123,5 @@ ORACLE_SQL = {
     "op2_line_dedup": linededup.LINES_SQL,
     "op9_nearest": NEAREST_SQL,
     "op11_prefix_trie": prefixtrie.TRIE_SQL,
+    "op13_collocations": collocations.COLLOCATIONS_SQL,
 }

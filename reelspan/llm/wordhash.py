@@ -97,11 +97,11 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most_bytes: in
 class Words:
     """Words of a batch: ``hash`` of each, and ``first[i]:first[i + 1]`` are those of text i.
 
-    A word is a run of bytes other than ASCII white space, A-Z lower-cased. Texts are read in pieces of
+    A word is a run of bytes other than ASCII white space (or other ``separators``, a table of bytes), A-Z lower-cased. Texts are read in pieces of
     ``_PIECE`` bytes; a word that goes on in the next piece is carried there, so words have any length.
     """
 
-    def __init__(self, texts: pa.Array, powers: Powers, spans: bool = False):
+    def __init__(self, texts: pa.Array, powers: Powers, spans: bool = False, separators: np.ndarray = SPACE):
         self.raw, self.off = utf8(texts)
         hashes, starts, ends = [], [], []
         held: tuple[int, int, int] | None = None  # sum, length and start of a word that goes on
@@ -109,7 +109,7 @@ class Words:
             if a == b:
                 continue
             x = LOWER[self.raw[a:b]]
-            inside = ~SPACE[x]
+            inside = ~separators[x]
             edge = np.zeros(b - a + 1, dtype=bool)
             edge[self.off[i:j][(self.off[i:j] >= a) & (self.off[i:j] < b)] - a] = True
             edge[-1] = True
