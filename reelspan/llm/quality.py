@@ -36,9 +36,10 @@ def passages(words: Words, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
 def encode(words: Words, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
     """(features, text) of the passages of texts a to b.
 
-    Features: frequencies of pairs of byte kinds, share of words that are distinct, that repeat the one
-    before, that repeat an earlier pair, that have no letter, mean word length, share of the passage that
-    is filled, and whether it is empty.
+    Features: frequencies of pairs of byte kinds between the start of the passage's first word and the end of its
+    last, share of words that are distinct, that repeat the one before, that repeat an earlier pair, that have no
+    letter, mean word length, share of the passage that is filled, and whether it is empty. So they depend on the
+    passage alone, not on what stands around it.
     """
     start, text = passages(words, a, b)
     end = np.minimum(start + PASSAGE, words.first[text + 1])
@@ -50,28 +51,30 @@ def encode(words: Words, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
     if lo < hi:
         byte0, byte1 = int(words.start[lo]), int(words.end[hi - 1])
         kind = _KIND[words.raw[byte0:byte1]]
-        pair = kind[:-1] * KINDS + kind[1:]
-        first_byte = words.start[np.minimum(start, len(words.start) - 1)] - byte0
-        owner = np.repeat(np.flatnonzero(~empty), np.diff(np.append(first_byte[~empty], byte1 - byte0)))
-        pairs = np.bincount(owner[:-1] * KINDS * KINDS + pair, minlength=n * KINDS * KINDS).reshape(n, -1)
+        full = np.flatnonzero(~empty)
+        first_byte, size_in_bytes = words.start[start[full]] - byte0, words.end[end[full] - 1] - words.start[start[full]]
+        owner = np.repeat(full, size_in_bytes - 1)
+        at = np.arange(len(owner)) + np.repeat(first_byte - np.cumsum(size_in_bytes - 1) + size_in_bytes - 1, size_in_bytes - 1)
+        pair = kind[at] * KINDS + kind[at + 1]
+        pairs = np.bincount(owner * KINDS * KINDS + pair, minlength=n * KINDS * KINDS).reshape(n, -1)
         out[:, : KINDS * KINDS] = pairs / np.maximum(1, pairs.sum(axis=1))[:, None]
         h = words.hash[lo:hi]
         mine = np.repeat(np.flatnonzero(~empty), (end - start)[~empty])
 
-        def distinct(x: np.ndarray) -> np.ndarray:
-            order = np.lexsort((x, mine[: len(x)]))
-            o, v = mine[order], x[order]
+        def distinct(x: np.ndarray, owner: np.ndarray) -> np.ndarray:
+            order = np.lexsort((x, owner))
+            o, v = owner[order], x[order]
             new = np.ones(len(x), dtype=bool)
             new[1:] = (o[1:] != o[:-1]) | (v[1:] != v[:-1])
             return np.bincount(o[new], minlength=n)
 
         k = KINDS * KINDS
-        same = (mine[1:] == mine[:-1]) & (h[1:] == h[:-1])
-        out[:, k] = distinct(h) / size
-        out[:, k + 1] = np.bincount(mine[1:][same], minlength=n) / size
         inside = mine[1:] == mine[:-1]
+        same = inside & (h[1:] == h[:-1])
+        out[:, k] = distinct(h, mine) / size
+        out[:, k + 1] = np.bincount(mine[1:][same], minlength=n) / size
         two = h[:-1] * np.uint64(3) + h[1:]
-        out[:, k + 2] = 1 - distinct(np.where(inside, two, h[:-1])) / size
+        out[:, k + 2] = (np.bincount(mine[1:][inside], minlength=n) - distinct(two[inside], mine[1:][inside])) / size
         sign = np.concatenate([[0], np.cumsum(np.isin(kind, (0, 1, 2, 7)))])
         bare = sign[words.end[lo:hi] - byte0] == sign[words.start[lo:hi] - byte0]
         out[:, k + 3] = np.bincount(mine[bare], minlength=n) / size
@@ -153,8 +156,9 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most_docs: int
     """Fit on about ``most_docs`` labelled documents, half of each label if there are so many, drawn by hash at rates from their counts.
 
     Passages are encoded where the documents are; only their features reach the driver, of a document with
-    more than ``passages_per_doc`` passages that many evenly spaced ones. Both parameters bound what the driver holds; scoring has no bounds. Rows with a null id,
-    text or label are not learned from.
+    more than ``passages_per_doc`` passages that many evenly spaced ones. Rows of one id with equal features count once,
+    and if ids repeat so that there are more than twice ``most_docs`` rows, that many are drawn by hash. Both parameters bound
+    what the driver holds; scoring has no bounds. Rows with a null id, text or label are not learned from.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & learnable).select(F.col("doc_id").alias("id"), (F.col("quality") > 0).cast("int").alias("y")).groupBy("id").agg(F.max("y").alias("y"))
@@ -163,7 +167,11 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most_docs: int
     rate = F.when(F.col("y") == 1, most_docs / 2 / max(1, n.get(1, 0))).otherwise(most_docs / 2 / max(1, n.get(0, 0)))
     drawn = scratch.write(known.where(chance < rate), "drawn")
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("id"))
-    got = texts.select("id", "y", "text").mapInArrow(_bags(passages_per_doc), "id long, y int, bag binary").toPandas().sort_values(["id", "bag"])
+    bags = texts.select(F.col("id").cast("string").alias("id"), "y", "text").mapInArrow(_bags(passages_per_doc), "id string, y int, bag binary")
+    rows = scratch.write(bags.distinct(), "bags")
+    odds = 2 * most_docs / max(1, rows.count())
+    place = F.pmod(F.xxhash64(F.lit("row"), "id", "bag"), F.lit(1 << 20)) / F.lit(1 << 20)
+    got = rows.where(place < odds).toPandas().sort_values(["id", "bag"])
     bags = [np.frombuffer(b, dtype=np.float32).reshape(-1, FEATURES).astype(np.float64) for b in got["bag"]]
     return fit(bags, got["y"].to_numpy(dtype=np.float64))
 

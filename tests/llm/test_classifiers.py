@@ -112,7 +112,7 @@ def test_nystroem_products_are_kernels():
 def test_quality_matches_loops():
     """Features, attention and score of passages, by plain loops."""
     rng = np.random.default_rng(3)
-    texts = ["One two, two two three. " * 30, "", None, "Ünï 12 34!\nx x y", "word", " " * 9]
+    texts = ["One two, two two three. " * 30, "", None, "Ünï 12 34!\nx x y", "word", " " * 9, "  led by blanks ", "z", "one two one two one two\n\n"]
     words = quality.Words(pa.array(texts), quality.Powers(), spans=True)
     x, owner = quality.encode(words, 0, len(texts))
     kinds = lambda b: [int(quality._KIND[c]) for c in b]
@@ -127,18 +127,19 @@ def test_quality_matches_loops():
             if own:
                 f[64] = len(set(w)) / n
                 f[65] = sum(p == q for p, q in zip(w, w[1:])) / n
+                f[66] = (n - 1 - len(set(zip(w, w[1:])))) / n
                 f[67] = sum(not set(kinds(raw[i:j])) & {0, 1, 2, 7} for i, j in own) / n
                 f[68] = sum(j - i for i, j in own) / n / 10
                 f[69] = len(own) / quality.PASSAGE
                 pairs = [p * 8 + q for p, q in zip(kinds(raw[own[0][0] : own[-1][1]]), kinds(raw[own[0][0] : own[-1][1]])[1:])]
+                f[:64] = [pairs.count(p) / max(1, len(pairs)) for p in range(64)]
             f[70] = float(not own)
             rows.append((k, f))
-            if own and len(spans) <= quality.PASSAGE and k != 0:
-                got = x[len(rows) - 1]
-                assert max(abs(got[p] - pairs.count(p) / len(pairs)) for p in range(64)) < 0.3
     assert owner.tolist() == [k for k, _ in rows]
-    for c in (64, 65, 67, 68, 69, 70):
-        assert np.allclose(x[:, c], [f[c] for _, f in rows], atol=1e-5), c
+    assert np.allclose(x, [f for _, f in rows], atol=1e-5)
+    for k, t in enumerate(texts):  # alone as amid others
+        alone = quality.encode(quality.Words(pa.array([t], pa.string()), quality.Powers(), spans=True), 0, 1)[0]
+        assert np.array_equal(alone, x[owner == k])
     w = quality._shape(5, rng)
     first = np.searchsorted(owner, np.arange(len(texts)))
     got = quality._forward(w, x, first)
@@ -158,6 +159,26 @@ def test_quality_held_out(spark):
     assert n > 500 and good > 0.9 and m > 100 and false < 0.2
 
 
+def test_quality_is_of_the_text_alone(spark):
+    """However rows are dealt, reruns give each text one score."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.learn(docs, labels, F.lit(True))
+    scores = [{r["row"]["doc_id"]: r["score"] for r in quality.score_quality(docs.repartition(n), model, keep=["doc_id"]).collect()} for n in (1, 7)]
+    assert scores[0].keys() == scores[1].keys() and max(abs(scores[0][k] - scores[1][k]) for k in scores[0]) < 1e-9
+
+
+def test_quality_learns_from_bounded_rows(spark):
+    docs = spark.createDataFrame([(k % 3, f"text {k} " * (1 + k % 5)) for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    seen = []
+    fit, quality.fit = quality.fit, lambda bags, y: seen.append(len(bags)) or fit(bags, y)
+    try:
+        quality.learn(docs, labels, F.lit(True), most_docs=30)
+    finally:
+        quality.fit = fit
+    assert 0 < seen[0] < 100
+
+
 def test_quality_gradient():
     rng = np.random.default_rng(0)
     w = quality._shape(6, rng)
