@@ -33,6 +33,11 @@ def _quantise(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _tile_bounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of all distances between rows of a and of b."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return _bounds(a, b)
+
+
+def _bounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     qa, sa, la = _quantise(a)
     qb, sb, lb = _quantise(b)
     dot = np.zeros((len(a), len(b)))
@@ -42,34 +47,39 @@ def _tile_bounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     nb = (qb.astype(np.float64) ** 2).sum(axis=1) * sb**2
     near = np.sqrt(np.maximum(na[:, None] + nb[None, :] - 2 * dot * sa[:, None] * sb[None, :], 0))
     slack = la[:, None] + lb[None, :] + 1e-7 * (np.sqrt(na)[:, None] + np.sqrt(nb)[None, :])
-    return np.maximum(near - slack, 0), near + slack
+    low, high = near - slack, near + slack
+    low[~(low > 0)], high[np.isnan(high)] = 0, np.inf  # where squares overflow nothing is known
+    return low, high
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of row pairs, components summed in order."""
     total = np.zeros(len(a))
-    for k in range(a.shape[1]):
-        d = a[:, k] - b[:, k]
-        total += d * d
+    with np.errstate(over="ignore"):
+        for k in range(a.shape[1]):
+            d = a[:, k] - b[:, k]
+            total += d * d
     return np.sqrt(total)
 
 
 def _nearest_rows(qm: np.ndarray, q_id: np.ndarray, rm: np.ndarray, r_id: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """(place of the query, vec_id, distance): the k nearest rows of another id for each query, all if there are fewer."""
     low, high = _tile_bounds(qm, rm)
     own = q_id[:, None] == r_id[None, :]
-    low[own] = high[own] = np.inf
+    high[own] = np.inf
     limit = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] > k else np.full(len(qm), np.inf)
     at, to = np.nonzero((low <= limit[:, None]) & ~own)
     score = _exact(qm[at], rm[to])
+    start = np.searchsorted(at, np.arange(len(qm) + 1))
     found = []
-    for i, start, end in zip(*_runs(at), strict=True):
-        found += [(q_id[i], v, s) for s, v in heapq.nsmallest(k, zip(score[start:end], r_id[to[start:end]], strict=True))]
+    for i, (a, b) in enumerate(zip(start[:-1], start[1:], strict=True)):
+        found += [(i, v, s) for s, v in heapq.nsmallest(k, zip(score[a:b], r_id[to[a:b]], strict=True))]
     return found
 
 
 def _search_tile(k: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, float]] = []
+        found: list[tuple[int, int, int, float]] = []
         if len(queries) and len(rows):
             q_dims, r_dims = queries["vector"].map(len).to_numpy(), rows["vector"].map(len).to_numpy()
             for dims in np.unique(q_dims):
@@ -77,19 +87,15 @@ def _search_tile(k: int):
                 if not len(r):
                     continue
                 qm, rm = np.stack(q["vector"].to_numpy()).astype(np.float64), np.stack(r["vector"].to_numpy()).astype(np.float64)
-                r_id = r["vec_id"].to_numpy()
+                q_id, q_row, r_id = q["vec_id"].to_numpy(), q["row"].to_numpy(), r["vec_id"].to_numpy()
                 for part in range(0, len(q), QUERIES_AT_ONCE):
-                    found += _nearest_rows(qm[part : part + QUERIES_AT_ONCE], q["vec_id"].to_numpy()[part : part + QUERIES_AT_ONCE], rm, r_id, k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                    for i, v, s in _nearest_rows(qm[part : part + QUERIES_AT_ONCE], q_id[part : part + QUERIES_AT_ONCE], rm, r_id, k):
+                        found.append((q_row[part + i], q_id[part + i], v, s))
+        return pd.DataFrame(found, columns=["row", "query_id", "vec_id", "score"]).astype({"row": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return run
 
 
-def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    values, starts = np.unique(at, return_index=True)
-    return values, starts, np.append(starts[1:], len(at))
-
-
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -108,20 +114,21 @@ def nearest(
     queries and each query once per block of rows.
 
     Vectors that are null, all zero or hold null or non-finite components take no part, as do rows without
-    vec_id. A query is compared with vectors of its own length only. Rows that repeat a vec_id count once,
-    with their smallest vector. Ties go to the smaller vec_id. With fewer than k candidates all are
-    returned; empty tables give no rows. Only vec_id and the vector column are read.
+    vec_id. A query is compared with vectors of its own length only, and with no row of its own vec_id. Every row counts, also
+    where a vec_id repeats: a repeated candidate takes several ranks, a repeated query is asked for each of its
+    rows, with ranks of its own. Ties go to the smaller vec_id. With fewer than k candidates all are returned, with none no row;
+    empty tables give no rows. Distances that overflow are infinite. Only vec_id and the vector column are read.
     """
     scratch = Scratch(vectors.sparkSession, "nearest")
 
     def clean(df: DataFrame) -> DataFrame:
-        return df.where(F.col("vec_id").isNotNull() & usable(vector)).groupBy("vec_id").agg(F.min(vector).alias("vector"))
+        return df.where(F.col("vec_id").isNotNull() & usable(vector)).select("vec_id", F.col(vector).alias("vector"))
 
-    rows, asked = scratch.write(clean(vectors), "rows"), scratch.write(clean(queries), "queries")
+    rows, asked = scratch.write(clean(vectors), "rows"), scratch.write(clean(queries).withColumn("row", F.monotonically_increasing_id()), "queries")
     n_rows, n_asked = max(1, -(-rows.count() // row_block)), max(1, -(-asked.count() // query_block))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = asked.withColumn("j", block(n_asked)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
+    block = lambda n: F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n)).cast("int")
+    left = asked.withColumn("j", F.pmod(F.xxhash64("row"), F.lit(n_asked)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
     right = rows.withColumn("i", block(n_rows)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
-    tiles = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_search_tile(k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    tiles = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_search_tile(k), "row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("row").orderBy("score", "vec_id")
     return tiles.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -90,15 +90,15 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NEAREST_SQL = """
 WITH good AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  SELECT row_number() OVER () AS row, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, 
+  SELECT q.row, q.vec_id AS query_id, c.vec_id,
          sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
   FROM good q JOIN good c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM scored)
+FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score, vec_id) AS rank FROM scored)
 WHERE rank <= 10
 """
 

@@ -76,9 +76,10 @@ def test_nearest_matches_brute_force(spark):
         by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert set(by) == set(range(0, 400, 20))
     x = m.astype(np.float64)
+    ids = [*range(400), 7]  # every row is a candidate, the repeated one twice
     for q, found in by.items():
         d = np.sqrt(((x - x[q]) ** 2).cumsum(axis=1)[:, -1])
-        want = sorted((d[i], i) for i in range(400) if i != q)[:10]
+        want = sorted((d[i], i) for i in ids if i != q)[:10]
         assert [(k + 1, i, s) for k, (s, i) in enumerate(want)] == sorted(found)
 
 
@@ -86,3 +87,15 @@ def test_nearest_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert neighbours.nearest(df, df.where("vec_id = 0")).collect() == [Row(query_id=0, rank=1, vec_id=1, score=math.sqrt(2))]
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_nearest_without_candidates(spark):
+    """Queries alone in their table, in their tile or with their vector length; vectors whose squares overflow; repeated queries."""
+    df = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = lambda d, **b: sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.nearest(d, d.where("vec_id % 100 = 0"), **b).collect())
+    assert found(df([(100, [1.0, 2.0])])) == []
+    assert found(df([(0, [1.0, 2.0, 3.0]), (1, [1.0, 2.0]), (100, [1.0, 3.0])])) == [(100, 1, 1, 1.0)]
+    rows = [(k, [float(k), 1.0]) for k in range(30)]
+    assert found(df(rows), row_block=1, query_block=1, k=3) == [(0, k, k, float(k)) for k in (1, 2, 3)]
+    assert found(df([(0, [1e200, 1.0]), (1, [-1e200, 1.0]), (2, [1e200, 2.0])]), k=2) == [(0, 1, 2, 1.0), (0, 2, 1, float("inf"))]
+    assert found(df([(0, [1.0]), (0, [3.0]), (5, [2.0]), (5, [2.0])]), k=3) == [(0, 1, 5, 1.0), (0, 1, 5, 1.0), (0, 2, 5, 1.0), (0, 2, 5, 1.0)]
