@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import html
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from reelspan.functions import html as markup
 
 # Extensions of pictures and of sound and film.
 IMAGE_EXTENSIONS = (
@@ -73,22 +71,8 @@ def is_icon(title: Column) -> Column:
 
 
 def strip_html(text: Column) -> Column:
-    """Text without tags, the common entities decoded."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]+>", "")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(name), F.lit(sign))
-    return F.trim(bare)
-
-
-@F.pandas_udf(T.StringType())
-def unescape(text: pd.Series) -> pd.Series:
-    """All character references decoded, named and numbered."""
-    return text.map(html.unescape, na_action="ignore")
-
-
-def strip_html_exact(text: Column) -> Column:
-    """Text without tags, all character references decoded, in Arrow batches; ``strip_html`` stays inside the JVM and knows the common ones."""
-    return F.trim(unescape(F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]+>", "")))
+    """Text of a piece of markup: its text nodes joined by blanks, comments and scripts left out, all character references decoded."""
+    return markup.text_of(text)
 
 
 def metadata_map(json: Column) -> Column:
@@ -169,9 +153,8 @@ def safe_folder(name: Column) -> Column:
 
 
 def url_name(url: Column) -> Column:
-    """Decoded last part of a URL's path; a plus sign stays one."""
-    path = F.regexp_replace(url, r"[?#].*$", "")
-    return F.url_decode(F.replace(F.substring_index(path, "/", -1), F.lit("+"), F.lit("%2B")))
+    """Decoded last part of a URL's path; a plus sign stays one, and so does what is no valid escape."""
+    return markup.unquote(F.substring_index(F.regexp_replace(url, r"[?#].*$", ""), "/", -1))
 
 
 def file_url(path: Column) -> Column:

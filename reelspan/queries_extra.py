@@ -29,7 +29,9 @@ def f14_years(spark, sf_dir):
 
 
 @query(
-    """SELECT page_id, trim(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS text FROM pages"""
+    """WITH n AS (SELECT page_id, string_split_regex(regexp_replace(html, '<!--.*?-->|<script>.*?</script>|<style>.*?</style>', '<>', 'gs'), '<[^>]*>') AS nodes FROM pages),
+  t AS (SELECT page_id, list_transform(nodes, lambda x: trim(replace(replace(replace(replace(x, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(13))) AS nodes FROM n)
+  SELECT page_id, array_to_string(list_filter(nodes, lambda x: x <> ''), ' ') AS text FROM t"""
 )
 def f16_strip_html(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", img.strip_html(F.col("html")).alias("text"))

@@ -58,25 +58,24 @@ def p7_worth_showing(spark, sf_dir):
 
 # ---- pages ------------------------------------------------------------------------------------------------------
 
-MEDIA = """<article><a class="x" href="/wiki/File:Pic_{i}%2B.jpg">x</a><div class="big navbox"><p>open<div><a href="./File:No_{i}.png">y</a></div></div><img src="//upload.wikimedia.org/w/thumb/1/12/Im_{k}.png/220px-Im_{k}.png"><a href="./File:Pic_{i}%2B.jpg">again</a>"""
-
-
-def _media_sql() -> str:
-    parts = MEDIA.replace("{i}", "' || page_id || '").replace("{k}", "' || page_id % 7 || '")
-    return f"SELECT page_id, replace(html, '<article>', '{parts}') AS html FROM pages"
+#: Written into every page in front of its article; {i} is its number, {k} that modulo 7.
+MEDIA = (
+    """<a href="/wiki/File:Before_{i}.png">x</a><div class='mw-parser-output'><a class="x" href="/wiki/File:Pic_{i}%2B.jpg">x</a><div class="big navbox"><p>open<div><a href="./File:No_{i}.png">y</a></div></div>"""
+    """<img src="//upload.wikimedia.org/w/thumb/1/12/Im_{k}.png/220px-Im_{k}.png"><a href='./File:Pic_{i}%2B.jpg'>again</a><aside><a href=/wiki/File:100%_{k}.gif>z</a></aside><a href='/wiki/File:Song_{i}.ogg'>s</a>"""
+    """<a href="https://h/wiki/Special:FilePath/Abs_{i}.svg?width={k}">f</a><img alt='a > b' src=https://upload.wikimedia.org/w/2/2a/x.png data-file-name=Named_{k}.jpg><a href="/w/index.php?a=1&amp;title=File:Q_{k}.png">q</a>"""
+)
 
 
 @query(
-    rf"""WITH h AS ({_media_sql()}), c AS (SELECT page_id, regexp_replace(regexp_replace(html, '<nav>.*?</nav>', '', 'gs'), '<div class="big navbox">.*?</div></div>', '', 'gs') AS html FROM h),
-  l AS (SELECT page_id, list_concat(regexp_extract_all(html, '<a [^>]*href="(?:/wiki/|\./)(File:[^"]*)"', 1), list_transform(regexp_extract_all(html, '<img src="[^"]*/thumb/[^/]*/[^/]*/([^/"]*)/', 1), lambda x: 'File:' || x)) AS t FROM c),
-  u AS (SELECT page_id, replace(url_decode(unnest(t)), '_', ' ') AS title, generate_subscripts(t, 1) AS i FROM l)
-  SELECT page_id, title, row_number() OVER (PARTITION BY page_id ORDER BY min(i)) - 1 AS pos FROM u GROUP BY page_id, title"""
+    """WITH t AS (SELECT page_id, ['Pic ' || page_id || '+.jpg', '100% ' || page_id % 7 || '.gif', 'Abs ' || page_id || '.svg', 'Q ' || page_id % 7 || '.png', 'Im ' || page_id % 7 || '.png', 'Named ' || page_id % 7 || '.jpg'] AS t FROM pages)
+  SELECT page_id, 'File:' || unnest(t) AS title, generate_subscripts(t, 1) - 1 AS pos FROM t"""
 )
 def s11_page_media(spark, sf_dir):
+    """Pages have no file links of their own, so links of every form are written into them; the SQL states what is to be found."""
     i, k = F.col("page_id").cast("string"), (F.col("page_id") % 7).cast("string")
     media = F.replace(F.replace(F.lit(MEDIA), F.lit("{i}"), i), F.lit("{k}"), k)
-    pages = fx.table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("<article>"), media).alias("html"))
-    return annotations.page_media(pages).select("page_id", "title", "pos")
+    pages = fx.table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("<article>"), F.concat(media, F.lit("<article>"))).alias("html"))
+    return annotations.media_links(pages).select("page_id", "title", "pos")
 
 
 # ---- image sources ----------------------------------------------------------------------------------------------

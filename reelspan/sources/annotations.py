@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reelspan.functions import html, images
+
 KINDS = ("people", "places", "concepts", "events")
 _REPLY = "struct<" + ",".join(f"{k}:array<string>" for k in KINDS) + ",primary:string>"
 
@@ -81,24 +83,87 @@ def read_attribution(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("k", last).where("k = 1").drop("k", "row", "file")
 
 
-def media_links(pages: DataFrame) -> DataFrame:
-    """(page_id, html) -> page_id, pos, title: files linked from a page, in order, each once.
+#: Classes of containers that hold no content of an article, and the class of the element that holds all of it.
+BOXES = ("navbox", "sister-bar", "noprint", "mbox-image-div", "portal-bar", "succession-box", "sistersitebox", "side-box")
+CONTENT = "mw-parser-output"
+UPLOAD_HOST = "upload.wikimedia.org"
+_FILE_PATH = "/wiki/Special:FilePath/"
+
+
+def _linked_file(href: Column) -> Column:
+    """Name of the file page that an anchor leads to, null if it leads elsewhere."""
+    after = lambda prefix: html.unquote(F.substring(href, len(prefix) + 1, 1 << 30))
+    pairs = F.transform(F.split(F.regexp_extract(href, r"(?s)^[^?#]*\?([^#]*)", 1), "&"), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.regexp_extract(p, "(?s)=(.*)$", 1).alias("v")))
+    title = F.get(F.filter(F.transform(F.filter(pairs, lambda p: F.replace(html.unquote(p["k"]), F.lit("+"), F.lit(" ")) == "title"), lambda p: html.unquote(F.replace(p["v"], F.lit("+"), F.lit(" ")))), lambda v: v != ""), 0)
+    name = (
+        F.when(href.startswith("/wiki/File:"), after("/wiki/"))
+        .when(href.startswith("./File:"), after("./"))
+        .when(href.startswith("/w/index.php"), F.when(title.startswith("File:"), html.unquote(title)))
+        .when(href.contains(_FILE_PATH), F.concat(F.lit("File:"), html.unquote(F.split(F.regexp_extract(href, rf"(?s){_FILE_PATH}(.*)$", 1), r"\?")[0])))
+    )
+    return F.replace(name, F.lit("_"), F.lit(" "))
+
+
+def _shown_file(attributes: Column, upload_host: str) -> Column:
+    """Name of the file that an image shows: the attribute that names it, else from the path on the upload host; null if it is elsewhere."""
+    src, named = attributes["src"], attributes["data-file-name"]
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace(src, r"(?s)[?#].*$", ""), r"(?s)^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/]*)?", ""), ";[^/]*$", "")
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    thumb = F.array_position(parts, "thumb").cast("int")
+    last = F.when(thumb > 0, F.get(parts, thumb + 2)).otherwise(F.get(parts, F.size(parts) - 1))
+    name = F.when(F.coalesce(named, F.lit("")) != "", named).otherwise(last)
+    return F.when(src.contains(upload_host), F.concat(F.lit("File:"), F.replace(html.unquote(name), F.lit("_"), F.lit(" "))))
+
+
+def media_links(pages: DataFrame, boxes: tuple[str, ...] = BOXES, content: str = CONTENT, upload_host: str = UPLOAD_HOST) -> DataFrame:
+    """(page_id, html) -> page_id, pos, title: files linked from a page's content, then those shown there, in order, each once.
 
-    Links are anchors to file pages and images on the upload host; underscores become spaces. A plus sign
-    stays one, so it is escaped before decoding.
+    Content is the first element of class ``content`` or, without one, the page, less containers of a class in ``boxes``.
+    Links are anchors to file pages in any of their forms; images are those on the upload host. Titles are decoded, underscores
+    become blanks, sound and film are left out. Only tags that may matter, links, images and those named like a container, go
+    through one fold, which counts how deep it is inside a container by tags of the container's own name.
     """
-    decode = lambda c: F.replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), F.lit("_"), F.lit(" "))
-    anchor = r'<a\s[^>]*?href="(?:/wiki/File:|\./File:|/w/index\.php\?title=File:|/wiki/Special:FilePath/)([^"#?&]+)'
-    image = r'<img\s[^>]*?src="(?:https?:)?//upload\.[^"]*?/(?:thumb/[^/"]+/[^/"]+/([^/"]+)/[^"]+|([^/"]+))"'
-    first = F.transform(F.regexp_extract_all("html", F.lit(anchor), F.lit(1)), decode)
-    second = F.transform(F.regexp_extract_all("html", F.lit(image), F.lit(0)), lambda t: decode(F.coalesce(F.nullif(F.regexp_extract(t, image, 1), F.lit("")), F.regexp_extract(t, image, 2))))
-    titles = F.array_distinct(F.transform(F.concat(first, second), lambda t: F.concat(F.lit("File:"), t)))
-    return pages.select("page_id", F.posexplode(titles).alias("pos", "title"))
+    has = lambda t, classes: F.arrays_overlap(F.split(F.coalesce(t["attributes"]["class"], F.lit("")), r"\s+"), F.array(*[F.lit(c) for c in classes]))
+    picture = lambda title: F.when(~images.is_sound_or_film(title), title)
+
+    def event(t: Column) -> Column:
+        starts = ~t["ends"]
+        return F.struct(
+            t["name"].alias("name"),
+            t["ends"].alias("ends"),
+            t["empty"].alias("empty"),
+            (starts & has(t, boxes)).alias("box"),
+            (starts & has(t, [content])).alias("content"),
+            F.when(starts & (t["name"] == "a"), picture(_linked_file(t["attributes"]["href"]))).alias("link"),
+            F.when(starts & (t["name"] == "img"), picture(_shown_file(t["attributes"], upload_host))).alias("image"),
+        )
+
+    events = pages.select("page_id", F.transform(html.tags(F.col("html")), event).alias("e"))
+    names = F.array_distinct(F.transform(F.filter("e", lambda x: x["box"] | x["content"]), lambda x: x["name"]))
+    matter = events.select("page_id", F.exists("e", lambda x: x["content"]).alias("whole"), F.filter("e", lambda x: x["link"].isNotNull() | x["image"].isNotNull() | F.array_contains(names, x["name"])).alias("e"))
+    none = F.expr("cast(array() as array<string>)")
+    state = lambda box, deep, inside, within, links, shown: F.struct(box.alias("box"), deep.alias("deep"), inside.alias("inside"), within.alias("within"), links.alias("links"), shown.alias("shown"))
+
+    def step(a: Column, x: Column) -> Column:
+        """box, deep: the container that is open and how often its name is; inside: the name of the content's element, within: how often that is open, -1 once it is closed."""
+        change = F.when(x["ends"], -1).when(x["empty"], 0).otherwise(1)
+        within = F.when((a["inside"] == x["name"]) & (a["within"] > 0), F.when(a["within"] + change <= 0, -1).otherwise(a["within"] + change)).when((a["inside"] == "") & x["content"], 1).otherwise(a["within"])
+        inside = F.when((a["inside"] == "") & x["content"], x["name"]).otherwise(a["inside"])
+        deep = F.when(a["deep"] > 0, F.when(a["box"] == x["name"], a["deep"] + change).otherwise(a["deep"])).when(x["box"] & ~x["empty"] & (a["within"] > 0), 1).otherwise(0)
+        box = F.when((a["deep"] == 0) & x["box"], x["name"]).otherwise(a["box"])
+        counts = (a["deep"] == 0) & (a["within"] > 0) & ~x["box"]
+        more = lambda c, old: F.when(counts & x[c].isNotNull(), F.array_append(old, x[c])).otherwise(old)
+        return state(box, deep, inside, within, more("link", a["links"]), more("image", a["shown"]))
+
+    start = state(F.lit(""), F.lit(0), F.when(F.col("whole"), "").otherwise("#"), F.when(F.col("whole"), 0).otherwise(1), none, none)
+    titles = F.aggregate("e", start, step, lambda a: F.array_distinct(F.concat(a["links"], a["shown"])))
+    return matter.select("page_id", F.posexplode(titles).alias("pos", "title"))
 
 
 def page_anchors(pages: DataFrame) -> DataFrame:
     """Distinct link targets of a page in order."""
-    links = F.array_distinct(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*?href="([^"]*)"'), F.lit(1)))
+    anchors = F.filter(html.tags(F.col("html")), lambda t: (t["name"] == "a") & ~t["ends"])
+    links = F.array_distinct(F.filter(F.transform(anchors, lambda t: t["attributes"]["href"]), lambda x: x.isNotNull()))
     return pages.select("page_id", F.posexplode(links).alias("pos", "link"))
 
 
@@ -130,8 +195,3 @@ def strip_boilerplate(pages: DataFrame, tags: tuple[str, ...] = ("nav", "header"
              a -> array_join(a.kept, ''))"""
     )
     return cut.select("page_id", body.alias("html"))
-
-
-def page_media(pages: DataFrame) -> DataFrame:
-    """(page_id, html) -> page_id, pos, title: files linked from a page's content, boilerplate left out."""
-    return media_links(strip_boilerplate(pages))

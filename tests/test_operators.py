@@ -62,7 +62,8 @@ def test_image_scalars(spark):
     assert one(spark, img.license_category(F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.lit("true"))) == "other_cc"
     assert one(spark, img.safe_folder(F.lit(' a/b: "c".. '))) == "a_b_ _c_"
     assert one(spark, img.url_name(F.lit("http://h/x/A+b%20c.jpg?x=1"))) == "A+b c.jpg"
-    assert one(spark, img.strip_html(F.lit("<i>a</i>&amp;&lt;b&gt;"))) == "a&<b>"
+    assert one(spark, img.strip_html(F.lit("<i>a</i>&amp;&lt;b&gt;"))) == "a &<b>"
+    assert one(spark, img.url_name(F.lit("http://h/x/100%_pure.jpg"))) == "100%_pure.jpg"
 
 
 def test_marker_labels(spark):
@@ -105,12 +106,6 @@ def test_transcript_forms(spark, tmp_path):
     assert [r["cue_idx"] for r in transcripts.read_cues(files, mode="lenient").collect()] == [1]
 
 
-def test_media_links(spark):
-    html = '<nav><a href="/wiki/File:Nav.png">n</a></nav><a class="x" href="/wiki/File:A_b%2Bc.jpg">a</a><div class="navbox"><p>x</p><a href="./File:No.jpg"></a></div><img src="//upload.h/w/thumb/1/12/D_e.png/220px-D_e.png"><a href="./File:A_b%2Bc.jpg">again</a>'
-    pages = annotations.strip_boilerplate(spark.createDataFrame([(1, html)], "page_id long, html string"))
-    assert [r["title"] for r in annotations.media_links(pages).orderBy("pos").collect()] == ["File:A b+c.jpg", "File:D e.png"]
-
-
 # ---- contexts ---------------------------------------------------------------------------------------------------
 
 
@@ -387,7 +382,7 @@ def test_boilerplate_by_depth_of_its_own_tag(spark):
 
 def test_exact_character_references(spark):
     df = spark.createDataFrame([("<b>a</b> &eacute;&#233;&#x1F600; &amp;lt; ",), (None,), ("",)], "t string")
-    assert [r[0] for r in df.select(img.strip_html_exact(F.col("t"))).collect()] == ["a éé\U0001f600 &lt;", "", ""]
+    assert [r[0] for r in df.select(img.strip_html(F.col("t"))).collect()] == ["a éé\U0001f600 &lt;", "", ""]
 
 
 def test_many_mentions_of_one_transcript_take_seconds(spark):
