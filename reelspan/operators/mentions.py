@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pickle
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspan.functions import names
@@ -96,20 +100,65 @@ def add_subjects(entities: DataFrame, subjects: DataFrame) -> DataFrame:
     )
 
 
-def from_gazetteer(cues: DataFrame, gazetteer: DataFrame, longest: int = 3, most_broadcast: int = 1 << 16) -> DataFrame:
-    """Mentions by dictionary: word n-grams of every cue joined by equality with (surface, canonical, kind).
+def _words(text: Column) -> Column:
+    """Lower-case words of a text."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"(?U)[^\w]+", " "), " "), lambda w: w != "")
+
+
+def _automaton(surfaces: list[str]) -> bytes:
+    """An Aho-Corasick automaton over surfaces with a blank at both ends, so that only whole words match."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for s in surfaces:
+        automaton.add_word(f" {s} ", s)
+    automaton.make_automaton()
+    return pickle.dumps(automaton)
+
+
+def _run_automaton(packed: bytes):
+    """For every line of words the surfaces in it, as place of the first word and surface; one pass, whatever their length."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = pickle.loads(packed)
+        for lines in batches:
+            found = []
+            for line in lines:
+                hits, at, word = [], 0, 1
+                for end, s in sorted((end - len(s) - 1, s) for end, s in automaton.iter(line)) if line else ():
+                    word, at = word + line.count(" ", at, end), end
+                    hits.append({"at": word, "surface": s})
+                found.append(hits)
+            yield pd.Series(found)
+
+    return F.pandas_udf(run, "array<struct<at:int,surface:string>>")
+
+
+def _by_first_word(cues: DataFrame, known: DataFrame) -> DataFrame:
+    """Surfaces found by their first word: a word of a cue meets the lengths of the surfaces that begin with it, then the runs of these lengths meet the surfaces."""
+    size = F.size(F.split("surface", " "))
+    firsts = known.select(F.substring_index("surface", " ", 1).alias("word"), size.alias("size")).groupBy("word").agg(F.collect_set("size").alias("sizes"))
+    words = cues.select("*", F.posexplode("words").alias("at", "word")).join(firsts.hint("merge"), "word")
+    runs = words.select("*", F.explode("sizes").alias("size")).where(F.col("at") + F.col("size") <= F.size("words"))
+    runs = runs.withColumn("surface", F.array_join(F.slice("words", F.col("at") + 1, F.col("size")), " "))
+    return runs.withColumn("at", F.col("at") + 1).join(known.hint("merge"), "surface").select("transcript_id", "cue_idx", "ms", "at", "surface", "canonical", "kind")
+
+
+def from_gazetteer(cues: DataFrame, gazetteer: DataFrame, most_bytes: int = 1 << 23) -> DataFrame:
+    """Mentions by dictionary: every place where the words of a surface of (surface, canonical, kind) stand in a cue, surfaces of any number of words.
 
-    A dictionary of at most ``most_broadcast`` entries (counted) goes to every task, so a frequent n-gram meets
-    it where it is; with a larger one both sides are shuffled.
+    Cues and surfaces are compared by their lower-case words; overlapping surfaces are all found. The surfaces' bytes are
+    counted: up to ``most_bytes`` they become one automaton, built once, that every task runs over its cues; a larger dictionary is
+    partitioned by first word and joined. Surfaces without words match nothing; one with several entries gives a row for each.
     """
-    words = F.filter(F.split(F.regexp_replace(F.lower("text"), r"(?U)[^\w]+", " "), " "), lambda w: w != "")
-    tokens = cues.select("transcript_id", "cue_idx", F.col("start_ms").alias("ms"), words.alias("w"))
-    grams = None
-    for n in range(1, longest + 1):
-        have = F.size("w") - (n - 1)
-        each = F.when(have > 0, F.transform(F.sequence(F.lit(1), F.greatest(have, F.lit(1))), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i, n), " ").alias("gram"))))
-        part = tokens.select("transcript_id", "cue_idx", "ms", F.explode(each).alias("g")).select("transcript_id", "cue_idx", "ms", "g.at", "g.gram")
-        grams = part if grams is None else grams.unionByName(part)
-    known = gazetteer.select(F.lower("surface").alias("gram"), "canonical", "kind").distinct()
-    known = known.hint("broadcast" if known.count() <= most_broadcast else "merge")
-    return grams.join(known, "gram").select("transcript_id", "cue_idx", "ms", "at", F.col("gram").alias("surface"), "canonical", "kind")
+    lines = cues.select("transcript_id", "cue_idx", F.col("start_ms").alias("ms"), _words(F.col("text")).alias("words"))
+    known = gazetteer.select(F.array_join(_words(F.col("surface")), " ").alias("surface"), "canonical", "kind").where("surface <> ''").distinct()
+    size = known.agg(F.coalesce(F.sum(F.octet_length("surface") + 2), F.lit(0)).alias("bytes")).first()["bytes"]
+    if size > most_bytes:
+        return _by_first_word(lines, known)
+    surfaces = sorted(r["surface"] for r in known.select("surface").distinct().collect())
+    if not surfaces:
+        return _by_first_word(lines, known)
+    joined = lines.withColumn("line", F.when(F.size("words") > 0, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))))
+    found = joined.select("transcript_id", "cue_idx", "ms", F.explode(_run_automaton(_automaton(surfaces))("line")).alias("hit"))
+    return found.select("transcript_id", "cue_idx", "ms", "hit.at", "hit.surface").join(F.broadcast(known), "surface").select("transcript_id", "cue_idx", "ms", "at", "surface", "canonical", "kind")

@@ -136,23 +136,65 @@ def merge_clusters(entities: DataFrame, clusters: DataFrame) -> DataFrame:
     )
 
 
-def quote_matches(quotes: DataFrame, cues: DataFrame, least: float = 0.3) -> DataFrame:
-    """The cue that holds most of a quote's words; 0.5 more where one's text is in the other's; at least ``least``.
+_SEED = 3
 
-    ``quotes`` has quote_id, transcript_id and quote. Word overlaps come from a join on words, text containment
-    only from pairs within the transcript that share a word or stand in full in the quote.
+
+def _grams(text: Column, most: Column | int) -> Column:
+    """Distinct runs of 1 to ``_SEED`` characters of a text's first ``most``."""
+    size = F.least(F.char_length(text), F.lit(most) if isinstance(most, int) else most)
+    runs = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array())
+    return F.array_distinct(F.concat(*[runs(n) for n in range(1, _SEED + 1)]))
+
+
+def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner_id, outer_id): pairs of a transcript where the one text stands in the other.
+
+    Each inner text is looked for by one seed, of its runs of three characters (the whole text, if it is shorter) that which the
+    fewest outer texts have; what has the seed is then tested.
+    """
+    theirs = outer.select("transcript_id", "outer_id", F.explode(_grams(F.col("outer"), 1 << 30)).alias("seed"))
+    many = theirs.groupBy("transcript_id", "seed").agg(F.count(F.lit(1)).alias("many"))
+    wanted = F.least(F.char_length("inner"), F.lit(_SEED))
+    own = inner.select("transcript_id", "inner_id", F.explode(F.filter(_grams(F.col("inner"), 1 << 30), lambda g: F.char_length(g) == wanted)).alias("seed"))
+    # a seed that no outer text has rules its text out
+    known = own.join(many.hint("merge"), ["transcript_id", "seed"], "left").withColumn("many", F.coalesce("many", F.lit(0)))
+    rarest = known.groupBy("transcript_id", "inner_id").agg(F.min(F.struct("many", "seed")).alias("seed")).where("seed.many > 0")
+    met = rarest.select("transcript_id", "inner_id", "seed.seed").join(theirs.hint("merge"), ["transcript_id", "seed"])
+    full = met.join(inner.hint("merge"), ["transcript_id", "inner_id"]).join(outer.hint("merge"), ["transcript_id", "outer_id"])
+    return full.where(F.contains("outer", F.col("inner"))).select("transcript_id", "inner_id", "outer_id")
+
+
+def quote_matches(quotes: DataFrame, cues: DataFrame, least: float = 0.3, opening: int = 30) -> DataFrame:
+    """The cue that holds most of a quote's words; 0.5 more where the quote's opening stands in the cue or the cue in the quote; at least ``least``.
+
+    ``quotes`` has quote_id, transcript_id and quote. Word overlaps come from a join on words. Texts that hold one another are
+    found by seeds of three characters within the transcript, so they need no word in common. A quote of white space
+    only stands in every cue, so the first is its match; an empty one, and cues without words, match nothing.
     """
     tokens = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), r"(?U)[^\w]+", " "), " "), lambda w: w != ""))
-    q = quotes.withColumn("low", F.lower(F.trim("quote"))).withColumn("words", tokens(F.col("quote"))).withColumn("n", F.greatest(F.size("words"), F.lit(1)))
-    c = cues.select("transcript_id", "cue_idx", F.lower("text").alias("cue_low"), tokens(F.col("text")).alias("cue_words")).where(F.size("cue_words") > 0)
+    bare = F.regexp_replace(F.lower("quote"), r"(?U)^\s+|\s+$", "")
+    q = quotes.where("quote <> ''").select("quote_id", "transcript_id", bare.alias("low"), tokens(F.col("quote")).alias("words"))
+    q = q.withColumn("n", F.greatest(F.size("words"), F.lit(1))).withColumn("opening", F.substring("low", 1, opening))
+    asked = cues.join(q.select("transcript_id").distinct().hint("merge"), "transcript_id", "left_semi")
+    c = asked.select("transcript_id", "cue_idx", F.lower("text").alias("cue_low"), tokens(F.col("text")).alias("cue_words")).where(F.size("cue_words") > 0)
     shared = (
         q.select("quote_id", "transcript_id", F.explode("words").alias("word"))
         .join(c.select("transcript_id", "cue_idx", F.explode("cue_words").alias("word")).hint("merge"), ["transcript_id", "word"])
         .groupBy("quote_id", "transcript_id", "cue_idx")
-        .agg(F.count(F.lit(1)).alias("overlap"))
+        .agg(F.count(F.lit(1)).alias("overlap"), F.lit(False).alias("held"))
+    )
+    text = q.where("low <> ''")
+    opened = _contained(text.select("transcript_id", F.col("quote_id").alias("inner_id"), F.col("opening").alias("inner")), c.select("transcript_id", F.col("cue_idx").alias("outer_id"), F.col("cue_low").alias("outer")))
+    within = _contained(c.select("transcript_id", F.col("cue_idx").alias("inner_id"), F.col("cue_low").alias("inner")), text.select("transcript_id", F.col("quote_id").alias("outer_id"), F.col("low").alias("outer")))
+    first = q.where("low = ''").join(c.groupBy("transcript_id").agg(F.min("cue_idx").alias("cue_idx")).hint("merge"), "transcript_id")
+    held = (
+        opened.select(F.col("inner_id").alias("quote_id"), "transcript_id", F.col("outer_id").alias("cue_idx"))
+        .unionByName(within.select(F.col("outer_id").alias("quote_id"), "transcript_id", F.col("inner_id").alias("cue_idx")))
+        .unionByName(first.select("quote_id", "transcript_id", "cue_idx"))
+        .select("*", F.lit(0).cast("long").alias("overlap"), F.lit(True).alias("held"))
     )
-    scored = shared.join(q.select("quote_id", "low", "n").hint("merge"), "quote_id").join(c.select("transcript_id", "cue_idx", "cue_low").hint("merge"), ["transcript_id", "cue_idx"])
-    bonus = F.contains("cue_low", F.substring("low", 1, 30)) | F.contains("low", F.col("cue_low"))
-    scored = scored.withColumn("score", F.col("overlap") / F.col("n") + F.when(bonus, 0.5).otherwise(0.0)).where(F.col("score") >= least)
+    both = shared.unionByName(held.select(*shared.columns)).groupBy("quote_id", "transcript_id", "cue_idx").agg(F.max("overlap").alias("overlap"), F.max("held").alias("held"))
+    scored = both.join(q.select("quote_id", "n").hint("merge"), "quote_id")
+    scored = scored.withColumn("score", F.col("overlap") / F.col("n") + F.when(F.col("held"), 0.5).otherwise(0.0)).where(F.col("score") >= least)
     best = F.row_number().over(Window.partitionBy("quote_id").orderBy(F.desc("score"), "cue_idx"))
     return scored.withColumn("k", best).where("k = 1").select("quote_id", "transcript_id", "cue_idx", "score")

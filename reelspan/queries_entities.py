@@ -184,13 +184,16 @@ GAZETTEER = [("the", "The", "concepts"), ("of the", "Of The", "events"), ("de la
 
 @query(
     f"""WITH {fx.CUES}, w AS (SELECT transcript_id, cue_idx, start_ms AS ms, list_filter(string_split(regexp_replace(lower(text), '[^\\pL\\pN\\pM_]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM cues),
-  g AS (SELECT transcript_id, cue_idx, ms, unnest(range(1, len(w) + 1)) AS at, w FROM w), n AS (SELECT transcript_id, cue_idx, ms, at, unnest([1, 2, 3]) AS k, w FROM g),
-  s AS (SELECT transcript_id, cue_idx, ms, at, array_to_string(w[at:at + k - 1], ' ') AS surface FROM n WHERE at + k - 1 <= len(w))
-  SELECT transcript_id, cue_idx, ms, at, surface, canonical, kind FROM s JOIN (VALUES {', '.join(str(g) for g in GAZETTEER)}) AS d(gram, canonical, kind) ON s.surface = d.gram""".replace(" at,", " place,").replace(" AS at,", " AS place,").replace("w[at:at + k - 1]", "w[place:place + k - 1]").replace("at + k - 1 <=", "place + k - 1 <=")
+  d AS (SELECT * FROM (VALUES {', '.join(str(g) for g in GAZETTEER)}) AS d(surface, canonical, kind) UNION ALL SELECT text, 'item ' || item_id, 'concepts' FROM benchmark),
+  k AS (SELECT DISTINCT list_filter(string_split(regexp_replace(lower(surface), '[^\\pL\\pN\\pM_]+', ' ', 'g'), ' '), lambda x: x <> '') AS words, canonical, kind FROM d),
+  g AS (SELECT transcript_id, cue_idx, ms, unnest(range(1, len(w) + 1)) AS place, unnest(w) AS word, w FROM w)
+  SELECT transcript_id, cue_idx, ms, place, array_to_string(words, ' ') AS surface, canonical, kind FROM g JOIN k ON g.word = k.words[1] WHERE g.w[place:place + len(words) - 1] = k.words"""
 )
 def c3_gazetteer(spark, sf_dir):
+    """Four short surfaces, and all benchmark items as surfaces of dozens of words."""
     known = spark.createDataFrame(GAZETTEER, "surface string, canonical string, kind string")
-    return mentions.from_gazetteer(fx.cues(spark, sf_dir), known).withColumnRenamed("at", "place")
+    items = fx.table(spark, sf_dir, "benchmark").select(F.col("text").alias("surface"), F.concat(F.lit("item "), "item_id").alias("canonical"), F.lit("concepts").alias("kind"))
+    return mentions.from_gazetteer(fx.cues(spark, sf_dir), known.unionByName(items)).withColumnRenamed("at", "place")
 
 
 # ---- resolution -------------------------------------------------------------------------------------------------
@@ -238,16 +241,16 @@ def a6_dedup_occurrences(spark, sf_dir):
 
 @query(
     f"""WITH {fx.CUES}, w AS (SELECT *, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^\\pL\\pN\\pM_]+', ' ', 'g'), ' '), lambda x: x <> '')) AS words FROM cues),
-  q AS (SELECT transcript_id AS quote_id, transcript_id, lower(trim(text)) AS low, words, greatest(len(words), 1) AS n FROM (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY cue_idx) AS k FROM w) WHERE k = 3 AND transcript_id % 20 = 0),
-  s AS (SELECT quote_id, q.transcript_id, c.cue_idx, len(list_intersect(q.words, c.words)) / CAST(n AS DOUBLE) + CASE WHEN contains(lower(c.text), substr(low, 1, 30)) OR contains(low, lower(c.text)) THEN 0.5 ELSE 0.0 END AS score, len(list_intersect(q.words, c.words)) AS m
-    FROM q JOIN w c ON q.transcript_id = c.transcript_id)
-  SELECT quote_id, transcript_id, cue_idx, score FROM (SELECT *, row_number() OVER (PARTITION BY quote_id ORDER BY score DESC, cue_idx) AS k FROM s WHERE m > 0 AND score >= 0.3) WHERE k = 1"""
+  l AS (SELECT transcript_id, transcript_id || '-' || cue_idx AS quote_id, substr(text, 3) AS quote FROM cues WHERE transcript_id % 20 = 0 AND length(text) > 2),
+  q AS (SELECT *, trim(lower(quote), ' ' || chr(9) || chr(13)) AS low, list_distinct(list_filter(string_split(regexp_replace(lower(quote), '[^\\pL\\pN\\pM_]+', ' ', 'g'), ' '), lambda x: x <> '')) AS qw FROM l),
+  s AS (SELECT quote_id, q.transcript_id, c.cue_idx, len(list_intersect(q.qw, c.words)) / CAST(greatest(len(qw), 1) AS DOUBLE) + CASE WHEN contains(lower(c.text), substr(low, 1, 30)) OR contains(low, lower(c.text)) THEN 0.5 ELSE 0.0 END AS score
+    FROM q JOIN w c ON q.transcript_id = c.transcript_id WHERE len(c.words) > 0)
+  SELECT quote_id, transcript_id, cue_idx, score FROM (SELECT *, row_number() OVER (PARTITION BY quote_id ORDER BY score DESC, cue_idx) AS k FROM s WHERE score >= 0.3) WHERE k = 1"""
 )
 def j8_quote_matches(spark, sf_dir):
-    """Every 20th document's third line looked for among the cues of the document."""
+    """Every line of every 20th document without its first two characters, looked for among the cues of the document."""
     cues = fx.cues(spark, sf_dir)
-    third = F.row_number().over(Window.partitionBy("transcript_id").orderBy("cue_idx"))
-    quotes = cues.withColumn("k", third).where("k = 3 and transcript_id % 20 = 0").select(F.col("transcript_id").alias("quote_id"), "transcript_id", F.col("text").alias("quote"))
+    quotes = cues.where("transcript_id % 20 = 0 and char_length(text) > 2").select(F.concat_ws("-", "transcript_id", "cue_idx").alias("quote_id"), "transcript_id", F.expr("substring(text, 3)").alias("quote"))
     return resolve.quote_matches(quotes, cues)
 
 

@@ -1,6 +1,7 @@
 """Literal cases, and plain Python against the folds and grouped operators."""
 
 import math
+import re
 import time
 import random
 from difflib import SequenceMatcher
@@ -406,3 +407,47 @@ def test_stacked_fillers_without_any_clip(spark):
     totals = spark.createDataFrame([(1, 500), (2, 90)], "transcript_id long, total_frames long")
     got = timeline.fill_gaps_stacked(none, totals, [("a", 3), ("b", 2)], 4, 2, 100, 50, 120).collect()
     assert sorted((r["transcript_id"], r["track"], r["frame"], r["filler"]) for r in got) == [(1, t, f, e) for t in (2, 3) for f, e in ((0, "a"), (150, "b"), (300, "a"))]
+
+
+def test_gazetteer_of_any_length_both_ways(spark):
+    long = "the quick brown fox jumps over the lazy dog by the river"
+    rows = [(1, 1, 0, f"Yes: {long.upper()}! the quick"), (1, 2, 5, "of of the united states of america of"), (1, 3, 9, ""), (1, 4, 9, None), (2, 1, 0, "thequick, the-quick São-Paulo"), (2, 2, 1, "?")]
+    cues = spark.createDataFrame(rows, "transcript_id long, cue_idx int, start_ms long, text string")
+    surfaces = [(long, "Fox", "events"), ("the quick", "Quick", "people"), ("quick brown", "QB", "people"), ("United States of America", "US", "places"), ("united states of america", "USA", "places"), ("of", "Of", "concepts"), ("são paulo", "SP", "places"), ("--", "no", "x"), ("", "no", "x")]
+    known = spark.createDataFrame(surfaces, "surface string, canonical string, kind string")
+    split = lambda t: re.findall(r"\w+", (t or "").lower())
+    want = set()
+    for t, c, ms, text in rows:
+        w = split(text)
+        for s, canonical, kind in surfaces:
+            k = split(s)
+            want |= {(t, c, ms, i + 1, " ".join(k), canonical, kind) for i in range(len(w)) if k and w[i : i + len(k)] == k}
+    for most in (1 << 23, 0):
+        got = [tuple(r) for r in mentions.from_gazetteer(cues, known, most_bytes=most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert mentions.from_gazetteer(cues, known.limit(0)).count() == 0
+
+
+def test_quotes_without_a_common_word_against_loop(spark):
+    r = random.Random(8)
+    parts = ["concatenate", "cat", "often", "ten", "x", "É", "unbelievable", "Antidisestablishmentarianism and more", "-", "?", "a b", " "]
+    line = lambda: "".join(r.choice(parts) + r.choice(["", " "]) for _ in range(r.randrange(1, 4)))
+    cues = [(t, k, line()) for t in (1, 2, 3) for k in range(25)] + [(1, 99, None)]
+    quotes = [(k, r.choice((1, 2, 3, 4)), line()) for k in range(80)] + [(90, 1, ""), (91, 2, "  "), (92, 1, None), (93, 2, "Antidisestablishmentarianism andirons")]
+    want = []
+    for i, t, quote in quotes:
+        low = (quote or "").lower().strip()
+        words, best, found = set(re.findall(r"\w+", low)), 0, None
+        for u, k, text in cues:
+            text = (text or "").lower()
+            own = set(re.findall(r"\w+", text))
+            if t != u or not quote or not own:
+                continue
+            score = len(words & own) / max(1, len(words)) + (0.5 if low[:30] in text or text in low else 0)
+            if score > best:
+                best, found = score, k
+        if best >= 0.3:
+            want.append((i, t, found, best))
+    q = spark.createDataFrame(quotes, "quote_id long, transcript_id long, quote string")
+    c = spark.createDataFrame(cues, "transcript_id long, cue_idx int, text string")
+    assert sorted(map(tuple, resolve.quote_matches(q, c).collect())) == sorted(want)
