@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching blocks of two strings: twice the matched characters over both lengths; not symmetric."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+@F.pandas_udf("double")
+def likeness(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Twice the characters in matching blocks over both lengths; not symmetric. Rows with one second string follow one another, so its index is built once."""
+    matcher = SequenceMatcher(None)
+    for a, b in batches:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            if matcher.b != y:
+                matcher.set_seq2(y)
+            matcher.set_seq1(x)
+            out.append(matcher.ratio())
+        yield pd.Series(out, dtype="float64")
+
+
+def alike(strings: DataFrame, threshold: float) -> DataFrame:
+    """Rows of (a_low, b_low) whose likeness reaches a threshold.
+
+    Bounds decide most rows inside the JVM: the longest block is at least the common opening or ending, and matched
+    characters are at most half of both lengths less the edit distance. Only what they leave open is matched block by block.
+    """
+    a, b = F.col("a_low"), F.col("b_low")
+    total = F.char_length(a) + F.char_length(b)
+    enough = F.ceil(threshold * total / 2 - 1e-9).cast("int")
+    sure = (F.left(a, enough) == F.left(b, enough)) | (F.right(a, enough) == F.right(b, enough))
+    near = F.levenshtein(a, b) <= (1 - threshold) * total + 1e-9
+    marked = strings.withColumn("sure", sure)
+    unsure = marked.where(~F.col("sure") & near).select("a_low", "b_low").sortWithinPartitions("b_low")
+    found = unsure.withColumn("ratio", likeness("a_low", "b_low")).where(F.col("ratio") >= threshold)
+    return marked.where("sure").select("a_low", "b_low").unionByName(found.select("a_low", "b_low"))
 
 
 def lookup(wanted: DataFrame, entities: DataFrame) -> DataFrame:
@@ -27,47 +52,45 @@ def lookup(wanted: DataFrame, entities: DataFrame) -> DataFrame:
 _GROUP = ["transcript_id", "entity_type"]
 
 
-def _rarest_first(grams: DataFrame, keep: Column) -> DataFrame:
-    """Of each name's grams those first by frequency in the group, as many as ``keep`` says."""
-    counted = grams.groupBy(*_GROUP, "gram").agg(F.count(F.lit(1)).alias("many"))
-    order = F.row_number().over(Window.partitionBy(*_GROUP, "name").orderBy("many", "gram"))
-    return grams.join(counted.hint("merge"), [*_GROUP, "gram"]).withColumn("k", order).where(F.col("k") <= keep).select(*_GROUP, "name", "gram")
-
-
-def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.withColumnRenamed("name", "a_name").join(right.withColumnRenamed("name", "b_name").hint("merge"), [*_GROUP, "gram"]).where("a_name <> b_name").select(*_GROUP, "a_name", "b_name").distinct()
+def _name_grams(low: Column) -> Column:
+    """Grams of a name as (role, own, gram): role 1 pairs of neighbouring letters and letters, own those that a longer name must share; role 2 letters with a running number."""
+    size = F.char_length(low)
+    letters = F.filter(F.split(low, ""), lambda c: c != "")
+    single = F.array_distinct(letters)
+    pairs = F.when(size > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(2))))).otherwise(F.array())
+    gram = lambda role, own: lambda g: F.struct(F.lit(role).alias("role"), own.alias("own"), g.alias("gram"))
+    # the n-th of a letter is a gram of its own
+    counts = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.filter(letters, lambda x: x == c))), lambda n: F.concat(c, n.cast("string")))
+    numbered = F.flatten(F.transform(single, counts))
+    return F.concat(F.transform(pairs, gram(1, F.lit(True))), F.transform(single, gram(1, size == 1)), F.transform(numbered, gram(2, F.lit(True))))
 
 
 def similar_pairs(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Ordered pairs of a transcript's entities of one type, one name within the other or alike by ``threshold``.
 
-    Names meet by equality, not all with all. A name within another shares its rarest pair of letters with it.
-    Names alike by the threshold share as many letters, counted with repeats, as the ratio asks for, so each
-    has one of them among its rarest ones, one more than it may lack (a prefix filter). The edit distance bounds the
-    ratio from above (matched characters are at most half of both lengths less the distance), so only pairs
-    that may pass reach Python. Blank names are left out.
+    Names meet by equality, not all with all, in one join of their grams. A name within another shares its rarest pair of
+    letters with it. Names alike by the threshold share as many letters, counted with repeats, as the ratio asks for, so each
+    has one of them among its rarest ones, one more than it may lack (a prefix filter); their lengths are in a band that
+    the ratio sets. Likeness is by matching blocks, once for each two strings, whatever the transcripts. Blank names are
+    left out.
     """
-    named = entities.where(F.trim("entity") != "").select(*_GROUP, F.col("entity").alias("name"), F.lower("entity").alias("low"))
+    named = entities.where(F.trim("entity") != "").select(*_GROUP, F.col("entity").alias("name"), F.col("entity_seq").alias("seq"), F.lower("entity").alias("low"))
+    grams = named.select("*", F.explode(_name_grams(F.col("low"))).alias("g")).select(*_GROUP, "name", "seq", "low", "g.*")
+    grams = grams.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy(*_GROUP, "role", "gram")))
+    grams = grams.withColumn("k", F.row_number().over(Window.partitionBy(*_GROUP, "name", "role", "own").orderBy("many", "gram")))
     size = F.char_length("low")
-    pairs = F.when(size > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.substring("low", i, F.lit(2)))))
-    letters = F.array_distinct(F.split("low", ""))
-    every = named.select(*_GROUP, "name", F.explode(F.concat(F.coalesce(pairs, F.expr("cast(array() as array<string>)")), letters)).alias("gram"))
-    own = named.select(*_GROUP, "name", F.explode(F.when(size > 1, pairs).otherwise(letters)).alias("gram"))
-    inside = _meet(_rarest_first(own, F.lit(1)), every)
-    # the n-th of a letter is a gram of its own
-    numbered = F.expr("transform(split(low, ''), (c, i) -> concat(c, size(filter(slice(split(low, ''), 1, i + 1), x -> x = c))))")
-    counted = named.select(*_GROUP, "name", size.alias("size"), F.explode(numbered).alias("gram"))
-    first = _rarest_first(counted, F.col("size") - F.ceil(F.col("size") * threshold / (2 - threshold) - 1e-9) + 1)
-    alike = _meet(first, first)
-    met = inside.unionByName(inside.select(*_GROUP, F.col("b_name").alias("a_name"), F.col("a_name").alias("b_name"))).unionByName(alike).distinct()
-    side = lambda p: entities.select(*_GROUP, F.col("entity").alias(f"{p}_name"), F.col("entity_seq").alias(f"{p}_seq"), F.lower("entity").alias(f"{p}_low"))
-    full = met.join(side("a").hint("merge"), [*_GROUP, "a_name"]).join(side("b").hint("merge"), [*_GROUP, "b_name"])
-    within = F.contains("a_low", F.col("b_low")) | F.contains("b_low", F.col("a_low"))
-    total = F.char_length("a_low") + F.char_length("b_low")
-    near = F.levenshtein("a_low", "b_low") <= (1 - threshold) * total + 1e-9
-    contained = full.where(within)
-    passing = full.where(~within & near).withColumn("ratio", similarity("a_low", "b_low")).where(F.col("ratio") >= threshold).drop("ratio")
-    return contained.unionByName(passing).select(*_GROUP, "a_name", "a_seq", "b_name", "b_seq")
+    first = F.col("own") & (F.col("k") <= F.when(F.col("role") == 1, 1).otherwise(size - F.ceil(size * threshold / (2 - threshold) - 1e-9) + 1))
+    side = lambda p, rows: rows.select(*_GROUP, "role", "gram", *[F.col(c).alias(f"{p}_{c}") for c in ("name", "seq", "low")])
+    met = side("a", grams.where(first)).join(side("b", grams.where((F.col("role") == 1) | first)).hint("merge"), [*_GROUP, "role", "gram"]).where("a_name <> b_name")
+    a, b = F.col("a_low"), F.col("b_low")
+    inside = met.where((F.col("role") == 1) & F.contains(b, a))
+    columns = [*_GROUP, "a_name", "a_seq", "b_name", "b_seq"]
+    turned = inside.select(*_GROUP, *[F.col(f"{x}_{c}").alias(f"{y}_{c}") for x, y in (("b", "a"), ("a", "b")) for c in ("name", "seq")])
+    band = 2 * F.least(F.char_length(a), F.char_length(b)) >= threshold * (F.char_length(a) + F.char_length(b)) - 1e-9
+    maybe = met.where((F.col("role") == 2) & band & ~F.contains(b, a) & ~F.contains(a, b)).select(*columns, "a_low", "b_low").distinct()
+    strings = alike(maybe.select("a_low", "b_low").distinct(), threshold)
+    passing = maybe.join(strings.hint("merge"), ["a_low", "b_low"], "left_semi")
+    return inside.select(*columns).unionByName(turned.select(*columns)).distinct().unionByName(passing.select(*columns))
 
 
 def fuzzy_clusters(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -81,9 +104,9 @@ def fuzzy_clusters(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
     rows = led.groupBy("transcript_id", "entity_type").agg(F.array_sort(F.collect_list(F.struct("a_seq", "a_name", "partners"))).alias("rows"))
     fold = F.expr(
         """aggregate(rows, named_struct('used', cast(array() as array<string>), 'found', cast(array() as array<array<string>>)),
-             (s, r) -> if(array_contains(s.used, r.a_name) or size(array_except(r.partners, s.used)) = 0, s,
-                          named_struct('used', concat(s.used, array_except(r.partners, s.used), array(r.a_name)),
-                                       'found', concat(s.found, array(concat(array(r.a_name), array_except(r.partners, s.used)))))),
+             (s, r) -> if(array_contains(s.used, r.a_name), s,
+                          transform(array(array_except(r.partners, s.used)), free -> if(size(free) = 0, s,
+                            named_struct('used', concat(s.used, free, array(r.a_name)), 'found', concat(s.found, array(concat(array(r.a_name), free))))))[0]),
              s -> s.found)"""
     )
     each = rows.select("transcript_id", "entity_type", F.posexplode(fold).alias("cluster", "members"))

@@ -214,17 +214,57 @@ def j4_name_lookup(spark, sf_dir):
     return resolve.lookup(names.select("transcript_id", F.upper("entity").alias("name")), names).select("transcript_id", "name", "found")
 
 
-@query()
+#: Matching blocks by recursion: of each two strings the longest common run, the first in a and then in b, and what is left and right of it.
+SIMILAR_SQL = f"""{NAMES_SQL},
+strings AS (SELECT DISTINCT lower(x.entity) AS a0, lower(y.entity) AS b0 FROM names x JOIN names y ON x.transcript_id = y.transcript_id AND x.entity_type = y.entity_type AND x.entity <> y.entity),
+blocks(a0, b0, a, b, m) AS (
+  SELECT a0, b0, a0, b0, 0 FROM strings
+  UNION ALL
+  SELECT a0, b0, unnest(['', a[:i - 1], a[i + l:]]), unnest(['', b[:j - 1], b[j + l:]]), unnest([l, 0, 0])
+  FROM (SELECT *, instr(b, a[i:i + l - 1]) AS j FROM (
+    SELECT a0, b0, a, b, -best.l AS l, best.i AS i FROM (
+      SELECT a0, b0, a, b, list_min(list_filter(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2), lambda l: {{'l': -l, 'i': i}}))), lambda x: contains(b, a[x.i:x.i - x.l - 1]))) AS best
+      FROM blocks WHERE a <> '' AND b <> '') WHERE best IS NOT NULL))),
+ratios AS (SELECT a0, b0, 2.0 * sum(m) / (length(a0) + length(b0)) AS ratio FROM blocks GROUP BY a0, b0),
+similar_names AS (
+  SELECT x.transcript_id, x.entity_type, x.entity AS a_name, x.entity_seq AS a_seq, y.entity AS b_name, y.entity_seq AS b_seq
+  FROM names x JOIN names y ON x.transcript_id = y.transcript_id AND x.entity_type = y.entity_type AND x.entity <> y.entity JOIN ratios r ON r.a0 = lower(x.entity) AND r.b0 = lower(y.entity)
+  WHERE contains(lower(x.entity), lower(y.entity)) OR contains(lower(y.entity), lower(x.entity)) OR ratio >= 0.7)"""
+
+#: Leaders one after the other, each with the names that were used before it.
+CLUSTERS_SQL = f"""{SIMILAR_SQL},
+led AS (SELECT transcript_id, entity_type, a_name, row_number() OVER (PARTITION BY transcript_id, entity_type ORDER BY a_seq) AS k, list(b_name ORDER BY b_seq) AS partners FROM similar_names GROUP BY transcript_id, entity_type, a_name, a_seq),
+taken(transcript_id, entity_type, k, used, members) AS (
+  SELECT DISTINCT transcript_id, entity_type, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR[]) FROM led
+  UNION ALL
+  SELECT transcript_id, entity_type, k, CASE WHEN len(free) > 0 THEN list_concat(used, free, [a_name]) ELSE used END, CASE WHEN len(free) > 0 THEN list_concat([a_name], free) END
+  FROM (SELECT l.transcript_id, l.entity_type, l.k, l.a_name, t.used, CASE WHEN list_contains(t.used, l.a_name) THEN [] ELSE list_filter(l.partners, lambda p: NOT list_contains(t.used, p)) END AS free
+        FROM taken t JOIN led l ON l.transcript_id = t.transcript_id AND l.entity_type = t.entity_type AND l.k = t.k + 1)),
+clusters AS (
+  SELECT transcript_id, entity_type, row_number() OVER (PARTITION BY transcript_id, entity_type ORDER BY k) - 1 AS cluster,
+         list_transform(list_sort(list_transform(members, lambda m, i: {{'l': -length(m), 'i': i, 'm': m}})), lambda x: x.m) AS members
+  FROM taken WHERE members IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {SIMILAR_SQL} SELECT transcript_id, a_name, b_name FROM similar_names")
 def j6_similar_names(spark, sf_dir):
     return resolve.similar_pairs(_names(spark, sf_dir), 0.7).select("transcript_id", "a_name", "b_name")
 
 
-@query()
+@query(f"WITH RECURSIVE {CLUSTERS_SQL} SELECT transcript_id, entity_type, cluster, array_to_string(members, '|') AS members FROM clusters")
 def d5_fuzzy_clusters(spark, sf_dir):
     return resolve.fuzzy_clusters(_names(spark, sf_dir), 0.7).withColumn("members", F.array_join("members", "|"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {CLUSTERS_SQL},
+  placed AS (SELECT transcript_id, entity_type, cluster, members, unnest(members) AS entity FROM clusters)
+  SELECT p.transcript_id, any_value(members)[1] AS canonical, array_to_string(any_value(members)[2:], '|') AS merged_from,
+    array_to_string(list_sort(list_distinct(list_concat(list(lower(p.entity)), any_value(members)[2:]))), '|') AS aliases,
+    list_reduce(list_prepend('', list_transform(any_value(members), lambda m: 'context of ' || m)), lambda acc, c: CASE WHEN contains(acc, c) THEN acc WHEN acc = '' THEN c ELSE acc || ' | ' || c END) AS context,
+    count(DISTINCT n.entity_seq % 7) AS total_occurrences
+  FROM placed p JOIN names n ON n.transcript_id = p.transcript_id AND n.entity = p.entity GROUP BY p.transcript_id, p.entity_type, p.cluster"""
+)
 def a5_merged_clusters(spark, sf_dir):
     names = _names(spark, sf_dir)
     tc = F.format_string("00:00:%02d,000", F.col("entity_seq") % 7)
