@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,42 +45,46 @@ def grown_tracks(clips: DataFrame, tracks: int) -> DataFrame:
     return clips.groupBy("transcript_id").agg(F.greatest(F.lit(tracks), F.max("stack_size")).cast("int").alias("tracks"))
 
 
-def _assign(tracks: int, duration: int, gap: int):
-    def run(clips: pd.DataFrame) -> pd.DataFrame:
-        clips = clips.sort_values(["frame", "clip_seq", "stack_offset"], kind="stable").reset_index(drop=True)
-        count = max(tracks, int(clips["stack_size"].max()))
-        free = [0] * count
-        key = clips["stack_group"].where(clips["stack_group"].notna(), clips.index.map(lambda k: f"#{k}"))
-        track, reason = pd.Series(0, index=clips.index), pd.Series("", index=clips.index)
-        for _, rows in clips.groupby(key, sort=False):
-            start, size = int(rows["frame"].iloc[0]), len(rows)
-            room = next((k for k in range(count - size + 1) if all(start >= end + gap for end in free[k : k + size])), None)
-            if room is None and size == 1 and start >= min(free):
-                room = free.index(min(free))
-            if room is None:
-                reason[rows.index] = "tracks occupied" if size == 1 else "no block of tracks free"
-                continue
-            free[room : room + size] = [start + duration] * size
-            track[rows.index] = [BASE_TRACK + room + size - 1 - k for k in range(size)]
-        out = clips[["transcript_id", "entity", "occ_idx", "image", "frame", "clip_seq", "stack_offset"]].copy()
-        out["track"], out["skip_reason"] = track.where(track > 0), reason.where(reason != "")
-        out["duration_frames"] = duration
-        return out
-
-    return run
-
-
-def assign_tracks(clips: DataFrame, tracks: int = 4, duration: int = 100, gap: int = 50) -> DataFrame:
-    """Place clips on tracks in order of frame; each transcript by itself.
-
-    A stack takes the first block of neighbouring tracks that has been free for ``gap``, its first image on the
-    highest; a single clip that finds none takes the track that is free first, without a gap; others are
-    returned with a reason. What is free depends on all clips before, so a transcript is one group of
-    rows; a transcript has some thousand clips at most, and transcripts are dealt over the cluster.
+def assign_tracks(clips: DataFrame, tracks: int = 4, duration: int = 100, gap: int = 50, montage_frames: str | None = None) -> DataFrame:
+    """Place clips on tracks in order of frame; each transcript by itself, as one fold over its stacks inside the JVM.
+
+    A stack (clips of one ``stack_group``) takes the first block of neighbouring tracks that has been free for ``gap``: the fold's
+    state is when each track becomes free, and a sliding maximum over it finds the block. Its first image is on the
+    highest track. A single clip that finds none takes the track that is free first, without a gap; others are
+    returned with a reason. A column named by ``montage_frames`` gives montage clips their own length; they need a quarter of
+    the gap. A transcript has as many tracks as its largest stack needs.
     """
-    kind = "transcript_id long, entity string, occ_idx int, image string, frame long, clip_seq long, stack_offset int, track double, skip_reason string, duration_frames int"
-    placed = clips.groupBy("transcript_id").applyInPandas(_assign(tracks, duration, gap), kind)
-    return placed.withColumn("track", F.col("track").cast("int"))
+    own = F.coalesce(F.col(montage_frames).cast("bigint"), F.lit(duration)) if montage_frames else F.lit(duration).cast("bigint")
+    room = F.when(F.col(montage_frames).isNotNull(), gap // 4).otherwise(gap) if montage_frames else F.lit(gap)
+    place = F.struct(F.col("frame").cast("bigint").alias("frame"), F.col("clip_seq").cast("bigint").alias("clip_seq"), F.col("stack_offset").cast("int").alias("stack_offset"))
+    single = F.concat(F.lit("#"), F.coalesce(F.col("clip_seq").cast("string"), F.lit("")), F.lit("/"), F.coalesce(F.col("stack_offset").cast("string"), F.lit("")))
+    keyed = clips.withColumn("stack_key", F.coalesce(F.concat(F.lit("="), "stack_group"), single)).withColumn("clip_frames", own).withColumn("clip_gap", room).withColumn("clip_place", place)
+    stack = F.struct(
+        F.min("clip_place").alias("at"),
+        F.min_by("frame", "clip_place").cast("bigint").alias("start"),
+        F.count(F.lit(1)).cast("int").alias("size"),
+        F.min_by("clip_frames", "clip_place").alias("length"),
+        F.min_by("clip_gap", "clip_place").cast("bigint").alias("gap"),
+    )
+    stacks = keyed.groupBy("transcript_id", "stack_key").agg(stack.alias("stack"), F.max("stack_size").alias("widest"))
+    count = F.greatest(F.lit(tracks), F.max("widest"), F.max("stack.size"))
+    rows = stacks.groupBy("transcript_id").agg(count.cast("int").alias("count"), F.array_sort(F.collect_list(F.struct("stack.at", "stack.start", "stack.size", "stack.length", "stack.gap", "stack_key"))).alias("rows"))
+    block = "array_position(transform(sequence(1, count - r.size + 1), k -> array_max(slice(s.free, k, r.size)) + r.gap <= r.start), true)"
+    early = "if(r.size = 1 and r.start >= array_min(s.free), array_position(s.free, array_min(s.free)), 0)"
+    fold = F.expr(
+        f"""aggregate(rows, named_struct('free', array_repeat(cast(0 as bigint), count), 'picked', cast(array() as array<int>)),
+              (s, r) -> transform(array(cast(if({block} > 0, {block}, {early}) as int)), room -> named_struct(
+                'free', if(room = 0, s.free, transform(s.free, (e, i) -> if(i + 1 between room and room + r.size - 1, r.start + r.length, e))),
+                'picked', concat(s.picked, array(room))))[0],
+              s -> s.picked)"""
+    )
+    each = rows.withColumn("picked", fold).select("transcript_id", F.explode(F.arrays_zip("rows", "picked")).alias("z"))
+    found = each.select("transcript_id", F.col("z.rows.stack_key").alias("stack_key"), F.col("z.rows.size").alias("size"), F.col("z.rows.length").alias("length"), F.col("z.picked").alias("room"))
+    inside = F.row_number().over(Window.partitionBy("transcript_id", "stack_key").orderBy("stack_offset", "clip_place"))
+    placed = keyed.withColumn("inside", inside).join(found.hint("merge"), ["transcript_id", "stack_key"])
+    reason = F.when(F.col("room") == 0, F.when(F.col("size") == 1, "tracks occupied").otherwise("no block of tracks free"))
+    track = F.when(F.col("room") > 0, BASE_TRACK - 1 + F.col("room") + F.col("size") - F.col("inside")).cast("int")
+    return placed.select("transcript_id", "entity", "occ_idx", "image", "frame", "clip_seq", "stack_offset", track.alias("track"), reason.alias("skip_reason"), F.col("length").cast("int").alias("duration_frames"))
 
 
 def assign_single(clips: DataFrame, tracks: int = 4, duration: int = 100, gap: int = 50) -> DataFrame:
@@ -133,63 +136,71 @@ def fill_gaps(placements: DataFrame, totals: DataFrame, pool_size: int, tracks:
     return stretched, fillers
 
 
-def _stacked(pool: list[tuple[str, int]], tracks: int, candidates: int, duration: int, gap: int, stretch_below: int, total: str):
-    def height(available: int) -> int:
-        if candidates == 1:
-            return 1
-        return 0 if available < 2 else min(candidates or available, available, tracks)
-
-    def run(clips: pd.DataFrame) -> pd.DataFrame:
-        transcript, whole = clips["transcript_id"].iloc[0], int(clips[total].iloc[0])
-        clips = clips[clips["frame"].notna()].sort_values(["track", "frame"], kind="stable").reset_index(drop=True)
-        spans: dict[int, list[list[int]]] = {t: [] for t in range(BASE_TRACK, BASE_TRACK + tracks)}
-        for t, frame, length in clips[["track", "frame", "duration_frames"]].itertuples(index=False):
-            spans[int(t)].append([int(frame), int(length)])
-        for own in spans.values():
-            for k, (frame, length) in enumerate(own):
-                end = own[k + 1][0] if k + 1 < len(own) else whole
-                if 0 < end - (frame + length) < stretch_below:
-                    own[k][1] = max(length, end - gap - frame)
-        rows = [(t, f, n, None, None) for t, own in spans.items() for f, n in own]
-        edge, holes = 0, []
-        for frame, length in spans[BASE_TRACK]:
-            if frame > edge:
-                holes.append((edge, frame))
-            edge = frame + length
-        if edge < whole:
-            holes.append((edge, whole))
-        turn = 0
-        for start, end in holes:
-            at = start
-            while at + duration <= end - gap:
-                for _ in pool:
-                    name, available = pool[turn % len(pool)]
-                    turn += 1
-                    size = height(available)
-                    block = range(BASE_TRACK, BASE_TRACK + size)
-                    if size and all(at + duration + gap <= f or at >= f + n + gap for t in block for f, n in spans[t]):
-                        for k in range(size):
-                            spans[BASE_TRACK + size - 1 - k].append([at, duration])
-                            rows.append((BASE_TRACK + size - 1 - k, at, duration, name, k))
-                        break
-                at += duration + gap
-        out = pd.DataFrame(rows, columns=["track", "frame", "duration_frames", "filler", "stack_offset"])
-        out.insert(0, "transcript_id", transcript)
-        return out.astype({"stack_offset": "float64"})
-
-    return run
+def _lengthened(placements: DataFrame, totals: DataFrame, gap: int, stretch_below: int) -> DataFrame:
+    """Clips that reach to ``gap`` before the next clip of their track, or the end, where what is free after them is short."""
+    order = Window.partitionBy("transcript_id", "track").orderBy("frame")
+    known = placements.join(totals.select("transcript_id", "total_frames").hint("merge"), "transcript_id")
+    upto = F.coalesce(F.lead("frame").over(order), F.col("total_frames"))
+    free = upto - (F.col("frame") + F.col("duration_frames"))
+    reach = F.when((free > 0) & (free < stretch_below), F.greatest("duration_frames", upto - gap - F.col("frame"))).otherwise(F.col("duration_frames"))
+    return known.select("transcript_id", "track", "frame", reach.cast("int").alias("duration_frames"))
+
+
+def _free_heights(slots: DataFrame, placements: DataFrame, tracks: int, duration: int, gap: int) -> DataFrame:
+    """(transcript_id, at, height): how many tracks from the lowest up are free for a clip at ``at``, with a gap on both sides.
+
+    On each track slots and clips are ordered together; a clip that begins before the slot's end is in the way if the latest end so far
+    is after its begin.
+    """
+    every = slots.select("transcript_id", "at", F.explode(F.sequence(F.lit(BASE_TRACK), F.lit(BASE_TRACK + tracks - 1))).alias("track"))
+    asked = every.select("transcript_id", "track", (F.col("at") + duration + gap).alias("key"), F.lit(0).alias("clip"), "at", F.lit(None).cast("long").alias("end"))
+    theirs = placements.select("transcript_id", "track", F.col("frame").alias("key"), F.lit(1).alias("clip"), F.lit(None).cast("long").alias("at"), (F.col("frame") + F.col("duration_frames")).alias("end"))
+    before = Window.partitionBy("transcript_id", "track").orderBy("key", "clip").rowsBetween(Window.unboundedPreceding, -1)
+    seen = asked.unionByName(theirs).withColumn("latest", F.max("end").over(before)).where("clip = 0")
+    busy = F.when(F.col("latest") + gap > F.col("at"), F.col("track") - BASE_TRACK)
+    return seen.groupBy("transcript_id", "at").agg(F.coalesce(F.min(busy), F.lit(tracks)).cast("int").alias("height"))
 
 
 def fill_gaps_stacked(placements: DataFrame, totals: DataFrame, pool: list[tuple[str, int]], tracks: int, candidates: int, duration: int, gap: int, stretch_below: int) -> DataFrame:
     """Lengthen clips over short gaps on all tracks, then fill the lowest track's gaps with stacks of one entity's images.
 
-    ``pool`` has (entity, number of images) in turn. A stack needs every track of its block free; each choice
-    changes what is free for the next, so a transcript is one group of rows. A transcript without clips is one gap.
+    ``pool`` has (entity, number of images) in turn. Places for fillers follow one another by a clip and a gap, so
+    no filler is in another's way, and how many tracks are free at each is known beforehand. What depends on the choices before is
+    whose turn it is: at each place the first entity in turn whose stack fits. That is a fold over a transcript's
+    places, inside the JVM. A transcript without clips is one gap.
     """
-    rows = totals.select("transcript_id", "total_frames").join(placements.select("transcript_id", "track", "frame", "duration_frames").hint("merge"), "transcript_id", "left")
-    kind = "transcript_id long, track int, frame long, duration_frames int, filler string, stack_offset double"
-    found = rows.groupBy("transcript_id").applyInPandas(_stacked(pool, tracks, candidates, duration, gap, stretch_below, "total_frames"), kind)
-    return found.withColumn("stack_offset", F.col("stack_offset").cast("int"))
+    longer = _lengthened(placements, totals, gap, stretch_below)
+    base = longer.where(F.col("track") == BASE_TRACK)
+    holes = gaps(base, totals, 1)
+    room = F.col("gap_end") - gap - F.col("gap_start") - duration
+    at = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor(room / (duration + gap))), lambda k: F.col("gap_start") + k * (duration + gap)))
+    slots = holes.where(room >= 0).select("transcript_id", at.alias("at"))
+    places = _free_heights(slots, longer, tracks, duration, gap).where("height > 0")
+    known = [F.struct(F.lit(n).alias("entity"), F.lit(h).cast("int").alias("size")) for n, h in ((n, _height(k, candidates, tracks)) for n, k in pool)]
+    if not known:
+        return longer.select("*", F.lit(None).cast("string").alias("filler"), F.lit(None).cast("int").alias("stack_offset"))
+    count = len(known)
+    rows = places.groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct("at", "height"))).alias("rows")).withColumn("pool", F.array(*known))
+    # the entity whose turn it is first among those that fit, as how many turns on it is
+    fits = f"array_position(transform(sequence(0, {count - 1}), k -> pool[(s.turn + k) % {count}].size between 1 and r.height), true)"
+    fold = F.expr(
+        f"""aggregate(rows, named_struct('turn', 0, 'picked', cast(array() as array<int>)),
+              (s, r) -> transform(array(cast({fits} as int)), n -> named_struct(
+                'turn', if(n = 0, s.turn, (s.turn + n) % {count}), 'picked', concat(s.picked, array(if(n = 0, -1, (s.turn + n - 1) % {count})))))[0],
+              s -> s.picked)"""
+    )
+    each = rows.withColumn("picked", fold).select("transcript_id", "pool", F.explode(F.arrays_zip("rows", "picked")).alias("z")).where("z.picked >= 0")
+    chosen = each.select("transcript_id", F.col("z.rows.at").alias("frame"), F.expr("pool[z.picked]").alias("who"))
+    offset = chosen.select("transcript_id", "frame", F.col("who.entity").alias("filler"), F.col("who.size").alias("size"), F.explode(F.sequence(F.lit(0), F.col("who.size") - 1)).alias("stack_offset"))
+    fillers = offset.select("transcript_id", (BASE_TRACK - 1 + F.col("size") - F.col("stack_offset")).cast("int").alias("track"), "frame", F.lit(duration).alias("duration_frames"), "filler", "stack_offset")
+    return longer.select("*", F.lit(None).cast("string").alias("filler"), F.lit(None).cast("int").alias("stack_offset")).unionByName(fillers)
+
+
+def _height(available: int, candidates: int, tracks: int) -> int:
+    """The number of images in a stack, as :func:`stack_height`; one with more than there are tracks never fits."""
+    if candidates == 1:
+        return 1
+    return 0 if available < 2 else min(candidates or available, available, tracks)
 
 
 def filler_pool(entities: DataFrame, pervasive: DataFrame) -> DataFrame:

@@ -146,7 +146,22 @@ def w21_stretched(spark, sf_dir):
     return timeline.fill_gaps(_spread(spark, sf_dir), _totals(spark, sf_dir), 7, TRACKS, DURATION, GAP, 120)[0].select("transcript_id", "track", "frame", "duration_frames")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SPREAD}, n AS (SELECT p.*, coalesce(lead(frame) OVER (PARTITION BY p.transcript_id, track ORDER BY frame), total_frames) AS upto FROM placed p JOIN totals t ON p.transcript_id = t.transcript_id),
+  longer AS (SELECT transcript_id, track, frame, CASE WHEN upto - frame - duration_frames > 0 AND upto - frame - duration_frames < 120 THEN greatest(duration_frames, upto - {GAP} - frame) ELSE duration_frames END AS duration_frames FROM n),
+  holes AS (SELECT transcript_id, coalesce(lag(frame + duration_frames) OVER (PARTITION BY transcript_id ORDER BY frame), 0) AS a, frame AS b FROM longer WHERE track = 2
+    UNION ALL SELECT t.transcript_id, coalesce((SELECT max(frame + duration_frames) FROM longer l WHERE l.transcript_id = t.transcript_id AND track = 2), 0), total_frames FROM totals t),
+  slots AS (SELECT transcript_id, unnest(range(a, b - {GAP} - {DURATION} + 1, {DURATION + GAP})) AS at_frame FROM holes WHERE b > a),
+  high AS (SELECT transcript_id, at_frame, (SELECT coalesce(min(track) - 2, {TRACKS}) FROM longer l WHERE l.transcript_id = s.transcript_id AND l.frame < at_frame + {DURATION + GAP} AND at_frame < l.frame + l.duration_frames + {GAP}) AS height FROM slots s),
+  turns AS (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY at_frame) AS k FROM high),
+  walk AS (SELECT DISTINCT transcript_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS entity, CAST(0 AS BIGINT) AS at_frame FROM turns
+    UNION ALL SELECT transcript_id, k, coalesce((first + 1) % 25, turn), first % 25, at_frame FROM (
+      SELECT w.transcript_id, t.k, t.at_frame, w.turn, list_min(list_filter(range(w.turn, w.turn + 25), lambda x: x % 5 >= 2 AND least(3, x % 5) <= t.height)) AS first
+      FROM walk w JOIN turns t ON w.transcript_id = t.transcript_id AND t.k = w.k + 1)),
+  stacks AS (SELECT *, least(3, entity % 5) AS size, unnest(range(0, least(3, entity % 5))) AS stack_offset FROM walk WHERE entity IS NOT NULL)
+  SELECT transcript_id, track, frame, duration_frames, CAST(NULL AS VARCHAR) AS filler, CAST(NULL AS BIGINT) AS stack_offset FROM longer
+  UNION ALL SELECT transcript_id, 1 + size - stack_offset, at_frame, {DURATION}, 'e' || entity, stack_offset FROM stacks"""
+)
 def w22_stacked_fillers(spark, sf_dir):
     pool = [(f"e{k}", k % 5) for k in range(25)]
     return timeline.fill_gaps_stacked(_spread(spark, sf_dir), _totals(spark, sf_dir), pool, TRACKS, 3, DURATION, GAP, 120)

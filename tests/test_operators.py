@@ -451,3 +451,58 @@ def test_quotes_without_a_common_word_against_loop(spark):
     q = spark.createDataFrame(quotes, "quote_id long, transcript_id long, quote string")
     c = spark.createDataFrame(cues, "transcript_id long, cue_idx int, text string")
     assert sorted(map(tuple, resolve.quote_matches(q, c).collect())) == sorted(want)
+
+
+def test_stacked_tracks_and_fillers_against_loops(spark):
+    for seed in range(4):
+        r = random.Random(seed)
+        clips, frame = [], 0
+        for k in range(50):
+            frame += r.choice([0, 10, 60, 120, 260])
+            size, montage = r.choice([1, 1, 2, 3, 5 if seed == 3 else 2]), r.choice([None, None, 40])
+            clips += [(seed, f"e{k}", 0, f"i{k}{o}", frame, 10 * k + o, o, size, f"g{k}" if size > 1 else None, montage) for o in range(size)]
+        count = max(4, max(c[7] for c in clips))
+        free, want = [0] * count, {}
+        for key in dict.fromkeys(c[1] for c in clips):
+            own = [c for c in clips if c[1] == key]
+            start, size, montage = own[0][4], len(own), own[0][9]
+            room = next((k for k in range(count - size + 1) if all(start >= e + (12 if montage else 50) for e in free[k : k + size])), None)
+            if room is None and size == 1 and start >= min(free):
+                room = free.index(min(free))
+            for o, c in enumerate(own):
+                want[c[5]] = None if room is None else timeline.BASE_TRACK + room + size - 1 - o
+            if room is not None:
+                free[room : room + size] = [start + (montage or 100)] * size
+        df = spark.createDataFrame(clips, CLIP + ", montage int")
+        got = timeline.assign_tracks(df.repartition(3), 4, 100, 50, "montage").collect()
+        assert {x["clip_seq"]: x["track"] for x in got} == want
+
+        placed = [(seed, x["track"], x["frame"], x["duration_frames"]) for x in got if x["track"] is not None]
+        pool, tracks, total = [(f"p{k}", r.randrange(6)) for k in range(7)], count, frame + r.choice([0, 150, 900])
+        spans = {t: sorted([f, n] for _, u, f, n in placed if u == t) for t in range(2, 2 + tracks)}
+        for own in spans.values():
+            for k, (f, n) in enumerate(own):
+                end = own[k + 1][0] if k + 1 < len(own) else total
+                if 0 < end - f - n < 60:
+                    own[k][1] = max(n, end - 20 - f)
+        want = [(t, f, n, None, None) for t, own in spans.items() for f, n in own]
+        edge, holes, turn = 0, [], 0
+        for f, n in [*spans[2], [total, 0]]:
+            holes += [(edge, f)] if f > edge else []
+            edge = f + n
+        for a, b in holes:
+            at = a
+            while at + 100 <= b - 20:
+                for _ in pool:
+                    name, images = pool[turn % len(pool)]
+                    turn += 1
+                    size = 0 if images < 2 else min(3, images, tracks)
+                    if size and all(at + 120 <= f or at >= f + n + 20 for t in range(2, 2 + size) for f, n in spans[t]):
+                        for k in range(size):
+                            spans[1 + size - k].append([at, 100])
+                            want.append((1 + size - k, at, 100, name, k))
+                        break
+                at += 120
+        placements = spark.createDataFrame(placed, "transcript_id long, track int, frame long, duration_frames int")
+        got = timeline.fill_gaps_stacked(placements, spark.createDataFrame([(seed, total)], "transcript_id long, total_frames long"), pool, tracks, 3, 100, 20, 60)
+        assert sorted((x[1:] for x in map(tuple, got.collect())), key=str) == sorted(want, key=str)
