@@ -25,7 +25,7 @@ def write_element_maps(elements: DataFrame, path: str) -> None:
 
 
 def marker_rows(elements: DataFrame, fps: int = 25) -> DataFrame:
-    """Markers in order of time: number, frame, time codes, label and colours."""
+    """Markers in order of time: number, frame, time codes, label, colours and, where elements have one, their source text (else empty)."""
     number = F.row_number().over(Window.partitionBy("transcript_id").orderBy("ms", "element_id"))
     frame = timecode.frames_down(F.col("ms"), fps)
     return elements.select(
@@ -37,27 +37,24 @@ def marker_rows(elements: DataFrame, fps: int = 25) -> DataFrame:
         markers.label(F.col("element_type"), F.col("first"), F.col("second"), F.col("element_id")).alias("label"),
         markers.color_name(F.col("element_type")).alias("color"),
         markers.color_number(F.col("element_type")).alias("color_number"),
+        (F.coalesce("source_text", F.lit("")) if "source_text" in elements.columns else F.lit("")).alias("source_text"),
     )
 
 
 def marker_lists(elements: DataFrame, fps: int = 25, title: str = "Markers") -> DataFrame:
-    """(transcript_id, value): an event list per transcript, three lines a marker."""
+    """(transcript_id, value): an event list per transcript, an event, its marker and its source text for each."""
     m = marker_rows(elements, fps)
-    event = F.format_string("%03d  AX       V     C        %s %s %s %s\n* LOC: %s %-7s %s", "number", "tc_in", "tc_out", "tc_in", "tc_out", "tc_in", "color", "label")
-    rows = F.array_sort(F.collect_list(F.struct("number", event.alias("e"))))
+    event = F.format_string("%03d  AX       V     C        %s %s %s %s\n* LOC: %s %s     %s", "number", "tc_in", "tc_out", "tc_in", "tc_out", "tc_in", "color", "label")
+    source = F.when(F.col("source_text") != "", F.concat(F.lit("\n* SOURCE: "), F.translate("source_text", "\n\r", "  "))).otherwise("")
+    rows = F.array_sort(F.collect_list(F.struct("number", F.concat(event, source).alias("e"))))
     return m.groupBy("transcript_id").agg(F.concat(F.lit(f"TITLE: {title}\nFCM: NON-DROP FRAME\n\n"), F.array_join(F.transform(rows, lambda x: x["e"]), "\n\n"), F.lit("\n")).alias("value"))
 
 
 def write_marker_lists(elements: DataFrame, path: str, fps: int = 25) -> None:
+    """One event list per transcript, each a file in a folder of its own."""
     marker_lists(elements, fps).write.partitionBy("transcript_id").text(path)
 
 
-def write_marker_xml(elements: DataFrame, path: str, fps: int = 25) -> None:
-    rows = marker_rows(elements, fps)
-    shown = rows.select("transcript_id", F.substring_index("label", ":", 1).alias("name"), F.col("label").alias("comment"), F.col("frame").alias("in"), (F.col("frame") + 1).alias("out"), F.col("color_number").alias("color"))
-    shown.write.format("xml").option("rowTag", "marker").option("rootTag", "markers").save(path)
-
-
 def excluded_report(entities: DataFrame, level: Column, least: int) -> DataFrame:
     return entities.where(level < least)
 

@@ -11,18 +11,23 @@ from pyspark.sql import functions as F
 from reelspan import fixtures as fx
 from reelspan.functions import images as img
 from reelspan.functions import names, timecode
-from reelspan.operators import images, segments, sinks
+from reelspan.operators import documents, images, segments, sinks
 from reelspan.plans import timeline_slice as plan
 from reelspan.queries import ENTITIES, IMAGE_SQL, _categorised
-from reelspan.queries_timeline import DEDUPED, MARKER_SQL, _elements
+from reelspan.queries_timeline import DEDUPED, SOURCED, SPREAD, _elements, _sourced, _spread
 from reelspan.registry import query
 from reelspan.sources import annotations
 from reelspan.streaming import incremental
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one; where the setting is missing, on one machine, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-sinks-")
+    """A new folder in the shared one; where the setting is missing, a local master gets a temporary one and a cluster must name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-sinks-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -167,12 +172,48 @@ def s10_attribution_files(spark, sf_dir):
     return annotations.read_attribution(spark, path).select("category", "filename", "author")
 
 
-@query(f"SELECT transcript_id, split_part(label, ':', 1) AS name, label AS comment, frame AS \"in\", frame + 1 AS out, color_number AS color FROM ({MARKER_SQL})")
+def _written(spark: SparkSession, docs: DataFrame, name: str, row: str, schema: str) -> DataFrame:
+    """Documents written one per transcript, and the elements ``row`` of all of them read back."""
+    path = _folder(spark, name)
+    documents.write_documents(docs, path)
+    back = spark.read.format("xml").option("rowTag", row).option("ignoreSurroundingSpaces", False).schema(schema).load(path)
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"transcript_id=(\d+)", 1).cast("long")
+    return back.withColumn("transcript_id", number)
+
+
+@query(f'SELECT transcript_id, label AS name, source_text AS comment, frame AS "in", frame + 1 AS out, color_number AS color FROM ({SOURCED})')
 def k3_marker_xml(spark, sf_dir):
-    path = _folder(spark, "xml")
-    sinks.write_marker_xml(_elements(spark, sf_dir), path)
-    schema = "transcript_id long, name string, comment string, in long, out long, color long"
-    return spark.read.format("xml").option("rowTag", "marker").option("ignoreSurroundingSpaces", False).schema(schema).load(path)
+    docs = documents.marker_documents(_sourced(spark, sf_dir))
+    return _written(spark, docs, "markers", "marker", "name string, comment string, in long, out long, color long")
+
+
+@query(
+    f"""WITH {SPREAD}, r AS (SELECT transcript_id, image, row_number() OVER (PARTITION BY transcript_id ORDER BY min({{'track': track, 'frame': frame, 'clip_seq': clip_seq}}), image) AS n FROM placed GROUP BY transcript_id, image)
+  SELECT p.transcript_id, 'masterclip-' || n AS masterclipid, entity || ' <' || clip_seq || '> & co' AS name, duration_frames AS duration, frame AS start, frame + duration_frames AS "end", 0 AS "in", duration_frames AS out, 'file://localhost/media/' || url_encode(p.image) || '%20x.jpg' AS pathurl
+  FROM placed p JOIN r ON r.transcript_id = p.transcript_id AND r.image = p.image"""
+)
+def k4_clip_items(spark, sf_dir):
+    """Clip items of all timelines, written as one document per transcript and read back."""
+    schema = "masterclipid string, name string, duration long, start long, end long, in long, out long, pathurl string"
+    return _written(spark, _timelines(spark, sf_dir), "timelines", "clipitem", schema)
+
+
+@query(
+    f"""WITH {SPREAD}, r AS (SELECT transcript_id, image, duration_frames, row_number() OVER (PARTITION BY transcript_id, image ORDER BY track, frame, clip_seq) AS k FROM placed),
+  l AS (SELECT transcript_id, max(frame + duration_frames) + 240 AS length FROM placed GROUP BY transcript_id)
+  SELECT l.transcript_id, 'Timeline' AS title, length, 24 AS timebase, image || ' x.jpg' AS name, duration_frames AS duration FROM l JOIN r ON r.transcript_id = l.transcript_id WHERE k = 1"""
+)
+def k4_documents(spark, sf_dir):
+    """Headers and media of all timelines, written as documents and read back."""
+    docs = _timelines(spark, sf_dir)
+    header = _written(spark, docs, "headers", "header", "name string, duration long, timebase long").select("transcript_id", F.col("name").alias("title"), F.col("duration").alias("length"), "timebase")
+    media = _written(spark, docs, "media", "masterclip", "name string, duration long")
+    return header.join(media.hint("merge"), "transcript_id").select("transcript_id", "title", "length", "timebase", "name", "duration")
+
+
+def _timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = _spread(spark, sf_dir).withColumn("name", F.concat("entity", F.lit(" <"), "clip_seq", F.lit("> & co"))).withColumn("image", F.concat(F.lit("/media/"), "image", F.lit(" x.jpg")))
+    return documents.timeline_documents(placed, 24)
 
 
 @query(f"WITH {ENTITIES} SELECT transcript_id, entity, priority FROM entities WHERE mentions < 2")

@@ -348,7 +348,23 @@ MARKER_SQL = f"""WITH {DEDUPED}, m AS (
 
 @query(MARKER_SQL)
 def k2_markers(spark, sf_dir):
-    return sinks.marker_rows(_elements(spark, sf_dir))
+    return sinks.marker_rows(_elements(spark, sf_dir)).drop("source_text")
+
+
+SOURCED = f"""{MARKER_SQL.replace("AS label,", "AS label, 'says ' || first || chr(10) || '& more' AS source_text,")}"""
+
+
+def _sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _elements(spark, sf_dir).withColumn("source_text", F.concat(F.lit("says "), "first", F.lit("\n& more")))
+
+
+@query(
+    f"""SELECT transcript_id, sha256('TITLE: Markers' || chr(10) || 'FCM: NON-DROP FRAME' || chr(10) || string_agg(chr(10) || printf('%03d', number) || '  AX       V     C        ' || tc_in || ' ' || tc_out || ' ' || tc_in || ' ' || tc_out || chr(10)
+      || '* LOC: ' || tc_in || ' ' || color || '     ' || label || chr(10) || '* SOURCE: ' || replace(source_text, chr(10), ' ') || chr(10), '' ORDER BY number)) AS digest FROM ({SOURCED}) GROUP BY transcript_id"""
+)
+def k2_marker_lists(spark, sf_dir):
+    """Event lists of all transcripts, one document each."""
+    return sinks.marker_lists(_sourced(spark, sf_dir)).select("transcript_id", F.sha2("value", 256).alias("digest"))
 
 
 @query(f"SELECT transcript_id, sha256(string_agg(number || tc_in || label, chr(10) ORDER BY number)) AS digest FROM ({MARKER_SQL}) GROUP BY transcript_id")

@@ -5,13 +5,14 @@ import re
 import time
 import random
 from difflib import SequenceMatcher
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
 from reelspan.functions import images as img
 from reelspan.functions import markers, names, scoring, timecode
-from reelspan.operators import articles, enrich, images, mentions, resolve, segments, sinks, timeline
+from reelspan.operators import articles, documents, enrich, images, mentions, resolve, segments, sinks, timeline
 from reelspan.plans import timeline_slice as plan
 from reelspan.sources import annotations, transcripts
 
@@ -333,8 +334,8 @@ def test_sinks_round_trip(spark, tmp_path):
     rows = [(1, "quote", "hello", "", "quote_001", 1000), (1, "date", "1900", "Fair", "date_001", 500)]
     e = spark.createDataFrame(rows, "transcript_id long, element_type string, first string, second string, element_id string, ms long")
     text = sinks.marker_lists(e).first()["value"]
-    assert "001  AX       V     C        00:00:00:12 00:00:00:13" in text and "BLUE    DATE: 1900 - Fair" in text
-    sinks.write_marker_xml(e, str(tmp_path / "xml"))
+    assert "001  AX       V     C        00:00:00:12 00:00:00:13" in text and "BLUE     DATE: 1900 - Fair" in text
+    documents.write_documents(documents.marker_documents(e), str(tmp_path / "xml"))
     back = spark.read.format("xml").option("rowTag", "marker").load(str(tmp_path / "xml"))
     assert sorted((x["in"], x["color"]) for x in back.collect()) == [(12, 9), (25, 12)]
     sinks.write_entity_maps(spark.createDataFrame([(1, "e", "people"), (1, "f", "places")], "transcript_id long, entity string, entity_type string"), str(tmp_path / "maps"))
@@ -506,3 +507,19 @@ def test_stacked_tracks_and_fillers_against_loops(spark):
         placements = spark.createDataFrame(placed, "transcript_id long, track int, frame long, duration_frames int")
         got = timeline.fill_gaps_stacked(placements, spark.createDataFrame([(seed, total)], "transcript_id long, total_frames long"), pool, tracks, 3, 100, 20, 60)
         assert sorted((x[1:] for x in map(tuple, got.collect())), key=str) == sorted(want, key=str)
+
+
+def test_documents_are_one_file_each(spark, tmp_path):
+    rows = [(t, "e", f"/m/a & b <{k % 2}>.jpg", k, 2 + k % 3 * 2, 10 * k, 50 + k) for t in (1, 2, 30) for k in range(5)]
+    placements = spark.createDataFrame(rows, "transcript_id long, entity string, image string, clip_seq long, track int, frame long, duration_frames int").repartition(4)
+    documents.write_documents(documents.timeline_documents(placements, 25), str(tmp_path / "t"))
+    files = sorted((tmp_path / "t").rglob("*.txt"))
+    assert sorted(f.parent.name for f in files) == ["transcript_id=1", "transcript_id=2", "transcript_id=30"]
+    for f in files:
+        root = ElementTree.fromstring(f.read_text())
+        assert [t.get("number") for t in root.findall("track")] == ["1", "2", "3", "4", "5", "6"]
+        assert root.findtext("header/duration") == str(40 + 54 + 250)
+        media = {m.get("id"): (m.findtext("name"), m.findtext("duration")) for m in root.findall("media/masterclip")}
+        assert media == {"masterclip-1": ("a & b <0>.jpg", "50"), "masterclip-2": ("a & b <1>.jpg", "53")}
+        clips = [(t.get("number"), c.findtext("start"), c.findtext("end"), media[c.findtext("masterclipid")][0]) for t in root.findall("track") for c in t]
+        assert clips == [(str(t), str(f), str(f + n), i[3:]) for _, _, i, _, t, f, n in sorted(rows[:5], key=lambda x: (x[4], x[5]))]
