@@ -14,15 +14,15 @@ from .ngramjoin import _bits, _filter_words, _signed
 from .scratch import Scratch
 from .wordhash import LOWER, SPACE, Powers, Words, mix, slices
 
-#: Words, or phrases of one length, that have an id in every task (20 bytes each). The others are counted by hash.
-MOST_RANKED = 1 << 19
+#: Words, or phrases of one length, that have an id in every task (24 bytes each, and a byte for each possible tile). The others are counted by hash.
+MOST_RANKED = 1 << 17
 #: Ids of a tile's side; a tile is counted by direct addressing from so many pairs on.
 _SIDE = 9
 _DENSE = 1 << 2 * _SIDE - 4
 #: Dense tiles that are counted at once.
 _TILES = 16
 #: Pairs that a task collects before it counts them, distinct words before it hands them on.
-_HELD = 1 << 22
+_HELD = 1 << 21
 _WORDS = 1 << 17
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = 64
@@ -142,25 +142,24 @@ def tile_counts(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
     The plane of ids is cut into square tiles. Tiles with many pairs, those of frequent ids, are counted by direct addressing, one
     bincount over a block of tiles; the pairs of all other tiles are sorted.
     """
-    side, cells = np.int64((1 << _SIDE) - 1), 2 * _SIDE
+    side, cells = (1 << _SIDE) - 1, 2 * _SIDE
     across = int(right.max(initial=0)) // (1 << _SIDE) + 1
     tile = (left >> _SIDE) * across + (right >> _SIDE)
     cell = (left & side) << _SIDE | (right & side)
-    names, place, size = np.unique(tile, return_inverse=True, return_counts=True)
-    dense = np.flatnonzero(size >= _DENSE)
+    dense = np.flatnonzero(np.bincount(tile) >= _DENSE)
     code, n = [], []
     if len(dense):
-        number = np.full(len(names), -1, dtype=np.int64)
+        number = np.full(int(tile.max()) + 1, -1, dtype=np.int32)
         number[dense] = np.arange(len(dense))
-        mine = number[place]
+        mine = number[tile]
         for k in range(0, len(dense), _TILES):
             here = (mine >= k) & (mine < k + _TILES)
             table = np.bincount((mine[here] - k) << cells | cell[here], minlength=min(_TILES, len(dense) - k) << cells)
             full = np.flatnonzero(table)
-            code.append(names[dense[k + (full >> cells)]] << cells | full & ((1 << cells) - 1))
+            code.append(dense[k + (full >> cells)] << cells | full & ((1 << cells) - 1))
             n.append(table[full])
         tile, cell = tile[mine < 0], cell[mine < 0]
-    sparse, counts = np.unique(tile << cells | cell, return_counts=True)
+    sparse, counts = np.unique(tile.astype(np.int64) << cells | cell, return_counts=True)
     code, n = np.concatenate([*code, sparse]), np.concatenate([*n, counts])
     tile = code >> cells
     return tile // across << _SIDE | code >> _SIDE & side, tile % across << _SIDE | code & side, n
@@ -206,7 +205,7 @@ def _count_phrases(length: int, words: Ranked, shorter: Ranked):
             at = np.flatnonzero(whole)
             left, right = known[at], word[at + length - 1]
             both = (left >= 0) & (right >= 0)
-            ranked.append((left[both], right[both]))
+            ranked.append((left[both].astype(np.int32), right[both].astype(np.int32)))
             others.append((gram[at[~both]], text.hash[at[~both] + length - 1]))
             held = [held[0] + len(ranked[-1][0]), held[1] + len(others[-1][0])]
             if held[0] >= _HELD:
