@@ -11,7 +11,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +23,8 @@ from .wordhash import LOWER, Powers, Words, mix, slices
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Bytes of a word from which on it is scored block by block.
 LONG, BLOCK = 4096, 512
-#: Bytes of a word up to which it is learned from.
-LONGEST_LEARNED = 128
+#: Bytes after which a word is cut for learning, between two characters; all its parts are learned from. Scoring cuts nothing.
+LEARNED_PART = 128
 _CACHE = 1 << 21
 _BASE = 0x5851F42D4C957F2D
 _POWERS = Powers(_BASE)
@@ -217,55 +217,98 @@ def word_scores(words: list[bytes], pieces: Pieces, p: np.ndarray) -> np.ndarray
     return span_scores(np.frombuffer(b"".join(words) + b" ", dtype=np.uint8), np.cumsum(sizes) - sizes, sizes, pieces, p)
 
 
+def _parts(word: bytes) -> Iterator[bytes]:
+    """A word with a blank before it, in parts of about LEARNED_PART bytes, none cut inside a character."""
+    word, at = b" " + word, 0
+    while len(word) - at > LEARNED_PART:
+        end = at + LEARNED_PART
+        while end > at + 1 and word[end] & 0xC0 == 0x80:
+            end -= 1
+        yield word[at:end]
+        at = end
+    yield word[at:]
+
+
+def expected_counts(words: list[bytes], times: np.ndarray, vocab: Pieces, p: np.ndarray) -> np.ndarray:
+    """How often each piece stands in all segmentations of the words, weighed by their probabilities under ``p``."""
+    own = [(part, n) for w, n in zip(words, times, strict=True) for part in _parts(w)]
+    sizes, often = np.array([len(w) for w, _ in own], dtype=np.int64), np.array([n for _, n in own], dtype=np.float64)
+    soft = np.zeros(vocab.n + 1)
+    for n in np.unique(sizes):
+        same = np.flatnonzero(sizes == n)
+        for c in range(0, len(same), 2048):
+            at = same[c : c + 2048]
+            spans = vocab.spans(np.frombuffer(b"".join([own[i][0] for i in at]), dtype=np.uint8).reshape(len(at), n))
+            # sums are of probabilities times a constant to the power of the bytes, so that they stay in range
+            lift = 64.0
+            alpha, beta = np.zeros((n + 1, len(at))), np.zeros((n + 1, len(at)))
+            alpha[0] = beta[n] = 1
+            for j in range(1, n + 1):
+                for i, ids in spans[j]:
+                    alpha[j] += alpha[i] * p[ids] * lift ** (j - i)
+            for j in range(n, 0, -1):
+                for i, ids in spans[j]:
+                    beta[i] += beta[j] * p[ids] * lift ** (j - i)
+            weight = often[at] / np.maximum(alpha[n], 1e-300)
+            for j in range(1, n + 1):
+                for i, ids in spans[j]:
+                    soft += np.bincount(ids, weight * alpha[i] * beta[j] * p[ids] * lift ** (j - i), minlength=vocab.n + 1)
+    return soft
+
+
+def _maximise(expect: Callable[[np.ndarray], np.ndarray], languages: int, n: int, rounds: int, prior: float) -> np.ndarray:
+    """Probabilities (piece, language) after some rounds; ``expect`` gives expected counts of all languages under given ones."""
+    p = np.full((n + 1, languages), 1.0 / n)
+    p[-1] = 0
+    for _ in range(rounds):
+        soft = expect(p)
+        soft[-1] = 0
+        p = (soft + prior) / (soft.sum(axis=0) + prior * n)
+        p[-1] = 0
+    return p
+
+
 def fit(counts: dict[str, dict[bytes, int]], vocabulary: str = VOCABULARY, rounds: int = 4, prior: float = 0.01) -> LanguageModel:
-    """Expectation-maximisation of piece probabilities per language from word counts, of words of at most LONGEST_LEARNED bytes."""
+    """Expectation-maximisation of piece probabilities per language from word counts that are at hand."""
     names = sorted(counts, key=lambda x: x.encode())
     listed = read_pieces(vocabulary)
     vocab = Pieces(listed)
-    table = np.zeros((vocab.n + 1, len(names)))
-    for k, name in enumerate(names):
-        words = [b" " + w for w in counts[name] if len(w) <= LONGEST_LEARNED]
-        times = np.array([n for w, n in counts[name].items() if len(w) <= LONGEST_LEARNED], dtype=np.float64)
-        p = np.full(vocab.n + 1, 1.0 / vocab.n)
-        p[-1] = 0
-        sizes = np.array([len(w) for w in words])
-        grouped = []
-        for n in np.unique(sizes):
-            same = np.flatnonzero(sizes == n)
-            for c in range(0, len(same), 2048):
-                at = same[c : c + 2048]
-                grouped.append((at, n, vocab.spans(np.frombuffer(b"".join([words[i] for i in at]), dtype=np.uint8).reshape(len(at), n))))
-        for _ in range(rounds):
-            soft = np.zeros(vocab.n + 1)
-            for at, n, spans in grouped:
-                # sums are of probabilities times a constant to the power of the bytes, so that they stay in range
-                lift = 64.0
-                alpha, beta = np.zeros((n + 1, len(at))), np.zeros((n + 1, len(at)))
-                alpha[0] = beta[n] = 1
-                for j in range(1, n + 1):
-                    for i, ids in spans[j]:
-                        alpha[j] += alpha[i] * p[ids] * lift ** (j - i)
-                for j in range(n, 0, -1):
-                    for i, ids in spans[j]:
-                        beta[i] += beta[j] * p[ids] * lift ** (j - i)
-                weight = times[at] / np.maximum(alpha[n], 1e-300)
-                for j in range(1, n + 1):
-                    for i, ids in spans[j]:
-                        soft += np.bincount(ids, weight * alpha[i] * beta[j] * p[ids] * lift ** (j - i), minlength=vocab.n + 1)
-            soft[-1] = 0
-            p = (soft + prior) / (soft.sum() + prior * vocab.n)
-            p[-1] = 0
-        table[:, k] = p
-    return LanguageModel(names, table, listed)
-
-
-def learn(docs: DataFrame, learnable: Column, per_language: int = 400, words_per_language: int = 20_000, vocabulary: str = VOCABULARY) -> LanguageModel:
+
+    def expect(p: np.ndarray) -> np.ndarray:
+        return np.stack([expected_counts(list(counts[x]), np.array(list(counts[x].values())), vocab, p[:, k]) for k, x in enumerate(names)], axis=1)
+
+    return LanguageModel(names, _maximise(expect, len(names), vocab.n, rounds, prior), listed)
+
+
+def _expected(listed: list[bytes], names: list[str], p: np.ndarray):
+    """(language, piece, soft): a task's expected counts of its words."""
+    schema = pa.schema([("language", pa.int32()), ("piece", pa.int32()), ("soft", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = _pieces(tuple(listed))
+        soft = np.zeros((vocab.n + 1, len(names)))
+        for batch in batches:
+            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+            words, times = batch.column("word").to_pylist(), batch.column("n").to_numpy()
+            for k in range(len(names)):
+                own = np.flatnonzero(langs == names[k])
+                if len(own):
+                    soft[:, k] += expected_counts([words[i].encode() for i in own], times[own], vocab, p[:, k])
+        piece, language = np.nonzero(soft)
+        yield pa.record_batch([pa.array(language.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(soft[piece, language])], schema=schema)
+
+    return run
+
+
+def learn(docs: DataFrame, learnable: Column, per_language: int = 400, vocabulary: str = VOCABULARY, rounds: int = 4, prior: float = 0.01) -> LanguageModel:
     """Fit on a sample of about ``per_language`` documents of each language among the ``learnable`` rows.
 
-    The sample is drawn by the hash of doc_id at a rate from each language's count; of its words the
-    ``words_per_language`` most frequent are kept. Both are bounds on what reaches the driver.
+    The sample is drawn by the hash of doc_id at a rate from each language's count, the one bound there is: all words of its whole
+    texts are learned from, long ones in parts. They are counted by Spark, and each round of expectation-maximisation is a
+    job over the counts, of which the driver gets one number for each piece and language.
     """
-    scratch = Scratch(docs.sparkSession, "langid")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "langid")
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable)
     rates = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     rate = {r["lang"]: min(1.0, per_language / r["n"]) for r in rates.collect()}
@@ -276,13 +319,17 @@ def learn(docs: DataFrame, learnable: Column, per_language: int = 400, words_per
     for name, r in rate.items():
         keep = F.when(F.col("lang") == name, chance < r).otherwise(keep)
     words = rows.where(keep).select("lang", F.explode(F.split(F.btrim(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")).alias("word"))
-    counted = scratch.write(words.where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "words")
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counted.withColumn("k", F.row_number().over(best)).where(F.col("k") <= words_per_language).select("lang", "word", "n").collect()
-    counts: dict[str, dict[bytes, int]] = {name: {} for name in rate}
-    for r in top:
-        counts[r["lang"]][r["word"].encode()] = r["n"]
-    return fit(counts, vocabulary)
+    counted = scratch.write(words.where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).repartition("lang", "word"), "words")
+    names, listed = sorted(rate, key=lambda x: x.encode()), read_pieces(vocabulary)
+    n = len(listed)
+
+    def expect(p: np.ndarray) -> np.ndarray:
+        found = counted.mapInArrow(_expected(listed, names, p), "language int, piece int, soft double").groupBy("language", "piece").agg(F.array_sort(F.collect_list("soft")).alias("soft")).toPandas()
+        soft = np.zeros((n + 1, len(names)))
+        soft[found["piece"], found["language"]] = [sum(x) for x in found["soft"]]
+        return soft
+
+    return LanguageModel(names, _maximise(expect, len(names), n, rounds, prior), listed)
 
 
 @lru_cache(maxsize=1)

@@ -78,3 +78,30 @@ def test_text_is_decided_beyond_the_fortieth_byte(spark):
     model = langid.learn(docs, F.lit(True))
     odd = spark.createDataFrame([(1, "." * 300 + "station" * 9), (2, "." * 300 + "bahnhof" * 9)], "doc_id long, text string")
     assert {r["row"]["doc_id"]: r["lang_pred"] for r in langid.identify(odd, model).collect()} == {1: "a", 2: "b"}
+
+
+def test_unsegmented_scripts_are_learned(spark):
+    """Two languages of one script that write no blanks, told apart by their syllables; clauses of hundreds of bytes are the only words."""
+    import random
+
+    r = random.Random(6)
+    own = {"a": "カキクケコサシスセソ", "b": "ラリルレロマミムメモ"}
+    line = lambda x: "".join(r.choice(own[x]) if r.random() < 0.4 else r.choice("アイウエオナニヌネノ") for _ in range(200))
+    rows = [(k, line("ab"[k % 2]), "ab"[k % 2]) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.learn(docs.where("doc_id < 60"), F.lit(True))
+    found = langid.identify(docs.where("doc_id >= 60"), model).select("row.lang", "lang_pred").collect()
+    assert all(x.lang == x.lang_pred for x in found) and len(found) == 60
+
+
+def test_rounds_by_spark_equal_those_at_hand(spark):
+    texts = {"a": "the station the the long" + " word" * 3 + " " + "é" * 300, "b": "der bahnhof der " + "x" * 128 + " " + "y" * 127}
+    docs = spark.createDataFrame([(k, t, x) for k, (x, t) in enumerate(texts.items())], "doc_id long, text string, lang string")
+    counts = {x: {} for x in texts}
+    for x, t in texts.items():
+        for w in t.split():
+            counts[x][w.encode()] = counts[x].get(w.encode(), 0) + 1
+    spark_model, here = langid.learn(docs.repartition(2), F.lit(True)), langid.fit(counts)
+    assert spark_model.languages == here.languages and abs(spark_model.probability - here.probability).max() < 1e-12
+    assert b"".join(langid._parts("é".encode() * 300)) == b" " + "é".encode() * 300
+    assert all(len(p) <= langid.LEARNED_PART and p.decode() for p in langid._parts("é".encode() * 300))
