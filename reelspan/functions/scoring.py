@@ -80,10 +80,11 @@ def skip_reason(kind: Column, score: Column, mentions: Column, first_ms: Column,
 
 # Names that are never entities.
 REJECTED_NAMES = (
-    "he she it they him her them his hers its i me my mine we us our ours you your yours unknown someone something anyone anything one ones "
-    "man woman person people thing things stuff somebody anybody nobody everyone everything a an the this that these those here there now then "
-    "today yesterday tomorrow"
-).split()
+    "he", "she", "it", "they", "him", "her", "them", "his", "hers", "its", "i", "me", "my", "mine", "we", "us", "our", "ours", "you", "your", "yours",
+    "unknown", "someone", "something", "anyone", "anything", "one", "ones", "man", "woman", "person", "people", "thing", "things", "stuff",
+    "somebody", "anybody", "nobody", "everyone", "everything", "a", "an", "the", "this", "that", "these", "those", "here", "there", "now", "then",
+    "today", "yesterday", "tomorrow",
+)
 
 
 def rejected_name(name: Column) -> Column:

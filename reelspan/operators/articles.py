@@ -131,9 +131,9 @@ def merge_overrides(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select("entity", F.col("title").alias("before")).join(new.hint("merge"), "entity", "full_outer").select("entity", F.coalesce("title", "before").alias("title"))
 
 
-def review_queue(decisions: DataFrame, ranges: int = 64) -> DataFrame:
+def review_queue(decisions: DataFrame) -> DataFrame:
     """Flagged decisions, least sure first, numbered from 1."""
-    return number_rows(decisions.where(confidence_action(F.col("confidence")) == "flag"), ["confidence"], "seq", ranges=ranges)
+    return number_rows(decisions.where(confidence_action(F.col("confidence")) == "flag"), ["confidence"], "seq")
 
 
 def request_batches(entities: DataFrame, size: int = 7, context: int = 150) -> DataFrame:

@@ -8,23 +8,21 @@ from pyspark.sql import functions as F
 from reelspan.functions.names import strip_speakers
 
 
-def context_windows(occ: DataFrame, cues: DataFrame, width: int = 3) -> DataFrame:
-    """The cues within ``width`` of each mention: one row per mention and cue.
+def single_contexts(occ: DataFrame, cues: DataFrame, width: int = 3) -> DataFrame:
+    """Per mention the first and last cue within ``width`` of it and their texts in order.
 
-    The band is exploded and joined by equality on transcript and cue, so there is no range join. Mentions of
-    cues that don't exist drop out; gaps between cues don't matter.
+    Mentions and cues are dealt by transcript once: what is said about a cue meets there, and its neighbours are a frame over the
+    cues' numbers, so no band is exploded and joined. Mentions of cues that don't exist drop out; gaps between cues don't matter.
+    Several rows of one cue stand in order of their texts.
     """
-    valid = occ.select("transcript_id", "entity", "cue_idx").distinct().join(cues.select("transcript_id", "cue_idx").hint("merge"), ["transcript_id", "cue_idx"], "left_semi")
-    band = valid.withColumn("near", F.explode(F.sequence(F.col("cue_idx") - width, F.col("cue_idx") + width)))
-    texts = cues.select("transcript_id", F.col("cue_idx").alias("near"), strip_speakers(F.col("text")).alias("text"))
-    return band.join(texts.hint("merge"), ["transcript_id", "near"])
-
-
-def single_contexts(occ: DataFrame, cues: DataFrame, width: int = 3) -> DataFrame:
-    """Per mention the first and last cue of its window and the text in order."""
-    rows = context_windows(occ, cues, width)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("near", "text"))), lambda x: x["text"]), " ")
-    return rows.groupBy("transcript_id", "entity", "cue_idx").agg(F.min("near").alias("first_cue"), F.max("near").alias("last_cue"), F.trim(joined).alias("text"))
+    said = cues.select("transcript_id", F.col("cue_idx").cast("long").alias("cue_idx"), strip_speakers(F.col("text")).alias("text"), F.lit(None).cast("string").alias("entity"), F.lit(True).alias("cue"))
+    named = occ.select("transcript_id", F.col("cue_idx").cast("long").alias("cue_idx"), F.lit(None).cast("string").alias("text"), "entity", F.lit(False).alias("cue"))
+    texts = F.array_sort(F.collect_list("text"))
+    met = said.unionByName(named).repartition("transcript_id").groupBy("transcript_id", "cue_idx").agg(F.when(F.size(texts) > 0, F.array_join(texts, " ")).alias("text"), F.collect_set("entity").alias("entities"), F.max("cue").alias("cue")).where("cue")
+    near = Window.partitionBy("transcript_id").orderBy("cue_idx").rangeBetween(-width, width)
+    framed = met.select("transcript_id", "cue_idx", "entities", F.min("cue_idx").over(near).alias("first_cue"), F.max("cue_idx").over(near).alias("last_cue"), F.array_join(F.collect_list("text").over(near), " ").alias("text"))
+    kind = cues.schema["cue_idx"].dataType
+    return framed.select("transcript_id", F.explode("entities").alias("entity"), *[F.col(c).cast(kind).alias(c) for c in ("cue_idx", "first_cue", "last_cue")], F.trim("text").alias("text"))
 
 
 def merged_contexts(contexts: DataFrame, between: str = " [...] ") -> DataFrame:

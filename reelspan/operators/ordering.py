@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_rows(rows: DataFrame, lead: list[str], seq: str, then: tuple[str, ...] = (), name: str = "place", ranges: int = 64) -> DataFrame:
+def number_rows(rows: DataFrame, lead: list[str], seq: str, then: tuple[str, ...] = (), name: str = "place", per_range: int = 1 << 16) -> DataFrame:
     """Add ``name``, from 1, in order of the ``lead`` columns, which have few different values, then ``seq``, a number, then the ``then`` columns.
 
-    Rows are numbered inside (lead, range of seq), after the rows of all smaller ones; the window over the
-    ranges' counts has ``ranges`` rows for each value of ``lead``, never the rows themselves.
+    Rows are numbered inside (lead, range of seq), after the rows of all smaller ones. There are as many ranges as there are
+    times ``per_range`` rows, 64 at least; the window over the ranges' counts has so many rows for each value of ``lead``, never the
+    rows themselves.
     """
-    ends = rows.agg(F.min(seq).alias("_low"), F.max(seq).alias("_high"))
+    ranges = F.greatest(F.lit(64), F.ceil(F.count(F.lit(1)) / per_range))
+    ends = rows.agg(F.min(seq).alias("_low"), F.max(seq).alias("_high"), ranges.alias("_ranges"))
     share = (F.col(seq).cast("double") - F.col("_low")) / (F.col("_high").cast("double") - F.col("_low") + 1)
     # one row, joined to all
-    dealt = rows.join(F.broadcast(ends), F.lit(True)).withColumn("_range", F.coalesce(F.floor(share * ranges), F.lit(-1)))
+    dealt = rows.join(F.broadcast(ends), F.lit(True)).withColumn("_range", F.coalesce(F.floor(share * F.col("_ranges")), F.lit(-1)))
     counts = dealt.groupBy(*lead, "_range").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy(*lead, "_range").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(*[F.col(c).alias(f"_{c}") for c in lead], F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))

@@ -91,7 +91,8 @@ def _may_match(patterns: tuple[str, ...], text: Column) -> Column:
         by_first.setdefault(branch[0], []).append(branch[1:])
     words = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items() if c.isalnum())
     signs = [f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items() if not c.isalnum()]
-    plain = F.replace(F.replace(F.lower(text), F.lit("\u017f"), F.lit("s")), F.lit("\u0131"), F.lit("i"))
+    # letters that fold to ASCII ones, before ``lower`` makes two characters of the first
+    plain = F.lower(F.translate(text, "\u0130\u0131\u017f", "iis"))
     return plain.rlike("|".join([rf"\b(?:{words})", *signs]))
 
 

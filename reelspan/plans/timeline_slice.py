@@ -41,12 +41,18 @@ def select_mentions(occ: DataFrame, budgets: DataFrame) -> DataFrame:
     return occ.withColumn("occ_idx", F.row_number().over(order) - 1).join(wanted.hint("merge"), ["transcript_id", "entity", "occ_idx"])
 
 
-def round_robin(chosen: DataFrame, images: DataFrame) -> DataFrame:
-    """Give the i-th chosen mention of an entity its image i modulo n; ``images`` has entity, image_no (from 0), image and n_images."""
+def round_robin(chosen: DataFrame, images: DataFrame, most_bytes: int = 1 << 23) -> DataFrame:
+    """Give the i-th chosen mention of an entity its image i modulo n; ``images`` has entity, image_no (from 0), image and n_images.
+
+    The pool of images is counted: up to ``most_bytes`` it goes to every task, so mentions stay where their rank was
+    computed; a larger one is joined by entity, where adaptive execution splits what many mention.
+    """
     rank = F.row_number().over(Window.partitionBy("transcript_id", "entity").orderBy("occ_idx")) - 1
+    size = images.agg(F.coalesce(F.sum(F.octet_length("image") + F.octet_length("entity") + 16), F.lit(0)).alias("bytes")).first()["bytes"]
+    how = "broadcast" if size <= most_bytes else "merge"
     counted = images.groupBy("entity").agg(F.count(F.lit(1)).alias("n_images"))
-    ranked = chosen.withColumn("rank", rank).join(counted.hint("merge"), "entity").withColumn("image_no", F.col("rank") % F.col("n_images"))
-    return ranked.join(images.select("entity", "image_no", "image").hint("merge"), ["entity", "image_no"])
+    ranked = chosen.withColumn("rank", rank).join(counted.hint(how), "entity").withColumn("image_no", F.col("rank") % F.col("n_images"))
+    return ranked.join(images.select("entity", "image_no", "image").hint(how), ["entity", "image_no"])
 
 
 def clips(occ: DataFrame, images: DataFrame, fps: int = 25) -> DataFrame:

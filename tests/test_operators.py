@@ -523,3 +523,15 @@ def test_documents_are_one_file_each(spark, tmp_path):
         assert media == {"masterclip-1": ("a & b <0>.jpg", "50"), "masterclip-2": ("a & b <1>.jpg", "53")}
         clips = [(t.get("number"), c.findtext("start"), c.findtext("end"), media[c.findtext("masterclipid")][0]) for t in root.findall("track") for c in t]
         assert clips == [(str(t), str(f), str(f + n), i[3:]) for _, _, i, _, t, f, n in sorted(rows[:5], key=lambda x: (x[4], x[5]))]
+
+
+def test_quick_marker_test_misses_no_folded_letter(spark):
+    """Phrases in letters that fold to ASCII ones only without regard to case, amid others."""
+    r = random.Random(2)
+    fold = {"i": "iI\u0130\u0131", "s": "sS\u017f", "k": "kK\u212a"}
+    phrases = ["first", "this is how", "the first step is", "step one", "let me show you", "next", "finally", "in conclusion", "moving on", "people like", "many scientists", "across asia", "several leaders like", "switching gears", "this, that, and kings"]
+    texts = [" ".join(r.choice(["so", "İst", "x."]) for _ in range(r.randrange(3))) + " " + "".join(r.choice(fold.get(c, c + c.upper())) for c in r.choice(phrases)) + r.choice([" this", ",", ": a", ""]) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for full, quick in ((segments._ALL_MARKERS, segments._ALL_MARKERS), (segments.ENUMERATION, segments._LISTS)):
+        both = df.select(F.col("text").rlike(segments.any_of(full)).alias("full"), segments._may_match(quick, F.col("text")).alias("quick"), "text")
+        assert both.where("full and not quick").collect() == [] and both.where("full").count() > 20
