@@ -16,7 +16,7 @@ from reelspan.plans import timeline_slice as plan
 from reelspan.queries import ENTITIES, IMAGE_SQL, _categorised
 from reelspan.queries_timeline import DEDUPED, SOURCED, SPREAD, _elements, _sourced, _spread
 from reelspan.registry import query
-from reelspan.sources import annotations
+from reelspan.sources import annotations, payloads
 from reelspan.streaming import incremental
 
 
@@ -248,3 +248,37 @@ def s15_elements(spark, sf_dir):
     sinks.write_element_maps(_elements(spark, sf_dir).select("transcript_id", "element_id", "element_type", timecode.to_text(F.col("ms")).alias("timecode"), F.col("cue_idx").cast("int").alias("cue_idx")), path)
     back = annotations.read_elements(spark, path)
     return back.withColumn("transcript_id", F.regexp_extract("transcript_id", r"transcript_id=(\d+)", 1).cast("long"))
+
+
+# ---- replies with typed payloads --------------------------------------------------------------------------------
+
+KINDS = "(['number', 'date', 'quote', 'process', 'comparison'])[l_linenumber % 5 + 1]"
+
+
+@query(
+    f"""WITH l AS (SELECT l_suppkey % 50 AS transcript_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 50 AS cue_idx, CAST(l_quantity AS BIGINT) AS q, l_returnflag AS f, {KINDS} AS element_type FROM lineitem),
+  s AS (SELECT *, CASE element_type WHEN 'number' THEN 'n' || q || '/' || f || (q % 2) WHEN 'date' THEN 'd' || (q % 10) || f WHEN 'quote' THEN 'q' || f || (q % 7) WHEN 'process' THEN 'p' || f || (q % 5) ELSE 'c' || q || f END AS key
+    FROM l WHERE NOT (element_type = 'quote' AND q % 3 = 0) AND NOT (element_type = 'process' AND q % 5 < 2)),
+  n AS (SELECT *, row_number() OVER (PARTITION BY transcript_id, element_type ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, q) AS id FROM s)
+  SELECT transcript_id, printf('%s_%03d', element_type, id) AS element_id, element_type, cue_idx, CASE WHEN element_type = 'number' THEN q END AS value, CASE WHEN element_type = 'process' THEN q % 5 END AS n_steps,
+    CASE WHEN element_type = 'quote' THEN 'they said ' || f || (q % 7) END AS text
+  FROM n QUALIFY row_number() OVER (PARTITION BY transcript_id, element_type, cue_idx, key ORDER BY id) = 1"""
+)
+def w9_typed_payloads(spark, sf_dir):
+    """Every line item as a reply about one cue; elements with numbers, truth values and lists of steps as their types."""
+    line = fx.table(spark, sf_dir, "lineitem")
+    q, f, k = F.col("l_quantity").cast("bigint"), F.col("l_returnflag"), F.col("l_linenumber") % 5
+    cue = (F.col("l_partkey") % 50).cast("string")
+    item = lambda *columns: F.array(F.struct(*columns))
+    body = (
+        F.when(k == 0, F.to_json(F.create_map(cue, F.struct(item(q.alias("value"), F.array(f, (q % 2).cast("string")).alias("raw_numbers")).alias("numbers")))))
+        .when(k == 1, F.to_json(F.create_map(cue, F.struct(item((q % 10).alias("date"), f.alias("event")).alias("dates")))))
+        .when(k == 2, F.to_json(F.create_map(cue, F.struct(item(F.concat(F.lit("they said "), f, q % 7).alias("text"), (q % 3 != 0).alias("is_quotable")).alias("quotes")))))
+        .when(k == 3, F.to_json(F.create_map(cue, F.struct(item(f.alias("title"), F.slice(F.array(*[F.lit(n) for n in range(4)]), F.lit(1), (q % 5).cast("int")).alias("steps")).alias("processes")))))
+        .otherwise(F.to_json(F.create_map(cue, F.struct(item(q.alias("before"), f.alias("after")).alias("comparisons")))))
+    )
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", q.alias("q"))
+    replies = line.select((F.col("l_suppkey") % 50).alias("transcript_id"), order.alias("reply_no"), F.concat(F.lit("Found: "), body, F.lit(" .")).alias("reply"))
+    found = payloads.payload_elements(replies)
+    get = lambda name, kind: F.try_variant_get("payload", f"$.{name}", kind)
+    return found.select("transcript_id", "element_id", "element_type", "cue_idx", get("value", "bigint").alias("value"), F.when(F.col("element_type") == "process", payloads.steps(F.col("payload"))).alias("n_steps"), get("text", "string").alias("text"))
