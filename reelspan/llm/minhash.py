@@ -87,7 +87,7 @@ def minhash_components(
     percent: int = 80,
     half_rows: int = 3,
     halves: int = 16,
-    fragments: int = 4,
+    fragments: int = 1,
     tile: int = 256,
     filter_bits: int = 1 << 23,
 ) -> DataFrame:

@@ -232,15 +232,42 @@ def _cross_links(percent: int):
     return run
 
 
-def _tiles(members: DataFrame, tile: int) -> DataFrame:
-    """Deal each leader's nodes to chunks of about ``tile`` and repeat every chunk for each it is to meet: (lead, i, j, side, ...)."""
-    sizes = members.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("chunks"))
-    dealt = members.join(sizes.hint("merge"), "lead").withColumn("chunk", F.pmod(F.xxhash64("node", "lead"), F.col("chunks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+def _tiles(members: DataFrame, tile: int, pivot: bool) -> DataFrame:
+    """Deal each leader's nodes to chunks of about ``tile`` and repeat every chunk for each it is to meet: (lead, i, j, side, ...).
+
+    With ``pivot`` one chunk, of nodes of any component, meets all. Else the largest component has chunks of its own that
+    don't meet one another, so what is left to compare is as large as what is not in it.
+    """
+    each = members.groupBy("lead", "comp").agg(F.count(F.lit(1)).alias("size"))
+    sizes = each.groupBy("lead").agg(F.sum("size").alias("all"), F.max(F.struct("size", "comp")).alias("top"))
+    chunks = lambda n: F.ceil(n / F.lit(tile)).cast("int")
+    main = F.lit(0) if pivot else chunks(F.col("top.size"))
+    sizes = sizes.select("lead", F.col("top.comp").alias("top"), main.alias("main"), (chunks(F.col("all") if pivot else F.col("all") - F.col("top.size")) + main).alias("chunks"))
+    place = F.xxhash64("node", "lead")
+    inside = F.lit(False) if pivot else F.col("comp") == F.col("top")
+    dealt = members.join(sizes.hint("merge"), "lead").withColumn("chunk", F.when(inside, F.pmod(place, F.col("main"))).otherwise(F.col("main") + F.pmod(place, F.col("chunks") - F.col("main"))).cast("int"))
+    meets = F.when(F.col("chunk") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(0))) if pivot else F.sequence(F.when(inside, F.col("main")).otherwise(0), F.col("chunks") - 1)
+    met = dealt.withColumn("other", F.explode(meets))
     side = F.when(F.col("chunk") == F.col("other"), 0).when(F.col("chunk") < F.col("other"), 1).otherwise(2)
     return met.select(*members.columns, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), side.alias("side"))
 
 
+def _met_in_tiles(members: DataFrame, comps: DataFrame, sets: DataFrame, scratch: Scratch, tile: int, percent: int, pivot: bool) -> DataFrame:
+    """Components (node, comp) after those were joined between which a tile has a link."""
+    known = members.where("node != lead").join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_leads = known.groupBy("lead").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("lead")
+    left = scratch.write(known.join(open_leads.hint("merge"), "lead", "left_semi").select("lead", "node", "comp", "n"), "open")
+    tiles = _tiles(left, tile, pivot)
+    mixed = tiles.groupBy("lead", "i", "j").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("lead", "i", "j")
+    tiles = scratch.write(tiles.join(mixed.hint("merge"), ["lead", "i", "j"], "left_semi"), "tiles")
+    filled = _together(tiles.join(sets.hint("merge"), "node"))
+    more = scratch.write(filled.mapInArrow(_cross_links(percent), "a long, b long"), "cross")
+    joined = connected_components(more, scratch)
+    old = comps.unionByName(joined.select("node", F.col("node").alias("comp"))).distinct()
+    joined = joined.select(F.col("node").alias("comp"), F.col("comp").alias("now"))
+    return scratch.write(old.join(joined.hint("merge"), "comp", "left").select("node", F.coalesce("now", "comp").alias("comp")).distinct(), "components")
+
+
 def in_groups(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """Rows (one per node and key) whose key stands with two nodes at least.
 
@@ -279,8 +306,9 @@ def jaccard_components(
     4. Nodes are compared with their leaders: the global order is cut into ``fragments``, partial
        overlaps are counted fragment by fragment and summed per pair.
     5. Where a leader's nodes are still in different components, they meet in tiles of two times ``tile``,
-       fragment by fragment again, and only links that join components leave the task. So no link between components is
-       lost, and pairs inside one component are never emitted.
+       fragment by fragment again, and only links that join components leave the task. First one chunk of them meets all,
+       which joins most of what belongs together at a cost in proportion to their number; then nodes outside the largest
+       component meet all. So no link between components is lost, and pairs inside one component are never emitted.
 
     Returns doc_id, n_shingles and component_id (smallest doc_id reachable, its own included) for every row.
     Null and empty texts have no n-grams and stand alone. Rows that repeat a doc_id are separate
@@ -335,24 +363,10 @@ def settle(first: DataFrame, members: DataFrame, only: DataFrame, scratch: Scrat
     links = scratch.write(overlap.where(100 * F.col("overlap") >= percent * (F.col("n") + F.col("lead_n") - F.col("overlap"))).select(F.col("node").alias("a"), F.col("lead").alias("b")), "links")
     comps = scratch.write(connected_components(links, scratch), "components")
 
-    known = members.where("node != lead").join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_leads = known.groupBy("lead").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("lead")
-    tiles = _tiles(known.join(open_leads.hint("merge"), "lead", "left_semi").select("lead", "node", "comp", "n"), tile)
-    mixed = tiles.groupBy("lead", "i", "j").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("lead", "i", "j")
-    tiles = scratch.write(tiles.join(mixed.hint("merge"), ["lead", "i", "j"], "left_semi"), "tiles")
-    filled = _together(tiles.join(sets.hint("merge"), "node"))
-    more = scratch.write(filled.mapInArrow(_cross_links(percent), "a long, b long"), "cross")
-    joined = connected_components(more, scratch)
-    final = (
-        comps.select("node", F.col("comp").alias("old"))
-        .unionByName(joined.select("node", F.col("node").alias("old")))
-        .distinct()
-        .join(joined.select(F.col("node").alias("old"), "comp").hint("merge"), "old", "left")
-        .select("node", F.coalesce("comp", "old").alias("comp"))
-        .distinct()
-    )
+    for pivot in (True, False):
+        comps = _met_in_tiles(members, comps, sets, scratch, tile, percent, pivot)
     ids = first.where("n > 0").groupBy(F.col("sig1").alias("node")).agg(F.min("doc_id").alias("least"))
-    named = ids.join(final.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = ids.join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("least").alias("component"))
     named = scratch.write(named.join(least.hint("merge"), "comp").select("node", "component"), "named")
     return first.join(named.hint("merge"), first["sig1"] == named["node"], "left").select(
