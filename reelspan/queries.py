@@ -262,16 +262,24 @@ def w2_density(spark, sf_dir):
     return segments.density_clusters(fx.occurrences(spark, sf_dir)).withColumn("entities", F.array_join("entities", ","))
 
 
+#: Words of three ASCII letters or more of whole cues: all of them, first places of each, and the longest of each cue.
 WORDS = (
     fx.CUES
     + r""",
-named AS (SELECT transcript_id, cue_idx, start_ms, lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS entity FROM cues),
-first_words AS (SELECT transcript_id, entity, min(start_ms) AS first_ms, min(cue_idx) AS entity_seq FROM named WHERE length(entity) >= 3 GROUP BY ALL)"""
+every_word AS (SELECT transcript_id, cue_idx, start_ms, lower(unnest(regexp_extract_all(text, '[A-Za-z]{3,}'))) AS entity FROM cues),
+first_words AS (SELECT transcript_id, entity, min(start_ms) AS first_ms, min(cue_idx) AS entity_seq FROM every_word GROUP BY ALL),
+named AS (SELECT transcript_id, cue_idx, start_ms, entity FROM (SELECT *, row_number() OVER (PARTITION BY transcript_id, cue_idx ORDER BY length(entity) DESC, entity) AS k FROM every_word) WHERE k = 1)"""
 )
 
 
+def _cue_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues with their words of three ASCII letters or more."""
+    found = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)), F.lower)
+    return fx.cues(spark, sf_dir).select("transcript_id", "cue_idx", "start_ms", found.alias("words"))
+
+
 def _first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = fx.cues(spark, sf_dir).withColumn("entity", F.lower(F.regexp_extract("text", "^([A-Za-z]+)", 1))).where(F.length("entity") >= 3)
+    named = _cue_words(spark, sf_dir).select("transcript_id", "cue_idx", "start_ms", F.explode(F.array_distinct("words")).alias("entity"))
     return named.groupBy("transcript_id", "entity").agg(F.min("start_ms").alias("first_ms"), F.min("cue_idx").alias("entity_seq"))
 
 
@@ -357,7 +365,9 @@ def j1_context_windows(spark, sf_dir):
 
 
 def _word_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = fx.cues(spark, sf_dir).withColumn("entity", F.lower(F.regexp_extract("text", "^([A-Za-z]+)", 1))).where(F.length("entity") >= 3)
+    """The longest word of each cue as what it mentions."""
+    longest = F.array_min(F.transform("words", lambda w: F.struct((-F.length(w)).alias("size"), w.alias("word"))))["word"]
+    named = _cue_words(spark, sf_dir).withColumn("entity", longest).where("entity is not null")
     return named.select("transcript_id", "entity", "cue_idx", F.col("start_ms").alias("ms"))
 
 
