@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .ngramjoin import _bits, _filter_words, _signed
 from .scratch import Scratch
-from .wordhash import LOWER, SPACE, Powers, Words, mix, slices
+from .wordhash import SPACE, Powers, Words, mix, slices
 
 #: Words, or phrases of one length, that have an id in every task (24 bytes each, and a byte for each possible tile). The others are counted by hash.
 MOST_RANKED = 1 << 17
