@@ -56,15 +56,15 @@ class LineRuns:
 
     With ``holders`` there is also the smallest holder of each key.
 
-    A batch merge-anti-joins the settled run, that of the keys already found in ``enough`` documents: these are
-    counted no more. What is left becomes a run of its own on level 0. When a level has ``fanout`` runs they are
+    A batch of lines first loses, in its scan, the settled keys, those already found in ``enough`` documents, so that
+    they reach no aggregate (``add_lines``); its counts merge-anti-join the settled run. What is left becomes a run of its own on level 0. When a level has ``fanout`` runs they are
     compacted into one on the next level, counts added; keys that reach ``enough`` there move to the
     settled run. So a table of B batches has O(log B) runs, and no run holds a key that is known to be frequent.
     Batches come in the order of their holders, so a settled key has met its smallest one.
     """
 
-    def __init__(self, scratch: Scratch, enough: int = 10, fanout: int = 2, holders: bool = False):
-        self.scratch, self.enough, self.fanout = scratch, enough, fanout
+    def __init__(self, scratch: Scratch, enough: int = 10, fanout: int = 2, holders: bool = False, most_held: int = MOST_BROADCAST):
+        self.scratch, self.enough, self.fanout, self.most_held = scratch, enough, fanout, most_held
         self.levels: list[list[DataFrame]] = []
         self.settled: list[DataFrame] = []
         self.extra = ["holder"] if holders else []
@@ -84,17 +84,40 @@ class LineRuns:
             both = both.unionByName(r)
         return both.groupBy("h1", "h2").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in self.extra])
 
-    def add(self, counts: DataFrame, stored: bool = False, compact: bool = True) -> None:
-        """Add a batch of (h1, h2, n), each key once.
+    def held(self) -> DataFrame | None:
+        """Settled keys that every task may hold, ``most_held`` at most (counted): all of them, or the most frequent by powers of two.
 
-        A ``stored`` batch, a table sorted by key, is its own run as long as no key is settled. Without ``compact``,
-        for the last batch of all, no level is merged.
+        Batches have one size, so a key that is left out has less than two in ``most_held`` of a batch's lines.
         """
+        if not self.settled:
+            return None
+        settled = self._summed(self.settled).withColumn("power", F.floor(F.log2("n")))
+        least, total = None, 0
+        for r in sorted(settled.groupBy("power").count().collect(), reverse=True):
+            total += r["count"]
+            if total > self.most_held:
+                break
+            least = r["power"]
+        return None if least is None else settled.where(F.col("power") >= least).select("h1", "h2")
+
+    def add_lines(self, keys: DataFrame, compact: bool = True) -> None:
+        """Add a batch of (h1, h2), a row for each document and key.
+
+        Settled keys go before anything is shuffled or counted; with more than ``most_held`` of them the rarer ones
+        are summed by the scan's tasks and go in the merge-anti-join of ``add``. A key that is frequent in
+        this batch alone is summed before it is shuffled, too.
+        """
+        held = self.held()
+        if held is not None:
+            keys = keys.join(F.broadcast(self.scratch.write(held, "held")), ["h1", "h2"], "left_anti")
+        self.add(keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in self.extra]), compact)
+
+    def add(self, counts: DataFrame, compact: bool = True) -> None:
+        """Add a batch of (h1, h2, n), each key once. Without ``compact``, for the last batch of all, no level is merged."""
         counts = counts.select("h1", "h2", "n", *self.extra)
         for r in self.settled:
             counts = _same_key(counts, r, "left_anti")
-        run = counts if stored and not self.settled else self.scratch.write(counts.select("h1", "h2", "n", *self.extra).sortWithinPartitions("h1", "h2"), "run")
-        self._push(run, 0, compact)
+        self._push(self.scratch.write(counts.select("h1", "h2", "n", *self.extra).sortWithinPartitions("h1", "h2"), "run"), 0, compact)
 
     def _push(self, run: DataFrame, level: int, compact: bool = True) -> None:
         while len(self.levels) <= level:
@@ -138,10 +161,10 @@ def drop_frequent_lines(
     With ``keep_one`` one holder of each such key, the row with the smallest doc_id, keeps its lines.
 
     A key is the line without ASCII white space at both ends, A-Z lower-cased; keys of fewer than
-    ``min_chars`` code points are never dropped. Documents go through :class:`LineRuns` in batches, ranges of
-    doc_id of about ``docs_per_batch`` documents, ``least_batches`` of them at least; afterwards the frequent
-    keys are known exactly. Where they are at most ``most_broadcast`` (counted, 24 bytes each), every task looks
-    its lines up in them; beyond that the documents' line hashes are joined with them. Hashes have 128 bits.
+    ``min_chars`` code points are never dropped. One scan writes the lines' hashes, batch by batch: ranges of
+    doc_id of about ``docs_per_batch`` documents, ``least_batches`` of them at least. The batches then go through
+    :class:`LineRuns` one after the other; afterwards the frequent keys are known exactly. Where they are at most ``most_broadcast`` (counted, 24 bytes each), every task looks
+    its lines up in them; beyond that the lines are joined with them and regrouped by text. Hashes have 128 bits.
 
     Returns ``row`` (a struct of all input columns, so names can't clash), ``kept`` (the other lines joined
     by newlines), ``n_lines`` (before) and ``n_dropped``. Null or empty text is one empty line. Every row
@@ -151,13 +174,12 @@ def drop_frequent_lines(
     own = {"holder": _holder(F.col("doc_id"), F.col("text"))} if keep_one else {}
     batch, batches = _batches(docs, docs_per_batch, least_batches)
     keys = docs.select(batch.alias("batch"), *[c.alias(n) for n, c in own.items()], F.explode(_keys_of(F.col("text"), min_chars)).alias("key"))
-    counted = keys.groupBy("batch", "key.h1", "key.h2").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in own])
-    counts = scratch.write(counted.sortWithinPartitions("batch", "h1", "h2"), "counts", by="batch")
+    hashed = scratch.write(keys.select("batch", "key.h1", "key.h2", *own), "hashes", by="batch")
     runs = LineRuns(scratch, min_docs, holders=keep_one)
     for b in range(batches):
-        runs.add(counts.where(F.col("batch") == b), stored=True, compact=b < batches - 1)
+        runs.add_lines(hashed.where(F.col("batch") == b).drop("batch"), compact=b < batches - 1)
     frequent = runs.frequent()
-    scratch.drop(counts)
+    scratch.drop(hashed)
     holder = {n: F.xxhash64(c) for n, c in own.items()}
     if frequent.count() <= most_broadcast:
         packed, text = numbered(docs, None, **holder)
@@ -168,21 +190,17 @@ def drop_frequent_lines(
     frequent = frequent.select("h1", "h2", *[F.xxhash64(c).alias(c) for c in own])
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", *[c.alias(n) for n, c in holder.items()])
     ident = [F.coalesce(F.xxhash64("text"), F.lit(0)).alias("t1"), F.xxhash64(F.concat(F.lit("#"), F.coalesce("text", F.lit("")))).alias("t2")]
-    found = (
-        docs.select("text")
-        .select(*ident, F.explode(_keys_of(F.col("text"), min_chars)).alias("key"))
-        .select("t1", "t2", "key.h1", "key.h2")
-        .distinct()
-        .join(frequent.hint("merge"), ["h1", "h2"])
-        .groupBy("t1", "t2")
-        .agg(F.collect_list(F.struct("h1", "h2", *own)).alias("gone"))
-    )
-    joined = packed.select("row", "text", *own, *ident).join(found.hint("merge"), ["t1", "t2"], "left")
-    if keep_one:
-        joined = joined.withColumn("gone", F.transform(F.filter("gone", lambda g: g["holder"] != F.col("holder")), lambda g: F.struct(g["h1"].alias("h1"), g["h2"].alias("h2"))))
-    joined = joined.withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<struct<h1:bigint,h2:bigint>>)")))
-    kept = F.filter(_lines(F.col("text")), lambda x: (F.char_length(line_key(x)) < min_chars) | ~F.array_contains(F.col("gone"), _hashes(line_key(x))))
-    return joined.select("row", F.array_join(kept, "\n").alias("kept"), F.size(_lines(F.col("text"))).cast("long").alias("n_lines"), (F.size(_lines(F.col("text"))) - F.size(kept)).cast("long").alias("n_dropped"))
+    lines = docs.select(*ident, F.posexplode(F.transform(_lines(F.col("text")), line_key)).alias("at", "key"))
+    # lines too short for a key get hashes of their own, which meet nothing
+    hashes = [F.when(F.char_length("key") >= min_chars, _hashes(F.col("key"))[h]).otherwise(F.xxhash64("t1", "t2", "at")).alias(h) for h in ("h1", "h2")]
+    lines = lines.select("t1", "t2", "at", *hashes).distinct()
+    marked = lines.join(frequent.withColumn("found", F.lit(True)).hint("merge"), ["h1", "h2"], "left").select("t1", "t2", F.struct("at", "found", *own).alias("mark"))
+    marks = marked.groupBy("t1", "t2").agg(F.array_sort(F.collect_list("mark")).alias("marks"))
+    joined = packed.select("row", "text", *own, *ident).join(marks.hint("merge"), ["t1", "t2"])
+    gone = lambda mark: mark["found"].isNotNull() & (mark["holder"] != F.col("holder")) if keep_one else mark["found"].isNotNull()
+    # line by line its mark at the same place, so the work is linear in the lines
+    kept = F.filter(_lines(F.col("text")), lambda x, at: ~gone(F.get(F.col("marks"), at)))
+    return joined.select("row", F.array_join(kept, "\n").alias("kept"), F.size("marks").cast("long").alias("n_lines"), (F.size("marks") - F.size(kept)).cast("long").alias("n_dropped"))
 
 
 def _without(frequent: list[np.ndarray], text_column: str, min_chars: int):

@@ -64,6 +64,37 @@ def test_settled_keys_are_counted_no_more(spark):
     assert all([x for x in (tuple(r) for r in spark.read.parquet(f).select("h1", "h2").collect())] == sorted(tuple(r) for r in spark.read.parquet(f).select("h1", "h2").collect()) for f in files)
 
 
+def test_settled_keys_reach_no_aggregate(spark):
+    """Whatever is added as lines, a settled key is gone before a batch is counted, and what tasks hold is bounded."""
+    seen = []
+
+    class Watched(LineRuns):
+        def add(self, counts, compact=True):
+            seen.append({r["h1"]: r["n"] for r in counts.collect()})
+            super().add(counts, compact)
+
+    rows = lambda b: [(1, 1)] * 4 + [(2, 2)] * 2 + [(100 + b, 0)]
+    for most in (1 << 20, 1, 0):
+        seen.clear()
+        runs = Watched(Scratch(spark, "t"), enough=3, fanout=2, most_held=most)
+        for b in range(6):
+            runs.add_lines(spark.createDataFrame(rows(b), "h1 long, h2 long"))
+            assert runs.held() is None or runs.held().count() <= most
+        assert [s[100 + b] for b, s in enumerate(seen)] == [1] * 6
+        if most:
+            assert all(1 in s for s in seen[:2]) and not any(1 in s for s in seen[2:])
+        if most > 1:
+            assert not any(2 in s for s in seen[2:])
+        assert sorted(r["h1"] for r in runs.frequent().collect()) == [1, 2]
+
+
+def test_both_ways_agree_with_many_frequent_lines(spark):
+    docs = spark.createDataFrame([(k, "\n".join(f"line {j}" for j in range(3000)) + f"\nown {k}") for k in range(12)], "doc_id long, text string")
+    for most in (1 << 20, 0):
+        got = drop_frequent_lines(docs, 10, 1, most_broadcast=most).selectExpr("row.doc_id", "kept", "n_lines", "n_dropped").collect()
+        assert sorted(map(tuple, got)) == [(k, f"own {k}", 3001, 3000) for k in range(12)]
+
+
 def test_sql_agrees_on_repeated_ids(spark):
     import duckdb
 
