@@ -58,17 +58,60 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"(?U)[^\w]+"), lambda w: F.char_length(w) > 2))
 
 
+def _postings(articles: DataFrame, k: int) -> DataFrame:
+    """Word, and each article whose title holds it; under the word behind ``_FIRST`` only the first ``k`` of these by title."""
+    titles = articles.select("page_id", "title").distinct().withColumn("tokens", tokens(F.col("title")))
+    words = titles.select(F.explode("tokens").alias("word"), "page_id", "title", "tokens")
+    first = F.row_number().over(Window.partitionBy("word").orderBy("title", "page_id"))
+    firsts = words.withColumn("k", first).where(F.col("k") <= k).select(F.concat(F.lit(_FIRST), "word").alias("word"), "page_id", "title", "tokens")
+    return words.unionByName(firsts)
+
+
+#: Signs before a word that no word holds: the head of a list of articles, and a row that brings its article along.
+_FIRST, _KNOWN = "\x01", "\x02"
+
+
 def top_articles(entities: DataFrame, articles: DataFrame, k: int = 3) -> DataFrame:
-    """The k articles that share most words with each entity's query; ties go to the title.
+    """The k articles that share most words with each entity's queries; ties go to the title, then the page_id.
+
+    An inverted index read by impact, rarest words first, with scores on whole titles. The rarer half of a set of m
+    words gives a k-th best score s, and an article that holds none of them and yet comes up to s must hold one of
+    the first m - s + 1 words, as its s words can't all be among the last s - 1; so only these are looked up, often
+    none. Of the articles of the last, most frequent word the first k by title do: any other one that shares that word
+    alone comes after them. So a word of every title is read whole only for sets that hold a more frequent one yet and
+    that rarer words leave open. Equal sets of words are looked up once.
 
-    An inverted index: both sides' words meet by equality. ``entities`` has entity and query, ``articles``
-    page_id and title.
+    ``entities`` has entity and query, a row for each query; ``articles`` page_id and title. Repeated articles count once;
+    entities without a word of any title have no rows. Null queries and titles have no words.
     """
-    q = entities.select("entity", F.explode(tokens(F.col("query"))).alias("word"))
-    a = articles.select("page_id", "title", F.explode(tokens(F.col("title"))).alias("word"))
-    scored = q.join(a.hint("merge"), "word").groupBy("entity", "page_id", "title").agg(F.count(F.lit(1)).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("score"), "title", "page_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    none = F.expr("cast(array() as array<string>)")
+    asked = entities.groupBy("entity").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(tokens(F.col("query")), none))))).alias("words"))
+    asked = asked.where(F.size("words") > 0).withColumn("asked", F.array_join("words", " "))
+    postings = _postings(articles, k)
+    often = postings.where(~F.startswith("word", F.lit(_FIRST))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    word = asked.select("asked", F.explode("words").alias("word")).distinct().join(often.hint("merge"), "word")
+    sets = word.groupBy("asked").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("words"))
+
+    m, rarer = F.size("words"), F.floor(F.size("words") / 2).cast("int")
+    score = F.size(F.array_intersect("words", "tokens")).cast("bigint")
+    better = F.struct((-F.col("score")).alias("less"), "title", "page_id")
+    found = sets.select("asked", "words", F.explode(F.slice("words", F.lit(1), rarer)).alias("word")).join(postings.hint("merge"), "word")
+    found = found.select("asked", "page_id", "title", score.alias("score")).distinct()
+    found = found.withColumn("k", F.row_number().over(Window.partitionBy("asked").orderBy(better))).where(F.col("k") <= k)
+    best = found.groupBy("asked").agg(F.array_sort(F.collect_list(better)).alias("best"))
+
+    known = sets.join(best.hint("merge"), "asked", "left")
+    kth = F.when(F.size("best") >= k, -F.get(F.col("best"), F.lit(k - 1))["less"]).otherwise(1).cast("int")
+    probes = F.slice("words", rarer + 1, F.greatest(m - kth + 1 - rarer, F.lit(0)))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("page_id", dict(articles.dtypes)["page_id"]), ("title", "string"), ("score", "bigint"))]
+    probe = lambda w: F.struct(F.when(w == F.element_at("words", -1), F.concat(F.lit(_FIRST), w)).otherwise(w).alias("word"), *nothing)
+    keep = lambda b: F.struct(F.concat(F.lit(_KNOWN), F.coalesce(b["title"], F.lit(""))).alias("word"), b["page_id"].alias("page_id"), b["title"].alias("title"), (-b["less"]).alias("score"))
+    rows = known.select("asked", "words", F.explode(F.concat(F.coalesce(F.transform("best", keep), F.array().cast("array<struct<word:string,page_id:" + dict(articles.dtypes)["page_id"] + ",title:string,score:bigint>>")), F.transform(probes, probe))).alias("x")).select("asked", "words", "x.*")
+    met = rows.alias("r").join(postings.alias("p").hint("merge"), F.col("r.word") == F.col("p.word"), "left")
+    own = F.col("r.score").isNotNull()
+    met = met.select("asked", *[F.when(own, F.col(f"r.{c}")).otherwise(F.col(f"p.{c}")).alias(c) for c in ("page_id", "title")], F.when(own, F.col("r.score")).otherwise(score).alias("score"))
+    ranked = met.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "title", "page_id"))).where(F.col("rank") <= k)
+    return asked.select("entity", "asked").join(ranked.hint("merge"), "asked").select("entity", "page_id", "title", "score", "rank")
 
 
 def context_score(context: Column, summary: Column, era_end: Column, years: Column) -> Column:
