@@ -30,10 +30,15 @@ def candidates(items: DataFrame) -> DataFrame:
 def anchor_windows(cues: DataFrame, span_ms: int = 5000) -> DataFrame:
     """Give every cue the window that it opens or belongs to; a window begins at the first cue ``span_ms`` or more after the one before.
 
-    The anchor depends on the anchor before, so this is a fold over a transcript's cue times in the JVM; it
+    A cue ``span_ms`` or more after all cues before it begins a window whatever came before, so a transcript is cut there.
+    Inside a stretch the anchor depends on the anchor before: a fold over its cue times in the JVM, which
     returns the anchors only, and cues find theirs by the largest anchor that isn't later.
     """
-    rows = cues.groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.struct(F.col("cue_idx").cast("int").alias("cue_idx"), F.col("ms").cast("bigint").alias("ms")))).alias("rows"))
+    so_far = Window.partitionBy("transcript_id").orderBy("cue_idx", "ms")
+    times = cues.select("transcript_id", F.col("cue_idx").cast("int").alias("cue_idx"), F.col("ms").cast("bigint").alias("ms"))
+    apart = F.col("ms") - F.max("ms").over(so_far.rowsBetween(Window.unboundedPreceding, -1)) >= span_ms
+    times = times.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("stretch", F.sum("apart").over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = times.groupBy("transcript_id", "stretch").agg(F.array_sort(F.collect_list(F.struct("cue_idx", "ms"))).alias("rows"))
     anchors = F.expr(
         f"""aggregate(rows, named_struct('at', cast(null as bigint), 'cues', cast(array() as array<int>)),
               (a, r) -> if(a.at is null or r.ms - a.at >= {span_ms}, named_struct('at', r.ms, 'cues', concat(a.cues, array(r.cue_idx))), a),
