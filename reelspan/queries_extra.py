@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from reelspan import fixtures as fx
+from reelspan.functions import html as markup
 from reelspan.functions import images as img
 from reelspan.functions import scoring
 from reelspan.operators import articles, sinks
@@ -28,11 +31,62 @@ def f14_years(spark, sf_dir):
     return fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.array_join(img.years(text), ",").alias("years"), img.image_year(text, F.lit("<b>none</b>")).alias("first"))
 
 
-@query(
-    """WITH n AS (SELECT page_id, string_split_regex(regexp_replace(html, '<!--.*?-->|<script>.*?</script>|<style>.*?</style>', '<>', 'gs'), '<[^>]*>') AS nodes FROM pages),
-  t AS (SELECT page_id, list_transform(nodes, lambda x: trim(replace(replace(replace(replace(x, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(13))) AS nodes FROM n)
-  SELECT page_id, array_to_string(list_filter(nodes, lambda x: x <> ''), ' ') AS text FROM t"""
+def _any_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" for c in word)
+
+
+def _plain_markup() -> str:
+    """The rule of ``html.text_nodes`` for what is no text, without possessive parts and looks ahead, which the SQL's expressions lack: every part ends where the next one must begin."""
+    blank = r"[\t\n\x0B\f\r ]"
+    name, sep = r"[^\t\n\x0B\f\r />=]+", r"[\t\n\x0B\f\r /]"
+    word = r"[^\t\n\x0B\f\r />]*"
+    code, silent = "|".join(map(_any_case, ("script", "style"))), [_any_case(t) for t in ("template", "rt", "rp")]
+    quoted = rf"""{name}{blank}*={blank}*(?:"[^"]*"|'[^']*')"""
+    valueless = rf"{name}{blank}*={blank}*"
+    bare = rf"""{name}(?:{valueless.removeprefix(name)}[^\t\n\x0B\f\r >"'{markup._CUT}][^\t\n\x0B\f\r >]*)?"""
+    # After a quoted value the next attribute may follow at once, after others a blank must. The last quotes of a page,
+    # which nothing closes, have a mark in front.
+    attributes = rf"(?:{sep}+(?:{quoted}{sep}*|{valueless}{markup._CUT})*(?:{bare})?)*"
+    tag = rf"</?[a-zA-Z]{word}(?:{attributes}{sep}*(?:{valueless})?>|[^>]*>)"
+    return "|".join(
+        [
+            r"<!\[[cC][dD][aA][tT][aA]\[(.*?)\]\]>",
+            rf"<(?:{code})(?:{sep}[^>]*)?>.*?(?:</(?:{code}){blank}*>|$)",
+            *[rf"<{t}(?:{sep}[^>]*)?>.*?</{t}{blank}*>" for t in silent],
+            r"<!--(?:.*?--!?>|.*$)|<[!?][^>]*>|</(?:[^a-zA-Z>][^>]*)?>",
+            tag,
+        ]
+    )
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_NAMED = ", ".join(f"({_text(n)}, {_text(c)})" for n, c in sorted({n.rstrip(";"): c for n, c in html5.items()}.items()))
+_WINDOWS = " ".join(f"WHEN {n} THEN {_text(c)}" for n, c in markup._WINDOWS.items())
+_SPACE = r"[\t\n\x0B\f\r \pZ\x1c-\x1f\x{85}]+"
+
+#: Text nodes by the rule of ``html.text_of``; references by the standard's table, with and without a semicolon, and by number.
+STRIPPED = (
+    rf"""WITH named(name, sign) AS (VALUES {_NAMED}),
+  marked AS (SELECT row_number() OVER () AS r, page_id, regexp_replace(regexp_replace(replace(coalesce(html, ''), '{markup._CUT}', ''), '"([^"]*)$', '{markup._CUT}"\1'), '''([^'']*)$', '{markup._CUT}''\1') AS html FROM pages),
+  bare AS (SELECT r, page_id, regexp_replace(html, {_text('(?s)' + _plain_markup())}, '{markup._CUT}|\1{markup._CUT}|', 'g') AS html FROM marked),
+  pages_no AS (SELECT r, page_id, string_split(replace(replace(html, '{markup._CUT}"', '"'), '{markup._CUT}''', ''''), '{markup._CUT}|') AS nodes FROM bare),
+  nodes AS (SELECT r, unnest(nodes) AS node, generate_subscripts(nodes, 1) AS i FROM pages_no),
+  cut AS (SELECT r, i, regexp_extract_all(node, '&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z][-.a-zA-Z0-9]*);?|[^&]+|&') AS ps FROM nodes WHERE node <> ''),
+  pieces AS (SELECT r, i, unnest(ps) AS p, generate_subscripts(ps, 1) AS j FROM cut),
+  numbered AS (SELECT *, CASE WHEN regexp_full_match(p, '&#[xX][0-9a-fA-F]{{1,15}};?') THEN CAST('0x' || regexp_extract(p, '^&#[xX]([0-9a-fA-F]+)', 1) AS HUGEINT)
+      WHEN regexp_full_match(p, '&#[0-9]{{1,30}};?') THEN CAST(regexp_extract(p, '[0-9]+') AS HUGEINT) WHEN regexp_matches(p, '^&#[xX]?[0-9a-fA-F]') THEN -1 END AS code FROM pieces),
+  signs AS (SELECT n.r, n.i, n.j, CASE WHEN code IS NOT NULL THEN CASE code {_WINDOWS} ELSE CASE WHEN code BETWEEN 0 AND 55295 OR code BETWEEN 57344 AND 1114111 THEN chr(CAST(code AS INT)) ELSE '�' END END
+      WHEN sign IS NOT NULL THEN sign WHEN regexp_matches(p, '^&[a-zA-Z]') THEN rtrim(p, ';') ELSE p END AS p FROM numbered n LEFT JOIN named ON starts_with(p, '&') AND name = regexp_extract(p, '^&([^;]*)', 1)),
+  texts AS (SELECT r, i, regexp_replace(string_agg(p, '' ORDER BY j), '^{_SPACE}|{_SPACE}$', '', 'g') AS node FROM signs GROUP BY r, i),
+  joined AS (SELECT r, string_agg(node, ' ' ORDER BY i) AS text FROM texts WHERE node <> '' GROUP BY r)
+  SELECT page_id, coalesce(text, '') AS text FROM pages_no p LEFT JOIN joined j ON p.r = j.r"""
 )
+
+
+@query(STRIPPED)
 def f16_strip_html(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", img.strip_html(F.col("html")).alias("text"))
 

@@ -27,3 +27,27 @@ def test_query_equals_its_sql(spark, name):
     a, b = rows(got, columns), rows(want, columns)
     assert len(a) == len(b)
     assert [(x, y) for x, y in zip(a, b) if x != y][:3] == []
+
+
+ODD_PAGES = [
+    "<p>a&ampb &amp; &notit; &#65 &#x41 &#150; &#xD800; &#99999999999; &unknown; &</p>",
+    "<!-- x > y --><script src=a>1<2</script><STYLE>p</STYLE ><template>no</template>one<rt>r</rt>two",
+    "<![CDATA[kept]]><a b='x>y' c=\"d>e\"f=g>t</a><a =\"x>y\">u<a b=\"v>w",
+    "</1>a</>b<!-- open",
+    "<b c=\"</i>\"d<a b='</p></u>e<a b='",
+    "\u00a0<b> \n</b>\u2003x\x0b",
+    "",
+    None,
+]
+
+
+def test_strip_html_equals_its_sql_on_odd_pages(spark, tmp_path):
+    path = tmp_path / "pages.parquet"
+    pages = spark.createDataFrame(list(enumerate(ODD_PAGES)), "page_id long, html string")
+    pages.coalesce(1).write.parquet(str(path))
+    got = {r.page_id: r.text for r in queries.QUERIES["f16_strip_html"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{path}/*.parquet'")
+    want = dict(con.execute(queries.ORACLE_SQL["f16_strip_html"]).fetchall())
+    assert got == want
+    assert got[0] == "a&ampb & &notit A A – � � &unknown &"
