@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspan.functions import images
-from reelspan.operators import sinks, timeline
+from reelspan.operators import sinks
 
 
 def escaped(value: Column) -> Column:
@@ -47,15 +47,17 @@ def clip_items(placements: DataFrame) -> DataFrame:
     """Clips in order of track and frame with the number of their image in the transcript's registry.
 
     ``placements`` has transcript_id, track, frame, duration_frames, image (a path), clip_seq and, if there is one, name (else the path's last part).
-    The registry has each image once, in the order of tracks and frames, with the duration of its first clip.
+    The registry has each image once, in the order of tracks and frames, with the duration of its first clip; ``seen`` counts
+    the clips of an image.
     """
-    by_first = Window.partitionBy("transcript_id").orderBy("first_place", "image")
-    first = placements.groupBy("transcript_id", "image").agg(F.min(F.struct("track", "frame", "clip_seq")).alias("first_place"))
-    media = timeline.media_registry(placements).withColumnRenamed("duration_frames", "media_frames").join(first.hint("merge"), ["transcript_id", "image"])
-    media = media.withColumn("media_no", F.row_number().over(by_first)).drop("first_place")
+    whole = Window.partitionBy("transcript_id")
+    same = Window.partitionBy("transcript_id", "image").orderBy("track", "frame", "clip_seq")
     base = F.substring_index("image", "/", -1)
     name = F.coalesce(F.col("name"), base) if "name" in placements.columns else base
-    return placements.withColumn("name", name).withColumn("base", base).join(media.hint("merge"), ["transcript_id", "image"])
+    # numbered by transcript first, so that all that follows stays where this exchange put it
+    clips = placements.withColumn("first_place", F.row_number().over(whole.orderBy("track", "frame", "clip_seq")))
+    clips = clips.withColumn("seen", F.row_number().over(same)).withColumn("media_frames", F.first("duration_frames").over(same)).withColumn("first_place", F.first("first_place").over(same))
+    return clips.select(*[c for c in placements.columns if c != "name"], name.alias("name"), base.alias("base"), "media_frames", "seen", F.dense_rank().over(whole.orderBy("first_place")).alias("media_no"))
 
 
 def timeline_documents(placements: DataFrame, fps: int, title: str = "Timeline") -> DataFrame:
@@ -67,7 +69,6 @@ def timeline_documents(placements: DataFrame, fps: int, title: str = "Timeline")
     number = lambda prefix, n: F.concat(F.lit(f"{prefix}-"), n)
     path = images.file_url(F.col("image"))
     master = element("masterclip", field("name", F.col("base")), field("duration", F.col("media_frames")), field("pathurl", path), id=number("masterclip", F.col("media_no")))
-    seen = F.row_number().over(Window.partitionBy("transcript_id", "media_no").orderBy("track", "frame", "clip_seq"))
     item = element(
         "clipitem",
         field("masterclipid", number("masterclip", F.col("media_no"))),
@@ -79,11 +80,14 @@ def timeline_documents(placements: DataFrame, fps: int, title: str = "Timeline")
         field("out", F.col("duration_frames")),
         field("pathurl", path),
     )
-    registry = clips.withColumn("seen", seen).where("seen = 1").groupBy("transcript_id").agg(_in_order(["media_no"], master).alias("media"))
-    tracks = clips.groupBy("transcript_id", "track").agg(_in_order(["frame", "clip_seq"], item).alias("items"))
-    by_track = tracks.groupBy("transcript_id").agg(F.map_from_entries(F.collect_list(F.struct("track", "items"))).alias("tracks"), F.max("track").alias("highest"))
-    header = timeline.sequence_header(placements, fps)
-    joined = header.join(registry.hint("merge"), "transcript_id").join(by_track.hint("merge"), "transcript_id")
+    first = F.when(F.col("seen") == 1, F.struct("media_no", master.alias("content")))
+    tracks = clips.groupBy("transcript_id", "track").agg(_in_order(["frame", "clip_seq"], item).alias("items"), F.collect_list(first).alias("media"), F.max(F.col("frame") + F.col("duration_frames")).alias("end"))
+    joined = tracks.groupBy("transcript_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("track", "items"))).alias("tracks"),
+        F.max("track").alias("highest"),
+        F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("media"))), lambda x: x["content"]), "\n").alias("media"),
+        (F.max("end") + 10 * fps).alias("length"),
+    )
     each = F.transform(F.sequence(F.lit(1), "highest"), lambda k: element("track", F.lit("\n"), F.coalesce(F.try_element_at("tracks", k), F.lit("")), F.lit("\n"), number=k))
     head = element("header", field("name", F.lit(title)), field("duration", F.col("length")), field("timebase", F.lit(fps)))
     body = element("timeline", F.lit("\n"), head, F.lit("\n<media>\n"), F.col("media"), F.lit("\n</media>\n"), F.array_join(each, "\n"), F.lit("\n"))
@@ -91,5 +95,14 @@ def timeline_documents(placements: DataFrame, fps: int, title: str = "Timeline")
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """Write (transcript_id, value) as one file per transcript, in a folder of its name; all appear when the job is committed, or none."""
+    """Write (transcript_id, value) as one file per transcript, in a folder of its name; all appear when the job is committed, or none.
+
+    For the few that go to an editor one by one: files cost milliseconds each, so a corpus goes into bundles.
+    """
     documents.write.partitionBy("transcript_id").text(path)
+
+
+def read_bundles(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Documents written by ``sinks.write_bundles`` as transcript_id and ``document``, parsed by the schema of its content."""
+    raw = spark.read.schema("transcript_id long, value string").json(path)
+    return raw.select("transcript_id", F.from_xml("value", schema, {"ignoreSurroundingSpaces": "false", "mode": "FAILFAST"}).alias("document"))

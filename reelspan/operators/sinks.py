@@ -14,14 +14,24 @@ def entity_maps(entities: DataFrame) -> DataFrame:
     return entities.groupBy("transcript_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity", F.struct(*fields))))).alias("entities"))
 
 
+def element_maps(elements: DataFrame) -> DataFrame:
+    """(transcript_id, visual_elements): a map of each transcript's elements (transcript_id, element_id, ...) by id."""
+    return entity_maps(elements.withColumnRenamed("element_id", "entity")).withColumnRenamed("entities", "visual_elements")
+
+
+def write_bundles(documents: DataFrame, path: str) -> None:
+    """Write one whole JSON document per row and line, transcript_id among its fields; as many files as tasks, however many transcripts."""
+    documents.write.json(path)
+
+
 def write_entity_maps(entities: DataFrame, path: str) -> None:
+    """One file per transcript, for the few that leave one by one; a corpus goes into bundles."""
     entity_maps(entities).write.partitionBy("transcript_id").json(path)
 
 
 def write_element_maps(elements: DataFrame, path: str) -> None:
-    """One JSON document per transcript with a map of its elements (transcript_id, element_id, ...) by id."""
-    maps = entity_maps(elements.withColumnRenamed("element_id", "entity"))
-    maps.withColumnRenamed("entities", "visual_elements").write.partitionBy("transcript_id").json(path)
+    """One file per transcript, for the few that leave one by one; a corpus goes into bundles."""
+    element_maps(elements).write.partitionBy("transcript_id").json(path)
 
 
 def marker_rows(elements: DataFrame, fps: int = 25) -> DataFrame:

@@ -53,7 +53,16 @@ def read_overrides(files: DataFrame) -> DataFrame:
 def read_entity_maps(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Entity maps (one JSON document per file) as one row per transcript and entity."""
     raw = spark.read.schema(f"entities map<string,{schema}>").json(path, multiLine=True)
-    return raw.select(F.col("_metadata.file_path").alias("transcript_id"), F.explode("entities").alias("entity", "payload")).select("transcript_id", "entity", "payload.*")
+    return _entities(raw.select(F.col("_metadata.file_path").alias("transcript_id"), "entities"))
+
+
+def read_entity_bundles(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The same from bundles, one JSON document per line with its transcript_id."""
+    return _entities(spark.read.schema(f"transcript_id long, entities map<string,{schema}>").json(path))
+
+
+def _entities(maps: DataFrame) -> DataFrame:
+    return maps.select("transcript_id", F.explode("entities").alias("entity", "payload")).select("transcript_id", "entity", "payload.*")
 
 
 def read_elements(spark: SparkSession, path: str, schema: str = "element_type:string,timecode:string,cue_idx:int") -> DataFrame:
@@ -62,7 +71,16 @@ def read_elements(spark: SparkSession, path: str, schema: str = "element_type:st
     Elements stand in order of their time code, one without counting as the start, and of their id.
     """
     raw = spark.read.schema(f"visual_elements map<string,struct<{schema}>>").json(path, multiLine=True)
-    each = raw.select(F.col("_metadata.file_path").alias("transcript_id"), F.explode("visual_elements").alias("element_id", "payload"))
+    return _elements(raw.select(F.col("_metadata.file_path").alias("transcript_id"), "visual_elements"))
+
+
+def read_element_bundles(spark: SparkSession, path: str, schema: str = "element_type:string,timecode:string,cue_idx:int") -> DataFrame:
+    """The same from bundles, one JSON document per line with its transcript_id."""
+    return _elements(spark.read.schema(f"transcript_id long, visual_elements map<string,struct<{schema}>>").json(path))
+
+
+def _elements(maps: DataFrame) -> DataFrame:
+    each = maps.select("transcript_id", F.explode("visual_elements").alias("element_id", "payload"))
     order = Window.partitionBy("transcript_id").orderBy(F.coalesce("payload.timecode", F.lit("00:00:00,000")), "element_id")
     return each.select("transcript_id", F.row_number().over(order).alias("place"), "element_id", "payload.*")
 

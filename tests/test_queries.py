@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -51,3 +53,13 @@ def test_strip_html_equals_its_sql_on_odd_pages(spark, tmp_path):
     want = dict(con.execute(queries.ORACLE_SQL["f16_strip_html"]).fetchall())
     assert got == want
     assert got[0] == "a&ampb & &notit A A – � � &unknown &"
+
+
+@pytest.mark.parametrize(("name", "folder"), [("k4_clip_items", "timelines"), ("k4_documents", "timelines"), ("s5_entity_maps", "maps")])
+def test_documents_of_many_transcripts_share_files(spark, name, folder):
+    """Files follow the tasks, not the transcripts."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob(f"{folder}-*"))
+    transcripts = {r.transcript_id for r in queries.QUERIES[name](spark, SF).select("transcript_id").collect()}
+    (made,) = set(shared.glob(f"{folder}-*")) - before
+    assert len(list(made.rglob("part-*"))) <= 4 < len(transcripts)
