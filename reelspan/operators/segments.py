@@ -146,15 +146,24 @@ def density_clusters(occ: DataFrame, window_ms: int = 8000, least: int = 3, most
     )
 
 
+def _broad(low: Column) -> Column:
+    """Whether a lower-case name holds the name of a broad event or is part of one.
+
+    Parts are looked for in all events' names at once, one a line; names of several words only in names with a blank.
+    """
+    part = F.contains(F.lit("\n".join(SWEEP_EVENTS)), low) & ~low.contains("\n")
+    held = lambda names: F.exists(F.array(*[F.lit(s) for s in names]), lambda s: F.contains(low, s))
+    holds = F.when(low.contains(" "), held(SWEEP_EVENTS)).otherwise(held([s for s in SWEEP_EVENTS if " " not in s]))
+    return part | (F.when(F.char_length(low) >= min(map(len, SWEEP_EVENTS)), holds).otherwise(False))
+
+
 def sweep_events(entities: DataFrame) -> DataFrame:
     """Entities whose name holds the name of a broad event or is part of one; once each, with four images.
 
     ``entities`` has transcript_id, entity, first_ms and entity_seq.
     """
-    low = F.lower("entity")
-    broad = F.exists(F.array(*[F.lit(s) for s in SWEEP_EVENTS]), lambda s: F.contains(low, s) | F.contains(s, low))
     number = F.row_number().over(Window.partitionBy("transcript_id").orderBy("entity_seq", "entity"))
-    return entities.where(broad).select("transcript_id", "entity", F.format_string("sweep_%03d", number).alias("montage_id"), F.col("first_ms").alias("ms"), F.lit(4).alias("images"))
+    return entities.where(_broad(F.lower("entity"))).select("transcript_id", "entity", F.format_string("sweep_%03d", number).alias("montage_id"), F.col("first_ms").alias("ms"), F.lit(4).alias("images"))
 
 
 def enumerations(cues: DataFrame, occ: DataFrame) -> DataFrame:
