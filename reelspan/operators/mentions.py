@@ -91,8 +91,8 @@ def infer_subjects(items: DataFrame) -> DataFrame:
 
 def add_subjects(entities: DataFrame, subjects: DataFrame) -> DataFrame:
     """Rename vague events and concepts to ``name subject`` and merge those that then share a name."""
-    places = entities.groupBy("transcript_id").agg(F.collect_set(F.when(F.col("entity_type") == "places", F.col("name"))).alias("places"))
-    joined = entities.join(subjects.hint("merge"), "transcript_id", "left").join(places.hint("merge"), "transcript_id")
+    places = F.collect_set(F.when(F.col("entity_type") == "places", F.col("name"))).over(Window.partitionBy("transcript_id"))
+    joined = entities.withColumn("places", places).join(subjects.hint("merge"), "transcript_id", "left")
     renamed = F.when(F.col("subject").isNotNull() & names.vague(F.col("name"), F.col("entity_type"), F.col("places"), F.col("subject")), F.concat_ws(" ", "name", "subject")).otherwise(F.col("name"))
     return (
         joined.withColumn("new_name", renamed)

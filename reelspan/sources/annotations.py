@@ -21,10 +21,8 @@ def read_replies(replies: DataFrame) -> DataFrame:
 
 def reply_items(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """Items of parsed replies in order: keys, kind, item_seq, surface, canonical. An item is a string or {name, canonical}; blank ones go."""
-    out = None
-    for kind in KINDS:
-        each = parsed.select(*keys, F.lit(kind).alias("kind"), F.posexplode(kind).alias("item_seq", "item"))
-        out = each if out is None else out.unionByName(each)
+    lists = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("items")) for k in KINDS])
+    out = parsed.select(*keys, F.explode(lists).alias("l")).select(*keys, "l.kind", F.posexplode("l.items").alias("item_seq", "item"))
     item = F.from_json("item", "struct<name:string,canonical:string>")
     nested = F.trim("item").startswith("{")
     surface = F.trim(F.when(nested, item["name"]).otherwise(F.col("item")))
@@ -38,11 +36,9 @@ def windowed_replies(replies: DataFrame) -> DataFrame:
     each = replies.select(*[c for c in replies.columns if c != "reply"], F.explode(F.from_json(F.regexp_extract("reply", r"(?s)\{.*\}", 0), body)).alias("key", "lists"))
     each = each.withColumn("cue_idx", F.expr("try_cast(key as int)")).where("cue_idx is not null")
     rest = [c for c in each.columns if c not in ("key", "lists")]
-    out = None
-    for plural, kind in (("numbers", "number"), ("dates", "date"), ("quotes", "quote"), ("processes", "process"), ("comparisons", "comparison")):
-        part = each.select(*rest, F.lit(kind).alias("element_type"), F.posexplode(f"lists.{plural}").alias("item_seq", "item"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    kinds = (("numbers", "number"), ("dates", "date"), ("quotes", "quote"), ("processes", "process"), ("comparisons", "comparison"))
+    lists = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"lists.{plural}").alias("items")) for plural, kind in kinds])
+    return each.select(*rest, F.explode(lists).alias("l")).select(*rest, F.col("l.kind").alias("element_type"), F.posexplode("l.items").alias("item_seq", "item"))
 
 
 def read_overrides(files: DataFrame) -> DataFrame:

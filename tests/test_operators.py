@@ -330,6 +330,42 @@ def test_validation_counts_failed_lookups_as_valid(spark):
     assert got == {"e": (["Good", "Broken", "Old"], "validated"), "f": (["f"], "fallback")}
 
 
+def _scans(df):
+    """How often the plan of a frame reads its source."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+
+
+def test_replies_and_entities_are_read_once(spark, tmp_path):
+    """No union or self-join reads a source again for each kind of item, or for the places of a transcript."""
+    rows = [(1, '{"people": ["A", {"name": "b", "canonical": "B"}], "events": ["War"], "primary": "A"}'), (2, "none")]
+    spark.createDataFrame(rows, "transcript_id long, reply string").write.parquet(str(tmp_path / "r"))
+    items = annotations.reply_items(annotations.read_replies(spark.read.parquet(str(tmp_path / "r"))), ["transcript_id"])
+    assert _scans(items) == 1
+    assert sorted((x.kind, x.item_seq, x.surface, x.canonical) for x in items.collect()) == [("events", 0, "War", "War"), ("people", 0, "A", "A"), ("people", 1, "b", "B")]
+    lists = [(1, '{"3": {"numbers": ["1"], "quotes": ["a", "b"]}}')]
+    spark.createDataFrame(lists, "transcript_id long, reply string").write.parquet(str(tmp_path / "w"))
+    each = annotations.windowed_replies(spark.read.parquet(str(tmp_path / "w")))
+    assert _scans(each) == 1
+    assert sorted((x.cue_idx, x.element_type, x.item_seq, x.item) for x in each.collect()) == [(3, "number", 0, "1"), (3, "quote", 0, "a"), (3, "quote", 1, "b")]
+    e = [(1, "1848", "events", [(0, 1)], ["x"], 1), (1, "Rome", "places", [(5, 2)], ["y"], 2)]
+    schema = "transcript_id long, name string, entity_type string, occurrences array<struct<ms:long,cue_idx:int>>, aliases array<string>, seq int"
+    spark.createDataFrame(e, schema).write.parquet(str(tmp_path / "e"))
+    subjects = spark.createDataFrame([(1, "Rome", 1)], "transcript_id long, subject string, n long")
+    named = mentions.add_subjects(spark.read.parquet(str(tmp_path / "e")), subjects)
+    assert _scans(named) == 1
+    assert sorted(x.name for x in named.collect()) == ["1848 Rome", "Rome"]
+
+
+def test_sweep_events_by_parts_and_wholes(spark):
+    names = ["The French Revolution of 1789", "crusades", "Crusader", "War", "world", "revolution\namerican", "old w", "reformations", "xyz", "", None, "cold war", "cold\nwar", "a space race"]
+    df = spark.createDataFrame([(1, n, k, k) for k, n in enumerate(names)], "transcript_id long, entity string, first_ms long, entity_seq int")
+    got = {x.entity for x in segments.sweep_events(df).collect()}
+    assert got == {n for n in names if n is not None and any(s in n.lower() or n.lower() in s for s in segments.SWEEP_EVENTS)}
+    # lists of names are gone through only for long names, not for each word
+    plan = segments.sweep_events(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "char_length" in plan or "length(" in plan
+
+
 def test_sinks_round_trip(spark, tmp_path):
     rows = [(1, "quote", "hello", "", "quote_001", 1000), (1, "date", "1900", "Fair", "date_001", 500)]
     e = spark.createDataFrame(rows, "transcript_id long, element_type string, first string, second string, element_id string, ms long")
