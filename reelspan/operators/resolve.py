@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from reelspan import shared as shared_tables
 
 
 @F.pandas_udf(T.DoubleType())
@@ -170,16 +171,14 @@ def _grams(text: Column, most: Column | int) -> Column:
     return F.array_distinct(F.concat(*[runs(n) for n in range(1, _SEED + 1)]))
 
 
-def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """(inner_id, outer_id): pairs of a transcript where the one text stands in the other.
+def _words(low: Column) -> Column:
+    """Distinct words of a lower-case text."""
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(low, r"(?U)[^\w]+", " "), " "), lambda w: w != ""))
 
-    Each inner text is looked for by one seed, of its runs of three characters (the whole text, if it is shorter) that which the
-    fewest outer texts have; what has the seed is then tested.
-    """
-    theirs = outer.select("transcript_id", "outer_id", F.explode(_grams(F.col("outer"), 1 << 30)).alias("seed"))
+
+def _by_seed(own: DataFrame, theirs: DataFrame, inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs where the inner text stands in the outer one, each inner text looked for by that of its seeds which the fewest outer texts have."""
     many = theirs.groupBy("transcript_id", "seed").agg(F.count(F.lit(1)).alias("many"))
-    wanted = F.least(F.char_length("inner"), F.lit(_SEED))
-    own = inner.select("transcript_id", "inner_id", F.explode(F.filter(_grams(F.col("inner"), 1 << 30), lambda g: F.char_length(g) == wanted)).alias("seed"))
     # a seed that no outer text has rules its text out
     known = own.join(many.hint("merge"), ["transcript_id", "seed"], "left").withColumn("many", F.coalesce("many", F.lit(0)))
     rarest = known.groupBy("transcript_id", "inner_id").agg(F.min(F.struct("many", "seed")).alias("seed")).where("seed.many > 0")
@@ -188,19 +187,47 @@ def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
     return full.where(F.contains("outer", F.col("inner"))).select("transcript_id", "inner_id", "outer_id")
 
 
-def quote_matches(quotes: DataFrame, cues: DataFrame, least: float = 0.3, opening: int = 30) -> DataFrame:
+def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner_id, outer_id): pairs of a transcript where the one lower-case text stands in the other.
+
+    A word that neither begins nor ends the inner text is a word of every text that holds it, and its seed. Inner texts
+    without one are looked for by runs of three characters (the whole text, if it is shorter), in transcripts that have such texts only.
+    """
+    seeded = inner.withColumn("words", _words(F.regexp_replace("inner", r"(?U)^\w+|\w+$", "")))
+    by_word = _by_seed(
+        seeded.select("transcript_id", "inner_id", F.explode("words").alias("seed")),
+        outer.select("transcript_id", "outer_id", F.explode(_words(F.col("outer"))).alias("seed")),
+        inner,
+        outer,
+    )
+    rest = seeded.where(F.size("words") == 0).drop("words")
+    near = outer.join(rest.select("transcript_id").distinct().hint("merge"), "transcript_id", "left_semi")
+    wanted = F.least(F.char_length("inner"), F.lit(_SEED))
+    by_run = _by_seed(
+        rest.select("transcript_id", "inner_id", F.explode(F.filter(_grams(F.col("inner"), 1 << 30), lambda g: F.char_length(g) == wanted)).alias("seed")),
+        near.select("transcript_id", "outer_id", F.explode(_grams(F.col("outer"), 1 << 30)).alias("seed")),
+        rest,
+        near,
+    )
+    return by_word.unionByName(by_run)
+
+
+def quote_matches(quotes: DataFrame, cues: DataFrame, least: float = 0.3, opening: int = 30, most_ids: int = 1 << 20) -> DataFrame:
     """The cue that holds most of a quote's words; 0.5 more where the quote's opening stands in the cue or the cue in the quote; at least ``least``.
 
     ``quotes`` has quote_id, transcript_id and quote. Word overlaps come from a join on words. Texts that hold one another are
-    found by seeds of three characters within the transcript, so they need no word in common. A quote of white space
+    found by seeds within the transcript, so they need no word in common. Quotes and the cues of their transcripts
+    are kept in the shared folder; up to ``most_ids`` transcripts, counted, are sent to every task to pick the cues, more are joined. A quote of white space
     only stands in every cue, so the first is its match; an empty one, and cues without words, match nothing.
     """
-    tokens = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), r"(?U)[^\w]+", " "), " "), lambda w: w != ""))
     bare = F.regexp_replace(F.lower("quote"), r"(?U)^\s+|\s+$", "")
-    q = quotes.where("quote <> ''").select("quote_id", "transcript_id", bare.alias("low"), tokens(F.col("quote")).alias("words"))
+    q = quotes.where("quote <> ''").select("quote_id", "transcript_id", bare.alias("low"), _words(F.lower("quote")).alias("words"))
     q = q.withColumn("n", F.greatest(F.size("words"), F.lit(1))).withColumn("opening", F.substring("low", 1, opening))
-    asked = cues.join(q.select("transcript_id").distinct().hint("merge"), "transcript_id", "left_semi")
-    c = asked.select("transcript_id", "cue_idx", F.lower("text").alias("cue_low"), tokens(F.col("text")).alias("cue_words")).where(F.size("cue_words") > 0)
+    q = shared_tables.kept(q, "quotes")
+    ids = q.select("transcript_id").distinct()
+    asked = cues.join(ids.hint("broadcast" if ids.count() <= most_ids else "merge"), "transcript_id", "left_semi")
+    c = asked.select("transcript_id", "cue_idx", F.lower("text").alias("cue_low"), _words(F.lower("text")).alias("cue_words")).where(F.size("cue_words") > 0)
+    c = shared_tables.kept(c, "asked")
     shared = (
         q.select("quote_id", "transcript_id", F.explode("words").alias("word"))
         .join(c.select("transcript_id", "cue_idx", F.explode("cue_words").alias("word")).hint("merge"), ["transcript_id", "word"])

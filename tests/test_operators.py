@@ -571,3 +571,27 @@ def test_quick_marker_test_misses_no_folded_letter(spark):
     for full, quick in ((segments._ALL_MARKERS, segments._ALL_MARKERS), (segments.ENUMERATION, segments._LISTS)):
         both = df.select(F.col("text").rlike(segments.any_of(full)).alias("full"), segments._may_match(quick, F.col("text")).alias("quick"), "text")
         assert both.where("full and not quick").collect() == [] and both.where("full").count() > 20
+
+
+def test_quotes_and_their_cues_are_read_once(spark, tmp_path):
+    """Matches are found on what was kept of quotes and cues; texts hold one another with and without a whole word inside."""
+    r = random.Random(5)
+    text = lambda: "".join(r.choice(["ab", "b", "Cd", " ", " ", ", ", "é", "x1"]) for _ in range(r.randrange(1, 14)))
+    cues = [(t, k, text()) for t in (1, 2, 3) for k in range(40)]
+    quotes = [(f"{t}-{k}", t, r.choice([c for u, _, c in cues if u == t])[r.randrange(3) :]) for t in (1, 2) for k in range(40)]
+    spark.createDataFrame(cues, "transcript_id long, cue_idx int, text string").write.parquet(str(tmp_path / "c"))
+    spark.createDataFrame(quotes, "quote_id string, transcript_id long, quote string").write.parquet(str(tmp_path / "q"))
+    words = lambda s: set(re.findall(r"\w+", s.lower()))
+    want = []
+    for i, t, quote in quotes:
+        low, best = quote.lower().strip(), []
+        for u, k, c in cues:
+            if u == t and words(c) and quote:
+                held = low[:30] in c.lower() or c.lower() in low
+                best.append((-(len(words(quote) & words(c)) / max(len(words(quote)), 1) + 0.5 * held), k))
+        if best and -min(best)[0] >= 0.3:
+            want.append((i, t, min(best)[1], -min(best)[0]))
+    for most in (0, 9):
+        got = resolve.quote_matches(spark.read.parquet(str(tmp_path / "q")), spark.read.parquet(str(tmp_path / "c")), most_ids=most)
+        assert {f.split("/")[-2].rsplit("-", 1)[0] for f in got.inputFiles()} == {"quotes", "asked"}
+        assert sorted(map(tuple, got.collect())) == sorted(want)
