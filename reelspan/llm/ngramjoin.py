@@ -195,6 +195,25 @@ def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
     return out
 
 
+def _near(percent: int):
+    """Nodes of a tile that may be linked with one of another component, by one fragment: what is shared there, and at most all the rest of the smaller set."""
+    schema = pa.schema([("lead", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("node", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["lead", "i", "j"]):
+            node, comps, n, side = (g.column(c).to_numpy() for c in ("node", "comp", "n", "side"))
+            a, b = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+            sets = _lists(g, "grams")
+            rest = n - np.array([len(x) for x in sets])
+            most = _overlaps(sets, a, b) + np.minimum(rest[a][:, None], rest[b][None, :])
+            may = (100 * most >= percent * (n[a][:, None] + n[b][None, :] - most)) & (comps[a][:, None] != comps[b][None, :])
+            nodes = node[np.union1d(a[may.any(axis=1)], b[may.any(axis=0)])]
+            tile = [pa.repeat(pa.scalar(g.column(c)[0].as_py(), t), len(nodes)) for c, t in (("lead", pa.int64()), ("i", pa.int32()), ("j", pa.int32()))]
+            yield pa.record_batch([*tile, pa.array(nodes)], schema=schema)
+
+    return run
+
+
 def _cross_links(percent: int):
     """Links between different components within a tile: overlaps are counted fragment by fragment and summed per pair."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -254,14 +273,24 @@ def _tiles(members: DataFrame, tile: int, pivot: bool) -> DataFrame:
 
 def _met_in_tiles(members: DataFrame, comps: DataFrame, sets: DataFrame, scratch: Scratch, tile: int, percent: int, pivot: bool) -> DataFrame:
     """Components (node, comp) after those were joined between which a tile has a link."""
-    known = members.where("node != lead").join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    known = members.where("node != lead")
+    if not pivot:
+        # nodes of one chunk have all met in the first phase
+        large = known.groupBy("lead").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > tile).select("lead")
+        known = known.join(large.hint("merge"), "lead", "left_semi")
+    known = known.join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_leads = known.groupBy("lead").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("lead")
     left = scratch.write(known.join(open_leads.hint("merge"), "lead", "left_semi").select("lead", "node", "comp", "n"), "open")
+    if left.isEmpty():
+        return comps
     tiles = _tiles(left, tile, pivot)
     mixed = tiles.groupBy("lead", "i", "j").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("lead", "i", "j")
     tiles = scratch.write(tiles.join(mixed.hint("merge"), ["lead", "i", "j"], "left_semi"), "tiles")
-    filled = _together(tiles.join(sets.hint("merge"), "node"))
+    one = _together(tiles.join(sets.where("fragment = 0").hint("merge"), "node"))
+    near = scratch.write(one.mapInArrow(_near(percent), "lead long, i int, j int, node long"), "near")
+    filled = _together(tiles.join(near.hint("merge"), ["lead", "i", "j", "node"], "left_semi").join(sets.hint("merge"), "node"))
     more = scratch.write(filled.mapInArrow(_cross_links(percent), "a long, b long"), "cross")
+    scratch.drop(left, tiles, near)
     joined = connected_components(more, scratch)
     old = comps.unionByName(joined.select("node", F.col("node").alias("comp"))).distinct()
     joined = joined.select(F.col("node").alias("comp"), F.col("comp").alias("now"))
@@ -306,9 +335,9 @@ def jaccard_components(
     4. Nodes are compared with their leaders: the global order is cut into ``fragments``, partial
        overlaps are counted fragment by fragment and summed per pair.
     5. Where a leader's nodes are still in different components, they meet in tiles of two times ``tile``,
-       fragment by fragment again, and only links that join components leave the task. First one chunk of them meets all,
-       which joins most of what belongs together at a cost in proportion to their number; then nodes outside the largest
-       component meet all. So no link between components is lost, and pairs inside one component are never emitted.
+       first by one fragment, then, where the rest could still link them, by all, and only links that join components leave the task.
+       First one chunk of them meets all, which joins most of what belongs together at a cost in proportion to their number
+       and settles leaders with no more than a chunk; then, of the larger ones, nodes outside the largest component meet all. So no link between components is lost, and pairs inside one component are never emitted.
 
     Returns doc_id, n_shingles and component_id (smallest doc_id reachable, its own included) for every row.
     Null and empty texts have no n-grams and stand alone. Rows that repeat a doc_id are separate
@@ -361,6 +390,7 @@ def settle(first: DataFrame, members: DataFrame, only: DataFrame, scratch: Scrat
     )
     overlap = part.groupBy("lead", "node", "n", "lead_n").agg(F.sum("part").alias("overlap"))
     links = scratch.write(overlap.where(100 * F.col("overlap") >= percent * (F.col("n") + F.col("lead_n") - F.col("overlap"))).select(F.col("node").alias("a"), F.col("lead").alias("b")), "links")
+    scratch.release()
     comps = scratch.write(connected_components(links, scratch), "components")
 
     for pivot in (True, False):

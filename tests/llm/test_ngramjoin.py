@@ -1,5 +1,6 @@
 import random
 
+from reelspan.llm import ngramjoin
 from reelspan.llm.components import connected_components
 from reelspan.llm.ngramjoin import jaccard_components
 from reelspan.llm.scratch import Scratch
@@ -62,6 +63,19 @@ def test_matches_brute_force(spark):
         assert got == brute(rows)
 
 
+def test_what_one_fragment_tells_apart_is_not_dealt_whole(spark, monkeypatch):
+    """Groups of six texts that share a third of their words, none of them linked: one fragment of most sets goes to a tile, once."""
+    r = random.Random(7)
+    passages = [" ".join(f"p{g}_{k}" for k in range(100)) for g in range(10)]
+    rows = [(k, passages[k % 10] + " " + " ".join(f"w{r.randrange(10**9)}" for _ in range(200))) for k in range(60)]
+    dealt = []
+    together = ngramjoin._together
+    monkeypatch.setattr(ngramjoin, "_together", lambda df: dealt.append(df.count()) or together(df))
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(k, 296, k) for k in range(60)]
+    assert 0 < sum(dealt) < 2 * len(rows)  # whole sets, in both phases, would be eight times the rows
+
+
 def test_empty_and_long(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_components(df).count() == 0
