@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspan.operators.ordering import leading_number, numbered_firsts, spread
+
 # Events with plenty of pictures.
 SWEEP_EVENTS = (
     "french revolution", "american revolution", "russian revolution", "industrial revolution", "scientific revolution", "haitian revolution",
@@ -254,13 +256,9 @@ def content_key(kind: Column, first: Column, second: Column) -> Column:
     return F.when(kind == "quote", F.substring(first, 1, 50)).otherwise(F.concat_ws("\x1f", first, second))
 
 
-def dedup_elements(elements: DataFrame) -> DataFrame:
-    """First of the elements with the same type, cue and content; ``seq`` is their order."""
-    same = Window.partitionBy("transcript_id", "element_type", "cue_idx", content_key(F.col("element_type"), F.col("first"), F.col("second"))).orderBy("seq")
-    return elements.withColumn("k", F.row_number().over(same)).where("k = 1").drop("k")
-
-
-def element_ids(elements: DataFrame) -> DataFrame:
-    """Ids ``type_001`` in order inside a transcript and type."""
-    number = F.row_number().over(Window.partitionBy("transcript_id", "element_type").orderBy("seq"))
-    return elements.withColumn("element_id", F.format_string("%s_%03d", "element_type", number))
+def numbered_elements(elements: DataFrame, per_range: int = 1 << 18) -> DataFrame:
+    """Ids ``type_001`` in order of ``seq`` inside a transcript and type; then the first of the elements with the same type, cue and content."""
+    keyed = elements.withColumn("content_key", content_key(F.col("element_type"), F.col("first"), F.col("second")))
+    by = leading_number(keyed, "seq")
+    firsts = numbered_firsts(keyed, ["transcript_id", "element_type"], ["seq"], ["cue_idx", "content_key"], by, spread(keyed, "transcript_id", by), "number", per_range)
+    return firsts.select(*elements.columns, F.format_string("%s_%03d", "element_type", "number").alias("element_id"))

@@ -324,7 +324,7 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 60 + q).alias("seq"),
         ((F.col("l_partkey") % 50) * 3000 + F.col("l_linenumber") * 40).alias("ms"),
     )
-    return segments.dedup_elements(segments.element_ids(rows))
+    return segments.numbered_elements(rows)
 
 
 @query(f"WITH {DEDUPED} SELECT transcript_id, element_type, cue_idx, seq, element_id FROM once")

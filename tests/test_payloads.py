@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from reelspan.operators import ordering, segments
 from reelspan.sources import payloads
 
 WORDS = ["war", "", "peace", "é" * 60, "é" * 60 + "x", 5, 5.0, "5", None, True]
@@ -64,3 +65,23 @@ def test_elements_against_loop(spark):
     got = payloads.payload_elements(df).select("transcript_id", "element_id", "element_type", "cue_idx", F.to_json("payload").alias("payload")).collect()
     whole = lambda text: json.dumps(json.loads(text, parse_int=float), sort_keys=True)
     assert sorted((*x[:4], whole(x[4])) for x in map(tuple, got)) == [(*x[:4], whole(x[4])) for x in loop(rows)]
+
+
+def test_elements_are_numbered_by_ranges(spark):
+    """One transcript and type in many ranges and tasks: ids and firsts as in a loop."""
+    r = random.Random(5)
+    rows = [(r.choice([1, 1, 1, None]), r.choice(["quote", "date"]), r.randrange(3), r.choice("ab"), r.choice("cd"), k) for k in range(2000)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "transcript_id long, element_type string, cue_idx int, first string, second string, seq long").repartition(3)
+    numbers, seen, want = {}, set(), []
+    for t, kind, cue, first, second, seq in sorted(rows, key=lambda x: x[5]):
+        n = numbers[t, kind] = numbers.get((t, kind), 0) + 1
+        key = (t, kind, cue, first if kind == "quote" else (first, second))
+        if key not in seen:
+            seen.add(key)
+            want.append((seq, f"{kind}_{n:03d}"))
+    got = segments.numbered_elements(df, per_range=100).select("seq", "element_id").collect()
+    assert sorted(map(tuple, got)) == want
+    by = ordering.leading_number(df, "seq")
+    parts = ordering.spread(df, "transcript_id", by)
+    assert (parts["low"], parts["high"], parts["all"]) == (0.0, 1999.0, 2000)
