@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelspan.operators.ordering import leading_number, numbered_firsts, spread
+
 #: Lists of a reply in the order in which they are read, and the type of element in each.
 LISTS = (("numbers", "number"), ("dates", "date"), ("quotes", "quote"), ("processes", "process"), ("comparisons", "comparison"))
 
 
-def is_kind(value: Column, kind: str) -> Column:
-    """Whether a variant is an OBJECT or an ARRAY."""
-    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+def _is_object(value: Column) -> Column:
+    """Whether a variant is an object; its schema, which takes longer, isn't asked for."""
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
 
 def canonical(value: Column) -> Column:
@@ -27,8 +29,7 @@ def _field(payload: Column, name: str, default: str = '""') -> Column:
 
 def _items(payload: Column, name: str) -> Column:
     """The items of a list in a payload; none where it is missing or no list."""
-    value = F.try_variant_get(payload, f"$.{name}", "variant")
-    return F.when(is_kind(value, "ARRAY"), F.try_variant_get(payload, f"$.{name}", "array<variant>"))
+    return F.try_variant_get(payload, f"$.{name}", "array<variant>")
 
 
 def steps(payload: Column) -> Column:
@@ -67,16 +68,17 @@ def payload_elements(replies: DataFrame) -> DataFrame:
     content stays, as windows overlap.
     """
     spark = replies.sparkSession
+    by = leading_number(replies, "reply_no")
+    found = spread(replies, "transcript_id", by)
     document = F.try_parse_json(F.regexp_extract("reply", r"(?s)\{.*\}", 0)).alias("document")
-    read = replies.select("transcript_id", "reply_no", document).where(is_kind(F.col("document"), "OBJECT"))
-    by_cue = read.lateralJoin(spark.tvf.variant_explode(F.col("document").outer())).select("transcript_id", "reply_no", F.expr("try_cast(key as int)").alias("cue_idx"), F.col("value").alias("lists"))
-    by_cue = by_cue.where(F.col("cue_idx").isNotNull() & is_kind(F.col("lists"), "OBJECT"))
-    lists = F.array(*[F.struct(F.lit(k).alias("list_no"), F.lit(kind).alias("element_type"), _items(F.col("lists"), plural).alias("items")) for k, (plural, kind) in enumerate(LISTS)])
-    each = by_cue.select("transcript_id", "reply_no", "cue_idx", F.explode(lists).alias("l")).select("transcript_id", "reply_no", "cue_idx", "l.list_no", "l.element_type", F.posexplode("l.items").alias("item_no", "payload"))
+    read = replies.select("transcript_id", "reply_no", by.alias("by"), document)
+    by_cue = read.lateralJoin(spark.tvf.variant_explode(F.col("document").outer())).select("transcript_id", "reply_no", "by", F.expr("try_cast(key as int)").alias("cue_idx"), F.col("value").alias("lists"))
+    # one row an item, not one a list; what is no list or no object has no items
+    item = lambda k, kind: lambda x, i: F.struct(F.lit(k).alias("list_no"), F.lit(kind).alias("element_type"), i.alias("item_no"), x.alias("payload"))
+    items = [F.coalesce(F.transform(_items(F.col("lists"), plural), item(k, kind)), F.array()) for k, (plural, kind) in enumerate(LISTS)]
+    each = by_cue.where("cue_idx is not null").select("transcript_id", "reply_no", "by", "cue_idx", F.inline(F.concat(*items)))
     kind, payload = F.col("element_type"), F.col("payload")
-    shown = each.where(is_kind(payload, "OBJECT")).where(_shown(kind, payload)).withColumn("content_key", content_key(kind, payload))
+    shown = each.where(_is_object(payload)).where(_shown(kind, payload)).withColumn("content_key", content_key(kind, payload))
     order = ["reply_no", "cue_idx", "list_no", "item_no"]
-    number = F.row_number().over(Window.partitionBy("transcript_id", "element_type").orderBy(*order))
-    named = shown.withColumn("element_id", F.format_string("%s_%03d", "element_type", number))
-    first = F.row_number().over(Window.partitionBy("transcript_id", "element_type", "cue_idx", "content_key").orderBy(*order))
-    return named.withColumn("k", first).where("k = 1").select("transcript_id", "element_id", "element_type", "cue_idx", "payload", "content_key")
+    firsts = numbered_firsts(shown, ["transcript_id", "element_type"], order, ["cue_idx", "content_key"], F.col("by"), found, "number")
+    return firsts.select("transcript_id", F.format_string("%s_%03d", "element_type", "number").alias("element_id"), "element_type", "cue_idx", "payload", "content_key")
